@@ -16,6 +16,7 @@ The band size, not the group size, bounds the work of any single task.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -107,16 +108,65 @@ def quantiles_wide(df: DataFrame, cols, probs, by=(), names=None,
 def quantile_values(df: DataFrame, cols, probs, accuracy: int = DEFAULT_ACCURACY) -> dict:
     """Global exact quantiles as {column: [q(p) for p in probs]}.
 
-    The result has len(cols) * len(probs) scalars, so collecting it is safe.
+    Same three passes as ``quantiles_long``, but the band bounds and rank
+    offsets are a handful of scalars, so each pass returns them to the driver
+    and the next pass uses them as literals (no joins). The only rows that
+    are ranked are those inside the bands; only 2 values per band come back.
     """
     cols = list(cols)
+    probs = [float(p) for p in probs]
     if not cols:
         return {}
-    rows = quantiles_long(df, cols, probs, (), accuracy).collect()
+    margin = 8.0 / accuracy
+    sk = []
+    for p in probs:
+        sk += [max(p - margin, 0.0), min(p + margin, 1.0)]
+    x = {c: F.col(c).cast("double") for c in cols}
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"mn{i}"), F.max(x[c]).alias(f"mx{i}"),
+                 F.percentile_approx(x[c], F.array(*[F.lit(v) for v in sk]), accuracy).alias(f"pa{i}")]
+    r = df.agg(*aggs).first()
+    bands = {}  # (i, j) -> (lo, hi, r0, r1, pos)
+    for i, c in enumerate(cols):
+        n = r[f"n{i}"]
+        if not n:
+            continue
+        small = n <= accuracy // 2
+        for j, p in enumerate(probs):
+            lo = r[f"mn{i}"] if (small or p - margin <= 0) else r[f"pa{i}"][2 * j]
+            hi = r[f"mx{i}"] if (small or p + margin >= 1) else r[f"pa{i}"][2 * j + 1]
+            pos = p * (n - 1)
+            r0 = int(math.floor(pos))
+            bands[(i, j)] = (lo, hi, r0, min(r0 + 1, n - 1), pos)
     out = {c: [None] * len(probs) for c in cols}
-    idx = {float(p): i for i, p in enumerate(probs)}
-    for r in rows:
-        out[r["column"]][idx[float(r["prob"])]] = r["quantile"]
+    if not bands:
+        return out
+    below = df.agg(*[F.count_if(x[cols[i]] < F.lit(b[0])).alias(f"b{i}_{j}")
+                     for (i, j), b in bands.items()]).first()
+    # Rows inside each band, tagged with the band; rank inside the band only.
+    tagged = df.select(F.explode(F.array(*[
+        F.when((x[cols[i]] >= F.lit(b[0])) & (x[cols[i]] <= F.lit(b[1])),
+               F.struct(F.lit(i * len(probs) + j).alias("band"), x[cols[i]].alias("value")))
+        for (i, j), b in bands.items()])).alias("s")).where(F.col("s").isNotNull()).select("s.*")
+    want = []
+    for (i, j), b in bands.items():
+        off = below[f"b{i}_{j}"]
+        want.append(F.struct(F.lit(i * len(probs) + j).alias("band"),
+                             F.lit(b[2] - off + 1).alias("k0"), F.lit(b[3] - off + 1).alias("k1")))
+    w = Window.partitionBy("band").orderBy("value")
+    picked = (tagged.withColumn("rn", F.row_number().over(w))
+              .join(F.broadcast(df.sparkSession.range(1).select(F.explode(F.array(*want)).alias("w"))
+                                .select("w.*")), "band")
+              .where((F.col("rn") == F.col("k0")) | (F.col("rn") == F.col("k1")))
+              .groupBy("band").agg(F.max(F.when(F.col("rn") == F.col("k0"), F.col("value"))).alias("v0"),
+                                   F.max(F.when(F.col("rn") == F.col("k1"), F.col("value"))).alias("v1"))
+              .collect())
+    for row in picked:
+        i, j = divmod(row["band"], len(probs))
+        lo, hi, r0, r1, pos = bands[(i, j)]
+        if row["v0"] is not None and row["v1"] is not None:
+            out[cols[i]][j] = row["v0"] + (pos - r0) * (row["v1"] - row["v0"])
     return out
 
 

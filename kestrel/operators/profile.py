@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import numeric_columns, stats_row
-from ..functions.quantiles import quantiles_wide
+from ..functions.quantiles import quantile_values
 
 # Fixed value of the reference: a column whose values are listed as classes
 # has at most this many distinct values.
@@ -54,7 +54,9 @@ def describe_numeric(df: DataFrame, cols=None) -> DataFrame:
         F.min(F.col(c).cast("double")).alias(f"{c}__min"),
         F.max(F.col(c).cast("double")).alias(f"{c}__max"))])
     mom = _stack_one_row(mom, cols, ["count", "mean", "std", "min", "max"])
-    q = quantiles_wide(df, cols, [0.25, 0.5, 0.75], names=["q25", "q50", "q75"])
+    qv = quantile_values(df, cols, [0.25, 0.5, 0.75])
+    q = df.sparkSession.createDataFrame(
+        [(c, *qv[c]) for c in cols], "column string, q25 double, q50 double, q75 double")
     return (mom.join(q, "column", "left")
             .select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
