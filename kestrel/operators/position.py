@@ -36,13 +36,14 @@ def _order_value(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def with_buckets(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_BUCKET,
+def with_buckets(df: DataFrame, order_col: str, rows_per_bucket: int | None = None,
                  accuracy: int = 10000, out: str = "_bucket") -> DataFrame:
     """Add a range bucket id of the (numeric or time) order column.
 
     Cut points come from one aggregation; their number is at most MAX_BUCKETS,
     so collecting them is bounded.
     """
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
     ov = _order_value(df, order_col)
     n = df.agg(F.count(F.lit(1))).first()[0]
     k = int(min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket))))
@@ -56,7 +57,7 @@ def with_buckets(df: DataFrame, order_col: str, rows_per_bucket: int = ROWS_PER_
     return b.transform(df.withColumn(tmp, ov)).drop(tmp)
 
 
-def global_position(df: DataFrame, series_cols, order_cols, rows_per_bucket: int = ROWS_PER_BUCKET,
+def global_position(df: DataFrame, series_cols, order_cols, rows_per_bucket: int | None = None,
                     pos: str = "_pos", keep_bucket: bool = False) -> DataFrame:
     """Add 0-based position of each row inside its series by ``order_cols``.
 
@@ -77,7 +78,7 @@ def global_position(df: DataFrame, series_cols, order_cols, rows_per_bucket: int
 
 
 def halo_frame(df: DataFrame, series_cols, order_cols, lookback: int,
-               rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+               rows_per_bucket: int | None = None) -> DataFrame:
     """Rows with ``_pos``, ``_part`` (bucket to compute in) and ``_halo`` flag.
 
     Each row appears once with ``_halo = false`` in its own bucket, plus once

@@ -22,12 +22,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def _round(c, dt, digits):
+    if isinstance(dt, (T.DoubleType, T.FloatType)):
+        return F.round(c, digits)
+    if isinstance(dt, T.ArrayType):
+        return F.transform(c, lambda x: _round(x, dt.elementType, digits))
+    return c
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every floating column (both sides of the oracle round the same way)."""
-    return df.select(*[
-        F.round(F.col(f.name), digits).alias(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name)
-        for f in df.schema.fields])
+    """Round every floating column, also inside arrays (the oracle SQL rounds the same way)."""
+    return df.select(*[_round(F.col(f.name), f.dataType, digits).alias(f.name) for f in df.schema.fields])
 
 
 def load_all():
