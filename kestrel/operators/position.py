@@ -120,3 +120,30 @@ def dense_index(values: DataFrame, col: str, out: str = "_idx") -> DataFrame:
     offs = first.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     return (d.join(F.broadcast(offs), "_pid")
             .select(col, (F.col("_off") + F.col("_mid") - F.col("_m0")).alias(out)))
+
+
+def running_totals(hist: DataFrame, keys, order_col: str, weights) -> DataFrame:
+    """For every row of ``hist``: sums of ``weights`` over rows with the same
+    ``keys`` and a smaller ``order_col`` (columns ``{w}_before``).
+
+    ``hist`` is usually a histogram (one row per distinct value). It is
+    range-partitioned on (keys, order_col) and materialised in the shared
+    checkpoint folder; running sums are computed inside each range partition
+    and partition offsets per key come from a table with one row per
+    (partition, key). No task holds more than one range partition.
+    """
+    from ..session import cut_lineage
+    keys = list(keys)
+    weights = list(weights)
+    n_parts = max(1, hist.sparkSession.sparkContext.defaultParallelism)
+    h = cut_lineage(hist.repartitionByRange(n_parts, *keys, order_col)
+                    .withColumn("_pid", F.spark_partition_id()))
+    per = h.groupBy("_pid", *keys).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    wo = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = per.select("_pid", *keys, *[F.coalesce(F.sum(f"_t_{w}").over(wo), F.lit(0)).alias(f"_o_{w}")
+                                       for w in weights])
+    wi = Window.partitionBy("_pid", *keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    inner = h.select("*", *[F.coalesce(F.sum(w).over(wi), F.lit(0)).alias(f"_i_{w}") for w in weights])
+    out = inner.join(offs, ["_pid"] + keys)
+    return out.select(*hist.columns, *[(F.col(f"_o_{w}") + F.col(f"_i_{w}")).alias(f"{w}_before")
+                                       for w in weights])

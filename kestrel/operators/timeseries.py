@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from ..core import stats_row
 from ..functions.quantiles import quantiles_long
 from ..functions.stats import corr_pvalue, durbin_levinson
-from ..session import cut_lineage
-from .position import global_position, halo_frame
+from .position import global_position, halo_frame, running_totals
 from .resample import bin_start, resample_mean  # noqa: F401  (re-exported)
 
 
@@ -105,24 +104,16 @@ def corr_pearson(aligned: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return aligned.sparkSession.createDataFrame([(r["r"], r["n"], p)], "r double, n long, p_value double")
 
 
-def average_ranks(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Add the average rank (1-based, ties share the mean rank) of ``col``.
-
-    The value histogram is range-partitioned and materialised in the shared
-    checkpoint folder; running counts per partition plus partition offsets
-    give every distinct value its rank range; the ranks are joined back.
-    """
-    hist = df.groupBy(col).agg(F.count(F.lit(1)).alias("_c")).where(F.col(col).isNotNull())
-    n_parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    hist = cut_lineage(hist.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id()))
-    tot = hist.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    offs = tot.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_pid").orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-             .join(F.broadcast(offs.select("_pid", "_off")), "_pid")
-             .select(col, (F.col("_off") + F.col("_before") + (F.col("_c") + 1) / 2.0).alias(out)))
-    return df.join(ranks, col, "left")
+def average_ranks(df: DataFrame, col: str, out: str, keys=()) -> DataFrame:
+    """Add the average rank (1-based, ties share the mean rank) of ``col``
+    inside each group of ``keys``. Value histogram -> distributed running
+    counts (``position.running_totals``) -> ranks joined back on the value."""
+    keys = list(keys)
+    hist = (df.where(F.col(col).isNotNull()).groupBy(*keys, col)
+            .agg(F.count(F.lit(1)).alias("_c")))
+    ranks = running_totals(hist, keys, col, ["_c"]).select(
+        *keys, col, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(out))
+    return df.join(ranks, keys + [col], "left")
 
 
 def corr_spearman(aligned: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -129,18 +129,26 @@ def pred_multi(t: Tables) -> DataFrame:
     li = t.lineitem
     shifted = (F.when(F.col("l_returnflag") == "A", "N").when(F.col("l_returnflag") == "N", "R")
                .otherwise("A"))
-    return li.select(F.col("l_returnflag").alias("y"),
-                     F.when(F.col("l_orderkey") % 5 == 0, shifted).otherwise(F.col("l_returnflag")).alias("pred"),
-                     (F.col("l_extendedprice") / 100000.0).alias("score"))
+    pred = F.when(F.col("l_orderkey") % 5 == 0, shifted).otherwise(F.col("l_returnflag"))
+    out = li.select(F.col("l_returnflag").alias("y"), pred.alias("pred"), "l_discount")
+    # class scores: the predicted class gets 0.5 + discount, the others share the rest
+    return out.select("y", "pred", *[
+        F.when(F.col("pred") == c, 0.5 + F.col("l_discount")).otherwise((0.5 - F.col("l_discount")) / 2)
+        .alias(f"score_{c}") for c in ("A", "N", "R")])
 
 
-PRED_MULTI = """pred_multi AS (
+PRED_MULTI = """pred_multi0 AS (
   SELECT l_returnflag AS y,
          CASE WHEN l_orderkey % 5 = 0 THEN
               CASE l_returnflag WHEN 'A' THEN 'N' WHEN 'N' THEN 'R' ELSE 'A' END
-              ELSE l_returnflag END AS pred,
-         l_extendedprice / 100000.0 AS score
-  FROM lineitem)"""
+              ELSE l_returnflag END AS pred, l_discount
+  FROM lineitem),
+pred_multi AS (
+  SELECT y, pred,
+    CASE WHEN pred = 'A' THEN 0.5 + l_discount ELSE (0.5 - l_discount) / 2 END AS score_A,
+    CASE WHEN pred = 'N' THEN 0.5 + l_discount ELSE (0.5 - l_discount) / 2 END AS score_N,
+    CASE WHEN pred = 'R' THEN 0.5 + l_discount ELSE (0.5 - l_discount) / 2 END AS score_R
+  FROM pred_multi0)"""
 
 
 def points_2d(t: Tables) -> DataFrame:
