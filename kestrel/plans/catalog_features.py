@@ -6,3 +6,62 @@ from pyspark.sql import functions as F
 
 from .registry import query, rounded
 from .fixtures import tables
+from ..operators import features as ft
+from . import fixtures as fx
+from .fixtures import with_ctes
+
+_KB_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+            "l_discount", "l_tax"]
+
+_KB_SQL = "WITH " + ",\n".join(
+    [f"""s_{c} AS (SELECT '{c}' AS feature, l_returnflag, count(*) AS n, avg({c}::DOUBLE) AS m,
+        var_pop({c}::DOUBLE) AS v FROM lineitem GROUP BY l_returnflag)""" for c in _KB_COLS]) + """,
+per AS (""" + " UNION ALL ".join(f"SELECT * FROM s_{c}" for c in _KB_COLS) + """),
+g AS (SELECT feature, sum(n * m) / sum(n) AS gm, sum(n) AS nt, count(*) AS k FROM per GROUP BY 1),
+f AS (SELECT feature, CASE WHEN sum(n * v) > 0 THEN (sum(n * (m - gm) * (m - gm)) / (any_value(k) - 1))
+           / (sum(n * v) / (any_value(nt) - any_value(k))) END AS f_score
+      FROM per JOIN g USING (feature) GROUP BY feature)
+SELECT feature, round(f_score, 4) AS f_score,
+       CAST(row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) AS INTEGER) AS rank,
+       row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 3 AS selected FROM f"""
+
+
+@query("select_kbest", _KB_SQL)
+def q_select_kbest(spark, sf_dir):
+    """ANOVA F of lineitem numeric columns against the return flag; best 3 selected."""
+    out = ft.kbest_scores(tables(spark, sf_dir).lineitem, "l_returnflag", 3, _KB_COLS)
+    return out.select("feature", F.round("f_score", 4).alias("f_score"), F.col("rank").cast("int").alias("rank"),
+                      "selected")
+
+
+@query("variance_threshold", with_ctes(fx.LINEITEM_CONST) +
+       "SELECT " + ", ".join(_KB_COLS) + " FROM lineitem_const")
+def q_variance_threshold(spark, sf_dir):
+    """lineitem plus a constant column: numeric columns with variance > 0 kept."""
+    return ft.variance_threshold(fx.lineitem_const(tables(spark, sf_dir)))
+
+
+@query("random_undersample", """
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
+SELECT lang, (SELECT min(n) FROM c) AS n FROM c""")
+def q_random_undersample(spark, sf_dir):
+    """Documents undersampled by language: every language cut to the smallest."""
+    d = ft.random_undersample(tables(spark, sf_dir).documents, "lang", seed=42, key_cols=["doc_id"])
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("pca")
+def q_pca(spark, sf_dir):
+    """Centred PCA of four lineitem measures -> PCA_1, PCA_2 (property-checked)."""
+    from ..operators.clean import scale_standard
+    li = scale_standard(tables(spark, sf_dir).lineitem, _PCA_COLS)
+    return ft.pca(li, _PCA_COLS, 2)
+
+
+@query("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    """Two components of the 2-d customer points with their segment."""
+    return ft.pca_projection(fx.points_2d(tables(spark, sf_dir)), ["x", "y"], "cluster")
