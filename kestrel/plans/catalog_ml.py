@@ -6,3 +6,167 @@ from pyspark.sql import functions as F
 
 from .registry import query, rounded
 from .fixtures import tables
+from ..ml import cluster as cl
+from ..ml import evaluate as ev
+from ..ml import models as M
+from ..ml import split as sp
+from ..ml.neighbors import knn_classify
+from ..operators import metrics as mt
+from . import fixtures as fx
+from .fixtures import with_ctes
+
+_EMB_DIMS = 8          # embedding coordinates used as tabular features
+
+
+def _emb(spark, sf_dir, dims=_EMB_DIMS):
+    e = tables(spark, sf_dir).embeddings
+    return e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(dims)],
+                    F.col("label").cast("string").alias("label"))
+
+
+_EMB_COLS = [f"e{i}" for i in range(_EMB_DIMS)]
+_LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("train_test_split", """
+SELECT 'test' AS part, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n FROM orders
+UNION ALL SELECT 'train', count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) FROM orders""")
+def q_train_test_split(spark, sf_dir):
+    """Sizes of a seeded 80/20 split of orders (ceil rule for the test part)."""
+    tr, te = sp.train_test_split(tables(spark, sf_dir).orders, 0.2, 42, key_cols=["o_orderkey"])
+    return (tr.select(F.lit("train").alias("part")).unionByName(te.select(F.lit("test").alias("part")))
+            .groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("stratified_split", """
+WITH c AS (SELECT lang, count(*) AS n, 0.2 * count(*) AS e, floor(0.2 * count(*)) AS f FROM documents GROUP BY 1),
+t AS (SELECT ceil(0.2 * sum(n)) - sum(f) AS rest FROM c),
+r AS (SELECT lang, n, f + CASE WHEN row_number() OVER (ORDER BY e - f DESC, lang) <= (SELECT rest FROM t) THEN 1 ELSE 0 END AS k
+      FROM c)
+SELECT lang, 'test' AS part, CAST(k AS BIGINT) AS n FROM r
+UNION ALL SELECT lang, 'train', CAST(n - k AS BIGINT) FROM r""")
+def q_stratified_split(spark, sf_dir):
+    """Per-language sizes of a stratified 80/20 split of documents."""
+    tr, te = sp.stratified_split(tables(spark, sf_dir).documents, "lang", 0.2, 42, key_cols=["doc_id"])
+    return (tr.select("lang", F.lit("train").alias("part")).unionByName(te.select("lang", F.lit("test").alias("part")))
+            .groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _clf_query(kind):
+    def run(spark, sf_dir):
+        tr, te = sp.stratified_split(_emb(spark, sf_dir), "label", 0.2, 42, key_cols=["vec_id"])
+        m = M.fit(kind, tr, _EMB_COLS, "label")
+        return M.predict(m, te, keep=["vec_id"]).select("vec_id", "y", "pred")
+    run.__doc__ = f"{kind} on 8 embedding coordinates -> label; predictions on a stratified 20% test split."
+    return run
+
+
+for _k in M.CLASSIFIERS:
+    query(_k)(_clf_query(_k))
+
+
+def _reg_query(kind):
+    def run(spark, sf_dir):
+        li = tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", *_LI_FEATS[:-1], "l_extendedprice")
+        tr, te = sp.train_test_split(li, 0.2, 42, key_cols=["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+        m = M.fit(kind, tr, _LI_FEATS, "l_extendedprice")
+        return M.predict(m, te, keep=["l_orderkey", "l_linenumber"])
+    run.__doc__ = f"{kind}: lineitem extended price from quantity, discount, tax, line number; 20% test split."
+    return run
+
+
+for _k in M.REGRESSORS:
+    query(_k)(_reg_query(_k))
+
+
+@query("linear_regression_1d", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+       round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept FROM lineitem""")
+def q_linreg_1d(spark, sf_dir):
+    """OLS of extended price on quantity over all of lineitem (coefficients)."""
+    m = M.fit("linear_regression", tables(spark, sf_dir).lineitem, ["l_quantity"], "l_extendedprice")
+    lr = m.pipeline.stages[0]
+    return spark.createDataFrame([(round(float(lr.coefficients[0]), 4), round(float(lr.intercept), 4))],
+                                 "slope double, intercept double")
+
+
+@query("svr")
+def q_svr(spark, sf_dir):
+    """RBF-approximating epsilon-insensitive regression of the standardised hourly mean on its 3 lags."""
+    from ..operators.clean import scale_standard
+    from ..operators.timeseries import lag_features
+    lf = lag_features(fx.hourly(tables(spark, sf_dir)), "ts", "value", 3, 0)
+    lf = scale_standard(lf, ["lag_1", "lag_2", "lag_3", "y"])
+    p = M.fit_svr(lf, ["lag_1", "lag_2", "lag_3"], "y", iters=30)
+    return M.predict_svr(p, lf, "y", keep=["ts"])
+
+
+@query("knn_classifier", """
+WITH p AS (SELECT c_custkey, c_acctbal / 1000 AS x, CAST(c_nationkey AS DOUBLE) AS y, c_mktsegment AS seg FROM customer),
+tr AS (SELECT * FROM p WHERE c_custkey % 5 <> 0), te AS (SELECT * FROM p WHERE c_custkey % 5 = 0),
+d AS (SELECT te.c_custkey, tr.seg, row_number() OVER (PARTITION BY te.c_custkey
+        ORDER BY sqrt((te.x - tr.x) * (te.x - tr.x) + (te.y - tr.y) * (te.y - tr.y)), tr.c_custkey) AS r
+      FROM te, tr),
+v AS (SELECT c_custkey, seg, count(*) AS votes FROM d WHERE r <= 5 GROUP BY 1, 2),
+b AS (SELECT c_custkey, seg, row_number() OVER (PARTITION BY c_custkey ORDER BY votes DESC, seg) AS r FROM v)
+SELECT c_custkey, seg AS pred FROM b WHERE r = 1""")
+def q_knn(spark, sf_dir):
+    """5-NN vote of market segment from (balance, nation): every 5th customer
+    is a query against the others. The oracle is brute force over all pairs."""
+    p = fx.points_2d(tables(spark, sf_dir)).withColumnRenamed("cluster", "seg")
+    tr = p.where(F.col("c_custkey") % 5 != 0)
+    te = p.where(F.col("c_custkey") % 5 == 0)
+    out = knn_classify(tr, te, "c_custkey", ["x", "y"], "seg", 5)
+    return out.select("c_custkey", "pred")
+
+
+@query("cross_validate")
+def q_cross_validate(spark, sf_dir):
+    """5-fold stratified CV of logistic regression on embedding coordinates."""
+    return ev.cross_validate("logistic_regression", _emb(spark, sf_dir), _EMB_COLS, "label", 5,
+                             key_cols=["vec_id"])
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    """Random forest importances of the lineitem price model's features."""
+    li = tables(spark, sf_dir).lineitem
+    m = M.fit("random_forest_reg", li, _LI_FEATS, "l_extendedprice")
+    return M.feature_importance(m)
+
+
+@query("kmeans")
+def q_kmeans(spark, sf_dir):
+    """k-means (k = 3) of the customer points."""
+    out, _ = cl.kmeans(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), ["x", "y"], 3)
+    return out.select("c_custkey", "x", "y", "cluster")
+
+
+@query("dbscan")
+def q_dbscan(spark, sf_dir):
+    """DBSCAN (eps 0.5, 5 points) of the customer points."""
+    return cl.dbscan(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), "c_custkey", ["x", "y"], 0.5, 5) \
+             .select("c_custkey", "x", "y", "cluster")
+
+
+@query("agglomerative")
+def q_agglomerative(spark, sf_dir):
+    """Ward clustering (3 clusters) of the customer points via micro-clusters."""
+    return cl.agglomerative(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), ["x", "y"], 3) \
+             .select("c_custkey", "x", "y", "cluster")
+
+
+@query("sequence_classifier")
+def q_sequence_classifier(spark, sf_dir):
+    """MLP on 14-hour windows of (mean, count) -> hourly mean above 35; test metrics."""
+    from ..functions.scalar import threshold_label
+    from ..operators.clean import scale_minmax
+    from ..operators.timeseries import sequence_windows
+    h = threshold_label(fx.hourly(tables(spark, sf_dir)), "value", ">", 35, name="lab")
+    h = scale_minmax(h, ["value", "n"])
+    seq = sequence_windows(h, "ts", ["value", "n"], "lab", 14)
+    tr, te = sp.stratified_split(seq.select("ts", "seq", "label"), "label", 0.2, 42, key_cols=["ts"])
+    m = M.fit_sequence_classifier(tr, 14, 2)
+    p = M.predict_sequence_classifier(m, te)
+    acc = mt.accuracy(p)
+    return acc
