@@ -170,3 +170,78 @@ def q_sequence_classifier(spark, sf_dir):
     p = M.predict_sequence_classifier(m, te)
     acc = mt.accuracy(p)
     return acc
+
+
+# ------------------------------------------------------------- forecasting
+from ..ml import forecast as fc  # noqa: E402
+
+
+def _hourly_by_type(spark, sf_dir):
+    """Regular hourly mean series per event type (gaps interpolated)."""
+    return fc.regular_series(tables(spark, sf_dir).events, "ts", "value", "1H", ["event_type"])
+
+
+def _hourly_one(spark, sf_dir):
+    return fc.regular_series(tables(spark, sf_dir).events, "ts", "value", "1H")
+
+
+@query("stl_decompose")
+def q_stl(spark, sf_dir):
+    """STL (period 24) of the hourly mean series of every event type."""
+    return fc.stl_decompose(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 24)
+
+
+@query("dtw_distance")
+def q_dtw(spark, sf_dir):
+    """DTW (band 24) between hourly series of event-type pairs."""
+    pairs = [("click", "view"), ("click", "purchase"), ("error", "signup"), ("view", "purchase")]
+    return fc.dtw_distance(_hourly_by_type(spark, sf_dir), "ts", "value", "event_type", pairs, window=24)
+
+
+@query("arima_forecast")
+def q_arima(spark, sf_dir):
+    """ARIMA(1,1,0), 10 steps, for the daily value sum of every user."""
+    return fc.arima_forecast(fx.user_daily(tables(spark, sf_dir)), "ts", "value", ["user_id"], 10)
+
+
+@query("trend_season_forecast")
+def q_trend_season(spark, sf_dir):
+    """Trend + daily seasonality (ridge), 10 hours ahead, per event type."""
+    return fc.trend_season_forecast(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 10, 24)
+
+
+@query("rf_window_forecast")
+def q_rf_window(spark, sf_dir):
+    """Global random forest on 5 lags, 10 recursive steps, per event type."""
+    return fc.window_forecast(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], "rf", 5, 10)
+
+
+@query("gbt_window_forecast")
+def q_gbt_window(spark, sf_dir):
+    """Global boosted trees on 5 lags, 10 recursive steps, per event type."""
+    return fc.window_forecast(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], "gbt", 5, 10)
+
+
+@query("direct_multi_forecast")
+def q_direct_multi(spark, sf_dir):
+    """Scaled 10-value windows -> 10 values ahead (10 linear models), per event type."""
+    return fc.direct_multi_forecast(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 10, 10)
+
+
+@query("auto_forecast")
+def q_auto_forecast(spark, sf_dir):
+    """ARIMA / smoothing / theta scored on the last 10 hours, best refitted, per event type."""
+    return fc.auto_forecast(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 10)
+
+
+@query("auto_forecast_search")
+def q_auto_search(spark, sf_dir):
+    """Candidate search (level 'medio', 2 rolling validations, 90 % interval) per event type."""
+    return fc.auto_forecast_search(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 10, "medio")
+
+
+@query("forecast_table")
+def q_forecast_table(spark, sf_dir):
+    """History and ARIMA forecast rows of the overall hourly mean series."""
+    s = _hourly_one(spark, sf_dir)
+    return fc.forecast_table(s, fc.arima_forecast(s, "ts", "value", (), 10), "ts", "value")
