@@ -20,6 +20,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 MAX_CELL = 4096
 MAX_DIM = 4
 
@@ -29,13 +31,15 @@ def _cells(cols, width):
 
 
 def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
-        r_id: str | None = None, max_rounds: int = 30) -> DataFrame:
+        r_id: str | None = None, max_rounds: int = 30, by=()) -> DataFrame:
     """(q_id, neighbour columns..., _dist, _rank) for the k nearest ``ref`` rows.
 
     ``ref_keep`` columns of the reference are carried (e.g. a label).
     Ties at the k-th distance are broken by the reference key.
     With ``exclude_self`` a reference row with the same id as the query is skipped.
+    ``by`` columns restrict neighbours to rows with equal values (e.g. a class).
     """
+    by = list(by)
     cols = list(cols)
     d = len(cols)
     if d > MAX_DIM:
@@ -49,14 +53,14 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
         vol *= max(st[f"hi_{c}"] - st[f"lo_{c}"], 1e-9)
     width = (vol * 2.0 * k / max(n, 1)) ** (1.0 / d)
     R = ref.select(F.col(r_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols],
-                   *ref_keep)
+                   *[x for x in ref_keep if x not in by], *by)
     for _ in range(40):  # shrink until no cell is too crowded
-        mx = R.groupBy(*_cells(cols, width)).agg(F.count_distinct(*cols).alias("m")).agg(F.max("m")).first()[0]
+        mx = R.groupBy(*by, *_cells(cols, width)).agg(F.count_distinct(*cols).alias("m")).agg(F.max("m")).first()[0]
         if mx is None or mx <= MAX_CELL:
             break
         width /= 2.0
     diam = math.sqrt(sum((st[f"hi_{c}"] - st[f"lo_{c}"]) ** 2 for c in cols)) + 1e-9
-    Q = query.select(F.col(q_id).alias("_qid"), *[F.col(c).cast("double").alias(f"_q_{c}") for c in cols])
+    Q = query.select(F.col(q_id).alias("_qid"), *[F.col(c).cast("double").alias(f"_q_{c}") for c in cols], *by)
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
     done = None
     pending = Q
@@ -65,7 +69,7 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
         qc = pending.select("*", F.explode(F.array(*[
             F.struct(*[(F.floor(F.col(f"_q_{c}") / F.lit(width)).cast("long") + F.lit(o[i])).alias(f"_k{i}")
                        for i, c in enumerate(cols)]) for o in offsets])).alias("_cell")).select("*", "_cell.*").drop("_cell")
-        pairs = qc.join(Rc, [f"_k{i}" for i in range(d)])
+        pairs = qc.join(Rc, [f"_k{i}" for i in range(d)] + by)
         if exclude_self:
             pairs = pairs.where(F.col("_qid") != F.col("_rid"))
         dist = F.sqrt(sum((F.col(c) - F.col(f"_q_{c}")) ** 2 for c in cols))
@@ -77,16 +81,20 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
         # once the width exceeds the diameter every reference point is in reach:
         # queries with fewer than k candidates then simply have fewer refs
         last = width > diam
-        ok = (ranked if last else ranked.where(F.col("_found") >= k)).drop("_found", *[f"_k{i}" for i in range(d)])
+        ok = cut_lineage((ranked if last else ranked.where(F.col("_found") >= k))
+                         .drop("_found", *[f"_k{i}" for i in range(d)]))
         done = ok if done is None else done.unionByName(ok)
         if last:
             break
-        pending = pending.join(ok.select("_qid").distinct(), "_qid", "left_anti")
-        if pending.isEmpty():
+        n_pending = pending.count()
+        pending = cut_lineage(pending.join(ok.select("_qid").distinct(), "_qid", "left_anti"))
+        left = pending.count()
+        if left == 0:
             break
-        width *= 2.0
-    return done.select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols, *ref_keep,
-                       "_dist", "_rank")
+        # grow fast while most queries are unresolved, gently near the end
+        width *= 4.0 if left > 0.5 * n_pending else 2.0
+    return done.select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols,
+                       *[x for x in ref_keep if x not in by], *by, "_dist", "_rank")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols, label: str, k: int = 5) -> DataFrame:

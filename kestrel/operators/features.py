@@ -187,3 +187,48 @@ def random_undersample(df: DataFrame, target: str, seed: int = 42, key_cols=None
     n_min = min(counts.values())
     d = df.withColumn("_u", hash_uniform(seed, key_cols))
     return k_smallest_per_group(d, target, "_u", {g: n_min for g in counts}, key_cols).drop("_u")
+
+
+def smote(df: DataFrame, target: str, cols, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Grow every smaller class to the size of the largest with synthetic rows
+    x + u * (x_nn - x), x_nn one of the k nearest same-class rows (exact grid
+    kNN). Returns (target, features..., synthetic) with the original rows kept.
+
+    Sample j of class c takes base point floor(h1 * n_c) (by in-class position)
+    and neighbour rank 1 + floor(h2 * k_c), with u = h3; h1..h3 are seeded
+    hashes of (c, j), so the result is repeatable and computed on the cluster.
+    """
+    from ..ml.neighbors import knn
+    from .position import global_position
+    cols = list(cols)
+    base = df.select(id_col, target, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+    counts = {r[target]: r["n"] for r in base.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+              .limit(MAX_LEVELS + 1).collect()}
+    if len(counts) > MAX_LEVELS:
+        raise ValueError("too many classes")
+    n_max = max(counts.values())
+    need = {c: n_max - n for c, n in counts.items() if n < n_max and n >= 2}
+    orig = base.select(target, *cols, F.lit(False).alias("synthetic"))
+    if not need:
+        return orig
+    spark = df.sparkSession
+    nb = knn(base, base, id_col, cols, k, exclude_self=True, by=[target])
+    nb = nb.select(F.col(id_col).alias("_base"), F.col("_rank"), *[F.col(c).alias(f"_n_{c}") for c in cols])
+    pos = global_position(base.where(F.col(target).isin(list(need))), [target], [id_col])
+    # one row per synthetic sample, generated on the cluster per class
+    jobs = None
+    for c, m in need.items():
+        r = spark.range(m).select(F.lit(c).cast(base.schema[target].dataType).alias(target), F.col("id").alias("_j"))
+        jobs = r if jobs is None else jobs.unionByName(r)
+    kc = _lookup(target, {c: float(min(k, counts[c] - 1)) for c in need})
+    nc = _lookup(target, {c: float(counts[c]) for c in need})
+
+    def u(i):
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), F.col(target), F.col("_j")), 11).cast("double") / F.lit(_U53)
+    jobs = jobs.select(target, "_j", F.floor(u(1) * nc).cast("long").alias("_pos"),
+                       (F.floor(u(2) * kc) + 1).cast("int").alias("_rank"), u(3).alias("_u"))
+    s = (jobs.join(pos.select(target, "_pos", F.col(id_col).alias("_base"), *cols), [target, "_pos"])
+         .join(nb, ["_base", "_rank"]))
+    syn = s.select(target, *[(F.col(c) + F.col("_u") * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in cols],
+                   F.lit(True).alias("synthetic"))
+    return orig.unionByName(syn)

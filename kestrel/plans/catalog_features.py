@@ -65,3 +65,18 @@ def q_pca(spark, sf_dir):
 def q_pca_projection(spark, sf_dir):
     """Two components of the 2-d customer points with their segment."""
     return ft.pca_projection(fx.points_2d(tables(spark, sf_dir)), ["x", "y"], "cluster")
+
+
+def _doc_feats(spark, sf_dir):
+    d = tables(spark, sf_dir).documents
+    return d.select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
+                    F.size(F.split("text", " ")).cast("double").alias("n_words"))
+
+
+@query("smote", """
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
+SELECT lang, (SELECT max(n) FROM c) AS n FROM c""")
+def q_smote(spark, sf_dir):
+    """Documents balanced by language with SMOTE on (chars, words): class sizes."""
+    out = ft.smote(_doc_feats(spark, sf_dir), "lang", ["n_chars", "n_words"], "doc_id", 5)
+    return out.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
