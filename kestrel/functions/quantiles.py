@@ -11,7 +11,9 @@ exact answer is found in three distributed passes over a single column:
 3. only the rows inside the band (about 18 n / accuracy per band) are ranked
    with a window, and the two neighbouring order statistics are interpolated.
 
-The band size, not the group size, bounds the work of any single task.
+The band size, not the group size, bounds the work of any single task. The
+global variant ``quantile_values`` refines its bands over several passes so
+that even a column of 10^12 rows ends with bands of at most ``BAND_ROWS``.
 """
 
 from __future__ import annotations
@@ -105,68 +107,123 @@ def quantiles_wide(df: DataFrame, cols, probs, by=(), names=None,
     return q.groupBy(*by, "column").agg(*aggs)
 
 
-def quantile_values(df: DataFrame, cols, probs, accuracy: int = DEFAULT_ACCURACY) -> dict:
+BAND_ROWS = 1_000_000     # rows one task ranks at the end
+GRID = 1000               # sketch grid: 1/GRID probability steps per refinement pass
+GRID_ACCURACY = 20000
+
+
+def quantile_values(df: DataFrame, cols, probs, band_rows: int | None = None) -> dict:
     """Global exact quantiles as {column: [q(p) for p in probs]}.
 
-    Same three passes as ``quantiles_long``, but the band bounds and rank
-    offsets are a handful of scalars, so each pass returns them to the driver
-    and the next pass uses them as literals (no joins). The only rows that
-    are ranked are those inside the bands; only 2 values per band come back.
+    Iterative band refinement; every pass is ONE scan of the chosen columns:
+
+    * a band [lo, hi] per (column, p) starts as the whole column (below = 0);
+    * while a band holds more than ``band_rows`` rows, a pass sketches the
+      rows inside it on a grid of GRID probabilities (bounded memory) and the
+      next pass keeps only the grid cells around the wanted rank, counting the
+      rows it cuts off below; each pass shrinks a band by about GRID / 4;
+    * the final pass ranks only the rows of each band (one window task per
+      band, at most ``band_rows`` rows) and interpolates the two order
+      statistics at floor(p (n - 1)) and the next one.
+
+    Band bounds and counts are a few scalars per (column, p) and travel to
+    the driver between passes; rows never do.
     """
     cols = list(cols)
     probs = [float(p) for p in probs]
+    band_rows = band_rows or BAND_ROWS
+    out = {c: [None] * len(probs) for c in cols}
     if not cols:
-        return {}
-    margin = 8.0 / accuracy
-    sk = []
-    for p in probs:
-        sk += [max(p - margin, 0.0), min(p + margin, 1.0)]
+        return out
     x = {c: F.col(c).cast("double") for c in cols}
-    aggs = []
-    for i, c in enumerate(cols):
-        aggs += [F.count(x[c]).alias(f"n{i}"), F.min(x[c]).alias(f"mn{i}"), F.max(x[c]).alias(f"mx{i}"),
-                 F.percentile_approx(x[c], F.array(*[F.lit(v) for v in sk]), accuracy).alias(f"pa{i}")]
-    r = df.agg(*aggs).first()
-    bands = {}  # (i, j) -> (lo, hi, r0, r1, pos)
+    r = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    # band state per (column index, prob index)
+    st = {}
     for i, c in enumerate(cols):
         n = r[f"n{i}"]
         if not n:
             continue
-        small = n <= accuracy // 2
         for j, p in enumerate(probs):
-            lo = r[f"mn{i}"] if (small or p - margin <= 0) else r[f"pa{i}"][2 * j]
-            hi = r[f"mx{i}"] if (small or p + margin >= 1) else r[f"pa{i}"][2 * j + 1]
             pos = p * (n - 1)
             r0 = int(math.floor(pos))
-            bands[(i, j)] = (lo, hi, r0, min(r0 + 1, n - 1), pos)
-    out = {c: [None] * len(probs) for c in cols}
-    if not bands:
+            st[(i, j)] = {"lo": None, "hi": None, "below": 0, "cnt": n, "r0": r0,
+                          "r1": min(r0 + 1, n - 1), "pos": pos}
+    if not st:
+        return out
+
+    def inside(i, b):
+        cond = x[cols[i]].isNotNull()
+        if b["lo"] is not None:
+            cond = cond & (x[cols[i]] >= F.lit(b["lo"]))
+        if b["hi"] is not None:
+            cond = cond & (x[cols[i]] <= F.lit(b["hi"]))
+        return cond
+
+    grid = [g / GRID for g in range(GRID + 1)]
+    for _ in range(12):
+        big = {k: b for k, b in st.items() if b["cnt"] > band_rows}
+        if not big:
+            break
+        aggs = [F.percentile_approx(F.when(inside(i, b), x[cols[i]]), grid, GRID_ACCURACY).alias(f"s{i}_{j}")
+                for (i, j), b in big.items()]
+        sk = df.agg(*aggs).first()
+        new = {}
+        for (i, j), b in big.items():
+            g = sk[f"s{i}_{j}"]
+            f = (b["r0"] - b["below"]) / max(b["cnt"] - 1, 1)
+            k = int(math.floor(f * GRID))
+            lo = g[k - 3] if k - 3 >= 0 else b["lo"]
+            hi = g[k + 4] if k + 4 <= GRID else b["hi"]
+            new[(i, j)] = (lo, hi)
+        cnt = df.agg(*[e for (i, j), b in big.items() for e in (
+            F.count_if((inside(i, b) & (x[cols[i]] < F.lit(new[(i, j)][0])))
+                       if new[(i, j)][0] is not None else F.lit(False)).alias(f"b{i}_{j}"),
+            F.count_if(inside(i, {"lo": new[(i, j)][0], "hi": new[(i, j)][1]})).alias(f"c{i}_{j}"))]).first()
+        for (i, j), b in big.items():
+            below = b["below"] + cnt[f"b{i}_{j}"]
+            c = cnt[f"c{i}_{j}"]
+            if below <= b["r0"] and b["r1"] < below + c and c < b["cnt"]:
+                b.update(lo=new[(i, j)][0], hi=new[(i, j)][1], below=below, cnt=c)
+            else:  # sketch bracket missed (not expected): stop refining this band
+                b["cnt"] = min(b["cnt"], band_rows)
+    # columns never refined hold at most band_rows values: Spark's exact
+    # percentile (a value->count map of at most band_rows entries, same
+    # p * (n - 1) interpolation) finishes them in one aggregation
+    whole = sorted({i for (i, j), b in st.items() if b["lo"] is None and b["hi"] is None})
+    if whole:
+        pr = df.agg(*[F.percentile(x[cols[i]], [float(p) for p in probs]).alias(f"p{i}") for i in whole]).first()
+        for i in whole:
+            for j in range(len(probs)):
+                if (i, j) in st and st[(i, j)]["lo"] is None and st[(i, j)]["hi"] is None:
+                    out[cols[i]][j] = pr[f"p{i}"][j]
+    st = {k: b for k, b in st.items() if not (b["lo"] is None and b["hi"] is None)}
+    if not st:
         return out
-    below = df.agg(*[F.count_if(x[cols[i]] < F.lit(b[0])).alias(f"b{i}_{j}")
-                     for (i, j), b in bands.items()]).first()
-    # Rows inside each band, tagged with the band; rank inside the band only.
+    # final pass: rank rows inside each distinct refined band
+    bands = {}
+    for (i, j), b in st.items():
+        bands.setdefault((i, b["lo"], b["hi"], b["below"]), []).append(j)
+    band_list = list(bands.items())
     tagged = df.select(F.explode(F.array(*[
-        F.when((x[cols[i]] >= F.lit(b[0])) & (x[cols[i]] <= F.lit(b[1])),
-               F.struct(F.lit(i * len(probs) + j).alias("band"), x[cols[i]].alias("value")))
-        for (i, j), b in bands.items()])).alias("s")).where(F.col("s").isNotNull()).select("s.*")
+        F.when(inside(i, {"lo": lo, "hi": hi}), F.struct(F.lit(bi).alias("band"), x[cols[i]].alias("value")))
+        for bi, ((i, lo, hi, _), _) in enumerate(band_list)])).alias("s")).where(F.col("s").isNotNull()).select("s.*")
     want = []
-    for (i, j), b in bands.items():
-        off = below[f"b{i}_{j}"]
-        want.append(F.struct(F.lit(i * len(probs) + j).alias("band"),
-                             F.lit(b[2] - off + 1).alias("k0"), F.lit(b[3] - off + 1).alias("k1")))
+    for bi, ((i, lo, hi, below), js) in enumerate(band_list):
+        for j in js:
+            b = st[(i, j)]
+            want += [b["r0"] - below + 1, b["r1"] - below + 1]
     w = Window.partitionBy("band").orderBy("value")
     picked = (tagged.withColumn("rn", F.row_number().over(w))
-              .join(F.broadcast(df.sparkSession.range(1).select(F.explode(F.array(*want)).alias("w"))
-                                .select("w.*")), "band")
-              .where((F.col("rn") == F.col("k0")) | (F.col("rn") == F.col("k1")))
-              .groupBy("band").agg(F.max(F.when(F.col("rn") == F.col("k0"), F.col("value"))).alias("v0"),
-                                   F.max(F.when(F.col("rn") == F.col("k1"), F.col("value"))).alias("v1"))
-              .collect())
-    for row in picked:
-        i, j = divmod(row["band"], len(probs))
-        lo, hi, r0, r1, pos = bands[(i, j)]
-        if row["v0"] is not None and row["v1"] is not None:
-            out[cols[i]][j] = row["v0"] + (pos - r0) * (row["v1"] - row["v0"])
+              .where(F.col("rn").isin(sorted(set(want))))
+              .select("band", "rn", "value").collect())
+    got = {(row["band"], row["rn"]): row["value"] for row in picked}
+    for bi, ((i, lo, hi, below), js) in enumerate(band_list):
+        for j in js:
+            b = st[(i, j)]
+            v0 = got.get((bi, b["r0"] - below + 1))
+            v1 = got.get((bi, b["r1"] - below + 1))
+            if v0 is not None and v1 is not None:
+                out[cols[i]][j] = v0 + (b["pos"] - b["r0"]) * (v1 - v0)
     return out
 
 
