@@ -27,26 +27,50 @@ from pyspark.sql import functions as F
 from ..core import unpivot_numeric
 
 DEFAULT_ACCURACY = 20000
+BAND_ROWS = 1_000_000     # rows one task ranks / one exact-percentile map holds
+GRID = 1000               # sketch grid: 1/GRID probability steps per refinement pass
+GRID_ACCURACY = 20000
 
 
 def quantiles_long(df: DataFrame, cols, probs, by=(), accuracy: int = DEFAULT_ACCURACY,
-                   long_input: bool = False) -> DataFrame:
-    """Exact quantiles in long form: (by..., column, prob, quantile, n).
+                   long_input: bool = False, band_rows: int | None = None) -> DataFrame:
+    """Exact quantiles in long form: (by..., column, prob, n, quantile).
 
     ``long_input=True`` means ``df`` already has columns (by..., column, value).
-    Nulls are ignored; a group without values gets quantile NULL.
+    Nulls are ignored. Groups with at most ``band_rows`` values (one count
+    pass tells) use Spark's exact ``percentile``, whose value map is then
+    bounded; larger groups go through the sketch / band / rank path below.
     """
     by = list(by)
     probs = [float(p) for p in probs]
+    band_rows = band_rows or BAND_ROWS
+    long = df if long_input else unpivot_numeric(df, cols, keep=by)
+    long = long.where(F.col("value").isNotNull())
+    keys = by + ["column"]
+    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    biggest = sizes.agg(F.max("_n")).first()[0] or 0
+
+    def small_path(d):
+        q = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", probs).alias("_q"))
+        return q.select(*keys, F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "prob"), "n", "_q") \
+                .select(*keys, "prob", "n", F.col("_q")[F.col("_i")].alias("quantile"))
+    if biggest <= band_rows:
+        return small_path(long)
+    big = sizes.where(F.col("_n") > band_rows).select(*keys)
+    small = long.join(big, keys, "left_anti")
+    large = long.join(big, keys, "left_semi")
+    return small_path(small).unionByName(
+        _band_quantiles(large, probs, keys, accuracy).select(*keys, "prob", "n", "quantile"))
+
+
+def _band_quantiles(long: DataFrame, probs, keys, accuracy: int) -> DataFrame:
+    """Sketch -> band -> rank-in-band exact quantiles of large groups."""
     k = len(probs)
     # Rank slack: the sketch errs by <= n/accuracy ranks; with margin 8/accuracy
     # the band keeps >= 7n/accuracy ranks on each side, which is >= 3.5 ranks
     # for groups above accuracy/2. Smaller groups use their whole range.
     margin = 8.0 / accuracy
     small = F.col("n") <= accuracy // 2
-    long = df if long_input else unpivot_numeric(df, cols, keep=by)
-    long = long.where(F.col("value").isNotNull())
-    keys = by + ["column"]
 
     # Sketch probabilities: p - margin and p + margin for every p (clamped).
     sk = []
@@ -107,11 +131,6 @@ def quantiles_wide(df: DataFrame, cols, probs, by=(), names=None,
     return q.groupBy(*by, "column").agg(*aggs)
 
 
-BAND_ROWS = 1_000_000     # rows one task ranks at the end
-GRID = 1000               # sketch grid: 1/GRID probability steps per refinement pass
-GRID_ACCURACY = 20000
-
-
 def quantile_values(df: DataFrame, cols, probs, band_rows: int | None = None) -> dict:
     """Global exact quantiles as {column: [q(p) for p in probs]}.
 

@@ -120,23 +120,32 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, n_micro: int
     sizes = {r["_micro"]: r["n"] for r in assigned.groupBy("_micro").agg(F.count(F.lit(1)).alias("n")).collect()}
     cents = km.clusterCenters()
     ids = sorted(sizes)
-    groups = {i: [i] for i in ids}
-    w = {i: float(sizes[i]) for i in ids}
-    c = {i: np.asarray(cents[i], dtype=float) for i in ids}
-    while len(groups) > n_clusters:
-        keys = list(groups)
-        best = None
-        for a_i in range(len(keys)):
-            for b_i in range(a_i + 1, len(keys)):
-                a, b = keys[a_i], keys[b_i]
-                cost = w[a] * w[b] / (w[a] + w[b]) * float(np.sum((c[a] - c[b]) ** 2))
-                if best is None or cost < best[0]:
-                    best = (cost, a, b)
-        _, a, b = best
-        c[a] = (w[a] * c[a] + w[b] * c[b]) / (w[a] + w[b])
-        w[a] += w[b]
-        groups[a] += groups.pop(b)
-        del w[b], c[b]
+    m = len(ids)
+    w = np.array([float(sizes[i]) for i in ids])
+    C = np.array([np.asarray(cents[i], dtype=float) for i in ids])
+    # Ward merge cost between clusters a, b: w_a w_b / (w_a + w_b) |c_a - c_b|^2,
+    # updated after each merge with the Lance-Williams formula
+    sq = ((C[:, None, :] - C[None, :, :]) ** 2).sum(-1)
+    D = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * sq
+    np.fill_diagonal(D, np.inf)
+    alive = np.ones(m, dtype=bool)
+    members = {a: [ids[a]] for a in range(m)}
+    for _ in range(m - n_clusters):
+        a, b = np.unravel_index(np.argmin(D), D.shape)
+        a, b = min(a, b), max(a, b)
+        wa, wb = w[a], w[b]
+        new = ((w + wa) * D[a] + (w + wb) * D[b] - w * D[a, b]) / (w + wa + wb)
+        D[a, :] = new
+        D[:, a] = new
+        D[a, a] = np.inf
+        D[b, :] = np.inf
+        D[:, b] = np.inf
+        D[~alive, :] = np.inf
+        D[:, ~alive] = np.inf
+        w[a] = wa + wb
+        alive[b] = False
+        members[a] += members.pop(b)
+    groups = {a: members[a] for a in members}
     order = sorted(groups, key=lambda g: min(groups[g]))
     mapping = {m: lab for lab, g in enumerate(order) for m in groups[g]}
     e = F.lit(None).cast("int")

@@ -14,6 +14,7 @@ perceptron on flattened windows for the LSTM classifier.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        MultilayerPerceptronClassifier, OneVsRest,
@@ -72,11 +73,13 @@ def _estimator(kind: str, n_rows: int, n_classes: int, seed: int, params: dict):
     if kind in ("gradient_boosting_clf", "xgb_clf", "lgbm_clf"):
         g = GBTClassifier(featuresCol="features", labelCol="_label", maxIter=p["n_estimators"],
                           stepSize=p["learning_rate"], maxDepth=p["max_depth"], seed=seed)
-        return g if n_classes <= 2 else OneVsRest(classifier=g, featuresCol="features", labelCol="_label")
+        return g if n_classes <= 2 else OneVsRest(classifier=g, featuresCol="features", labelCol="_label",
+                                                  parallelism=min(n_classes, 8))
     if kind == "svc":
         s = LinearSVC(featuresCol="features", labelCol="_label", regParam=1.0 / (p["C"] * max(n_rows, 1)),
-                      maxIter=200)
-        return s if n_classes <= 2 else OneVsRest(classifier=s, featuresCol="features", labelCol="_label")
+                      maxIter=100)
+        return s if n_classes <= 2 else OneVsRest(classifier=s, featuresCol="features", labelCol="_label",
+                                                  parallelism=min(n_classes, 8))
     if kind == "linear_regression":
         return LinearRegression(featuresCol="features", labelCol="_label", regParam=0.0, solver="normal")
     if kind == "random_forest_reg":
@@ -113,8 +116,10 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
     """Fit a classifier (label indexed, decoded as ``prediction_label``) or regressor."""
     extra = {}
     if kind == "svc":
+        from ..session import cut_lineage
         extra["rff"] = fit_rff(train, feature_cols, seed=seed)
-        d = rff_features(train, feature_cols, params=extra["rff"])
+        # features are used by every solver iteration: materialise them once
+        d = cut_lineage(rff_features(train, feature_cols, params=extra["rff"]))
     else:
         d = features_vector(train, feature_cols)
     n = d.count()
@@ -181,14 +186,25 @@ def fit_rff(df: DataFrame, cols, n_components: int = 100, gamma=None, seed: int
 
 
 def rff_features(df: DataFrame, cols, params: dict, out: str = "features") -> DataFrame:
-    """z(x) = sqrt(2/D) cos(W x + b) as a vector column (column expressions)."""
+    """z(x) = sqrt(2/D) cos(W x + b) as a vector column.
+
+    Computed per Arrow batch as one numpy matrix product (D x d numbers are
+    shipped with the function); as SQL expressions the D cosines of d-term
+    sums overflow the generated code of one stage.
+    """
     cols = list(cols)
-    W, b = params["W"], params["b"]
-    D = len(b)
-    s = float(np.sqrt(2.0 / D))
-    x = [F.col(c).cast("double") for c in cols]
-    z = [F.lit(s) * F.cos(sum(x[j] * F.lit(W[i][j]) for j in range(len(cols))) + F.lit(b[i])) for i in range(D)]
-    return df.withColumn(out, array_to_vector(F.array(*z)))
+    W = np.asarray(params["W"], dtype=float)
+    b = np.asarray(params["b"], dtype=float)
+    s = float(np.sqrt(2.0 / len(b)))
+
+    @F.pandas_udf("array<double>")
+    def project(x: pd.Series) -> pd.Series:
+        X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, W.shape[1]))
+        Z = s * np.cos(X @ W.T + b)
+        return pd.Series(list(Z))
+
+    xa = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.withColumn(out, array_to_vector(project(xa)))
 
 
 def fit_svr(train: DataFrame, cols, label_col: str, C: float = 1.0, epsilon: float = 0.1,

@@ -61,8 +61,28 @@ def _clf_query(kind):
     return run
 
 
-for _k in M.CLASSIFIERS:
+def _quality(spark, sf_dir):
+    """Binary task from the tables: document quality from length features."""
+    t = tables(spark, sf_dir)
+    d = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                           F.size(F.split("text", " ")).cast("double").alias("n_words"),
+                           F.size(F.split("text", "\n")).cast("double").alias("n_lines"))
+    return d.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
+
+
+def _binary_clf_query(kind):
+    def run(spark, sf_dir):
+        tr, te = sp.stratified_split(_quality(spark, sf_dir), "quality", 0.2, 42, key_cols=["doc_id"])
+        m = M.fit(kind, tr, ["n_chars", "n_words", "n_lines"], "quality")
+        return M.predict(m, te, keep=["doc_id"]).select("doc_id", "y", "pred")
+    run.__doc__ = f"{kind} (binary): document quality from length features; stratified 20% test split."
+    return run
+
+
+for _k in ("logistic_regression", "random_forest_clf", "svc"):
     query(_k)(_clf_query(_k))
+for _k in ("gradient_boosting_clf", "xgb_clf", "lgbm_clf"):
+    query(_k)(_binary_clf_query(_k))
 
 
 def _reg_query(kind):

@@ -88,3 +88,11 @@ SELECT "column", value, count FROM (
 def q_class_distribution(spark, sf_dir):
     """Value counts of every documents column with at most 20 distinct values."""
     return pr.class_distribution(tables(spark, sf_dir).documents)
+
+
+@query("null_columns", with_ctes(EVENTS_NULLS) + "SELECT * FROM (" + _union(
+    [f"""SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} IS NULL) AS n_null FROM events_nulls"""
+     for c in EVENTS_COLS]) + ") WHERE n_null > 0")
+def q_null_columns(spark, sf_dir):
+    """Only the columns of events_nulls that have NULLs."""
+    return pr.null_counts(events_nulls(tables(spark, sf_dir)), only_missing=True)

@@ -199,3 +199,9 @@ def q_multi_horizon(spark, sf_dir):
     """Min-max scaled hourly means: 10 past values -> next 10 values."""
     out, _ = ts.multi_horizon_dataset(fx.hourly(tables(spark, sf_dir)), "ts", "value", 10, 10)
     return rounded(out)
+
+
+@query("pacf")
+def q_pacf(spark, sf_dir):
+    """Partial autocorrelation (Yule-Walker, n - k denominators) of the hourly mean, lags 0..48."""
+    return rounded(ts.pacf(fx.hourly(tables(spark, sf_dir)), "ts", "value", 48))
