@@ -28,61 +28,120 @@ def kmeans(df: DataFrame, cols, k: int = DEFAULT_K, seed: int = 42, out: str = "
 
 
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
-           out: str = "cluster", max_iter: int = 200) -> DataFrame:
+           out: str = "cluster", max_iter: int = 200, sub: int = 4) -> DataFrame:
     """DBSCAN (neighbourhood counts include the point itself); noise = -1.
 
     Grid of side eps / sqrt(d): two points of one cell are always within eps,
     so a cell holding >= min_samples points makes all its points core without
-    any distance test. Other neighbourhoods are counted over the cells within
-    reach (offsets up to ceil(sqrt(d)) per axis). Core points are linked
-    through their cells; clusters are the connected components of the cell
-    graph (min-label propagation, lineage cut by reliable checkpoints).
-    Border points join the cluster of a core point within eps (smallest
-    label). Cluster ids are the smallest point id of the cluster.
+    any distance test. Every cell is split into ``sub``^d sub-cells; the
+    occupancy of sub-cells (counts, smallest label) answers most questions
+    without looking at point pairs:
+
+    * a sub-cell whose farthest corner is within eps of a point counts whole
+      towards that point's neighbourhood, one entirely beyond eps not at all;
+      only sub-cells straddling the eps circle are tested point by point;
+    * two core cells are linked as soon as one pair of their occupied core
+      sub-cells is entirely within eps; point pairs are tested only for the
+      straddling sub-cell pairs of cell pairs not linked that way.
+
+    Clusters are connected components of the core-cell graph (min-label
+    propagation, lineage cut by reliable checkpoints); border points take the
+    smallest cluster label of a core point within eps. Cluster ids are the
+    smallest point id of the cluster.
     """
     cols = list(cols)
     d = len(cols)
     side = eps / math.sqrt(d)
-    reach = int(math.ceil(math.sqrt(d)))
-    cell = [F.floor(F.col(c).cast("double") / F.lit(side)).cast("long").alias(f"_c{i}") for i, c in enumerate(cols)]
-    P = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols], *cell)
-    ckeys = [f"_c{i}" for i in range(d)]
-    occ = P.groupBy(*ckeys).agg(F.count(F.lit(1)).alias("_occ"))
-    P = P.join(occ, ckeys)
-    offs = [o for o in itertools.product(range(-reach, reach + 1), repeat=d)]
-    # neighbour pairs for points of sparse cells (dense cells are core already)
-    Q = P.where(F.col("_occ") < min_samples).select(
-        F.col("_id").alias("_qid"), *[F.col(c).alias(f"_q_{c}") for c in cols],
-        F.explode(F.array(*[F.struct(*[(F.col(f"_c{i}") + F.lit(o[i])).alias(f"_c{i}") for i in range(d)])
-                            for o in offs])).alias("_n")).select("*", "_n.*").drop("_n")
+    ss = side / sub
+    e2 = F.lit(eps * eps)
+    ck = [f"_c{i}" for i in range(d)]
+    sk = [f"_s{i}" for i in range(d)]
+    P = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in cols])
+    P = P.select("*", *[F.floor(F.col(c) / F.lit(ss)).cast("long").alias(sk[i]) for i, c in enumerate(cols)])
+    P = P.select("*", *[F.floor(F.col(sk[i]) / F.lit(sub)).cast("long").alias(ck[i]) for i in range(d)])
+    occ = P.groupBy(*ck).agg(F.count(F.lit(1)).alias("_occ"))
+    P = cut_lineage(P.join(occ, ck))
+
+    def near_subcells(q: DataFrame, reach_sub: int) -> DataFrame:
+        """Explode query points (columns _q_{c}) to the sub-cells within reach."""
+        offs = [o for o in itertools.product(range(-reach_sub, reach_sub + 1), repeat=d)]
+        base = [F.floor(F.col(f"_q_{c}") / F.lit(ss)).cast("long") for c in cols]
+        return q.select("*", F.explode(F.array(*[F.struct(*[(base[i] + F.lit(o[i])).alias(sk[i]) for i in range(d)])
+                                                 for o in offs])).alias("_n")).select("*", "_n.*").drop("_n")
+
+    def sub_bounds(prefix=""):
+        """(min, max) squared distance from a query point to a sub-cell box."""
+        lo_terms, hi_terms = [], []
+        for i, c in enumerate(cols):
+            a = F.col(sk[i]) * F.lit(ss)
+            b = a + F.lit(ss)
+            q = F.col(f"_q_{c}")
+            near = F.greatest(a - q, F.lit(0.0), q - b)
+            far = F.greatest(F.abs(q - a), F.abs(q - b))
+            lo_terms.append(near * near)
+            hi_terms.append(far * far)
+        return sum(lo_terms), sum(hi_terms)
+
+    reach_sub = int(math.ceil(eps / ss))
+    lo2, hi2 = sub_bounds()
     dist2 = sum((F.col(c) - F.col(f"_q_{c}")) ** 2 for c in cols)
-    near = Q.join(P.select("_id", *cols, *ckeys), ckeys).where(dist2 <= F.lit(eps * eps))
-    cnt = near.groupBy("_qid").agg(F.count(F.lit(1)).alias("_nb"))
+
+    # ---- core flags: sparse-cell points count neighbours via sub-cell counts
+    subcnt = P.groupBy(*sk).agg(F.count(F.lit(1)).alias("_k"))
+    Q = P.where(F.col("_occ") < min_samples).select(F.col("_id").alias("_qid"),
+                                                     *[F.col(c).alias(f"_q_{c}") for c in cols])
+    QS = near_subcells(Q, reach_sub).join(subcnt, sk).withColumn("_lo2", lo2).withColumn("_hi2", hi2) \
+        .where(F.col("_lo2") <= e2)
+    whole = QS.where(F.col("_hi2") <= e2).groupBy("_qid").agg(F.sum("_k").alias("_w"))
+    ring = (QS.where(F.col("_hi2") > e2).select("_qid", *[f"_q_{c}" for c in cols], *sk)
+            .join(P.select("_id", *cols, *sk), sk).where(dist2 <= e2)
+            .groupBy("_qid").agg(F.count(F.lit(1)).alias("_r")))
+    cnt = (whole.join(ring, "_qid", "full").select(
+        "_qid", (F.coalesce("_w", F.lit(0)) + F.coalesce("_r", F.lit(0))).alias("_nb")))
     P = (P.join(cnt.withColumnRenamed("_qid", "_id"), "_id", "left")
          .withColumn("_core", (F.col("_occ") >= min_samples) | (F.coalesce("_nb", F.lit(0)) >= min_samples)))
     P = cut_lineage(P)
     core = P.where("_core")
-    # cell graph: core cells linked when two of their core points are within eps
-    C = core.select("_id", *cols, *ckeys)
-    Cq = C.select(*[F.col(c).alias(f"_q_{c}") for c in cols], *[F.col(k).alias(f"_a{i}") for i, k in enumerate(ckeys)],
-                  F.explode(F.array(*[F.struct(*[(F.col(f"_c{i}") + F.lit(o[i])).alias(f"_c{i}") for i in range(d)])
-                                      for o in offs if any(o)])).alias("_n")).select("*", "_n.*").drop("_n")
-    edges = (Cq.join(C, ckeys).where(dist2 <= F.lit(eps * eps))
-             .select(F.struct(*[F.col(f"_a{i}") for i in range(d)]).alias("src"),
-                     F.struct(*[F.col(f"_c{i}").alias(f"_a{i}") for i in range(d)]).alias("dst")).distinct())
-    cells = core.groupBy(F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ckeys)]).alias("node")) \
+
+    # ---- links between core cells from occupied core sub-cells
+    CS = core.select(*ck, *sk).distinct()
+    reach = int(math.ceil(math.sqrt(d)))
+    coffs = [o for o in itertools.product(range(-reach, reach + 1), repeat=d) if any(o)]
+    A = CS.select(*[F.col(k).alias(f"_a{k}") for k in ck + sk],
+                  F.explode(F.array(*[F.struct(*[(F.col(ck[i]) + F.lit(o[i])).alias(ck[i]) for i in range(d)])
+                                      for o in coffs])).alias("_n")).select("*", "_n.*").drop("_n")
+    SP = A.join(CS, ck)
+    gap = [F.abs(F.col(f"_a{sk[i]}") - F.col(sk[i])) for i in range(d)]
+    smin2 = sum((F.greatest(g - 1, F.lit(0)) * F.lit(ss)) ** 2 for g in gap)
+    smax2 = sum(((g + 1) * F.lit(ss)) ** 2 for g in gap)
+    node_a = F.struct(*[F.col(f"_a{ck[i]}").alias(f"_a{i}") for i in range(d)])
+    node_b = F.struct(*[F.col(ck[i]).alias(f"_a{i}") for i in range(d)])
+    SP = SP.select(node_a.alias("src"), node_b.alias("dst"), *[f"_a{k}" for k in sk], *sk,
+                   smin2.alias("_mn"), smax2.alias("_mx")).where(F.col("_mn") <= e2)
+    sure = SP.where(F.col("_mx") <= e2).select("src", "dst").distinct()
+    amb = SP.where(F.col("_mx") > e2).join(sure, ["src", "dst"], "left_anti")
+    pa = core.select(*[F.col(c).alias(f"_q_{c}") for c in cols], *[F.col(k).alias(f"_a{k}") for k in sk])
+    pb = core.select(*cols, *sk)
+    checked = (amb.join(pa, [f"_a{k}" for k in sk]).join(pb, sk).where(dist2 <= e2)
+               .select("src", "dst").distinct())
+    edges = sure.unionByName(checked).distinct()
+    cells = core.groupBy(F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ck)]).alias("node")) \
                 .agg(F.min("_id").alias("label"))
     labels = _components(cells, edges, max_iter)
-    core_lab = core.select("_id", *cols, F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ckeys)]).alias("node")) \
-                   .join(labels, "node").select("_id", *cols, "label", "node")
-    # border points: non-core within eps of a core point
-    nc = P.where(~F.col("_core")).select(
-        F.col("_id").alias("_qid"), *[F.col(c).alias(f"_q_{c}") for c in cols],
-        F.explode(F.array(*[F.struct(*[(F.col(f"_c{i}") + F.lit(o[i])).alias(f"_c{i}") for i in range(d)])
-                            for o in offs])).alias("_n")).select("*", "_n.*").drop("_n")
-    cl = core_lab.select("label", *cols, *[F.col("node")[f"_a{i}"].alias(f"_c{i}") for i in range(d)])
-    border = (nc.join(cl, ckeys).where(dist2 <= F.lit(eps * eps))
-              .groupBy("_qid").agg(F.min("label").alias("label")).withColumnRenamed("_qid", "_id"))
+    core_lab = (core.select("_id", *cols, *sk, F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ck)]).alias("node"))
+                .join(labels, "node"))
+
+    # ---- border points: smallest label of a core point within eps
+    sublab = core_lab.groupBy(*sk).agg(F.min("label").alias("_lab"))
+    NC = P.where(~F.col("_core")).select(F.col("_id").alias("_qid"), *[F.col(c).alias(f"_q_{c}") for c in cols])
+    NS = near_subcells(NC, reach_sub).join(sublab, sk).withColumn("_lo2", lo2).withColumn("_hi2", hi2) \
+        .where(F.col("_lo2") <= e2)
+    b_whole = NS.where(F.col("_hi2") <= e2).groupBy("_qid").agg(F.min("_lab").alias("_l1"))
+    b_ring = (NS.where(F.col("_hi2") > e2).select("_qid", *[f"_q_{c}" for c in cols], *sk)
+              .join(core_lab.select("label", *cols, *sk), sk).where(dist2 <= e2)
+              .groupBy("_qid").agg(F.min("label").alias("_l2")))
+    border = (b_whole.join(b_ring, "_qid", "full")
+              .select(F.col("_qid").alias("_id"), F.least("_l1", "_l2").alias("label")))
     lab = core_lab.select("_id", "label").unionByName(border)
     return (df.join(lab.withColumnRenamed("_id", id_col), id_col, "left")
             .withColumn(out, F.coalesce(F.col("label"), F.lit(-1)).cast("long")).drop("label"))

@@ -109,7 +109,7 @@ class Model:
 
     @property
     def estimator_model(self):
-        return self.pipeline.stages[-2] if self.kind in CLASSIFIERS else self.pipeline.stages[-1]
+        return self.pipeline.stages[0]
 
 
 def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 42, **params) -> Model:
@@ -124,12 +124,14 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         d = features_vector(train, feature_cols)
     n = d.count()
     if kind in CLASSIFIERS:
+        # labels are indexed for training only (sorted, strict); the pipeline
+        # keeps estimator + decoder, so scoring needs no label column
         idx = StringIndexer(inputCol=label_col, outputCol="_label", stringOrderType="alphabetAsc",
-                            handleInvalid="keep").fit(d)
+                            handleInvalid="error").fit(d)
         k = len(idx.labels)
         est = _estimator(kind, n, k, seed, params)
         dec = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=idx.labels)
-        pm = Pipeline(stages=[idx, est, dec]).fit(d)
+        pm = Pipeline(stages=[est, dec]).fit(idx.transform(d.where(F.col(label_col).isNotNull())))
     elif kind in REGRESSORS:
         est = _estimator(kind, n, 0, seed, params)
         d = d.withColumn("_label", F.col(label_col).cast("double"))
@@ -153,7 +155,7 @@ def predict(model: Model, df: DataFrame, keep=()) -> DataFrame:
 
 def feature_importance(model: Model) -> DataFrame:
     """(feature, importance) for tree models (original feature names)."""
-    m = model.pipeline.stages[1] if model.kind in CLASSIFIERS else model.pipeline.stages[0]
+    m = model.estimator_model
     if not hasattr(m, "featureImportances"):
         raise ValueError(f"{model.kind} has no feature importances")
     imp = m.featureImportances.toArray().tolist()

@@ -97,9 +97,13 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
                        *[x for x in ref_keep if x not in by], *by, "_dist", "_rank")
 
 
-def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols, label: str, k: int = 5) -> DataFrame:
-    """Majority vote of the k nearest training rows (ties -> smallest label)."""
-    nb = knn(test, train, id_col, cols, k, ref_keep=[label])
+def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols, label: str, k: int = 5,
+                 exclude_self: bool = False) -> DataFrame:
+    """Majority vote of the k nearest training rows (ties -> smallest label).
+
+    ``exclude_self`` gives leave-one-out scoring when ``test`` is ``train``.
+    """
+    nb = knn(test, train, id_col, cols, k, ref_keep=[label], exclude_self=exclude_self)
     votes = nb.groupBy(id_col, label).agg(F.count(F.lit(1)).alias("_v"))
     w = Window.partitionBy(id_col).orderBy(F.col("_v").desc(), F.col(label).cast("string"))
     best = votes.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(id_col, F.col(label).alias("pred"))

@@ -18,7 +18,8 @@ def q_read_csv(spark, sf_dir):
     return fs.read_csv(spark, p)
 
 
-@query("read_json", "SELECT * FROM nation")
+@query("read_json", "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, "
+       "CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def q_read_json(spark, sf_dir):
     """nation written as JSON lines and read back."""
     p = fs.scratch_path(spark, "nation-json")

@@ -25,10 +25,15 @@ def scratch_path(spark: SparkSession, name: str = "stage") -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema=None, sep: str = ",") -> DataFrame:
-    """Header row, UTF-8, types inferred unless a schema is given."""
+    """Header row, UTF-8, types inferred unless a schema is given; inferred
+    integer columns are 64-bit, as in the reference's reader."""
     r = spark.read.option("header", True).option("encoding", "UTF-8").option("sep", sep)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    if schema is not None:
+        return r.schema(schema).csv(path)
+    df = r.option("inferSchema", True).csv(path)
+    return df.select(*[F.col(f"`{f.name}`").cast("bigint").alias(f.name)
+                       if f.dataType.typeName() in ("integer", "short", "byte") else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
 
 
 def read_json(spark: SparkSession, path: str, orient: str = "records", schema=None) -> DataFrame:
