@@ -47,8 +47,11 @@ def with_buckets(df: DataFrame, order_col: str, rows_per_bucket: int | None = No
     ov = _order_value(df, order_col)
     n = df.agg(F.count(F.lit(1))).first()[0]
     k = int(min(MAX_BUCKETS, max(1, -(-n // rows_per_bucket))))
+    # one bucket still goes through the Bucketizer: a literal bucket id would
+    # turn later equi-joins on it into cross joins
     if k <= 1:
-        return df.withColumn(out, F.lit(0.0))
+        # always 0 (NULL / NaN / inf included) but depends on a column, so not folded
+        return df.withColumn(out, F.least(F.lit(0.0), F.abs(ov) * F.lit(0.0)))
     probs = [i / k for i in range(1, k)]
     cuts = df.agg(F.percentile_approx(ov, probs, accuracy)).first()[0] or []
     splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
