@@ -57,7 +57,10 @@ def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
     m = doc.select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
     cols = m.select(F.explode("m").alias("column", "rows"))
     cells = cols.select("column", F.explode("rows").alias("row", "value"))
-    names = [r["column"] for r in cells.select("column").distinct().collect()]  # column names only
+    # column names in document order (one short list per document, bounded by the column count)
+    names = []
+    for r in m.select(F.map_keys("m").alias("k")).collect():
+        names += [k for k in r["k"] if k not in names]
     wide = cells.groupBy(F.col("row").cast("long").alias("_row")).pivot("column", names).agg(F.first("value"))
     # a column becomes numeric when every non-null value reads as a number
     ok = wide.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c)

@@ -22,11 +22,18 @@ def resample_agg_stream(stream: DataFrame, time_col: str, freq: str, cols, funcs
                         group_col: str | None = None, lateness: str = "1 hour") -> DataFrame:
     """Streaming (group, bin start, {col}_{func}...) aggregate with a watermark."""
     keys = [group_col] if group_col else []
-    s = stream.withWatermark(time_col, lateness)
-    w = F.window(F.col(time_col), freq_interval(freq))
+    # watermarks need an instant (TIMESTAMP); zone-less times are read as UTC
+    in_type = stream.schema[time_col].dataType
+    et = F.to_utc_timestamp(F.col(time_col).cast("timestamp"), F.current_timezone()) \
+        if in_type.typeName() == "timestamp_ntz" else F.col(time_col)
+    s = stream.withColumn("_et", et).withWatermark("_et", lateness)
+    w = F.window(F.col("_et"), freq_interval(freq))
     agg = s.groupBy(*keys, w.alias("_w")).agg(*[_AGG[f](F.col(c).cast("double")).alias(f"{c}_{f}")
                                                 for c in cols for f in funcs])
-    return agg.select(*keys, F.col("_w.start").alias(time_col), *[f"{c}_{f}" for c in cols for f in funcs])
+    start = F.col("_w.start")
+    if in_type.typeName() == "timestamp_ntz":
+        start = F.from_utc_timestamp(start, F.current_timezone()).cast("timestamp_ntz")
+    return agg.select(*keys, start.alias(time_col), *[f"{c}_{f}" for c in cols for f in funcs])
 
 
 def run_once(agg: DataFrame, path: str, checkpoint: str):

@@ -12,8 +12,9 @@ def test_stream_resample_equals_batch(spark):
     from kestrel.operators.resample import resample_agg
     from kestrel.sources.files import scratch_path
     from kestrel.streaming.resample import resample_agg_stream, run_once
-    src = f"{SF0001}/events.parquet"
-    batch_df = spark.read.parquet(src)
+    from kestrel.sources.files import write_stage
+    batch_df = spark.read.parquet(f"{SF0001}/events.parquet")
+    src = write_stage(batch_df, scratch_path(spark, "events-stream-src"), "parquet")  # a folder to stream
     stream = spark.readStream.schema(batch_df.schema).parquet(src)
     agg = resample_agg_stream(stream, "ts", "1H", ["value"], ("mean", "max", "median"), "event_type",
                               lateness="0 seconds")
