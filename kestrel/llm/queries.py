@@ -40,3 +40,60 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
         "sequence_id", "offset", "context", "step_id")
+
+
+#: Host, path, verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op2_url_filters", """
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+r(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+j AS (
+  SELECT p.*, rhost || rpath AS rule, verdict,
+         row_number() OVER (PARTITION BY rid ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+  FROM (SELECT *, row_number() OVER () AS rid FROM p) p
+  LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.])spam') THEN 'block' ELSE 'allow' END) AS verdict
+FROM j WHERE k = 1
+""")
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page URL; the block list is the corpus's hosts with a label that starts with spam."""
+    from . import url_filter as U
+    pages = table(spark, sf_dir, "pages")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    host = F.lower(F.regexp_extract("url", U.URL, 1))
+    listed = pages.select(host.alias("key")).where(F.col("key").rlike("(^|[.])spam")).distinct()
+    return U.judge_urls(pages, rules, listed)
+
+
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; digests of the ids and of the decoded text."""
+    from . import sentencepiece_codec as S
+    out = S.encode(table(spark, sf_dir, "documents"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
+                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+                      F.coalesce(F.array_max("ends"), F.lit(0)).cast("long").alias("covered_bytes"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    from . import secret_scan as S
+    out = S.scan(table(spark, sf_dir, "documents"))
+    shown = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
+    count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda x: x["kind"].isin(*S.BASE_KINDS))
+    return out.select("doc_id", *[count(k) for k in S.BASE_KINDS],
+                      F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
+                      F.array_join(F.transform("spans", shown), ",").alias("spans"))
