@@ -97,3 +97,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k) for k in S.BASE_KINDS],
                       F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
                       F.array_join(F.transform("spans", shown), ",").alias("spans"))
+
+
+@query("op5_bit_sliced_topk")
+def op5_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows by integer inner product for every hundredth vector, against all others."""
+    from . import topk
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = topk.quantised_queries(vectors.where(F.col("vec_id") % 100 == 0))
+    return topk.top_k(topk.build_index(vectors), queries)
+
+
+@query("op3_minhash_near_dedup")
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near-duplicates of every document."""
+    from . import near_dup
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
