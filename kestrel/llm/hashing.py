@@ -44,14 +44,21 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(poly ^ mix((ends - starts).astype(np.uint64)))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, with A-Z lower-cased, and where each text's words begin (and end)."""
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by line feeds with A-Z lower-cased, where words start and end in it, and the
+    number of each text's first word (and of one past the last)."""
     raw = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
     space = _SPACE[raw]
     before = np.concatenate([[True], space[:-1]])
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
     limits = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    return span_hashes(raw, starts, ends), np.searchsorted(starts, limits)
+    return raw, starts, ends, np.searchsorted(starts, limits)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, with A-Z lower-cased, and where each text's words begin (and end)."""
+    raw, starts, ends, cut = word_spans(texts)
+    return span_hashes(raw, starts, ends), cut
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

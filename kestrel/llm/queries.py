@@ -113,3 +113,17 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near-duplicates of every document."""
     from . import near_dup
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of repeated runs of lines."""
+    from . import line_dedup
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sentence_span_dedup")
+def op6_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without sentences of repeated passages."""
+    from . import substring_dedup
+    return substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
