@@ -127,3 +127,14 @@ def op6_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without sentences of repeated passages."""
     from . import substring_dedup
     return substring_dedup.dedup_spans(table(spark, sf_dir, "documents"))
+
+#: The key of the registered query; real runs pass their own secret.
+PII_KEY = "kestrel-demonstration-key"
+
+
+@query("op7_pii_pseudonyms")
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by pseudonyms."""
+    from . import pii
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in pii.PATTERNS])
