@@ -97,18 +97,18 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area and exchange codes from 200 on stay such codes."""
+    """Area and exchange codes from 200 on, as in use, stay such codes; lower ones stay below 200."""
     d = _only_digits(m)
     lead, d = F.substring(d, F.lit(1), F.length(d) - 10), F.substring(d, F.length(d) - 9, F.lit(10))
     part = lambda at, n: _long(F.substring(d, at, n))
     area, exchange, line = part(1, 3), part(4, 3), part(7, 4)
-    number = ((area - 200) * 800 + exchange - 200) * 10000 + line
-    p = _permuted(F.floor(number / 80000), F.pmod(number, F.lit(80000)), F.lit(80000), F.lit(80000), key, "phone")
-    out = p["a"] * 80000 + p["b"]
-    fresh = F.concat(lead, (F.floor(out / 8000000) + 200).cast("string"),
-                     (F.pmod(F.floor(out / 10000), F.lit(800)) + 200).cast("string"),
-                     F.lpad(F.pmod(out, F.lit(10000)).cast("string"), 4, "0"))
-    return F.when((area >= 200) & (exchange >= 200), _refilled(m, fresh))
+    low = lambda c: F.when(c >= 200, 200).otherwise(0)
+    size = lambda c: F.when(c >= 200, 80_000).otherwise(20_000)
+    p = _permuted((area - low(area)) * 100 + F.floor(line / 100), (exchange - low(exchange)) * 100 + line % 100,
+                  size(area), size(exchange), key, "phone")
+    code = lambda half, c: F.lpad((F.floor(half / 100) + low(c)).cast("string"), 3, "0")
+    two = lambda half: F.lpad((half % 100).cast("string"), 2, "0")
+    return _refilled(m, F.concat(lead, code(p["a"], area), code(p["b"], exchange), two(p["a"]), two(p["b"])))
 
 
 def _ssn(m: Column, key: str) -> Column:
