@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import mix, span_hashes
-from .text import SPACES
+from .text import SPACES, sealed
 
 WINDOW = 2
 BATCH_TEXTS = 512
@@ -120,6 +120,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out"))
     clean = F.when(F.col("out").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
-    return d.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+    return sealed(d.select("doc_id", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long").alias("n_lines"),
                     F.coalesce(F.size("out"), F.lit(0)).cast("long").alias("n_removed"), clean.alias("clean"),
-                    *(["row"] if keep else []))
+                    *(["row"] if keep else [])))

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACES, WORD, double_table, take, words
+from .text import SPACES, WORD, double_table, sealed, take, words
 
 BUCKETS = 4096            # per n-gram order
 TARGET_ROWS = 20_000      # bound of the labelled sample that names trusted documents
@@ -95,8 +95,7 @@ def judge(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     empty texts have no words: counts 0, score 0, ``base_failed`` true. A NULL id
     is an ordinary value. Repeated rows are judged one by one, alike.
     """
-    ids = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("raw_text"),
-           F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")]
+    ids = [F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")]
     carry = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     d = _hashed(docs.select(*ids, *carry))
     n = F.size("w")
@@ -131,5 +130,5 @@ def judge(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
         F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"),
         score.alias("score"), *(["row"] if keep else []))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = out.withColumn("base_failed", failed)
+    out = sealed(out).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -36,3 +36,12 @@ def double_table(values: list[float]) -> Column:
 def take(df: DataFrame, **cols: str) -> DataFrame:
     """Only the named input columns under fixed names, so that no other column can clash."""
     return df.select(*[F.col(f"`{c}`").alias(k) for k, c in cols.items()])
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """The same rows, as a barrier for filters put on top.
+
+    Without it the optimiser would write a filter in terms of the columns below,
+    and with it every expression that those are made of, many times over.
+    """
+    return df.withColumn("_seal", F.spark_partition_id()).where("_seal >= 0").drop("_seal")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kestrel.session import cut_lineage
 
-from .text import long_table, lower_ascii, take
+from .text import long_table, lower_ascii, sealed, take
 
 MAX_BITS = 1 << 23          # of one shard's largest filter: 1 MB
 URL = "(?s)^.*?://([^/?#]*)([^?#]*)"   # host and path
@@ -148,4 +148,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, blocked_hosts: DataFrame, id_
         lambda x: F.struct(F.length(x).alias("n"), F.instr(F.concat(x, F.lit("/")), "/").alias("h"), x.alias("key"))))["key"]
     verdict = F.when(best.startswith("a:"), "allow").when(best.startswith("b:"), "block") \
         .when(F.exists("hits", lambda x: x.startswith("h:")), "block").otherwise("allow")
-    return d.select("page_id", "host", "path", F.substring(best, 3, 1 << 30).alias("rule"), verdict.alias("verdict"))
+    return sealed(d.select("page_id", "host", "path", F.substring(best, 3, 1 << 30).alias("rule"),
+                           verdict.alias("verdict")))
