@@ -105,7 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.col(f"`{id_col}`"), F.lit((1 << 63) - 1)).alias("k1"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("k2"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
-    texts = d.where(F.instr("text", "\n") > 0).select("k1", "k2", "text")
+    texts = d.where(F.instr("text", "\n") > 0 if window > 1 else F.col("text").isNotNull()).select("k1", "k2", "text")
     marks = _marks(texts, window)
     # Fingerprints that occur more than once, then the runs around them.
     again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
