@@ -1,250 +1,67 @@
 """Exact quantiles (linear interpolation, ``pos = p * (n - 1)``) at scale.
 
-Spark's exact ``percentile`` keeps a value->count map per group and merges it
-in one task, so a large group with many distinct values does not fit. Here the
-exact answer is found in three distributed passes over a single column:
-
-1. ``percentile_approx`` (bounded-memory sketch, rank error <= n / accuracy)
-   gives for every wanted probability p a value band [lo, hi] that surely
-   contains the rows of rank floor(p(n-1)) and the next one;
-2. one aggregation counts the rows below ``lo`` (a rank offset);
-3. only the rows inside the band (about 18 n / accuracy per band) are ranked
-   with a window, and the two neighbouring order statistics are interpolated.
-
-The band size, not the group size, bounds the work of any single task. The
-global variant ``quantile_values`` refines its bands over several passes so
-that even a column of 10^12 rows ends with bands of at most ``BAND_ROWS``.
+Spark's exact ``percentile`` keeps a value->count map per group and merges it in
+one task, so a large group with many distinct values does not fit. Here, for
+groups and columns of any size alike:
+
+1. rows become a histogram (one row per group, column and distinct value; the
+   aggregation combines on the map side, so a value that fills most rows is a
+   few counts);
+2. running counts over the histogram come from ``position.running_totals``:
+   range partitions and a small table of their offsets;
+3. the two order statistics around ``pos`` are the histogram rows whose range of
+   ranks holds them, picked by a filter, and are interpolated.
+
+No rows are ranked, no task holds more than a range partition of the histogram.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import unpivot_numeric
 
-DEFAULT_ACCURACY = 20000
-BAND_ROWS = 1_000_000     # rows one task ranks / one exact-percentile map holds
-GRID = 1000               # sketch grid: 1/GRID probability steps per refinement pass
-GRID_ACCURACY = 20000
 
-
-def quantiles_long(df: DataFrame, cols, probs, by=(), accuracy: int = DEFAULT_ACCURACY,
-                   long_input: bool = False, band_rows: int | None = None) -> DataFrame:
+def quantiles_long(df: DataFrame, cols, probs, by=(), long_input: bool = False) -> DataFrame:
     """Exact quantiles in long form: (by..., column, prob, n, quantile).
 
     ``long_input=True`` means ``df`` already has columns (by..., column, value).
-    Nulls are ignored. Groups with at most ``band_rows`` values (one count
-    pass tells) use Spark's exact ``percentile``, whose value map is then
-    bounded; larger groups go through the sketch / band / rank path below.
+    NULL and NaN values are ignored; NULL group keys form a group of their own.
     """
-    by = list(by)
-    probs = [float(p) for p in probs]
-    band_rows = band_rows or BAND_ROWS
-    long = df if long_input else unpivot_numeric(df, cols, keep=by)
-    long = long.where(F.col("value").isNotNull())
-    keys = by + ["column"]
-    sizes = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    biggest = sizes.agg(F.max("_n")).first()[0] or 0
-
-    def small_path(d):
-        q = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile("value", probs).alias("_q"))
-        return q.select(*keys, F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("_i", "prob"), "n", "_q") \
-                .select(*keys, "prob", "n", F.col("_q")[F.col("_i")].alias("quantile"))
-    if biggest <= band_rows:
-        return small_path(long)
-    big = sizes.where(F.col("_n") > band_rows).select(*keys)
-    small = long.join(big, keys, "left_anti")
-    large = long.join(big, keys, "left_semi")
-    return small_path(small).unionByName(
-        _band_quantiles(large, probs, keys, accuracy).select(*keys, "prob", "n", "quantile"))
-
-
-def _band_quantiles(long: DataFrame, probs, keys, accuracy: int) -> DataFrame:
-    """Sketch -> band -> rank-in-band exact quantiles of large groups."""
-    k = len(probs)
-    # Rank slack: the sketch errs by <= n/accuracy ranks; with margin 8/accuracy
-    # the band keeps >= 7n/accuracy ranks on each side, which is >= 3.5 ranks
-    # for groups above accuracy/2. Smaller groups use their whole range.
-    margin = 8.0 / accuracy
-    small = F.col("n") <= accuracy // 2
-
-    # Sketch probabilities: p - margin and p + margin for every p (clamped).
-    sk = []
-    for p in probs:
-        sk += [max(p - margin, 0.0), min(p + margin, 1.0)]
-    st = long.groupBy(*keys).agg(
-        F.count("value").alias("n"),
-        F.min("value").alias("vmin"), F.max("value").alias("vmax"),
-        F.percentile_approx("value", F.array(*[F.lit(x) for x in sk]), accuracy).alias("pa"))
-    lo = [F.col("vmin") if p - margin <= 0 else F.when(small, F.col("vmin")).otherwise(F.col("pa")[2 * i])
-          for i, p in enumerate(probs)]
-    hi = [F.col("vmax") if p + margin >= 1 else F.when(small, F.col("vmax")).otherwise(F.col("pa")[2 * i + 1])
-          for i, p in enumerate(probs)]
-    bands = st.select(*keys, "n", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
-
-    j = long.join(bands, keys)
-    # Pass 2: rank offset = rows strictly below each band.
-    below = j.groupBy(*keys).agg(*[
-        F.sum(F.when(F.col("value") < F.col("lo")[i], 1).otherwise(0)).alias(f"b{i}")
-        for i in range(k)])
-    below = below.select(*keys, F.array(*[F.col(f"b{i}") for i in range(k)]).alias("below"))
-
-    # Pass 3: rows inside some band, ranked inside the band only.
-    inband = j.select(*keys, "value", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(k - 1)),
-        lambda i: (F.col("value") >= F.col("lo")[i]) & (F.col("value") <= F.col("hi")[i])
-    )).alias("qi"))
-    w = Window.partitionBy(*keys, "qi").orderBy("value")
-    ranked = inband.withColumn("rn", F.row_number().over(w) - 1)
-
-    pr = F.array(*[F.lit(p) for p in probs])
-    meta = (bands.join(below, keys)
-            .select(*keys, "n", "below", F.posexplode(pr).alias("qi", "prob"))
-            .withColumn("pos", F.col("prob") * (F.col("n") - 1))
-            .withColumn("r0", F.floor("pos").cast("long"))
-            .withColumn("r1", F.least(F.col("r0") + 1, F.col("n") - 1))
-            .withColumn("off", F.col("below")[F.col("qi")]))
-    sel = (ranked.join(meta.select(*keys, "qi", "r0", "r1", "off"), keys + ["qi"])
-           .withColumn("rank", F.col("rn") + F.col("off"))
-           .where((F.col("rank") == F.col("r0")) | (F.col("rank") == F.col("r1")))
-           .groupBy(*keys, "qi")
-           .agg(F.max(F.when(F.col("rank") == F.col("r0"), F.col("value"))).alias("v0"),
-                F.max(F.when(F.col("rank") == F.col("r1"), F.col("value"))).alias("v1")))
-    out = (meta.join(sel, keys + ["qi"], "left")
-           .select(*keys, "prob", "n",
-                   (F.col("v0") + (F.col("pos") - F.col("r0")) * (F.col("v1") - F.col("v0"))).alias("quantile")))
-    # Groups with no non-null value still appear, with NULL quantiles.
-    return out
-
-
-def quantiles_wide(df: DataFrame, cols, probs, by=(), names=None,
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row per (by..., column) with one column per probability."""
-    names = names or [f"q{int(round(p * 100))}" for p in probs]
-    q = quantiles_long(df, cols, probs, by, accuracy)
-    aggs = [F.max(F.when(F.col("prob") == float(p), F.col("quantile"))).alias(nm)
-            for p, nm in zip(probs, names)]
-    return q.groupBy(*by, "column").agg(*aggs)
-
-
-def quantile_values(df: DataFrame, cols, probs, band_rows: int | None = None) -> dict:
-    """Global exact quantiles as {column: [q(p) for p in probs]}.
-
-    Iterative band refinement; every pass is ONE scan of the chosen columns:
-
-    * a band [lo, hi] per (column, p) starts as the whole column (below = 0);
-    * while a band holds more than ``band_rows`` rows, a pass sketches the
-      rows inside it on a grid of GRID probabilities (bounded memory) and the
-      next pass keeps only the grid cells around the wanted rank, counting the
-      rows it cuts off below; each pass shrinks a band by about GRID / 4;
-    * the final pass ranks only the rows of each band (one window task per
-      band, at most ``band_rows`` rows) and interpolates the two order
-      statistics at floor(p (n - 1)) and the next one.
-
-    Band bounds and counts are a few scalars per (column, p) and travel to
-    the driver between passes; rows never do.
+    from ..operators.position import null_safe_join, running_totals
+    keys = [*by, "column"]
+    long = df if long_input else unpivot_numeric(df, list(cols), keep=list(by))
+    long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    hist = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = running_totals(hist, keys, "value", ["_c"])
+    # ``ranked`` starts from a materialised histogram, so both uses of it are cheap.
+    sizes = ranked.groupBy(*keys).agg(F.max(F.col("_c_before") + F.col("_c")).alias("n"))
+    want = sizes.select(*keys, "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    want = want.withColumn("_pos", F.col("prob") * (F.col("n") - 1))
+    want = want.withColumn("_r0", F.floor("_pos").cast("long"))
+    want = want.withColumn("_r1", F.least(F.col("_r0") + 1, F.col("n") - 1))
+    # few wanted ranks per group: an array per group, matched inside the row
+    ranks = want.groupBy(*keys).agg(F.collect_list(F.struct("prob", "n", "_pos", "_r0", "_r1")).alias("_w"))
+    lo, hi = F.col("_c_before"), F.col("_c_before") + F.col("_c")
+    hit = null_safe_join(ranked, ranks, keys).select(*keys, "value", "_c_before", "_c", F.explode(F.filter(
+        "_w", lambda w: ((w["_r0"] >= lo) & (w["_r0"] < hi)) | ((w["_r1"] >= lo) & (w["_r1"] < hi)))).alias("w"))
+    at = lambda r: F.max(F.when((F.col(r) >= lo) & (F.col(r) < hi), F.col("value")))
+    both = hit.groupBy(*keys, "w.prob", "w.n", "w._pos", "w._r0").agg(at("w._r0").alias("_v0"), at("w._r1").alias("_v1"))
+    return both.select(*keys, "prob", "n", (
+        F.col("_v0") + (F.col("_pos") - F.col("_r0")) * (F.col("_v1") - F.col("_v0"))).alias("quantile"))
+
+
+def quantile_values(df: DataFrame, cols, probs) -> dict:
+    """Global exact quantiles as {column: [q(p) for p in probs]}; NULL where a column has no value.
+
+    What travels to the driver is one number per column and probability.
     """
-    cols = list(cols)
-    probs = [float(p) for p in probs]
-    band_rows = band_rows or BAND_ROWS
+    cols, probs = list(cols), [float(p) for p in probs]
     out = {c: [None] * len(probs) for c in cols}
-    if not cols:
-        return out
-    x = {c: F.col(c).cast("double") for c in cols}
-    r = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    # band state per (column index, prob index)
-    st = {}
-    for i, c in enumerate(cols):
-        n = r[f"n{i}"]
-        if not n:
-            continue
-        for j, p in enumerate(probs):
-            pos = p * (n - 1)
-            r0 = int(math.floor(pos))
-            st[(i, j)] = {"lo": None, "hi": None, "below": 0, "cnt": n, "r0": r0,
-                          "r1": min(r0 + 1, n - 1), "pos": pos}
-    if not st:
-        return out
-
-    def inside(i, b):
-        cond = x[cols[i]].isNotNull()
-        if b["lo"] is not None:
-            cond = cond & (x[cols[i]] >= F.lit(b["lo"]))
-        if b["hi"] is not None:
-            cond = cond & (x[cols[i]] <= F.lit(b["hi"]))
-        return cond
-
-    grid = [g / GRID for g in range(GRID + 1)]
-    for _ in range(12):
-        big = {k: b for k, b in st.items() if b["cnt"] > band_rows}
-        if not big:
-            break
-        aggs = [F.percentile_approx(F.when(inside(i, b), x[cols[i]]), grid, GRID_ACCURACY).alias(f"s{i}_{j}")
-                for (i, j), b in big.items()]
-        sk = df.agg(*aggs).first()
-        new = {}
-        for (i, j), b in big.items():
-            g = sk[f"s{i}_{j}"]
-            f = (b["r0"] - b["below"]) / max(b["cnt"] - 1, 1)
-            k = int(math.floor(f * GRID))
-            lo = g[k - 3] if k - 3 >= 0 else b["lo"]
-            hi = g[k + 4] if k + 4 <= GRID else b["hi"]
-            new[(i, j)] = (lo, hi)
-        cnt = df.agg(*[e for (i, j), b in big.items() for e in (
-            F.count_if((inside(i, b) & (x[cols[i]] < F.lit(new[(i, j)][0])))
-                       if new[(i, j)][0] is not None else F.lit(False)).alias(f"b{i}_{j}"),
-            F.count_if(inside(i, {"lo": new[(i, j)][0], "hi": new[(i, j)][1]})).alias(f"c{i}_{j}"))]).first()
-        for (i, j), b in big.items():
-            below = b["below"] + cnt[f"b{i}_{j}"]
-            c = cnt[f"c{i}_{j}"]
-            if below <= b["r0"] and b["r1"] < below + c and c < b["cnt"]:
-                b.update(lo=new[(i, j)][0], hi=new[(i, j)][1], below=below, cnt=c)
-            else:  # sketch bracket missed (not expected): stop refining this band
-                b["cnt"] = min(b["cnt"], band_rows)
-    # columns never refined hold at most band_rows values: Spark's exact
-    # percentile (a value->count map of at most band_rows entries, same
-    # p * (n - 1) interpolation) finishes them in one aggregation
-    whole = sorted({i for (i, j), b in st.items() if b["lo"] is None and b["hi"] is None})
-    if whole:
-        pr = df.agg(*[F.percentile(x[cols[i]], [float(p) for p in probs]).alias(f"p{i}") for i in whole]).first()
-        for i in whole:
-            for j in range(len(probs)):
-                if (i, j) in st and st[(i, j)]["lo"] is None and st[(i, j)]["hi"] is None:
-                    out[cols[i]][j] = pr[f"p{i}"][j]
-    st = {k: b for k, b in st.items() if not (b["lo"] is None and b["hi"] is None)}
-    if not st:
-        return out
-    # final pass: rank rows inside each distinct refined band
-    bands = {}
-    for (i, j), b in st.items():
-        bands.setdefault((i, b["lo"], b["hi"], b["below"]), []).append(j)
-    band_list = list(bands.items())
-    tagged = df.select(F.explode(F.array(*[
-        F.when(inside(i, {"lo": lo, "hi": hi}), F.struct(F.lit(bi).alias("band"), x[cols[i]].alias("value")))
-        for bi, ((i, lo, hi, _), _) in enumerate(band_list)])).alias("s")).where(F.col("s").isNotNull()).select("s.*")
-    want = []
-    for bi, ((i, lo, hi, below), js) in enumerate(band_list):
-        for j in js:
-            b = st[(i, j)]
-            want += [b["r0"] - below + 1, b["r1"] - below + 1]
-    w = Window.partitionBy("band").orderBy("value")
-    picked = (tagged.withColumn("rn", F.row_number().over(w))
-              .where(F.col("rn").isin(sorted(set(want))))
-              .select("band", "rn", "value").collect())
-    got = {(row["band"], row["rn"]): row["value"] for row in picked}
-    for bi, ((i, lo, hi, below), js) in enumerate(band_list):
-        for j in js:
-            b = st[(i, j)]
-            v0 = got.get((bi, b["r0"] - below + 1))
-            v1 = got.get((bi, b["r1"] - below + 1))
-            if v0 is not None and v1 is not None:
-                out[cols[i]][j] = v0 + (b["pos"] - b["r0"]) * (v1 - v0)
+    if cols:
+        for r in quantiles_long(df, cols, probs).collect():
+            for j, p in enumerate(probs):
+                if p == r["prob"]:
+                    out[r["column"]][j] = r["quantile"]
     return out
-
-
-def union_all(dfs):
-    return reduce(lambda a, b: a.unionByName(b), dfs)

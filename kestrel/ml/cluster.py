@@ -9,11 +9,12 @@ import math
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from ..session import cut_lineage
-from .models import features_vector
+from .models import features_vector, split_complete
 
 DEFAULT_K = 3            # reference default number of clusters
 DEFAULT_EPS = 0.5        # reference DBSCAN defaults (library defaults)
@@ -21,14 +22,17 @@ DEFAULT_MIN_SAMPLES = 5
 
 
 def kmeans(df: DataFrame, cols, k: int = DEFAULT_K, seed: int = 42, out: str = "cluster"):
-    """(DataFrame with ``cluster``, fitted MLlib model)."""
-    d = features_vector(df, cols, "_features")
+    """(DataFrame with ``cluster``, fitted MLlib model). Rows with a missing feature
+    take no part in the fit and keep a NULL cluster."""
+    ok, missing = split_complete(df, cols)
+    d = features_vector(ok, cols, "_features")
     m = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol=out).fit(d)
-    return m.transform(d).drop("_features"), m
+    found = m.transform(d).drop("_features")
+    return found.unionByName(missing.withColumn(out, F.lit(None).cast("int"))), m
 
 
 def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
-           out: str = "cluster", max_iter: int = 200, sub: int = 4) -> DataFrame:
+           out: str = "cluster", sub: int = 4) -> DataFrame:
     """DBSCAN (neighbourhood counts include the point itself); noise = -1.
 
     Grid of side eps / sqrt(d): two points of one cell are always within eps,
@@ -44,13 +48,16 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_sampl
       sub-cells is entirely within eps; point pairs are tested only for the
       straddling sub-cell pairs of cell pairs not linked that way.
 
-    Clusters are connected components of the core-cell graph (min-label
-    propagation, lineage cut by reliable checkpoints); border points take the
+    Clusters are connected components of the core-cell graph, found by rounds of
+    large-star and small-star steps until nothing changes; border points take the
     smallest cluster label of a core point within eps. Cluster ids are the
-    smallest point id of the cluster.
+    smallest point id of the cluster. Points with a NULL or NaN coordinate are
+    within eps of nothing: noise.
     """
     cols = list(cols)
     d = len(cols)
+    everything = df
+    df = df.where(F.forall(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNotNull() & ~F.isnan(x)))
     side = eps / math.sqrt(d)
     ss = side / sub
     e2 = F.lit(eps * eps)
@@ -127,7 +134,7 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_sampl
     edges = sure.unionByName(checked).distinct()
     cells = core.groupBy(F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ck)]).alias("node")) \
                 .agg(F.min("_id").alias("label"))
-    labels = _components(cells, edges, max_iter)
+    labels = _components(cells, edges)
     core_lab = (core.select("_id", *cols, *sk, F.struct(*[F.col(k).alias(f"_a{i}") for i, k in enumerate(ck)]).alias("node"))
                 .join(labels, "node"))
 
@@ -143,36 +150,34 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_sampl
     border = (b_whole.join(b_ring, "_qid", "full")
               .select(F.col("_qid").alias("_id"), F.least("_l1", "_l2").alias("label")))
     lab = core_lab.select("_id", "label").unionByName(border)
-    return (df.join(lab.withColumnRenamed("_id", id_col), id_col, "left")
+    return (everything.join(lab.withColumnRenamed("_id", id_col), id_col, "left")
             .withColumn(out, F.coalesce(F.col("label"), F.lit(-1)).cast("long")).drop("label"))
 
 
-def _components(nodes: DataFrame, edges: DataFrame, max_iter: int) -> DataFrame:
-    """Connected components by iterated min-label propagation on (node, label)."""
-    und = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    und = cut_lineage(und)
-    lab = cut_lineage(nodes)
-    for i in range(max_iter):
-        prop = (und.join(lab.withColumnRenamed("node", "src"), "src")
-                .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("_m")))
-        new = (lab.join(prop, "node", "left")
-               .select("node", F.least("label", F.coalesce("_m", F.col("label"))).alias("label")))
-        changed = new.join(lab.withColumnRenamed("label", "_old"), "node").where(F.col("label") != F.col("_old")).count()
-        lab = cut_lineage(new)
-        if changed == 0:
-            break
-    return lab
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) with the smallest label of the node's component.
+
+    Labels are unique per node, so the components are found on labels.
+    """
+    a = nodes.select(F.col("node").alias("src"), F.col("label").alias("u"))
+    b = nodes.select(F.col("node").alias("dst"), F.col("label").alias("v"))
+    found = components(edges.join(a, "src").join(b, "dst").select("u", "v"))
+    found = found.select(F.col("node").alias("label"), "component")
+    return cut_lineage(nodes.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
 
 
 def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, n_micro: int = 200, seed: int = 42,
                   out: str = "cluster") -> DataFrame:
-    """Ward clustering, re-aimed for scale: k-means makes ``n_micro`` weighted
-    micro-clusters (one distributed fit), Ward merging of their centroids
-    (weights = sizes; Lance-Williams update) runs on those few points, and
-    every row takes the final label of its micro-cluster. Equal to exact Ward
-    only when every micro-cluster holds identical points (documented stand-in).
+    """Ward clustering, re-aimed for scale: k-means makes at most ``n_micro``
+    weighted micro-clusters (one distributed fit; the caller's choice of detail),
+    Ward merging of their centroids (weights = sizes; Lance-Williams update) runs
+    on those few points, and every row takes the final label of its micro-cluster.
+    Equal to exact Ward only when every micro-cluster holds identical points
+    (documented stand-in); column ``n_micro`` of the result says how many were
+    used. Rows with a missing feature keep a NULL label.
     """
     cols = list(cols)
+    df, missing = split_complete(df, cols)
     d = features_vector(df, cols, "_features")
     km = KMeans(k=n_micro, seed=seed, featuresCol="_features", predictionCol="_micro", maxIter=50).fit(d)
     assigned = km.transform(d)
@@ -207,7 +212,6 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, n_micro: int
     groups = {a: members[a] for a in members}
     order = sorted(groups, key=lambda g: min(groups[g]))
     mapping = {m: lab for lab, g in enumerate(order) for m in groups[g]}
-    e = F.lit(None).cast("int")
-    for m, lab in mapping.items():
-        e = F.when(F.col("_micro") == m, F.lit(lab)).otherwise(e)
-    return assigned.withColumn(out, e).drop("_features", "_micro")
+    table = df.sparkSession.createDataFrame(list(mapping.items()), f"_micro int, {out} int")
+    found = assigned.join(F.broadcast(table), "_micro", "left").drop("_features", "_micro")   # n_micro rows at most
+    return found.unionByName(missing.withColumn(out, F.lit(None).cast("int"))).withColumn("n_micro", F.lit(m))

@@ -57,8 +57,7 @@ def stl_decompose(series: DataFrame, time_col: str, value_col: str, series_cols=
         pdf = pdf.sort_values(time_col)
         y = pdf["observed"].to_numpy(dtype=float)
         if len(y) < 2 * period:
-            T, S = np.full(len(y), np.nan), np.full(len(y), np.nan)
-            R = np.full(len(y), np.nan)
+            T = S = R = [None] * len(y)
         else:
             T, S, R = K.stl(y, period, seasonal)
         return pdf.assign(trend=T, seasonal=S, resid=R)
@@ -74,18 +73,22 @@ def stl_decompose(series: DataFrame, time_col: str, value_col: str, series_cols=
 
 # ------------------------------------------------------------------- DTW
 
-def dtw_distance(df: DataFrame, time_col: str, value_col: str, series_col: str, pairs, window: int = 0) -> DataFrame:
-    """DTW distance for each listed pair (a, b) of series: (a, b, n_a, n_b, dtw).
+def dtw_distance(df: DataFrame, time_col: str, value_col: str, series_col: str, pairs: DataFrame | None = None,
+                 window: int = 0) -> DataFrame:
+    """DTW distance of pairs of series: (a, b, n_a, n_b, dtw).
 
-    Each series is sent to the groups of the pairs that use it; each pair is
-    one task (the dynamic programme is sequential), pairs run in parallel.
+    ``pairs`` (a, b) names the pairs; without it every two series that ``df`` has
+    are compared. Each series is sent to the pairs that use it; the dynamic
+    programme of a pair is one task, pairs run in parallel.
     """
-    spark = df.sparkSession
-    pr = spark.createDataFrame([(i, str(a), str(b)) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
     s = df.select(F.col(series_col).cast("string").alias("_s"), time_col, F.col(value_col).cast("double").alias("v")) \
-          .where("v IS NOT NULL")
-    left = s.join(F.broadcast(pr), s["_s"] == pr["a"]).select("pair", "a", "b", F.lit(0).alias("side"), time_col, "v")
-    right = s.join(F.broadcast(pr), s["_s"] == pr["b"]).select("pair", "a", "b", F.lit(1).alias("side"), time_col, "v")
+          .where("v IS NOT NULL AND _s IS NOT NULL")
+    if pairs is None:
+        names = s.select("_s").distinct()
+        pairs = names.select(F.col("_s").alias("a")).join(names.select(F.col("_s").alias("b")), F.col("a") < F.col("b"))
+    pr = cut_lineage(pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).distinct())
+    left = s.join(pr, s["_s"] == pr["a"]).select("a", "b", F.lit(0).alias("side"), time_col, "v")
+    right = s.join(pr, s["_s"] == pr["b"]).select("a", "b", F.lit(1).alias("side"), time_col, "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(time_col)
@@ -94,18 +97,10 @@ def dtw_distance(df: DataFrame, time_col: str, value_col: str, series_col: str,
         return pd.DataFrame({"a": [pdf.a.iloc[0]], "b": [pdf.b.iloc[0]], "n_a": [len(x)], "n_b": [len(y)],
                              "dtw": [K.dtw(x, y, window)]})
 
-    return left.unionByName(right).groupBy("pair").applyInPandas(
+    return left.unionByName(right).groupBy("a", "b").applyInPandas(
         run, "a string, b string, n_a long, n_b long, dtw double")
 
 
-def dtw_aligned(aligned: DataFrame, time_col: str = "ts", a: str = "a", b: str = "b", window: int = 0) -> DataFrame:
-    """DTW of the two columns of ``align_series`` output (the reference's case)."""
-    long = aligned.select(time_col, F.explode(F.array(
-        F.struct(F.lit("a").alias("_s"), F.col(a).alias("v")),
-        F.struct(F.lit("b").alias("_s"), F.col(b).alias("v")))).alias("e")).select(time_col, "e.*")
-    return dtw_distance(long, time_col, "v", "_s", [("a", "b")], window)
-
-
 # ------------------------------------------------------------ forecasters
 
 def _per_series(series: DataFrame, time_col, value_col, keys, fn, out_schema: str, exog=()):
@@ -168,7 +163,8 @@ def auto_forecast(series: DataFrame, time_col: str, value_col: str, series_cols=
         y = pdf["_y"].to_numpy(dtype=float)
         rows = []
         if len(y) < max(30, 2 * h + 5):
-            return pd.DataFrame({"candidate": [], "spec": [], "mae": [], "chosen": [], "forecast": []})
+            return pd.DataFrame({"candidate": [None], "spec": ["series too short"], "mae": [None], "chosen": [False],
+                                 "forecast": [None]})
         for name, f in K.CANDIDATES.items():
             pred, spec = f(y[:-h], h)
             rows.append((name, spec, float(np.mean(np.abs(pred - y[-h:])))))
@@ -200,7 +196,8 @@ def auto_forecast_search(series: DataFrame, time_col: str, value_col: str, serie
     def fn(pdf):
         y = pdf["_y"].to_numpy(dtype=float)
         if len(y) < max(50, (n_validations + 1) * h + 10):
-            return pd.DataFrame({"best": [], "mae": [], "step": [], "forecast": [], "lower": [], "upper": []})
+            return pd.DataFrame({"best": ["series too short"], "mae": [None], "step": [len(y)], "forecast": [None],
+                                 "lower": [None], "upper": [None]})
         res = {}
         for name, f in cands().items():
             errs = []

@@ -13,6 +13,8 @@ perceptron on flattened windows for the LSTM classifier.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -55,10 +57,23 @@ def features_vector(df: DataFrame, feature_cols, out: str = "features") -> DataF
     return _assemble(df, feature_cols, out)
 
 
+def split_complete(df: DataFrame, feature_cols) -> tuple[DataFrame, DataFrame]:
+    """(rows with all features known, the other rows): NULL and NaN count as missing."""
+    cols = [feature_cols] if isinstance(feature_cols, str) else list(feature_cols)
+    known = lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
+    ok = F.lit(True)
+    for c in cols:
+        if df.schema[c].dataType.typeName() == "array":
+            ok = ok & F.col(c).isNotNull() & F.coalesce(F.forall(c, known), F.lit(False))
+        else:
+            ok = ok & known(F.col(c))
+    return df.where(ok), df.where(~ok)
+
+
 def _assemble(df, cols, out):
     tmp = [f"__f{i}" for i in range(len(cols))]
     d = df.select("*", *[F.col(c).cast("double").alias(t) for c, t in zip(cols, tmp)])
-    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="skip").transform(d).drop(*tmp)
+    return VectorAssembler(inputCols=tmp, outputCol=out, handleInvalid="error").transform(d).drop(*tmp)
 
 
 def _estimator(kind: str, n_rows: int, n_classes: int, seed: int, params: dict):
@@ -113,8 +128,12 @@ class Model:
 
 
 def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 42, **params) -> Model:
-    """Fit a classifier (label indexed, decoded as ``prediction_label``) or regressor."""
+    """Fit a classifier (label indexed, decoded as ``prediction_label``) or regressor.
+
+    Rows with a missing feature or label take no part in the fit.
+    """
     extra = {}
+    train, _ = split_complete(train.where(F.col(label_col).isNotNull()), feature_cols)
     if kind == "svc":
         from ..session import cut_lineage
         extra["rff"] = fit_rff(train, feature_cols, seed=seed)
@@ -122,7 +141,8 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         d = cut_lineage(rff_features(train, feature_cols, params=extra["rff"]))
     else:
         d = features_vector(train, feature_cols)
-    n = d.count()
+    # only two solvers state their penalty per row
+    n = d.count() if kind in ("logistic_regression", "svc") else 0
     if kind in CLASSIFIERS:
         # labels are indexed for training only (sorted, strict); the pipeline
         # keeps estimator + decoder, so scoring needs no label column
@@ -131,7 +151,7 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         k = len(idx.labels)
         est = _estimator(kind, n, k, seed, params)
         dec = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=idx.labels)
-        pm = Pipeline(stages=[est, dec]).fit(idx.transform(d.where(F.col(label_col).isNotNull())))
+        pm = Pipeline(stages=[est, dec]).fit(idx.transform(d))
     elif kind in REGRESSORS:
         est = _estimator(kind, n, 0, seed, params)
         d = d.withColumn("_label", F.col(label_col).cast("double"))
@@ -142,15 +162,27 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
 
 
 def predict(model: Model, df: DataFrame, keep=()) -> DataFrame:
-    """(keep..., y, pred[, score]) for metrics: the label and the prediction."""
-    out = model.transform(df)
+    """(keep..., y, pred[, score]) for metrics: the label and the prediction.
+
+    Every row comes back; one with a missing feature has a NULL prediction.
+    """
+    from pyspark.ml.functions import vector_to_array
+    ok, missing = split_complete(df, model.feature_cols)
+    out = model.transform(ok)
     if model.kind in CLASSIFIERS:
         cols = [*keep, F.col(model.label_col).cast("string").alias("y"), F.col("prediction_label").alias("pred")]
+        empty = [*keep, F.col(model.label_col).cast("string").alias("y"), F.lit(None).cast("string").alias("pred")]
         if "probability" in out.columns:
-            from pyspark.ml.functions import vector_to_array
             cols.append(vector_to_array("probability").alias("proba"))
-        return out.select(*cols)
-    return out.select(*keep, F.col(model.label_col).cast("double").alias("y"), F.col("prediction").alias("pred"))
+            empty.append(F.lit(None).cast("array<double>").alias("proba"))
+        elif "rawPrediction" in out.columns:
+            # margins rank rows as well as probabilities do, so AUC needs no more
+            cols.append(vector_to_array("rawPrediction").alias("score"))
+            empty.append(F.lit(None).cast("array<double>").alias("score"))
+        return out.select(*cols).unionByName(missing.select(*empty))
+    y = F.col(model.label_col).cast("double").alias("y")
+    return out.select(*keep, y, F.col("prediction").alias("pred")).unionByName(
+        missing.select(*keep, y, F.lit(None).cast("double").alias("pred")))
 
 
 def feature_importance(model: Model) -> DataFrame:
@@ -213,21 +245,26 @@ def fit_svr(train: DataFrame, cols, label_col: str, C: float = 1.0, epsilon: flo
             n_components: int = 100, iters: int = 100, seed: int = 42) -> dict:
     """Epsilon-insensitive regression on random Fourier features.
 
-    Minimises 0.5 |w|^2 + C * mean(max(0, |y - w.z - b| - epsilon)) by full-
-    batch sub-gradient steps. The features z are materialised once in the
-    shared checkpoint folder; every step is then ONE aggregation (a vector
-    mean of the sub-gradient) and the D + 1 weights live on the driver.
+    Minimises the sum form 0.5 |w|^2 + C * sum(max(0, |y - w.z - b| - epsilon)),
+    divided by C n, with sub-gradient steps s / sqrt(t): one step moves a prediction
+    by about its length, as |z| is at most sqrt(2), so s is the deviation of y. The
+    mean of the second half of the iterates is returned, for which the usual
+    1 / sqrt(iters) bound holds. The features z are materialised once in the
+    shared checkpoint folder; every step is then ONE aggregation (a vector mean
+    of the sub-gradient) and the D + 1 weights live on the driver. Rows with a
+    missing feature or label take no part.
     """
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.stat import Summarizer
     from ..session import cut_lineage
+    train, _ = split_complete(train.where(F.col(label_col).isNotNull()), cols)
     rff = fit_rff(train, cols, n_components, seed=seed)
     z = rff_features(train, cols, rff, out="_z")
-    z = cut_lineage(z.select(vector_to_array("_z").alias("_z"), F.col(label_col).cast("double").alias("_y"))
-                    .where(F.col("_y").isNotNull()))
-    D = n_components
-    w = np.zeros(D)
-    b = float(z.agg(F.avg("_y")).first()[0] or 0.0)
+    z = cut_lineage(z.select(vector_to_array("_z").alias("_z"), F.col(label_col).cast("double").alias("_y")))
+    stats = z.agg(F.count("_y").alias("n"), F.avg("_y").alias("m"), F.stddev_pop("_y").alias("s")).first()
+    w, b = np.zeros(n_components), float(stats["m"] or 0.0)
+    penalty = 1.0 / (C * max(stats["n"], 1))
+    kept, total_w, total_b = 0, np.zeros(n_components), 0.0
     for t in range(1, iters + 1):
         wl = F.array(*[F.lit(float(v)) for v in w])
         pred = F.aggregate(F.zip_with("_z", wl, lambda a, c: a * c), F.lit(0.0), lambda acc, x: acc + x) + F.lit(b)
@@ -236,21 +273,28 @@ def fit_svr(train: DataFrame, cols, label_col: str, C: float = 1.0, epsilon: flo
         step_df = z.select(g.alias("_g"), "_z").select(
             array_to_vector(F.transform("_z", lambda v: v * F.col("_g"))).alias("_gz"), "_g")
         row = step_df.agg(Summarizer.mean(F.col("_gz")).alias("m"), F.avg("_g").alias("gb")).first()
-        grad = w + C * row["m"].toArray()
-        step = 1.0 / (1.0 + 0.1 * t)
-        w = w - step * grad
-        b = b - step * C * row["gb"] * 10.0
+        if row["gb"] is None:
+            break
+        step = float(stats["s"] or 0.0) / math.sqrt(t)
+        w = w - step * (penalty * w + row["m"].toArray())
+        b = b - step * row["gb"]
+        if 2 * t > iters:
+            kept, total_w, total_b = kept + 1, total_w + w, total_b + b
+    if kept:
+        w, b = total_w / kept, total_b / kept
     return {"rff": rff, "w": w.tolist(), "b": b, "cols": list(cols)}
 
 
 def predict_svr(params: dict, df: DataFrame, label_col: str | None = None, keep=()) -> DataFrame:
+    """(keep..., y, pred); rows with a missing feature have a NULL prediction."""
     from pyspark.ml.functions import vector_to_array
+    df, missing = split_complete(df, params["cols"])
     z = rff_features(df, params["cols"], params["rff"], out="_z").withColumn("_z", vector_to_array("_z"))
     pred = sum(F.col("_z")[j] * F.lit(float(v)) for j, v in enumerate(params["w"])) + F.lit(params["b"])
     cols = [*keep]
     if label_col:
         cols.append(F.col(label_col).cast("double").alias("y"))
-    return z.select(*cols, pred.alias("pred"))
+    return z.select(*cols, pred.alias("pred")).unionByName(missing.select(*cols, F.lit(None).cast("double").alias("pred")))
 
 
 # --------------------------------------------------- sequence classifier

@@ -1,7 +1,8 @@
 """Repeatable train/test splits and fold assignment.
 
-Rows are ordered by a seeded 64-bit hash of a key (uniform on [0, 1)), so a
-split does not depend on partitioning or row order, unlike ``randomSplit``.
+Rows are ordered by a seeded hash of a key (uniform on [0, 1)), so a split does
+not depend on partitioning or row order, unlike ``randomSplit``. Every row is
+marked once as train or test, so repeated rows and NULL keys stay in exactly one.
 The test part has exactly ceil(test_size * n) rows (the scikit-learn rule);
 stratified splits give every class its share by the largest-remainder rule.
 """
@@ -13,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.features import hash_uniform, k_smallest_per_group
+from ..operators.features import class_counts, hash_uniform, mark_k_smallest
 
 DEFAULT_SEED = 42          # the reference seeds its split with 42
 DEFAULT_TEST_SIZE = 0.2    # the reference's default test share
@@ -29,18 +30,14 @@ def train_test_split(df: DataFrame, test_size: float = DEFAULT_TEST_SIZE, seed:
     """(train, test) with |test| = ceil(test_size * n)."""
     _check(test_size)
     key_cols = list(key_cols or df.columns)
-    d = df.withColumn("_u", hash_uniform(seed, key_cols)).withColumn("_g", F.lit(0))
     n = df.count()
-    k = math.ceil(test_size * n)
-    test = k_smallest_per_group(d, "_g", "_u", {0: k}, key_cols)
-    return _complement(d, test, key_cols), test.drop("_u", "_g")
+    d = df.withColumn("_u", hash_uniform(seed, key_cols))
+    return _parts(mark_k_smallest(d, None, "_u", {0: math.ceil(test_size * n)}, key_cols, {0: n}))
 
 
-def _complement(d: DataFrame, test: DataFrame, key_cols):
-    """Rows of ``d`` not in ``test``: (hash, key) identifies a row."""
-    t = test.select("_u", *key_cols).withColumn("_in", F.lit(True))
-    return (d.join(t, ["_u", *key_cols], "left").where(F.col("_in").isNull())
-            .drop("_in", "_u", "_g"))
+def _parts(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, test) of the marked rows."""
+    return marked.where("NOT _in").drop("_u", "_in"), marked.where("_in").drop("_u", "_in")
 
 
 def stratified_allocation(counts: dict, test_size: float) -> dict:
@@ -60,11 +57,10 @@ def stratified_split(df: DataFrame, target: str, test_size: float = DEFAULT_TEST
     """(train, test) with the same share of every class in test."""
     _check(test_size)
     key_cols = list(key_cols or df.columns)
-    counts = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = class_counts(df, target)
     alloc = stratified_allocation(counts, test_size)
-    d = df.withColumn("_u", hash_uniform(seed, key_cols)).withColumn("_g", F.col(target))
-    test = k_smallest_per_group(d, "_g", "_u", alloc, key_cols)
-    return _complement(d, test, key_cols), test.drop("_u", "_g")
+    d = df.withColumn("_u", hash_uniform(seed, key_cols))
+    return _parts(mark_k_smallest(d, target, "_u", alloc, key_cols, counts))
 
 
 def fold_ids(df: DataFrame, k: int = 5, target: str | None = None, seed: int = DEFAULT_SEED,

@@ -13,7 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import MAX_LEVELS, numeric_columns, stats_row
+from ..core import numeric_columns, stats_row
+
+
+# A class target is discrete; its classes come to the driver as one small row each.
+MAX_CLASSES = 100_000
 
 
 # ------------------------------------------------------------- selection
@@ -22,24 +26,23 @@ def anova_f(df: DataFrame, target: str, cols=None) -> DataFrame:
     """ANOVA F statistic of every numeric feature against a discrete target.
 
     F = [SSB / (k - 1)] / [SSW / (n - k)] from per-class count, mean and
-    population variance (one grouped aggregation, k rows per feature).
+    population variance, each over the rows where the feature and the target
+    are known; two aggregations, the second over one row per class.
     Output (feature, f_score); constant features give NULL.
     """
     cols = [c for c in (cols or numeric_columns(df, exclude=[target])) if c != target]
-    per = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"), *[e for c in cols for e in (
-        F.avg(F.col(c).cast("double")).alias(f"m_{c}"), F.var_pop(F.col(c).cast("double")).alias(f"v_{c}"))])
-    # the per-class table has one row per class: a window over it is tiny
-    whole = Window.partitionBy()
-    per = per.withColumns({f"g_{c}": F.sum(F.col("_n") * F.col(f"m_{c}")).over(whole) / F.sum("_n").over(whole)
-                           for c in cols})
-    n = F.sum("_n")
-    k = F.count(F.lit(1))
+    x = {c: F.col(c).cast("double") for c in cols}
+    per = df.where(F.col(target).isNotNull()).groupBy(target).agg(*[e for c in cols for e in (
+        F.count(x[c]).alias(f"n_{c}"), F.avg(x[c]).alias(f"m_{c}"), F.var_pop(x[c]).alias(f"v_{c}"))])
     exprs = []
     for c in cols:
-        ssb = F.sum(F.col("_n") * (F.col(f"m_{c}") - F.col(f"g_{c}")) ** 2)
-        ssw = F.sum(F.col("_n") * F.col(f"v_{c}"))
-        exprs.append(F.struct(F.lit(c).alias("feature"),
-                              F.when(ssw > 0, (ssb / (k - 1)) / (ssw / (n - k))).alias("f_score")))
+        n, m, v = F.col(f"n_{c}"), F.col(f"m_{c}"), F.col(f"v_{c}")
+        total, k = F.sum(n), F.count_if(n > 0)
+        # sum n (m - g)^2 = sum n m^2 - (sum n m)^2 / sum n
+        ssb = F.sum(n * m * m) - F.sum(n * m) * F.sum(n * m) / total
+        ssw = F.sum(n * v)
+        exprs.append(F.struct(F.lit(c).alias("feature"), F.when(
+            (ssw > 0) & (k > 1) & (total > k), (ssb / (k - 1)) / (ssw / (total - k))).alias("f_score")))
     return per.agg(F.array(*exprs).alias("_a")).select(F.explode("_a").alias("s")).select("s.*")
 
 
@@ -116,56 +119,63 @@ def pca_projection(df: DataFrame, cols, cluster_col: str) -> DataFrame:
 
 # -------------------------------------------------------------- balancing
 
-_U53 = float(2 ** 53)
+_U52 = float(16 ** 13)
+MAX_TRIES = 8       # widenings of the bands before giving up; each is four times as wide
 
 
 def hash_uniform(seed: int, cols) -> "F.Column":
-    """Uniform value in [0, 1) from a 64-bit hash of the row key and a seed."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(_U53)
+    """Uniform value in [0, 1) from 52 bits of the MD5 of the seed and the row key."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(_U52)
 
 
-def k_smallest_per_group(df: DataFrame, group: str, u: str, k_of: dict, tie_cols) -> DataFrame:
-    """Rows with the k_g smallest ``u`` in every group g (exact).
+def mark_k_smallest(df: DataFrame, group: str | None, u: str, k_of: dict, tie_cols, counts: dict,
+                    out: str = "_in") -> DataFrame:
+    """Every row with a flag: whether its ``u`` is among the k_g smallest of its group g (exact).
 
     ``u`` is uniform on [0, 1), so the k-th smallest of n values lies within
     a few sqrt(k) / n of k / n. Band [lo, hi] per group is verified by counts
-    (widened and retried if ever needed); only rows inside the band are
-    ranked, rows below it are kept whole. Nothing scales with the group size
-    except the scans.
+    (widened and retried if ever needed); only rows inside the band are ranked,
+    rows below and above it are decided by a comparison. ``counts`` has the rows
+    of every group (a NULL group included). Ties go by ``tie_cols``, then by all
+    columns, so rows that differ are decided alike on every evaluation.
     """
-    counts = {r[group]: r["n"] for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-              .limit(MAX_LEVELS + 1).collect()}
-    if len(counts) > MAX_LEVELS:
-        raise ValueError("too many classes")
+    spark = df.sparkSession
     width = 8.0
-    for _ in range(6):
-        bands = {}
+    key = F.struct(F.col(group)) if group else F.struct(F.lit(0))
+    gtype = df.schema[group].dataType.simpleString() if group else "int"
+    for _ in range(MAX_TRIES):
+        rows = []
         for g, n in counts.items():
-            k = k_of.get(g, 0)
-            if k >= n:
-                bands[g] = (2.0, 2.0)          # keep all
-            elif k <= 0:
-                bands[g] = (-1.0, -1.0)        # keep none
-            else:
-                s = width * math.sqrt(k) + 10
-                bands[g] = (max(0.0, (k - s) / n), min(1.0, (k + s) / n))
-        lo = _lookup(group, {g: b[0] for g, b in bands.items()})
-        hi = _lookup(group, {g: b[1] for g, b in bands.items()})
-        st = {r[group]: (r["below"], r["inband"]) for r in df.groupBy(group).agg(
-            F.count_if(F.col(u) < lo).alias("below"),
-            F.count_if((F.col(u) >= lo) & (F.col(u) <= hi)).alias("inband")).collect()}
-        ok = all(k_of.get(g, 0) >= counts[g] or k_of.get(g, 0) <= 0 or
-                 st[g][0] <= k_of[g] <= st[g][0] + st[g][1] for g in counts)
-        if ok:
+            k = min(n, max(0, k_of.get(g, 0)))
+            s = width * math.sqrt(k) + 10
+            lo, hi = (2.0, 2.0) if k >= n else (-1.0, -1.0) if k <= 0 else (max(0.0, (k - s) / n), min(1.0, (k + s) / n))
+            rows.append(((g if group else 0,), lo, hi, k))
+        bands = spark.createDataFrame(rows, f"_gk struct<g:{gtype}>, _lo double, _hi double, _k long")
+        d = df.withColumn("_gk", key).join(bands, "_gk")
+        st = {r["_gk"][0]: r for r in d.groupBy("_gk").agg(
+            F.first("_k").alias("k"), F.first("_lo").alias("lo"), F.count_if(F.col(u) < F.col("_lo")).alias("below"),
+            F.count_if((F.col(u) >= F.col("_lo")) & (F.col(u) <= F.col("_hi"))).alias("inband")).collect()}
+        if all(r.lo in (2.0, -1.0) or r.below <= r.k <= r.below + r.inband for r in st.values()):
             break
         width *= 4
-    need = _lookup(group, {g: max(0, min(k_of.get(g, 0), counts[g]) - st[g][0]) for g in counts})
-    below = df.where(F.col(u) < lo)
-    w = Window.partitionBy(group).orderBy(F.col(u), *[F.col(c) for c in tie_cols])
-    inband = (df.where((F.col(u) >= lo) & (F.col(u) <= hi))
-              .withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= need).drop("_r"))
-    return below.unionByName(inband)
+    else:
+        raise RuntimeError("no band holds the k-th smallest value")
+    need = spark.createDataFrame([((g,), r.k - r.below if r.lo not in (2.0, -1.0) else 0) for g, r in st.items()],
+                                 f"_gk struct<g:{gtype}>, _need long")
+    inside = (F.col(u) >= F.col("_lo")) & (F.col(u) <= F.col("_hi"))
+    w = Window.partitionBy("_gk").orderBy(F.col(u), *[F.col(c) for c in tie_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
+    ranked = (d.where(inside).join(need, "_gk").withColumn(out, F.row_number().over(w) <= F.col("_need")))
+    rest = d.where(~inside).withColumn(out, F.col(u) < F.col("_lo"))
+    return ranked.select(*df.columns, out).unionByName(rest.select(*df.columns, out))
+
+
+def class_counts(df: DataFrame, col: str) -> dict:
+    """{class: rows}, NULL included: one row per class; at most MAX_CLASSES classes."""
+    rows = df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"{col} has more than {MAX_CLASSES} classes")
+    return {r[col]: r["n"] for r in rows}
 
 
 def _lookup(group: str, mapping: dict):
@@ -180,13 +190,15 @@ def random_undersample(df: DataFrame, target: str, seed: int = 42, key_cols=None
     """Cut every class to the size of the smallest class, without replacement.
 
     Rows are chosen by a seeded hash of ``key_cols`` (all columns by default),
-    so the result is repeatable and independent of partitioning.
+    so the result is repeatable and independent of partitioning. Rows without a
+    class belong to none and are left out.
     """
     key_cols = list(key_cols or df.columns)
-    counts = {r[target]: r["n"] for r in df.groupBy(target).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_min = min(counts.values())
-    d = df.withColumn("_u", hash_uniform(seed, key_cols))
-    return k_smallest_per_group(d, target, "_u", {g: n_min for g in counts}, key_cols).drop("_u")
+    known = df.where(F.col(target).isNotNull())
+    counts = class_counts(known, target)
+    n_min = min(counts.values(), default=0)
+    d = known.withColumn("_u", hash_uniform(seed, key_cols))
+    return mark_k_smallest(d, target, "_u", {g: n_min for g in counts}, key_cols, counts).where("_in").drop("_u", "_in")
 
 
 def smote(df: DataFrame, target: str, cols, id_col: str, k: int = 5, seed: int = 42) -> DataFrame:
@@ -202,10 +214,7 @@ def smote(df: DataFrame, target: str, cols, id_col: str, k: int = 5, seed: int =
     from .position import global_position
     cols = list(cols)
     base = df.select(id_col, target, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    counts = {r[target]: r["n"] for r in base.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-              .limit(MAX_LEVELS + 1).collect()}
-    if len(counts) > MAX_LEVELS:
-        raise ValueError("too many classes")
+    counts = class_counts(base, target)
     n_max = max(counts.values())
     need = {c: n_max - n for c, n in counts.items() if n < n_max and n >= 2}
     orig = base.select(target, *cols, F.lit(False).alias("synthetic"))
@@ -224,7 +233,7 @@ def smote(df: DataFrame, target: str, cols, id_col: str, k: int = 5, seed: int =
     nc = _lookup(target, {c: float(counts[c]) for c in need})
 
     def u(i):
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), F.col(target), F.col("_j")), 11).cast("double") / F.lit(_U53)
+        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), F.col(target), F.col("_j")), 11).cast("double") / F.lit(float(2 ** 53))
     jobs = jobs.select(target, "_j", F.floor(u(1) * nc).cast("long").alias("_pos"),
                        (F.floor(u(2) * kc) + 1).cast("int").alias("_rank"), u(3).alias("_u"))
     s = (jobs.join(pos.select(target, "_pos", F.col(id_col).alias("_base"), *cols), [target, "_pos"])

@@ -51,10 +51,20 @@ def bin_start(ts: Column, freq: str, timezone: str = "UTC") -> Column:
     return F.window(t, f"{n} {unit}").start
 
 
+SPINE_BINS = 4096   # bins that one row of the spine's first level stands for
+
+
 def spine(bounds: DataFrame, keys, lo: str, hi: str, freq: str, name: str) -> DataFrame:
-    """Every bin from lo to hi (inclusive) per key; one explode per series."""
-    step = F.expr(f"INTERVAL {freq_interval(freq)}")
-    return bounds.select(*keys, F.explode(F.sequence(F.col(lo), F.col(hi), step)).alias(name))
+    """Every bin from lo to hi (inclusive) per key, in two levels of explode.
+
+    The first makes one row per SPINE_BINS bins, the second the bins, so a long
+    series is never one array in one row; the rows in between can be spread.
+    """
+    n, unit = parse_freq(freq)
+    step, wide = F.expr(f"INTERVAL {n} {unit}"), F.expr(f"INTERVAL {n * SPINE_BINS} {unit}")
+    part = bounds.select(*keys, F.col(hi).alias("_hi"), F.explode(F.sequence(F.col(lo), F.col(hi), wide)).alias("_from"))
+    last = F.least(F.col("_hi"), F.col("_from") + F.expr(f"INTERVAL {n * (SPINE_BINS - 1)} {unit}"))
+    return part.select(*keys, F.explode(F.sequence(F.col("_from"), last, step)).alias(name))
 
 
 def resample_agg(df: DataFrame, time_col: str, freq: str, funcs=("mean", "max"),
@@ -62,12 +72,13 @@ def resample_agg(df: DataFrame, time_col: str, freq: str, funcs=("mean", "max"),
     """Aggregate numeric columns per (group, bin); output ``{col}_{func}``.
 
     funcs from {mean, max, min, std (ddof=1), median (exact)}. Each group has
-    its own bin range; empty bins are present with NULLs.
+    its own bin range; empty bins are present with NULLs. Rows with a NULL group
+    or a NULL time belong to no bin and are left out (the pandas group-by rule).
     """
     keys = [group_col] if group_col else []
     cols = list(cols or numeric_columns(df, exclude=[time_col] + keys))
-    binned = df.select(*keys, bin_start(F.col(time_col), freq, timezone).alias(time_col),
-                       *[F.col(c).cast("double").alias(c) for c in cols])
+    binned = df.na.drop(subset=keys + [time_col]).select(
+        *keys, bin_start(F.col(time_col), freq, timezone).alias(time_col), *[F.col(c).cast("double").alias(c) for c in cols])
     fn = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}
     plain = [f for f in funcs if f != "median"]
     aggs = [fn[f](c).alias(f"{c}_{f}") for c in cols for f in plain]
@@ -86,9 +97,12 @@ def resample_agg(df: DataFrame, time_col: str, freq: str, funcs=("mean", "max"),
 
 def resample_mean(df: DataFrame, time_col: str, value_col: str, freq: str = "1H",
                   series_cols=(), timezone: str = "UTC") -> DataFrame:
-    """Mean per bin, every bin from first to last present (empty -> NULL)."""
+    """Mean per bin, every bin from first to last present (empty -> NULL).
+
+    Rows with a NULL series key or time are left out, as in ``resample_agg``.
+    """
     keys = list(series_cols)
-    b = df.select(*keys, bin_start(F.col(time_col), freq, timezone).alias(time_col),
+    b = df.na.drop(subset=keys + [time_col]).select(*keys, bin_start(F.col(time_col), freq, timezone).alias(time_col),
                   F.col(value_col).cast("double").alias(value_col))
     agg = b.groupBy(*keys, time_col).agg(F.avg(value_col).alias(value_col))
     bounds = agg.groupBy(*keys).agg(F.min(time_col).alias("_lo"), F.max(time_col).alias("_hi"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..core import stats_row
 from ..functions.quantiles import quantiles_long
 from ..functions.stats import corr_pvalue, durbin_levinson
-from .position import global_position, halo_frame, running_totals
+from .position import global_position, halo_frame, null_safe_join, running_totals
 from .resample import bin_start, resample_mean  # noqa: F401  (re-exported)
 
 
@@ -71,7 +71,7 @@ def interpolate_linear(df: DataFrame, time_col: str, value_col: str, series_cols
             .withColumn("_carry_next", F.first("_firstb", ignorenulls=True).over(
                 ws.rowsBetween(1, Window.unboundedFollowing)))
             .select(*keys, "_bucket", "_carry_prev", "_carry_next"))
-    j = p.join(summ, keys + ["_bucket"])
+    j = null_safe_join(p, summ, keys + ["_bucket"])
     prev = F.coalesce("_prev_l", "_carry_prev")
     nxt = F.coalesce("_next_l", "_carry_next")
     interp = (F.when(F.col(value_col).isNotNull(), F.col(value_col).cast("double"))
@@ -113,7 +113,7 @@ def average_ranks(df: DataFrame, col: str, out: str, keys=()) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("_c")))
     ranks = running_totals(hist, keys, col, ["_c"]).select(
         *keys, col, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(out))
-    return df.join(ranks, keys + [col], "left")
+    return null_safe_join(df, ranks, keys + [col], "left")
 
 
 def corr_spearman(aligned: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -151,7 +151,7 @@ def lag_products(df: DataFrame, time_col: str, value_col: str, max_lag: int, ser
 def _with_scalar(h: DataFrame, m: DataFrame, keys):
     """Attach the one-row statistics of an unkeyed series as literals."""
     if keys:
-        return h.join(m, keys)
+        return null_safe_join(h, m, keys)
     r = m.first()
     return h.withColumn("_m", F.lit(r["_m"])).withColumn("n", F.lit(r["n"]))
 
@@ -194,7 +194,7 @@ def box_stats(df: DataFrame, value_col: str, group_col: str | None = None, whisk
                                for p, nm in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     lo = F.col("q1") - whisker * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + whisker * (F.col("q3") - F.col("q1"))
-    j = d.join(q, keys) if keys else _attach(d, q)
+    j = null_safe_join(d, q, keys) if keys else _attach(d, q)
     inside = (F.col("value") >= lo) & (F.col("value") <= hi)
     agg = j.groupBy(*keys).agg(
         F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
@@ -209,15 +209,6 @@ def _attach(d: DataFrame, q: DataFrame) -> DataFrame:
     return d.withColumns({k: F.lit(r[k]) for k in ("q1", "median", "q3")})
 
 
-def box_outliers(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
-    """The outlier points of ``box_stats`` (rows outside the whiskers' fences)."""
-    st = box_stats(df, value_col, group_col)
-    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
-    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    return (df.join(st.select(group_col, "q1", "q3"), group_col)
-            .where((F.col(value_col) < lo) | (F.col(value_col) > hi)).drop("q1", "q3"))
-
-
 def heatmap_weekday_hour(df: DataFrame, time_col: str, value_col: str, timezone: str = "UTC",
                          wide: bool = False) -> DataFrame:
     """Mean by weekday (Monday=0) x hour. Long form has all 7 x 24 cells
@@ -256,7 +247,7 @@ def lag_features(df: DataFrame, time_col: str, value_col: str, n_lags: int = 5,
 
 def _join_len(h, lens, keys):
     if keys:
-        return h.join(lens, keys)
+        return null_safe_join(h, lens, keys)
     return h.withColumn("_len", F.lit(lens.first()["_len"]))
 
 
@@ -292,7 +283,7 @@ def multi_horizon_dataset(df: DataFrame, time_col: str, value_col: str, n_lags:
                               F.count(F.lit(1)).alias("_len"))
     span = n_lags + horizon
     h = halo_frame(d, keys, _order(time_col, tie), span - 1)
-    h = h.join(mm, keys) if keys else h.withColumns({k: F.lit(v) for k, v in mm.first().asDict().items()})
+    h = null_safe_join(h, mm, keys) if keys else h.withColumns({k: F.lit(v) for k, v in mm.first().asDict().items()})
     x = F.col(value_col).cast("double")
     if scale:
         x = (x - F.col("_lo")) / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)

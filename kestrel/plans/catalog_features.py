@@ -42,23 +42,24 @@ def q_variance_threshold(spark, sf_dir):
 
 
 @query("random_undersample", """
-WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1)
-SELECT lang, (SELECT min(n) FROM c) AS n FROM c""")
+WITH m AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM documents GROUP BY lang)),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang
+             ORDER BY substr(md5('42|' || CAST(doc_id AS VARCHAR)), 1, 13), doc_id) AS k FROM documents)
+SELECT doc_id, lang FROM r WHERE k <= (SELECT n FROM m)""")
 def q_random_undersample(spark, sf_dir):
     """Documents undersampled by language: every language cut to the smallest."""
-    d = ft.random_undersample(tables(spark, sf_dir).documents, "lang", seed=42, key_cols=["doc_id"])
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-
-
-_PCA_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    d = ft.random_undersample(tables(spark, sf_dir).documents.select("doc_id", "lang"), "lang", seed=42, key_cols=["doc_id"])
+    return d.select("doc_id", "lang")
 
 
 @query("pca")
 def q_pca(spark, sf_dir):
-    """Centred PCA of four lineitem measures -> PCA_1, PCA_2 (property-checked)."""
+    """Centred PCA of all numeric columns of lineitem, standardised -> PCA_1, PCA_2 (property-checked)."""
+    from ..core import numeric_columns
     from ..operators.clean import scale_standard
-    li = scale_standard(tables(spark, sf_dir).lineitem, _PCA_COLS)
-    return ft.pca(li, _PCA_COLS, 2)
+    li = tables(spark, sf_dir).lineitem
+    cols = numeric_columns(li)
+    return ft.pca(scale_standard(li, cols), cols, 2)
 
 
 @query("pca_projection")

@@ -15,7 +15,7 @@ from ..operators import metrics as mt
 from . import fixtures as fx
 from .fixtures import with_ctes
 
-_EMB_DIMS = 8          # embedding coordinates used as tabular features
+_EMB_DIMS = 64         # all embedding coordinates, as tabular features
 
 
 def _emb(spark, sf_dir, dims=_EMB_DIMS):
@@ -28,28 +28,33 @@ _EMB_COLS = [f"e{i}" for i in range(_EMB_DIMS)]
 _LI_FEATS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
-@query("train_test_split", """
-SELECT 'test' AS part, CAST(ceil(0.2 * count(*)) AS BIGINT) AS n FROM orders
-UNION ALL SELECT 'train', count(*) - CAST(ceil(0.2 * count(*)) AS BIGINT) FROM orders""")
+_DRAW = "substr(md5('42|' || CAST({key} AS VARCHAR)), 1, 13)"
+
+
+@query("train_test_split", f"""
+SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {_DRAW.format(key="o_orderkey")}, o_orderkey)
+                             <= (SELECT ceil(0.2 * count(*)) FROM orders) THEN 'test' ELSE 'train' END AS part
+FROM orders""")
 def q_train_test_split(spark, sf_dir):
-    """Sizes of a seeded 80/20 split of orders (ceil rule for the test part)."""
-    tr, te = sp.train_test_split(tables(spark, sf_dir).orders, 0.2, 42, key_cols=["o_orderkey"])
-    return (tr.select(F.lit("train").alias("part")).unionByName(te.select(F.lit("test").alias("part")))
-            .groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    """Part of every order in a seeded 80/20 split (ceil rule for the test part)."""
+    tr, te = sp.train_test_split(tables(spark, sf_dir).orders.select("o_orderkey"), 0.2, 42, key_cols=["o_orderkey"])
+    return (tr.select("o_orderkey", F.lit("train").alias("part"))
+            .unionByName(te.select("o_orderkey", F.lit("test").alias("part"))))
 
 
-@query("stratified_split", """
+@query("stratified_split", f"""
 WITH c AS (SELECT lang, count(*) AS n, 0.2 * count(*) AS e, floor(0.2 * count(*)) AS f FROM documents GROUP BY 1),
-t AS (SELECT ceil(0.2 * sum(n)) - sum(f) AS rest FROM c),
-r AS (SELECT lang, n, f + CASE WHEN row_number() OVER (ORDER BY e - f DESC, lang) <= (SELECT rest FROM t) THEN 1 ELSE 0 END AS k
+t AS (SELECT (SELECT ceil(0.2 * sum(n)) FROM c) - sum(f) AS rest FROM c),
+k AS (SELECT lang, f + CASE WHEN row_number() OVER (ORDER BY e - f DESC, lang) <= (SELECT rest FROM t) THEN 1 ELSE 0 END AS k
       FROM c)
-SELECT lang, 'test' AS part, CAST(k AS BIGINT) AS n FROM r
-UNION ALL SELECT lang, 'train', CAST(n - k AS BIGINT) FROM r""")
+SELECT doc_id, lang, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY {_DRAW.format(key="doc_id")}, doc_id) <= k.k
+                          THEN 'test' ELSE 'train' END AS part
+FROM documents JOIN k USING (lang)""")
 def q_stratified_split(spark, sf_dir):
-    """Per-language sizes of a stratified 80/20 split of documents."""
-    tr, te = sp.stratified_split(tables(spark, sf_dir).documents, "lang", 0.2, 42, key_cols=["doc_id"])
-    return (tr.select("lang", F.lit("train").alias("part")).unionByName(te.select("lang", F.lit("test").alias("part")))
-            .groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")))
+    """Part of every document in an 80/20 split stratified by language."""
+    tr, te = sp.stratified_split(tables(spark, sf_dir).documents.select("doc_id", "lang"), "lang", 0.2, 42, key_cols=["doc_id"])
+    return (tr.select("doc_id", "lang", F.lit("train").alias("part"))
+            .unionByName(te.select("doc_id", "lang", F.lit("test").alias("part"))))
 
 
 def _clf_query(kind):
@@ -57,7 +62,7 @@ def _clf_query(kind):
         tr, te = sp.stratified_split(_emb(spark, sf_dir), "label", 0.2, 42, key_cols=["vec_id"])
         m = M.fit(kind, tr, _EMB_COLS, "label")
         return M.predict(m, te, keep=["vec_id"]).select("vec_id", "y", "pred")
-    run.__doc__ = f"{kind} on 8 embedding coordinates -> label; predictions on a stratified 20% test split."
+    run.__doc__ = f"{kind} on the 64 embedding coordinates -> label; predictions on a stratified 20% test split."
     return run
 
 
@@ -117,7 +122,7 @@ def q_svr(spark, sf_dir):
     from ..operators.timeseries import lag_features
     lf = lag_features(fx.hourly(tables(spark, sf_dir)), "ts", "value", 3, 0)
     lf = scale_standard(lf, ["lag_1", "lag_2", "lag_3", "y"])
-    p = M.fit_svr(lf, ["lag_1", "lag_2", "lag_3"], "y", iters=30)
+    p = M.fit_svr(lf, ["lag_1", "lag_2", "lag_3"], "y")
     return M.predict_svr(p, lf, "y", keep=["ts"])
 
 
@@ -139,7 +144,7 @@ def q_knn(spark, sf_dir):
 
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
-    """5-fold stratified CV of logistic regression on 8 embedding coordinates."""
+    """5-fold stratified CV of logistic regression on the 64 embedding coordinates."""
     return ev.cross_validate("logistic_regression", _emb(spark, sf_dir), _EMB_COLS, "label", 5,
                              key_cols=["vec_id"])
 
@@ -159,7 +164,16 @@ def q_kmeans(spark, sf_dir):
     return out.select("c_custkey", "x", "y", "cluster")
 
 
-@query("dbscan")
+@query("dbscan", with_ctes(fx.POINTS_2D).rstrip().replace("WITH", "WITH RECURSIVE", 1) + """,
+e AS (SELECT a.c_custkey AS i, b.c_custkey AS j FROM points_2d a JOIN points_2d b
+      ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.25),
+core AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 5),
+ce AS (SELECT e.i, e.j FROM e JOIN core a ON e.i = a.i JOIN core b ON e.j = b.i),
+r(i, root) AS (SELECT i, i FROM core UNION SELECT ce.j, r.root FROM r JOIN ce ON ce.i = r.i),
+lab AS (SELECT i, min(root) AS label FROM r GROUP BY i),
+b AS (SELECT e.i, min(lab.label) AS label FROM e JOIN lab ON e.j = lab.i GROUP BY e.i)
+SELECT c_custkey, x, y, CAST(coalesce(lab.label, b.label, -1) AS BIGINT) AS cluster
+FROM points_2d LEFT JOIN lab ON lab.i = c_custkey LEFT JOIN b ON b.i = c_custkey""")
 def q_dbscan(spark, sf_dir):
     """DBSCAN (eps 0.5, 5 points) of the customer points."""
     return cl.dbscan(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), "c_custkey", ["x", "y"], 0.5, 5) \
@@ -169,24 +183,33 @@ def q_dbscan(spark, sf_dir):
 @query("agglomerative")
 def q_agglomerative(spark, sf_dir):
     """Ward clustering (3 clusters) of the customer points via micro-clusters."""
-    return cl.agglomerative(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), ["x", "y"], 3) \
-             .select("c_custkey", "x", "y", "cluster")
+    return cl.agglomerative(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), ["x", "y"], 3)
 
 
 @query("sequence_classifier")
 def q_sequence_classifier(spark, sf_dir):
-    """MLP on 14-hour windows of (mean, count) -> hourly mean above 35; test metrics."""
+    """MLP on 14-hour windows of (mean, count) -> hourly mean above 35: accuracy, precision,
+    recall, F1 and AUC on a stratified 20 % test split; windows are scaled by the training part."""
     from ..functions.scalar import threshold_label
-    from ..operators.clean import scale_minmax
     from ..operators.timeseries import sequence_windows
     h = threshold_label(fx.hourly(tables(spark, sf_dir)), "value", ">", 35, name="lab")
-    h = scale_minmax(h, ["value", "n"])
-    seq = sequence_windows(h, "ts", ["value", "n"], "lab", 14)
-    tr, te = sp.stratified_split(seq.select("ts", "seq", "label"), "label", 0.2, 42, key_cols=["ts"])
-    m = M.fit_sequence_classifier(tr, 14, 2)
-    p = M.predict_sequence_classifier(m, te)
-    acc = mt.accuracy(p)
-    return acc
+    seq = sequence_windows(h, "ts", ["value", "n"], "lab", 14).select("ts", "seq", "label")
+    tr, te = sp.stratified_split(seq, "label", 0.2, 42, key_cols=["ts"])
+    flat = F.flatten("seq")
+    part = lambda k: F.filter(flat, lambda x, i: i % 2 == k)
+    r = tr.agg(*[f(g(part(k))).alias(f"{n}{k}") for k in (0, 1)
+                 for n, f, g in (("lo", F.min, F.array_min), ("hi", F.max, F.array_max))]).first()
+    scale = lambda x, k: (x - r[f"lo{k}"]) / ((r[f"hi{k}"] - r[f"lo{k}"]) or 1.0)
+    scaled = F.transform("seq", lambda x: F.array(scale(x[0], 0), scale(x[1], 1)))
+    m = M.fit_sequence_classifier(tr.withColumn("seq", scaled), 14, 2)
+    p = M.predict_sequence_classifier(m, te.withColumn("seq", scaled))
+    yes, hit = (F.col("y") == "1"), (F.col("pred") == "1")
+    c = p.agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"), F.count_if(yes & hit).alias("tp"),
+              F.count_if(~yes & hit).alias("fp"), F.count_if(yes & ~hit).alias("fn"))
+    auc = mt.roc_auc(p.select(yes.cast("int").alias("y"), "score")).first()[0]
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
+    return c.select("accuracy", precision.alias("precision"), recall.alias("recall"),
+                    (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"), F.lit(auc).alias("auc"))
 
 
 # ------------------------------------------------------------- forecasting
@@ -210,9 +233,8 @@ def q_stl(spark, sf_dir):
 
 @query("dtw_distance")
 def q_dtw(spark, sf_dir):
-    """DTW (band 24) between hourly series of event-type pairs."""
-    pairs = [("click", "view"), ("click", "purchase"), ("error", "signup"), ("view", "purchase")]
-    return fc.dtw_distance(_hourly_by_type(spark, sf_dir), "ts", "value", "event_type", pairs, window=24)
+    """DTW (band 24) between the hourly series of every pair of event types."""
+    return fc.dtw_distance(_hourly_by_type(spark, sf_dir), "ts", "value", "event_type", window=24)
 
 
 @query("arima_forecast")
