@@ -1,8 +1,9 @@
 """Forecasting and per-series decomposition.
 
-Two shapes of work:
+Three shapes of work:
 
-* per-series solvers (STL, DTW, ARIMA, smoothing, theta, trend+season ridge,
+* ARIMA(p, d, 0) is a regression from grouped sums over lag rows;
+* the other per-series solvers (STL, DTW, smoothing, theta, trend+season ridge,
   automatic selection) run as ``groupBy(series).applyInPandas``: Spark
   partitions and shuffles the series, each task runs numpy on ONE resampled
   series (its length is its number of time bins, not its raw row count);
@@ -14,13 +15,15 @@ Two shapes of work:
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.position import global_position
+from ..operators.position import global_position, halo_frame, null_safe_join
 from ..session import cut_lineage
 from ..operators.resample import resample_mean
 from ..operators.timeseries import interpolate_linear, lag_features, multi_horizon_dataset
@@ -126,18 +129,84 @@ def _per_series(series: DataFrame, time_col, value_col, keys, fn, out_schema: st
 
 def arima_forecast(series: DataFrame, time_col: str, value_col: str, series_cols=(), h: int = DEFAULT_H,
                    order=(1, 1, 0), exog=()) -> DataFrame:
-    """(series..., step, forecast): ARIMA(p, d, 0) by conditional least squares
-    per series; future exogenous values are the last h known rows (as the
-    reference does). Steps continue the series' position index."""
-    p, dd, _ = order
-    exog = list(exog)
-
-    def fn(pdf):
-        y = pdf["_y"].to_numpy(dtype=float)
-        ex = pdf[exog].to_numpy(dtype=float) if exog else None
-        f = K.arima_forecast(y, h, p, dd, ex, ex[-h:] if exog else None)
-        return pd.DataFrame({"step": np.arange(len(y), len(y) + h), "forecast": f})
-    return _per_series(series, time_col, value_col, series_cols, fn, "step long, forecast double", exog)
+    """(series..., step, forecast): ARIMA(p, d, 0) by conditional least squares.
+
+    The d-times differenced value is regressed on its p predecessors and the
+    differenced exogenous columns, per series. Lags come from a halo frame and the
+    means and covariances of the regression from one grouped aggregation, so a
+    series of any length is spread over tasks; only those (p + m)^2 numbers per
+    series are solved in a vectorised function. A regressor that never varies gets
+    the coefficient 0. Future exogenous values are the last h known rows. Steps
+    continue the series' positions; a series of at most p + d values has NULL
+    forecasts. A moving-average order isn't supported and raises.
+    """
+    p, dd, q = order
+    if q:
+        raise ValueError("moving-average terms are not supported: order must be (p, d, 0)")
+    keys, exog = list(series_cols), list(exog)
+    need = p + dd
+    d = series.select(*keys, time_col, F.col(value_col).cast("double").alias("_y"),
+                      *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(exog)]).where("_y IS NOT NULL")
+    hf = halo_frame(d, keys, [time_col], max(need, 1))
+    w = Window.partitionBy(*keys, "_part").orderBy("_pos")
+
+    def differenced(c: str, back: int):
+        return sum((-1) ** k * math.comb(dd, k) * F.lag(c, back + k).over(w) for k in range(dd + 1))
+    names = [f"_l{k}" for k in range(1, p + 1)] + [f"_d{j}" for j in range(len(exog))]
+    hf = hf.select(*keys, "_pos", "_y", "_halo", *[f"_x{j}" for j in range(len(exog))], differenced("_y", 0).alias("_z"),
+                   *[differenced("_y", k).alias(f"_l{k}") for k in range(1, p + 1)],
+                   *[differenced(f"_x{j}", 0).alias(f"_d{j}") for j in range(len(exog))]).where("NOT _halo")
+    hf = cut_lineage(hf)
+    m = len(names)
+    used = F.col("_pos") >= need
+    reg = {c: F.when(used, F.col(c)) for c in [*names, "_z"]}
+    lens = hf.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.avg(reg["_z"]).alias("_mz"),
+        F.array(*[F.avg(reg[c]) for c in names]).cast("array<double>").alias("_mx"),
+        F.array(*[F.covar_pop(reg[a], reg[b]) for a in names for b in names]).cast("array<double>").alias("_cxx"),
+        F.array(*[F.covar_pop(reg[c], reg["_z"]) for c in names]).cast("array<double>").alias("_cxz"))
+    size = hf.groupBy(*keys).agg(F.max("_pos").alias("_top"))
+    reach = max(need, h if exog else 0, 1)
+    tail = null_safe_join(hf, size, keys) if keys else hf.withColumn("_top", F.lit(size.first()["_top"]))
+    tail = tail.where(F.col("_pos") > F.col("_top") - reach - (dd if exog else 0)).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "_y", *[f"_x{j}" for j in range(len(exog))]))).alias("_t"))
+    tail = tail.select(*keys, F.transform("_t", lambda r: r["_y"]).alias("_ty"), *[
+        F.transform("_t", _field(f"_x{j}")).alias(f"_t{j}") for j in range(len(exog))])
+    both = null_safe_join(lens, tail, keys) if keys else lens.withColumns(
+        {k: F.lit(v).cast("array<double>") for k, v in tail.first().asDict().items()})
+
+    @F.pandas_udf("array<double>")
+    def solved(n: pd.Series, mz: pd.Series, mx: pd.Series, cxx: pd.Series, cxz: pd.Series, ty: pd.Series,
+               *ex: pd.Series) -> pd.Series:
+        out = []
+        for i in range(len(n)):
+            if n[i] <= need:
+                out.append([None] * h)
+                continue
+            coef = np.linalg.pinv(np.reshape(cxx[i], (m, m))) @ np.asarray(cxz[i]) if m else np.zeros(0)
+            level = mz[i] - (coef @ np.asarray(mx[i]) if m else 0.0)
+            y = np.asarray(ty[i], float)
+            z = list(np.diff(y, n=dd))
+            future = []
+            for x in ex:
+                known = np.asarray(x[i], float)
+                future.append(np.diff(np.concatenate([known, known[-h:]]), n=dd)[-h:])
+            for k in range(h):
+                z.append(level + sum(coef[j] * z[-1 - j] for j in range(p))
+                         + sum(coef[p + j] * f[k] for j, f in enumerate(future)))
+            levels = np.asarray(z[-h:])
+            for j in range(dd, 0, -1):
+                levels = np.diff(y, n=j - 1)[-1] + np.cumsum(levels)
+            out.append(levels.tolist())
+        return pd.Series(out)
+
+    found = both.withColumn("_f", solved("_n", "_mz", "_mx", "_cxx", "_cxz", "_ty", *[f"_t{j}" for j in range(len(exog))]))
+    return found.select(*keys, "_n", F.posexplode("_f").alias("_k", "forecast")).select(
+        *keys, (F.col("_n") + F.col("_k")).cast("long").alias("step"), "forecast")
+
+
+def _field(name: str):
+    return lambda r: r[name]
 
 
 def trend_season_forecast(series: DataFrame, time_col: str, value_col: str, series_cols=(), h: int = DEFAULT_H,
@@ -226,7 +295,7 @@ def _tail(d: DataFrame, time_col: str, keys, n: int) -> DataFrame:
     positions, no per-series window)."""
     p = global_position(d, keys, [time_col])
     lens = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_len"))
-    p = p.join(lens, keys) if keys else p.withColumn("_len", F.lit(lens.first()["_len"]))
+    p = null_safe_join(p, lens, keys) if keys else p.withColumn("_len", F.lit(lens.first()["_len"]))
     return p.where(F.col("_pos") >= F.col("_len") - n)
 
 

@@ -62,10 +62,20 @@ def q_pca(spark, sf_dir):
     return ft.pca(scale_standard(li, cols), cols, 2)
 
 
-@query("pca_projection")
+@query("pca_projection", fx.with_ctes(fx.POINTS_2D).rstrip() + """,
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM points_2d),
+e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l1 FROM m),
+v AS (SELECT *, CASE WHEN b <> 0 THEN b ELSE CASE WHEN a >= c THEN 1 ELSE 0 END END AS u0,
+             CASE WHEN b <> 0 THEN l1 - a ELSE CASE WHEN a >= c THEN 0 ELSE 1 END END AS w0 FROM e),
+n AS (SELECT *, u0 / sqrt(u0 * u0 + w0 * w0) AS u1, w0 / sqrt(u0 * u0 + w0 * w0) AS w1 FROM v),
+g AS (SELECT *, CASE WHEN CASE WHEN abs(u1) >= abs(w1) THEN u1 ELSE w1 END < 0 THEN -1 ELSE 1 END AS s1,
+             CASE WHEN CASE WHEN abs(w1) >= abs(u1) THEN -w1 ELSE u1 END < 0 THEN -1 ELSE 1 END AS s2 FROM n)
+SELECT cluster, round(s1 * ((x - mx) * u1 + (y - my) * w1), 4) AS PCA_1,
+       round(s2 * ((x - mx) * -w1 + (y - my) * u1), 4) AS PCA_2
+FROM points_2d, g""")
 def q_pca_projection(spark, sf_dir):
     """Two components of the 2-d customer points with their segment."""
-    return ft.pca_projection(fx.points_2d(tables(spark, sf_dir)), ["x", "y"], "cluster")
+    return rounded(ft.pca_projection(fx.points_2d(tables(spark, sf_dir)), ["x", "y"], "cluster"), 4)
 
 
 def _doc_feats(spark, sf_dir):

@@ -237,10 +237,26 @@ def q_dtw(spark, sf_dir):
     return fc.dtw_distance(_hourly_by_type(spark, sf_dir), "ts", "value", "event_type", window=24)
 
 
-@query("arima_forecast")
+def _arima_sql(cte: str, src: str, key: str) -> str:
+    """ARIMA(1, 1, 0) over series of ``src`` (key, ts, value) by regr_slope on differences."""
+    return f"""WITH RECURSIVE {cte},
+s AS (SELECT {key} AS k, value AS y, row_number() OVER (PARTITION BY {key} ORDER BY ts) - 1 AS pos FROM {src} WHERE value IS NOT NULL),
+z AS (SELECT k, pos, y, y - lag(y) OVER (PARTITION BY k ORDER BY pos) AS z FROM s),
+l AS (SELECT *, lag(z) OVER (PARTITION BY k ORDER BY pos) AS x FROM z),
+c AS (SELECT k, coalesce(CASE WHEN var_pop(x) > 0 THEN covar_pop(x, z) / var_pop(x) END, 0) AS phi, avg(x) AS mx, avg(z) AS mz
+      FROM l WHERE pos >= 2 GROUP BY k),
+n AS (SELECT k, count(*) AS n, arg_max(y, pos) AS y, arg_max(z, pos) AS z FROM l GROUP BY k),
+f(k, step, i, y, z, phi, a) AS (
+  SELECT n.k, n.n, 0, n.y + (mz - phi * mx + phi * n.z), mz - phi * mx + phi * n.z, phi, mz - phi * mx FROM n LEFT JOIN c USING (k)
+  UNION ALL SELECT k, step + 1, i + 1, y + a + phi * z, a + phi * z, phi, a FROM f WHERE i < 9)
+"""
+
+
+@query("arima_forecast", _arima_sql(fx.USER_DAILY, "user_daily", "user_id")
+       + "SELECT k AS user_id, step, round(y, 4) AS forecast FROM f")
 def q_arima(spark, sf_dir):
     """ARIMA(1,1,0), 10 steps, for the daily value sum of every user."""
-    return fc.arima_forecast(fx.user_daily(tables(spark, sf_dir)), "ts", "value", ["user_id"], 10)
+    return rounded(fc.arima_forecast(fx.user_daily(tables(spark, sf_dir)), "ts", "value", ["user_id"], 10), 4)
 
 
 @query("trend_season_forecast")
@@ -279,8 +295,11 @@ def q_auto_search(spark, sf_dir):
     return fc.auto_forecast_search(_hourly_by_type(spark, sf_dir), "ts", "value", ["event_type"], 10, "medio")
 
 
-@query("forecast_table")
+@query("forecast_table", _arima_sql(fx.USER_DAILY, "user_daily", "user_id") + """
+SELECT k AS user_id, step, round(y, 4) AS value, 'forecast' AS kind FROM f
+UNION ALL SELECT k, pos, round(y, 4), 'history' FROM s""")
 def q_forecast_table(spark, sf_dir):
-    """History and ARIMA forecast rows of the overall hourly mean series."""
-    s = _hourly_one(spark, sf_dir)
-    return fc.forecast_table(s, fc.arima_forecast(s, "ts", "value", (), 10), "ts", "value")
+    """History and ARIMA forecast rows of the daily value sum of every user."""
+    s = fx.user_daily(tables(spark, sf_dir))
+    f = fc.arima_forecast(s, "ts", "value", ["user_id"], 10)
+    return rounded(fc.forecast_table(s, f, "ts", "value", ["user_id"]), 4)
