@@ -10,24 +10,33 @@ of agreeing coordinates is concentrated as for independent samples.
 
 Coordinates are grouped into bands; documents that agree in a band share a
 bucket. With 32 bands of 6 a pair at similarity 0.85 misses all of them with
-probability 3e-7. Documents of one set are one class before banding. In a bucket
-every class is first compared with one hub, and only classes that are not yet
-in one component are compared further, so a large group of copies costs a
-number of comparisons in proportion to its size. Links count on the full sets.
+probability 3e-7. Documents of one set are one class before banding.
+
+What has to be found are the components, so pairs are first compared in rounds, at
+most one for every class in each: with the hub of one of its buckets. Buckets whose
+members have come to one component are closed, and a large group of copies costs
+comparisons in proportion to its size. In the buckets that stay open all pairs
+across components are compared: small buckets pair by pair, larger ones in blocks
+of members, where the intersections of two blocks are one matrix product and only
+links that join components come out. A pair is first looked up in the sketches
+where that saves reading the sets: by their concentration, similar sets agree in
+fewer coordinates than the bound with probability 1e-12. Links count on full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.operators.components import components
 from kestrel.session import cut_lineage
 
-from .components import components
 from .hashing import mix, window_hashes, word_hashes
 from .text import take
 
@@ -35,8 +44,10 @@ SHINGLE = 5
 PERCENT = 85              # link if 100 * intersection >= PERCENT * union
 BANDS, BAND_ROWS = 32, 6
 BATCH_TEXTS = 256
-HUB_ROUNDS = 4            # at most so many rounds with one hub a bucket, before all open pairs are compared
-PAIRS_PER_ENTRY = 2       # open pairs may be compared at once when they are so few per bucket entry
+HUB_ROUNDS = 2            # rounds with hubs, before the open buckets are compared whole
+SMALL_BUCKET = 16         # members up to which a bucket's pairs are rows of their own
+BLOCK = 256               # members of a larger bucket that are compared with as many others in one task
+MISS = 1e-12              # probability that the sketches hide a link
 BROADCAST_ROWS = 2_000_000   # ids of 8 bytes: 16 MB
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -92,20 +103,33 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
 
 
+def least_agreement(percent: int, t: int = BANDS * BAND_ROWS) -> int:
+    """Coordinates in which sets of the given similarity agree but with probability MISS (Chernoff)."""
+    p = percent / 100
+    for a in range(int(t * p), 0, -1):
+        q = a / t
+        if t * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if p < 1 else 0)) >= -math.log(MISS):
+            return a
+    return 0
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set identity (two 64-bit halves) and band keys of every document (doc_id, text)."""
+    """Of every document (doc_id, text): n_shingles, set identity (two 64-bit halves), a byte of
+    every sketch coordinate, and band keys."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_TEXTS):
                 sets = shingle_sets(batch.column(1).slice(lo, BATCH_TEXTS).to_pylist())
                 prints = [np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]
-                keys = [band_keys(sketch(x)) if len(x) else np.zeros(0, np.int64) for x in sets]
+                sketches = [sketch(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, BATCH_TEXTS), pa.array([len(x) for x in sets], pa.int64()),
                     pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
-                    _lists(keys)], names=["doc_id", "n_shingles", "p1", "p2", "bands"])
+                    pa.array([None if x is None else x.astype(np.uint8).tobytes() for x in sketches], pa.binary()),
+                    _lists([np.zeros(0, np.int64) if x is None else band_keys(x) for x in sketches])],
+                    names=["doc_id", "n_shingles", "p1", "p2", "sig", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, p1 long, p2 long, sig binary, bands array<long>")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,53 +146,120 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<long>")
 
 
-def _linked(a: Column, b: Column, percent: int) -> Column:
-    """Exact decision on the full sets; the sizes alone rule out most others."""
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    both = F.size(F.array_intersect(a, b))
-    return F.when(100 * small >= percent * large, 100 * both >= percent * (F.size(a) + F.size(b) - both)) \
-        .otherwise(F.lit(False))
+def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose set sizes and sketches allow a link."""
+    least = least_agreement(percent)
+    of = lambda c: facts.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    both = both.where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")).select("u", "v", "su", "sv")
 
+    def run(batches):
+        for batch in batches:
+            bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8) for k in (2, 3)]
+            agree = (bits[0] == bits[1]).reshape(batch.num_rows, -1).sum(1) if batch.num_rows else np.zeros(0)
+            yield batch.select(["u", "v"]).filter(pa.array(agree >= least))
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that are links."""
+    return both.mapInArrow(run, "u long, v long")
+
+
+def _verified(pairs: DataFrame, facts: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links: 100 * intersection >= percent * union of the full sets."""
+    pairs = cut_lineage(_plausible(pairs, facts, percent))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = cut_lineage(_full_sets(docs, ids))
     a = sets.select(F.col("doc_id").alias("u"), F.col("x").alias("xu"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("x").alias("xv"))
-    return pairs.join(b, "v").join(a, "u").where(_linked(F.col("xu"), F.col("xv"), percent)).select("u", "v").distinct()
+    both = F.size(F.array_intersect("xu", "xv"))
+    link = 100 * both >= percent * (F.size("xu") + F.size("xv") - both)
+    return pairs.join(b, "v").join(a, "u").where(link).select("u", "v")
+
+
+def block_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Matrix of links between two lists of sorted distinct shingle hashes."""
+    flat = np.concatenate([*left, *right])
+    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1          # shingles of one member alone meet nothing
+    sizes = np.array([len(x) for x in [*left, *right]])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    held = count[code] > 1
+    x = np.zeros((len(sizes), int((count > 1).sum())), np.float32)
+    x[row[held], column[code[held]]] = 1
+    n = len(left)
+    both = (x[:n] @ x[n:].T).astype(np.int64)   # exact: counts are far below 2^24
+    return 100 * both >= percent * (sizes[:n, None] + sizes[None, n:] - both)
+
+
+def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components within large buckets (key, rep, c, n), block against block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    m = members.withColumn("b", F.pmod(F.xxhash64("rep", "key"), blocks).cast("int"))
+    m = m.select("key", "rep", "c", "b", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    m = m.select("key", "rep", "c", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    m = m.join(sets.select(F.col("doc_id").alias("rep"), "x"), "rep")
+
+    def run(group):
+        lo, hi, b = group["lo"].iloc[0], group["hi"].iloc[0], group["b"].to_numpy()
+        reps, c = group["rep"].to_numpy(), group["c"].to_numpy()
+        sets = [np.asarray(x).view(np.uint64) for x in group["x"]]
+        i, j = np.flatnonzero(b == lo), np.flatnonzero(b == hi)
+        if not len(i) or not len(j):
+            return pd.DataFrame([], columns=["u", "v"], dtype="int64")
+        p, q = np.nonzero(block_links([sets[k] for k in i], [sets[k] for k in j], percent))
+        root = {x: x for x in c.tolist()}
+
+        def top(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+        out = []
+        for u, v in zip(i[p].tolist(), j[q].tolist()):
+            a, z = top(c[u]), top(c[v])
+            if a != z:
+                root[a] = z
+                out.append((reps[u], reps[v]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    return m.groupBy("key", "lo", "hi").applyInPandas(run, "u long, v long")
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Verified links (u, v) between classes (rep, bands) that connect all that is linked."""
+    """Edges (u, v) within the components of all links between classes (rep, n, sig, bands)."""
     entries = classes.select("rep", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    # Only classes that meet another one go on.
-    entries = cut_lineage(entries.join(shared.select("key", "hub"), "key").where("rep IS NOT NULL"))
-    sets = cut_lineage(_full_sets(docs, entries.select(F.col("rep").alias("doc_id")).distinct()))
-    pairs = entries.where("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
-    found = cut_lineage(_verified(pairs, sets, percent))
-    size = entries.count()
+    # Only keys that two classes share go on. Both sides of the join are read from exchanges, so
+    # that a hot key can be split.
+    shared = cut_lineage(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    entries = cut_lineage(entries.join(shared, "key").select("key", "rep", F.col("rep").alias("c")))
+    facts = cut_lineage(classes.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "sig"))
+    edges = None
     for k in range(HUB_ROUNDS + 1):
-        labels = components(found).select(F.col("node").alias("rep"), "component")
-        placed = entries.join(labels, "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("c"))
-        # Buckets whose members are not all in one component have pairs left to compare.
-        per = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-        per = per.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("n2"))
-        per = per.withColumn("open", (F.col("n") * F.col("n") - F.col("n2")) / 2).where("open > 0")
-        placed = cut_lineage(placed.join(per.select("key", "open"), "key"))
-        left = placed.select("key", "open").distinct().agg(F.sum("open")).first()[0]
-        if not left:
-            return found
-        if left <= PAIRS_PER_ENTRY * size or k == HUB_ROUNDS:
-            a = placed.select("key", F.col("rep").alias("u"), F.col("c").alias("cu"))
-            b = placed.select("key", F.col("rep").alias("v"), F.col("c").alias("cv"))
-            pairs = a.join(b, "key").where("u < v AND cu <> cv").select("u", "v").distinct()
-            return cut_lineage(found.unionByName(_verified(pairs, sets, percent)).distinct())
-        hubs = placed.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(k))).alias("h"))
-        pairs = placed.join(hubs, "key").where("c <> h.c").select(
-            F.least("rep", "h.rep").alias("u"), F.greatest("rep", "h.rep").alias("v")).distinct()
-        found = cut_lineage(found.unionByName(_verified(pairs, sets, percent)).distinct())
-    return found
+        # Per bucket: pairs across components that are left, and a hub.
+        order = lambda c: F.col(c) if k == 0 else F.xxhash64(c, F.lit(k))  # noqa: E731, B023
+        per = entries.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("rep", order("rep")).alias("r"))
+        per = per.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("open"),
+                                     F.sum("n").alias("n"), F.min_by(F.struct("r", "c"), order("r")).alias("h"))
+        per = cut_lineage(per.where("open > 0").select("key", "n", F.col("h.r").alias("hub"), F.col("h.c").alias("hc")))
+        if per.isEmpty():
+            break
+        met = cut_lineage(entries.join(per, "key"))    # open buckets go on
+        if k < HUB_ROUNDS:
+            pairs = met.where("c <> hc").groupBy("rep").agg(F.min("hub").alias("u")).select("u", F.col("rep").alias("v"))
+            found = _verified(pairs, facts, docs, percent)
+        else:
+            a = met.where(F.col("n") <= SMALL_BUCKET)
+            pairs = a.select("key", F.col("rep").alias("u"), F.col("c").alias("cu")).join(
+                a.select("key", F.col("rep").alias("v"), F.col("c").alias("cv")), "key")
+            found = _verified(pairs.where("u < v AND cu <> cv").select("u", "v").distinct(), facts, docs, percent)
+            large = met.where(F.col("n") > SMALL_BUCKET)
+            sets = cut_lineage(_full_sets(docs, large.select(F.col("rep").alias("doc_id")).distinct()))
+            found = found.unionByName(_block_links(large, sets, percent))
+        labels = components(found if edges is None else edges.unionByName(found))
+        edges = cut_lineage(labels.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v")))
+        if k < HUB_ROUNDS:
+            entries = cut_lineage(met.select("key", "rep").join(
+                edges.select(F.col("v").alias("rep"), F.col("u").alias("c")), "rep", "left").select(
+                "key", "rep", F.coalesce("c", "rep").alias("c")))
+    return entries.select(F.col("rep").alias("u"), F.col("rep").alias("v")).where("false") if edges is None else edges
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -184,9 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = take(docs, doc_id=id_col, text=text_col)
     seen = cut_lineage(profiles(docs))
     full = seen.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = full.groupBy("p1", "p2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"),
+                                           F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = cut_lineage(classes)
-    between = links(docs, classes.select("rep", "bands"), percent)
+    between = links(docs, classes.drop("p1", "p2"), percent)
     copies = full.join(classes.select("p1", "p2", "rep"), ["p1", "p2"]).where("doc_id <> rep")
     edges = between.unionByName(copies.select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
     labels = components(edges)

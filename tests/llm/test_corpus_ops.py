@@ -165,20 +165,31 @@ def test_near_duplicates_match_brute_force(spark, texts):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_open_pairs_of_a_bucket_are_all_compared(spark, monkeypatch):
-    """Hubs that link to few members: later rounds and the last comparison find the rest."""
-    monkeypatch.setattr(near_dup, "PAIRS_PER_ENTRY", 0)
+@pytest.mark.parametrize("small, block", [(2, 8), (1000, 256)])
+def test_open_buckets_are_compared_whole(spark, monkeypatch, small, block):
+    """Hubs that link to few members: the comparison of open buckets finds the rest, by pairs and by blocks."""
     monkeypatch.setattr(near_dup, "HUB_ROUNDS", 1)
+    monkeypatch.setattr(near_dup, "SMALL_BUCKET", small)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
     rng = random.Random(9)
     docs = []
     for g in range(3):
         base = [f"g{g}w{k}" for k in range(260)]
-        docs += [_edited(rng, base, rng.randrange(4, 9)) for _ in range(25)]
+        docs += [_edited(rng, base, rng.randrange(1, 9)) for _ in range(25)]
     rows = [(k, t) for k, t in enumerate(docs)]
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.near_components(rows)
 
 
+def test_block_links_are_exact(texts):
+    sets = [x for x in near_dup.shingle_sets(texts) if len(x)]
+    got = near_dup.block_links(sets[:90], sets[60:], 85)
+    for i, a in enumerate(sets[:90]):
+        for j, b in enumerate(sets[60:]):
+            both = len(np.intersect1d(a, b))
+            assert got[i, j] == (100 * both >= 85 * (len(a) + len(b) - both))
+
+
 def test_sketch_fills_all_coordinates_and_estimates_similarity():
     rng = np.random.default_rng(2)
     for n in (1, 2, 7, 50, 400, 5000):
