@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kestrel.session import cut_lineage
+
 from .hashing import mix, span_hashes
 from .text import SPACES, sealed
 
@@ -108,10 +110,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = d.where(F.instr("text", "\n") > 0 if window > 1 else F.col("text").isNotNull()).select("k1", "k2", "text")
     marks = _marks(texts, window)
     # Fingerprints that occur more than once, then the runs around them.
-    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    around = marks.join(again, "mark")
+    # Each step is materialised, which leaves both sides of the next join to exchanges of their
+    # own: a line that a third of all documents share can then be split over tasks.
+    again = cut_lineage(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    around = cut_lineage(marks.join(again, "mark"))
     first = around.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("o"))
-    later = around.join(first.where("n > 1"), "run").where(
+    later = around.join(cut_lineage(first.where("n > 1")), "run").where(
         F.struct("k1", "k2", "first") > F.col("o")).select("k1", "k2", "first", "last")
     gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     d = d.join(gone, ["k1", "k2"], "left")
