@@ -10,7 +10,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import TimeConfig
+from ..core import TIME_TYPES, TimeConfig
 
 # Fixed values of the reference: the default label name and the comparison
 # operators offered for a threshold label.
@@ -88,15 +88,29 @@ DATETIME_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "yyyy-MM-dd'T'HH:mm:ss", "yy
                     "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy")
 
 
+# Formats that carry a zone (Z or an offset); their instants are expressed in UTC.
+ZONED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX",
+                 "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mmXXX")
+
+
 def parse_datetime(c: Column, formats=DATETIME_FORMATS) -> Column:
-    """Text -> timestamp_ntz; unparseable -> NULL. Timestamps pass through."""
-    return F.coalesce(*[F.try_to_timestamp(c.cast("string"), F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """Text -> timestamp_ntz; unparseable -> NULL. A text with a zone gives its UTC time."""
+    plain = [F.try_to_timestamp(c.cast("string"), F.lit(f)).cast("timestamp_ntz") for f in formats]
+    zoned = [F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(
+        c.cast("string"), F.lit(f)).cast("timestamp_ntz")) for f in ZONED_FORMATS]
+    return F.coalesce(*plain, *zoned)
+
+
+def as_datetime(df: DataFrame, c: str, formats=DATETIME_FORMATS) -> Column:
+    """A column as timestamp_ntz: real times are converted as they are, text is parsed."""
+    if isinstance(df.schema[c].dataType, TIME_TYPES):
+        return F.col(c).cast("timestamp_ntz")
+    return parse_datetime(F.col(c), formats)
 
 
 def to_datetime(df: DataFrame, cols, formats=DATETIME_FORMATS) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
-    return df.select(*[parse_datetime(F.col(c), formats).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    return df.select(*[as_datetime(df, c, formats).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def calendar_parts(df: DataFrame, time_col: str, timezone: str = "UTC") -> DataFrame:
@@ -114,7 +128,7 @@ def time_index(df: DataFrame, cfg: TimeConfig):
     frame is not globally sorted: ordering is a property of later operators.
     """
     from ..operators.resample import local_time
-    parsed = parse_datetime(F.col(cfg.time_col))
+    parsed = as_datetime(df, cfg.time_col)
     out = df.withColumn(cfg.time_col, local_time(parsed, cfg.timezone))
     stats = df.agg(F.count(F.lit(1)).alias("n_rows"),
                    F.count_if(parsed.isNull()).alias("n_unparseable"))

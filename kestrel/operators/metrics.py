@@ -21,15 +21,15 @@ def accuracy(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def _class_counts(df, y, pred):
-    """Per class: tp, predicted, support (one grouped count, then a small pivot)."""
+    """Per class: tp, predicted, support; one scan, each (actual, predicted) pair counts once for either class."""
     pairs = df.groupBy(F.col(y).cast("string").alias("_y"), F.col(pred).cast("string").alias("_p")) \
               .agg(F.count(F.lit(1)).alias("_n"))
-    lab = pairs.select(F.col("_y").alias("c")).union(pairs.select(F.col("_p").alias("c"))).distinct()
-    act = pairs.groupBy(F.col("_y").alias("c")).agg(F.sum("_n").alias("support"))
-    prd = pairs.groupBy(F.col("_p").alias("c")).agg(F.sum("_n").alias("predicted"))
-    tp = pairs.where(F.col("_y") == F.col("_p")).select(F.col("_y").alias("c"), F.col("_n").alias("tp"))
-    return (lab.join(act, "c", "left").join(prd, "c", "left").join(tp, "c", "left")
-            .fillna(0, ["support", "predicted", "tp"]))
+    zero = F.lit(0).cast("long")
+    side = lambda c, support, predicted, tp: F.struct(
+        F.col(c).alias("c"), support.alias("support"), predicted.alias("predicted"), tp.alias("tp"))
+    hit = F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(zero)
+    both = pairs.select(F.explode(F.array(side("_y", F.col("_n"), zero, hit), side("_p", zero, F.col("_n"), zero))).alias("s"))
+    return both.where("s.c IS NOT NULL").groupBy("s.c").agg(*[F.sum(f"s.{k}").alias(k) for k in ("support", "predicted", "tp")])
 
 
 def _prf(c):
