@@ -149,14 +149,6 @@ def q_knn_wide(spark, sf_dir):
     return knn_classify(e, e, "vec_id", _EMB_COLS, "label", 5, exclude_self=True).select("vec_id", "label", "pred")
 
 
-@query("smote_wide")
-def q_smote_wide(spark, sf_dir):
-    """SMOTE on all 64 embedding coordinates: rows per label, original and synthetic."""
-    from ..operators.features import smote
-    out = smote(_emb(spark, sf_dir), "label", _EMB_COLS, "vec_id", 5)
-    return out.groupBy("label", "synthetic").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("cross_validate")
 def q_cross_validate(spark, sf_dir):
     """5-fold stratified CV of logistic regression on the 64 embedding coordinates."""

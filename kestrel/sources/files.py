@@ -53,19 +53,24 @@ def _is_array_doc(spark, path) -> bool:
 
 
 def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
+    """Column documents of one or several files, one after the other by file name.
+
+    Row labels order the rows of a file: as numbers where they are numbers, else as
+    texts after them. Rows are joined by (file, label), so labels that repeat in
+    another file are rows of their own.
+    """
     doc = spark.read.option("wholetext", True).text(path)
-    m = doc.select(F.from_json("value", "map<string, map<string, string>>").alias("m"))
-    cols = m.select(F.explode("m").alias("column", "rows"))
-    cells = cols.select("column", F.explode("rows").alias("row", "value"))
-    # column names in document order (one short list per document, bounded by the column count)
-    names = []
-    for r in m.select(F.map_keys("m").alias("k")).collect():
-        names += [k for k in r["k"] if k not in names]
-    wide = cells.groupBy(F.col("row").cast("long").alias("_row")).pivot("column", names).agg(F.first("value"))
+    m = doc.select(F.input_file_name().alias("_file"), F.from_json("value", "map<string, map<string, string>>").alias("m"))
+    cells = m.select("_file", F.explode("m").alias("column", "rows")).select(
+        "_file", "column", F.explode("rows").alias("_row", "value"))
+    # column names in the order of their first document position; one row per column
+    names = [r["column"] for r in m.select("_file", F.posexplode(F.map_keys("m")).alias("p", "column"))
+             .groupBy("column").agg(F.min(F.struct("_file", "p")).alias("at")).orderBy("at").collect()]
+    wide = cells.groupBy("_file", "_row").pivot("column", names).agg(F.first("value"))
     # a column becomes numeric when every non-null value reads as a number
     ok = wide.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull()).alias(c)
                     for c in names]).first()
-    return wide.orderBy("_row").select(*[
+    return wide.orderBy("_file", F.col("_row").try_cast("double").asc_nulls_last(), "_row").select(*[
         (F.col(f"`{c}`").try_cast("double") if ok[c] == 0 else F.col(f"`{c}`")).alias(c) for c in names])
 
 

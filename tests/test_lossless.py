@@ -145,3 +145,11 @@ def test_wide_neighbours_have_high_recall_and_answer_every_query(spark):
     assert all(abs(d[i, j] - v) < 1e-6 for i, n in got.items() for j, v in n.items())
     hits = sum(len(set(np.argsort(d[i])[:5].tolist()) & set(n)) for i, n in got.items())
     assert hits / (5 * len(x)) >= 0.9
+
+
+def test_column_json_of_several_files_with_text_labels(spark, tmp_path):
+    from kestrel.sources.files import read_json
+    (tmp_path / "a.json").write_text('{"x": {"0": 1, "1": 2, "10": 3}, "n": {"0": "p", "1": "q"}}')
+    (tmp_path / "b.json").write_text('{"x": {"0": 4, "r1": 5}, "z": {"r1": "w"}}')
+    got = [tuple(r) for r in read_json(spark, str(tmp_path), "columns").collect()]
+    assert got == [(1.0, "p", None), (2.0, "q", None), (3.0, None, None), (4.0, None, None), (5.0, None, "w")]
