@@ -35,9 +35,6 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in exclude]
 
 
-def time_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, TIME_TYPES)]
-
 
 def is_numeric(df: DataFrame, c: str) -> bool:
     return isinstance(df.schema[c].dataType, NUMERIC_TYPES)
@@ -70,8 +67,3 @@ def unpivot_numeric(df: DataFrame, cols, keep=(), name="column", value="value")
     return df.select(*ids, F.explode(F.array(*[
         F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in cols
     ])).alias("_kv")).select(*keep, f"_kv.{name}", f"_kv.{value}")
-
-
-def to_epoch_seconds(c: Column) -> Column:
-    """Seconds since epoch as double for timestamp / timestamp_ntz columns."""
-    return F.unix_micros(c.cast("timestamp")).cast("double") / 1e6

@@ -68,13 +68,6 @@ def dedup(df: DataFrame, subset=None, order_by=None) -> DataFrame:
     return keep.select(*subset, "_keep.*").select(*df.columns)
 
 
-def dedup_report(df: DataFrame, subset=None, order_by=None) -> DataFrame:
-    """(rows_before, rows_after, removed) as a one-row frame."""
-    before = df.count()
-    after = dedup(df, subset, order_by).count()
-    return df.sparkSession.createDataFrame([(before, after, before - after)],
-                                           "rows_before long, rows_after long, removed long")
-
 
 # ------------------------------------------------------------------ encoding
 

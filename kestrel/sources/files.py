@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import nan_to_null
+
 ISO_TS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -76,7 +78,7 @@ def read_json_columns(spark: SparkSession, path: str) -> DataFrame:
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """Reader chosen by the file name (csv or json); unknown, unreadable or
-    empty input raises ValueError (the reference's rules)."""
+    empty input raises ValueError (the reference's rules). NaN becomes NULL."""
     name = os.path.basename(path.rstrip("/")).lower()
     if "csv" in name:
         df = read_csv(spark, path)
@@ -88,7 +90,7 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unsupported file type: {name}")
     if not df.columns or df.isEmpty():
         raise ValueError("the file holds no rows")
-    return df
+    return nan_to_null(df)
 
 
 def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:

@@ -63,16 +63,3 @@ def jdbc_read_table(spark: SparkSession, url: str, table: str, schema: str | Non
         r = r.option(k, v)
     df = r.load()
     return df.limit(limit) if limit else df
-
-
-def jdbc_read_tables(spark: SparkSession, url: str, tables, **kw) -> dict:
-    """{"schema.table": lazy DataFrame}; unreadable tables are skipped."""
-    out = {}
-    for schema, table in tables:
-        try:
-            df = jdbc_read_table(spark, url, table, schema, **kw)
-            df.schema  # resolves the table (metadata only)
-            out[f"{schema}.{table}" if schema else table] = df
-        except Exception:  # noqa: BLE001 - the reference skips tables it cannot read
-            continue
-    return out
