@@ -9,6 +9,10 @@ where ``p_raw`` is the multinomial of hashed n-grams over ALL documents and
 counts come from one distributed aggregation onto a fixed number of buckets,
 so the only thing that travels through the driver is a table whose size does
 not depend on the data. Scoring is a projection: no shuffle, no Python.
+
+The verdict's threshold is a low quantile of the trusted documents' own scores.
+A document scores higher under weights that it helped to fit, so each is scored
+with weights from the other folds: the quantile is one of unseen documents.
 """
 
 from __future__ import annotations
@@ -23,7 +27,10 @@ from .text import SPACES, WORD, double_table, sealed, take, words
 BUCKETS = 4096            # per n-gram order
 TARGET_ROWS = 20_000      # bound of the labelled sample that names trusted documents
 SMOOTHING = 0.05          # weight of the raw multinomial inside the target multinomial
-THRESHOLD = -0.3          # nats per n-gram; a document below it reads unlike any trusted text
+THRESHOLD = -0.3          # nats per n-gram; used where no trusted document gives a threshold
+FOLDS = 5                 # folds of trusted documents, each scored by the weights of the others
+LOSS = 0.001              # share of trusted documents that may fall below the fitted threshold
+MIN_WORDS = 10            # words; the base rules reject shorter documents
 SYMBOLS = "#*$%&|<>"      # fixed value
 
 
@@ -49,27 +56,57 @@ def trusted_ids(labels: DataFrame, limit: int = TARGET_ROWS) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
-                text_col: str = "text", limit: int = TARGET_ROWS) -> list[float]:
-    """Log ratio per bucket. Raw counts cover all documents and whole texts.
+def _fold(id_col: Column) -> Column:
+    return F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(FOLDS)).cast("int")
 
-    Without labelled documents or without any n-gram all weights are 0.
-    """
-    d = take(docs, doc_id=id_col, text=text_col)
+
+def _counts(docs: DataFrame, good: DataFrame) -> tuple[list[int], list[list[int]]]:
+    """n-gram counts per bucket: of all documents, and of the trusted ones by fold."""
     # At most `limit` ids of 8 bytes: a broadcast of proven size, so texts are not shuffled.
-    good = F.broadcast(trusted_ids(labels, limit).withColumn("t", F.lit(1)))
-    d = _hashed(d.join(good, "doc_id", "left")).select("h", F.coalesce("t", F.lit(0)).alias("t"))
+    d = docs.join(F.broadcast(good.withColumn("t", _fold(F.col("doc_id")))), "doc_id", "left")
+    d = _hashed(d).select("h", F.coalesce("t", F.lit(-1)).alias("t"))
     nxt = F.slice("h", F.lit(2), F.greatest(F.size("h") - 1, F.lit(0)))
     pairs = d.select("t", F.explode(F.arrays_zip(F.col("h").alias("a"), nxt.alias("b"))).alias("p"))
     grams = pairs.select("t", F.explode(F.array(
         F.pmod(F.col("p.a"), F.lit(BUCKETS)), _bucket(F.col("p.a"), F.col("p.b")))).alias("bucket"),
         F.col("p.b").isNull().alias("last"))
     grams = grams.where(~(F.col("last") & (F.col("bucket") >= BUCKETS)))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    raw, target = [0] * (2 * BUCKETS), [0] * (2 * BUCKETS)
-    for r in counts.collect():  # at most 2 * BUCKETS rows
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    return log_ratios(raw, target)
+    raw, target = [0] * (2 * BUCKETS), [[0] * (2 * BUCKETS) for _ in range(FOLDS)]
+    for r in grams.groupBy("bucket", "t").count().collect():  # at most 2 * BUCKETS * (FOLDS + 1) rows
+        raw[r["bucket"]] += r["count"]
+        if r["t"] >= 0:
+            target[r["t"]][r["bucket"]] = r["count"]
+    return raw, target
+
+
+def fit_weights(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
+                text_col: str = "text", limit: int = TARGET_ROWS) -> list[float]:
+    """Log ratio per bucket. Raw counts cover all documents and whole texts.
+
+    Without labelled documents or without any n-gram all weights are 0.
+    """
+    raw, target = _counts(take(docs, doc_id=id_col, text=text_col), trusted_ids(labels, limit))
+    return log_ratios(raw, [sum(x) for x in zip(*target)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+        limit: int = TARGET_ROWS) -> tuple[list[float], float]:
+    """``fit_weights`` and the threshold: the LOSS quantile of held-out scores of the trusted documents.
+
+    Documents of fewer than MIN_WORDS words fail anyway and don't count. Without any
+    other trusted document, or where one fold holds all of them, it is THRESHOLD.
+    """
+    d, good = take(docs, doc_id=id_col, text=text_col), trusted_ids(labels, limit)
+    raw, target = _counts(d, good)
+    total = [sum(x) for x in zip(*target)]
+    weights = log_ratios(raw, total)
+    if sum(any(x) for x in target) < 2:
+        return weights, THRESHOLD
+    held_out = [w for x in target for w in log_ratios(raw, [a - b for a, b in zip(total, x)])]
+    seen = _hashed(d.join(F.broadcast(good), "doc_id", "left_semi")).where(F.size("w") >= MIN_WORDS)
+    score = _score(double_table(held_out), _fold(F.col("doc_id")) * (2 * BUCKETS))
+    low = seen.select(score.alias("score")).agg(F.percentile("score", LOSS)).first()[0]
+    return weights, THRESHOLD if low is None else low
 
 
 def log_ratios(raw: list[int], target: list[int]) -> list[float]:
@@ -87,6 +124,16 @@ def log_ratios(raw: list[int], target: list[int]) -> list[float]:
     return out
 
 
+def _score(table: Column, at: Column | int = 0) -> Column:
+    """Mean weight of a document's n-grams; its weights begin at place ``at`` of the table."""
+    n = F.size("w")
+    weight = lambda bucket: F.get(table, bucket.cast("int") + at)
+    uni = F.aggregate("h", F.lit(0.0), lambda a, x: a + weight(F.pmod(x, F.lit(BUCKETS))))
+    bi = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + weight(
+        _bucket(F.get("h", i - 1), F.get("h", i))))
+    return F.when(n >= 2, (uni + bi) / (2 * n - 1)).when(n == 1, uni).otherwise(F.lit(0.0))
+
+
 def judge(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
           text_col: str = "text", threshold: float = THRESHOLD, keep: tuple = ()) -> DataFrame:
     """One row per document: the base counts, ``base_failed``, ``score`` and ``kept``.
@@ -117,18 +164,13 @@ def judge(docs: DataFrame, weights: list[float], id_col: str = "doc_id",
     covered = F.aggregate(
         F.transform("p", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("p", k + 1) - p, F.lit(5)))),
         F.lit(0).cast("bigint"), lambda a, x: a + x)
-    table = double_table(weights)
-    uni = F.aggregate("h", F.lit(0.0), lambda a, x: a + F.get(table, F.pmod(x, F.lit(BUCKETS)).cast("int")))
-    bi = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + F.get(
-        table, _bucket(F.get("h", i - 1), F.get("h", i)).cast("int")))
-    score = F.when(n >= 2, (uni + bi) / (2 * n - 1)).when(n == 1, uni).otherwise(F.lit(0.0))
     out = d.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("bigint")).alias("n_repeat_words"),
-        score.alias("score"), *(["row"] if keep else []))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+        _score(double_table(weights)).alias("score"), *(["row"] if keep else []))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = sealed(out).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))

@@ -27,8 +27,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base quality counts and the n-gram ratio verdict of every document."""
     from . import quality as Q
     docs = table(spark, sf_dir, "documents")
-    weights = Q.fit_weights(docs, table(spark, sf_dir, "labels"))
-    return Q.judge(docs, weights).select(
+    weights, threshold = Q.fit(docs, table(spark, sf_dir, "labels"))
+    return Q.judge(docs, weights, threshold=threshold).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", F.round("score", 9).alias("score"))
 

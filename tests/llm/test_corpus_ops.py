@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import SF0001
+from conftest import SF0001, SF001
 from kestrel.llm import (line_dedup, near_dup, packing, pii, quality, secret_scan, sentencepiece_codec,
                          substring_dedup, topk, url_filter)
 from kestrel.llm.queries import table
@@ -490,6 +490,18 @@ def test_quality_matches_brute_force(spark, texts):
     assert kept.columns == ["doc_id", "text", "w"] and kept.count() == sum(r.kept for r in quality.judge(df, none).collect())
 
 
+def test_quality_threshold_separates_labelled_junk(spark):
+    docs, labels = table(spark, SF001, "documents"), table(spark, SF001, "labels")
+    weights, threshold = quality.fit(docs, labels)
+    assert weights == quality.fit_weights(docs, labels)
+    rows = quality.judge(docs, weights, threshold=threshold).join(labels, "doc_id").where("NOT base_failed").collect()
+    junk = [r.kept for r in rows if r.quality == 0]
+    good = [r.kept for r in rows if r.quality == 1 and not r.toxic]
+    assert len(junk) > 20 and sum(junk) <= 0.1 * len(junk)
+    assert len(good) > 200 and sum(good) >= 0.99 * len(good)
+    assert quality.fit(docs, labels.limit(0)) == ([0.0] * (2 * quality.BUCKETS), quality.THRESHOLD)
+
+
 def test_crc_column_is_unsigned(spark):
     df = spark.createDataFrame([(1, "hello")], "doc_id long, text string")
     r = packing.pack(df).select("ids", F.crc32("ids").alias("c")).collect()
