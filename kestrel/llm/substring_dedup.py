@@ -1,7 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences; one of more than ``unit_words`` words counts as
-several, cut every ``unit_words`` words. From every sentence on, and up to every
+several, cut every ``unit_words`` words. With ``anchor_words`` the same text is cut
+a second time, where long sentences are also cut before every pair of words whose
+hash is the only smallest one of ``anchor_words`` neighbouring pairs: equal passages
+are then cut alike whatever stands before them. Runs of both kinds count. From every sentence on, and up to every
 sentence, the shortest run of at least ``min_sentences`` sentences with at least
 ``min_words`` words is hashed. A passage that repeats and holds such a run has
 all its whole sentences inside runs of that kind: those from its first sentences
@@ -21,6 +24,7 @@ from .hashing import mix, span_hashes, word_spans
 MIN_WORDS = 20
 MIN_SENTENCES = 2
 UNIT_WORDS = 12
+ANCHOR_WORDS = 8          # a passage of 50 words with no repeats within it holds a run, wherever it begins
 BATCH_TEXTS = 256
 _MARK, _CLOSER = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".!?")] = True
@@ -28,7 +32,26 @@ _CLOSER[list(b"\"')]")] = True
 _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
-def units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit_words: int) -> np.ndarray:
+def anchors(words: np.ndarray, sentence: np.ndarray, size: int) -> np.ndarray:
+    """Whether the pair of a word and its next has the only smallest hash of some ``size`` pairs of its sentence."""
+    out = np.zeros(len(words), bool)
+    n = len(words) - size
+    if n <= 0:
+        return out
+    pair = mix(words[:-1] * np.uint64(_STEP) + words[1:])
+    best, at, once = pair[:n].copy(), np.arange(n), np.ones(n, bool)
+    for k in range(1, size):
+        h = pair[k:k + n]
+        less = h < best
+        once = less | once & (h != best)
+        at = np.where(less, np.arange(k, k + n), at)
+        best = np.where(less, h, best)
+    out[at[once & (sentence[:n] == sentence[size:])]] = True
+    return out
+
+
+def units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, unit_words: int,
+          anchor_words: int = 0) -> np.ndarray:
     """Whether a word begins a sentence, or a further piece of a long one.
 
     A sentence ends after a word with an end mark (a closing quote or bracket may
@@ -42,6 +65,9 @@ def units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, unit_words: int
     over = (_MARK[last] | quoted)[:-1] | (feeds[starts[1:]] > feeds[ends[:-1]])
     begins = np.concatenate([[True], over])
     at = np.arange(len(starts))
+    sentence = np.cumsum(begins) - 1
+    if anchor_words:
+        begins |= anchors(words, sentence, anchor_words) & (np.bincount(sentence)[sentence] > unit_words)
     return (at - np.maximum.accumulate(np.where(begins, at, 0))) % unit_words == 0
 
 
@@ -62,23 +88,29 @@ def runs(counts: np.ndarray, min_words: int, min_sentences: int) -> np.ndarray:
     return np.stack([code // (n + 1), code % (n + 1)], 1)
 
 
-def hashed_runs(texts: list[bytes], min_words: int, min_sentences: int, unit_words: int):
-    """Per text: where its sentences start (bytes; then its end), runs of them, and the runs' hashes.
+def hashed_runs(texts: list[bytes], min_words: int, min_sentences: int, unit_words: int, anchor_words: int = 0):
+    """Per text: its sentences, where pieces of it start (bytes; then its end), runs of pieces, and the runs' hashes.
 
     A run's hash is that of its words; white space and A-Z case make no difference.
     """
     raw, starts, ends, at = word_spans(texts)
-    words, begins = span_hashes(raw, starts, ends), units(raw, starts, ends, unit_words)
+    words = span_hashes(raw, starts, ends)
+    cuts = [units(raw, starts, ends, words, unit_words, a) for a in ((0, anchor_words) if anchor_words else (0,))]
+    every = np.logical_or.reduce(cuts)
     power = lambda base: np.multiply.accumulate(np.full(len(words) + 1, base, np.uint64))
     inverse = power(_BACK)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power(_STEP)[:-1])])
     offset, out = 0, []
     for k, text in enumerate(texts):
-        first = np.append(at[k] + np.flatnonzero(begins[at[k]:at[k + 1]]), at[k + 1])
-        r = runs(np.diff(first), min_words, min_sentences)
-        lo, hi = first[r[:, 0]], first[r[:, 1]]
+        place = lambda cut: np.append(at[k] + np.flatnonzero(cut[at[k]:at[k + 1]]), at[k + 1])  # noqa: E731, B023
+        edges, firsts = place(every), [place(c) for c in cuts]
+        r = [np.searchsorted(edges, f[runs(np.diff(f), min_words, min_sentences)]) for f in firsts]
+        both = np.concatenate(r)
+        code = np.unique(both[:, 0] * len(edges) + both[:, 1])
+        r = np.stack([code // len(edges), code % len(edges)], 1)
+        lo, hi = edges[r[:, 0]], edges[r[:, 1]]
         h = mix((sums[hi] - sums[lo]) * inverse[lo] ^ mix((hi - lo).astype(np.uint64)))
-        out.append((np.append(starts[first[:-1]] - offset, len(text)), r, h.view(np.int64)))
+        out.append((len(firsts[0]) - 1, np.append(starts[edges[:-1]] - offset, len(text)), r, h.view(np.int64)))
         offset += len(text) + 1
     return out
 
@@ -89,7 +121,7 @@ def _run_rows(docs: DataFrame, options: tuple) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(lo, BATCH_TEXTS)
-                found = [np.unique(h) for _, _, h in hashed_runs([t.encode() for t in part.column(1).to_pylist()], *options)]
+                found = [np.unique(h) for *_, h in hashed_runs([t.encode() for t in part.column(1).to_pylist()], *options)]
                 keys = [np.full(len(h), k, np.int64) for k, h in zip(part.column(0).to_pylist(), found)]
                 flat = lambda x: pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), pa.int64())
                 yield pa.RecordBatch.from_arrays([flat(found), flat(keys)], names=["h", "k1"])
@@ -120,7 +152,7 @@ def _without(text: bytes, edges: np.ndarray, r: np.ndarray, h: np.ndarray, gone:
 
 
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-                min_sentences: int = MIN_SENTENCES, unit_words: int = UNIT_WORDS) -> DataFrame:
+                min_sentences: int = MIN_SENTENCES, unit_words: int = UNIT_WORDS, anchor_words: int = 0) -> DataFrame:
     """doc_id, n_sentences, n_removed (characters), removed (spans in code points) and the text that is left.
 
     The first run is that of the smallest id, and within a text the first from its
@@ -128,7 +160,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     document: none is cut for what another of them holds. NULL texts stay NULL,
     and with empty ones have no sentences. Texts are read whole.
     """
-    options = (min_words, min_sentences, unit_words)
+    options = (min_words, min_sentences, unit_words, anchor_words)
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
                     F.coalesce(F.col(f"`{id_col}`"), F.lit((1 << 63) - 1)).alias("k1"))
     rows = _run_rows(d.where("text IS NOT NULL").select("k1", "text"), options)
@@ -142,10 +174,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw = part.column(1).to_pylist()
                 texts = [(t or "").encode() for t in raw]
                 found = hashed_runs(texts, *options)
-                cut = [_without(t, *x, np.array(g or (), np.int64))
+                cut = [_without(t, *x[1:], np.array(g or (), np.int64))
                        for t, x, g in zip(texts, found, part.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([len(x[0]) - 1 for x in found], pa.int64()),
+                    part.column(0), pa.array([x[0] for x in found], pa.int64()),
                     pa.array([sum(b - a for a, b in s) for _, s in cut], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for _, s in cut],
                              pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),

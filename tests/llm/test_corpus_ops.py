@@ -304,6 +304,20 @@ def test_sentence_spans_match_brute_force(spark, texts):
     assert substring_dedup.dedup_spans(df).count() == len(rows)
 
 
+def test_long_passage_is_found_at_every_offset(spark):
+    """60 words without end marks, after a different number of words each time, and with a word put in."""
+    passage = [f"shared{k}" for k in range(60)]
+    rows = [(0, " ".join(["start", *passage, "tail"]))]
+    rows += [(1 + k, " ".join([*[f"own{k}x{j}" for j in range(k)], *passage, f"end{k}"])) for k in range(25)]
+    rows += [(50, " ".join([*passage[:5], "inserted", *passage[5:]]))]
+    got = {r.doc_id: r.text.split() for r in substring_dedup.dedup_spans(
+        spark.createDataFrame(rows, "doc_id long, text string"), anchor_words=substring_dedup.ANCHOR_WORDS).collect()}
+    assert got[0] == rows[0][1].split()
+    for i, t in rows[1:]:
+        own = [w for w in t.split() if not w.startswith("shared")]
+        assert len(got[i]) - len(own) <= 28 and len(set(got[i]) & set(own)) >= len(own) - 8
+
+
 # --- 7 personal data ----------------------------------------------------------
 
 def _luhn(s):
