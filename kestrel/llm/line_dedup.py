@@ -4,7 +4,8 @@ A document is the sequence of its lines that hold a word, compared without
 white space at their ends. In every window of ``window`` consecutive lines the
 smallest hash (of equal ones the last) is selected as a fingerprint, so any run
 of ``window`` or more lines that two places share has a fingerprint at the same
-line in both: nothing of that length can be missed.
+line in both: nothing of that length can be missed. A line of ``long_words`` words
+or more is a run by itself, and a fingerprint of its own.
 
 Fingerprints are joined globally; most occur once and go no further. Around
 every other one the match is extended both ways: each run of ``window`` lines
@@ -27,15 +28,16 @@ from .hashing import mix, span_hashes
 from .text import SPACES, sealed
 
 WINDOW = 2
+LONG_WORDS = 20           # a shorter line goes only together with a neighbour
 BATCH_TEXTS = 512
 _MARKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mark", pa.int64()), ("run", pa.int64()),
                     ("first", pa.int32()), ("last", pa.int32())])
 
 
-def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, line number) of the lines that hold a word."""
+def line_hashes(text: str, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, line number, whether it has ``long_words`` words) of the lines that hold a word."""
     raw = text.encode()
-    starts, ends, numbers, at = [], [], [], 0
+    starts, ends, numbers, long, at = [], [], [], [], 0
     space = SPACES.encode()
     for k, line in enumerate(raw.split(b"\n")):
         body = line.strip(space)
@@ -44,11 +46,12 @@ def line_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
             starts.append(lo)
             ends.append(lo + len(body))
             numbers.append(k)
+            long.append(0 < long_words <= (len(body) + 1) // 2 and len(body.split()) >= long_words)
         at += len(line) + 1
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
     h = span_hashes(np.frombuffer(raw, np.uint8), np.array(starts), np.array(ends))
-    return h, np.array(numbers, np.int32)
+    return h, np.array(numbers, np.int32), np.array(long)
 
 
 def winnowed(h: np.ndarray, window: int) -> np.ndarray:
@@ -68,15 +71,20 @@ def _runs(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def _marks(docs: DataFrame, window: int) -> DataFrame:
-    """For every window of every document (k1, k2, text): its fingerprint, its hash and its lines."""
+def _marks(docs: DataFrame, window: int, long_words: int) -> DataFrame:
+    """For every window and every long line of every document (k1, k2, text): its fingerprint, its hash and its lines."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(lo, BATCH_TEXTS)
                 cols: list[list] = [[] for _ in _MARKS]
                 for k1, k2, text in zip(*(c.to_pylist() for c in part.columns)):
-                    h, numbers = line_hashes(text)
+                    h, numbers, long = line_hashes(text, long_words)
+                    if window > 1 and long.any():
+                        one, own = _runs(h[long], 1).view(np.int64), numbers[long]
+                        for c, v in zip(cols, (np.full(len(own), k1, np.int64), np.full(len(own), k2, np.int64),
+                                               one, one, own, own)):
+                            c.append(v)
                     if len(h) < window:
                         continue
                     n = len(h) - window + 1
@@ -92,23 +100,26 @@ def _marks(docs: DataFrame, window: int) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                keep: tuple = ()) -> DataFrame:
+                keep: tuple = (), long_words: int = LONG_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed and ``clean``, the text without repeated runs of lines.
 
     Order is by id, then by a hash of the text, so rows that share an id are
     documents of their own; rows equal in id and text are one document and are cut
     alike. A NULL id stands after all others. Lines without a word between two
     removed lines of one run go with them. NULL texts stay NULL, with no lines.
-    Texts of fewer than ``window`` lines are never cut. ``keep`` names input
-    columns to carry along as a struct ``row``.
+    Texts of fewer than ``window`` lines are cut only where a line is long; with
+    ``long_words`` 0 none is. ``keep`` names input columns to carry along as a struct ``row``.
     """
     d = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
         F.coalesce(F.col(f"`{id_col}`"), F.lit((1 << 63) - 1)).alias("k1"),
         F.xxhash64(F.col(f"`{text_col}`")).alias("k2"),
         *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []))
-    texts = d.where(F.instr("text", "\n") > 0 if window > 1 else F.col("text").isNotNull()).select("k1", "k2", "text")
-    marks = _marks(texts, window)
+    some = F.instr("text", "\n") > 0 if window > 1 else F.col("text").isNotNull()
+    if long_words:
+        some = some | (F.length("text") >= 2 * long_words - 1)
+    texts = d.where(some).select("k1", "k2", "text")
+    marks = _marks(texts, window, long_words)
     # Fingerprints that occur more than once, then the runs around them.
     # Each step is materialised, which leaves both sides of the next join to exchanges of their
     # own: a line that a third of all documents share can then be split over tasks.

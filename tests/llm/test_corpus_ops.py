@@ -460,6 +460,15 @@ def test_line_dedup_matches_brute_force(spark, window):
         assert (got[i].clean or "").count("\n") == max(0, kept - 1)
 
 
+def test_long_line_is_a_run_by_itself(spark):
+    long = " ".join(f"w{k}" for k in range(line_dedup.LONG_WORDS))
+    short = " ".join(f"w{k}" for k in range(line_dedup.LONG_WORDS - 1))
+    docs = [(1, f"own one\n {long}\t\nown two"), (2, f"other\n{long}\nlines"), (3, long), (4, f"{short}\nx\n{short}"),
+            (5, short), (6, f"{long} more"), (7, f"a\n{long} z\nb\n{long} z\nc")]
+    got = {r.doc_id: r.clean for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {**dict(docs), 2: "other\nlines", 3: "", 7: f"a\n{long} z\nb\nc"}
+
+
 def test_winnowing_guarantee_and_edges(spark, texts):
     h = np.random.default_rng(1).integers(0, 50, 300, dtype=np.uint64)
     for w in (1, 2, 5):
