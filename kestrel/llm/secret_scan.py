@@ -29,8 +29,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")   # as runs are maximal, the same as [0-9a-f]
 
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
 TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BLOB = re.compile(r"[0-9A-Fa-f]{64,}|[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+BLOB = re.compile(r"[0-9A-Fa-f]{64,}(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{40,}={0,2}")
+PARTS = (re.compile(r"[0-9A-Fa-f]{64,}"), re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
+#: What every key encoding begins with in base64: a SEQUENCE, a four-byte length below 2^16, the OpenSSH magic.
+HEAD = re.compile(r"M[A-P]|AAAA|b3BlbnNz")
+INNER = re.compile(r"(?<=[^A-Za-z0-9])(?:M[A-P]|AAAA|b3BlbnNz)[A-Za-z0-9+/_-]{32,}+={0,2}")
+#: Line ends: real ones, or written as in a string literal.
+BREAK = r"(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+LINES = re.compile(rf"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{{40,}}+{BREAK})+[A-Za-z0-9+/_-]*={{0,2}}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:[A-Za-z0-9+/=\s]|\\[rn]){16,}?)-----END \1-----")
 BATCH_TEXTS = 512
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
@@ -149,6 +156,56 @@ def signed_token(s: str) -> bool:
     return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(p, dict)
 
 
+def _key(s: str) -> str | None:
+    """Kind of the key that a blob of hex or base64 holds."""
+    kind = None
+    if len(s) % 2 == 0 and re.fullmatch(r"[0-9A-Fa-f]+", s):
+        kind = encoding(bytes.fromhex(s))
+    return kind or encoding(unbase64(s) or b"")
+
+
+def _blobs(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
+    """Keys in a run of base64 in either alphabet: the whole run, or else its parts in one alphabet
+    and what follows a sign in it."""
+    kind = _key(text[lo:hi])
+    if kind:
+        return [(kind, lo, hi)]
+    out, at = [], lo
+    spans = {m.span() for p in (*PARTS, INNER) for m in p.finditer(text, lo, hi)} - {(lo, hi)}
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        kind = _key(text[a:b]) if a >= at else None
+        if kind:
+            out.append((kind, a, b))
+            at = b
+    return out
+
+
+def _line_keys(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
+    """Keys over several lines of one width, the last of which may be shorter."""
+    rows, at = [], lo
+    for m in re.finditer(BREAK, text[lo:hi]):
+        rows.append((at, lo + m.start()))
+        at = lo + m.end()
+    rows.append((at, hi))
+    out, k = [], 0
+    while k < len(rows):
+        j, width = k + 1, rows[k][1] - rows[k][0]
+        if HEAD.match(text, rows[k][0]):
+            while j < len(rows) and rows[j][1] - rows[j][0] == width:
+                j += 1
+            for n in (j + 1, j, j - 1):    # with the shorter line after them, or a last full one that is something else
+                if k + 1 < n <= len(rows) and rows[n - 1][0] < rows[n - 1][1] and (n <= j or rows[j][1] - rows[j][0] < width):
+                    kind = encoding(unbase64("".join(text[a:b] for a, b in rows[k:n])) or b"")
+                    if kind:
+                        out.append((kind, rows[k][0], rows[n - 1][1]))
+                        j = n
+                        break
+            else:
+                j = k + 1
+        k = j
+    return out
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed."""
     out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -160,17 +217,15 @@ def find(text: str) -> list[tuple[str, int, int]]:
             if signed_token(m.group()):
                 out.append(("jwt", *m.span()))
         for m in BLOB.finditer(text, lo, hi):
-            s = m.group()
-            kind = None
-            if re.fullmatch(r"[0-9A-Fa-f]+", s) and len(s) % 2 == 0:
-                kind = encoding(bytes.fromhex(s))
-            kind = kind or encoding(unbase64(s) or b"")
-            if kind:
-                out.append((kind, *m.span()))
+            out += _blobs(text, *m.span())
+    armoured = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            if encoding(unbase64("".join(m.group(2).split())) or b""):
-                out.append(("pem", *m.span()))
+            if encoding(unbase64(re.sub(r"\\[rn]|\s", "", m.group(2))) or b""):
+                armoured.append(("pem", *m.span()))
+    out += armoured
+    for m in LINES.finditer(text):
+        out += [s for s in _line_keys(text, *m.span()) if not any(a < s[2] and s[1] < b for _, a, b in armoured)]
     order = {k: n for n, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (s[1], order[s[0]]))
 

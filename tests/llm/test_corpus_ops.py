@@ -236,6 +236,31 @@ def test_secret_structures_are_confirmed(kind, text):
     assert (kind, 6, 6 + len(text)) in found
 
 
+PKCS8 = [_tlv(0x30, _tlv(2, b"\0") + _tlv(0x30, _tlv(6, b"\x2a\x86\x48\x86\xf7\r\1\1\1") + _tlv(5, b"")) + _tlv(4, random.Random(k).randbytes(1190)))
+         for k in range(50)]
+
+
+def test_url_safe_keys_are_found_whole():
+    for key in PKCS8:
+        for text in (URL64(key), B64(key), "key-" + B64(key), "key_" + URL64(key), "id/" + URL64(key)):
+            start = 6 + (len(text) - len(URL64(key)) - text.count("=") if text[-len(URL64(key)):] != text else 0)
+            spans = [s for s in secret_scan.find(f"é see {text} end") if s[0] == "der"]
+            assert spans == [("der", start, 6 + len(text))]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n", "\\r\\n", "\n    "])
+def test_keys_over_several_lines_are_found(end):
+    for key, width in zip(PKCS8, [64, 76, 40, 64, 76]):
+        for encode in (B64, URL64):
+            body = end.join(re.findall(f".{{1,{width}}}", encode(key)))
+            for text in (f"é see {body} end", f"é see {body}{end}end", f"é key={body}", f"é key={body}{end}{'z' * 50}"):
+                at = text.index(body)
+                spans = [s for s in secret_scan.find(text) if s[0] == "der"]
+                assert spans == [("der", at, at + len(body))]
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{body if encode is B64 else end.join(re.findall('.{1,64}', B64(key)))}{end}-----END PRIVATE KEY-----"
+        assert [s for s in secret_scan.find(f"é {pem} end") if s[0] in ("pem", "der")] == [("pem", 2, 2 + len(pem))]
+
+
 @pytest.mark.parametrize("text", [
     B64(KEY[:-1]), B64(b"\x30" + bytes(70)), B64(bytes(range(90))), B64(WIRE[:-1]), "A" * 64, JWT.replace(JWT[:4], "AAAA"),
     URL64(b'{"typ":"x"}') + ".e30." + "s" * 40, "-----BEGIN KEY-----\n" + "QUJD" * 12 + "\n-----END KEY-----"])
