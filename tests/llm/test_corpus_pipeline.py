@@ -54,18 +54,6 @@ def test_stages_keep_the_columns_and_handle_awkward_rows(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF0001).where("start = 0").count() == df.count()
 
 
-def test_near_dedup_stage_links_from_a_similarity_of_80_percent(spark):
-    words = [f"w{k}" for k in range(104)]
-    texts = [words, [*words[:92], *[f"x{k}" for k in range(9)]], [*words[:85], *[f"y{k}" for k in range(19)]]]
-    rows = [(k, " ".join(t), "en", "s", 1) for k, t in enumerate(texts)]
-    sets = [brute.shingles(r[1]) for r in rows]
-    alike = [len(sets[0] & x) / len(sets[0] | x) for x in sets]
-    assert 0.80 <= alike[1] < 0.85 and alike[2] < 0.80
-    docs = spark.createDataFrame(rows, table(spark, SF0001, "documents").schema)
-    stage = dict(corpus_pipeline.STAGES)["near-dedup"]
-    assert sorted(r.doc_id for r in stage(spark, docs, SF0001).collect()) == [0, 2]
-
-
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_oracle(spark, duck001, name):
     ok, msg = compare(queries.QUERIES[name](spark, SF001), duck001, queries.ORACLE[name])
