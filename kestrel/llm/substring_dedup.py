@@ -33,59 +33,58 @@ _STEP, _BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
 def anchors(words: np.ndarray, sentence: np.ndarray, size: int) -> np.ndarray:
-    """Whether the pair of a word and its next has the only smallest hash of some ``size`` pairs of its sentence."""
+    """Whether the pair of a word and its next has the only smallest hash of some ``size`` pairs of its sentence;
+    ``size`` is a power of two."""
     out = np.zeros(len(words), bool)
     n = len(words) - size
     if n <= 0:
         return out
-    pair = mix(words[:-1] * np.uint64(_STEP) + words[1:])
-    best, at, once = pair[:n].copy(), np.arange(n), np.ones(n, bool)
-    for k in range(1, size):
-        h = pair[k:k + n]
-        less = h < best
-        once = less | once & (h != best)
-        at = np.where(less, np.arange(k, k + n), at)
-        best = np.where(less, h, best)
+    best = mix(words[:-1] * np.uint64(_STEP) + words[1:])
+    at, once, width = np.arange(len(best), dtype=np.int32), np.ones(len(best), bool), 1
+    while width < size:      # two neighbouring windows make one of twice the width
+        left, right = best[:-width], best[width:]
+        less = right < left
+        once = np.where(less, once[width:], once[:-width] & (left != right))
+        at = np.where(less, at[width:], at[:-width])
+        best = np.minimum(left, right)
+        width *= 2
     out[at[once & (sentence[:n] == sentence[size:])]] = True
     return out
 
 
 def units(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, unit_words: int,
-          anchor_words: int = 0) -> np.ndarray:
-    """Whether a word begins a sentence, or a further piece of a long one.
+          anchor_words: int = 0) -> list[np.ndarray]:
+    """Whether a word begins a sentence, or a further piece of a long one; with ``anchor_words`` for both cuts.
 
     A sentence ends after a word with an end mark (a closing quote or bracket may
     follow it), and with its line.
     """
     if not len(starts):
-        return np.zeros(0, bool)
+        return [np.zeros(0, bool)] * (1 + (anchor_words > 0))
     last = raw[ends - 1]
     quoted = _CLOSER[last] & _MARK[raw[np.maximum(ends - 2, starts)]]
     feeds = np.concatenate([[0], np.cumsum(raw == 10)])
     over = (_MARK[last] | quoted)[:-1] | (feeds[starts[1:]] > feeds[ends[:-1]])
     begins = np.concatenate([[True], over])
     at = np.arange(len(starts))
+    cut = lambda begins: (at - np.maximum.accumulate(np.where(begins, at, 0))) % unit_words == 0
+    if not anchor_words:
+        return [cut(begins)]
     sentence = np.cumsum(begins) - 1
-    if anchor_words:
-        begins |= anchors(words, sentence, anchor_words) & (np.bincount(sentence)[sentence] > unit_words)
-    return (at - np.maximum.accumulate(np.where(begins, at, 0))) % unit_words == 0
+    long = np.bincount(sentence)[sentence] > unit_words
+    return [cut(begins), cut(begins | anchors(words, sentence, anchor_words) & long)]
 
 
-def runs(counts: np.ndarray, min_words: int, min_sentences: int) -> np.ndarray:
-    """(first, past the last) of the hashed runs: shortest ones from every sentence on and up to every one."""
+def runs(counts: np.ndarray, min_words: int, min_sentences: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and past the last of the hashed runs: shortest ones from every sentence on and up to every one."""
     n = len(counts)
-    if not n:
-        return np.zeros((0, 2), np.int64)
-    total = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at + min_sentences)
-    forward = np.stack([at, end], 1)[end <= n]
-    at = np.arange(1, n + 1)
-    start = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at - min_sentences)
-    backward = np.stack([start, at], 1)[start >= 0]
-    both = np.concatenate([forward, backward])
-    code = np.unique(both[:, 0] * (n + 1) + both[:, 1])
-    return np.stack([code // (n + 1), code % (n + 1)], 1)
+    total = np.zeros(n + 1, np.int64)
+    np.cumsum(counts, out=total[1:])
+    at = np.arange(n + 1)
+    end = np.maximum(np.searchsorted(total, total[:-1] + min_words), at[:-1] + min_sentences)
+    start = np.minimum(np.searchsorted(total, total[1:] - min_words, side="right") - 1, at[1:] - min_sentences)
+    on, up = end <= n, start >= 0
+    return np.concatenate([at[:-1][on], start[up]]), np.concatenate([end[on], at[1:][up]])
 
 
 def hashed_runs(texts: list[bytes], min_words: int, min_sentences: int, unit_words: int, anchor_words: int = 0):
@@ -95,7 +94,7 @@ def hashed_runs(texts: list[bytes], min_words: int, min_sentences: int, unit_wor
     """
     raw, starts, ends, at = word_spans(texts)
     words = span_hashes(raw, starts, ends)
-    cuts = [units(raw, starts, ends, words, unit_words, a) for a in ((0, anchor_words) if anchor_words else (0,))]
+    cuts = units(raw, starts, ends, words, unit_words, anchor_words)
     every = np.logical_or.reduce(cuts)
     power = lambda base: np.multiply.accumulate(np.full(len(words) + 1, base, np.uint64))
     inverse = power(_BACK)
@@ -104,10 +103,14 @@ def hashed_runs(texts: list[bytes], min_words: int, min_sentences: int, unit_wor
     for k, text in enumerate(texts):
         place = lambda cut: np.append(at[k] + np.flatnonzero(cut[at[k]:at[k + 1]]), at[k + 1])  # noqa: E731, B023
         edges, firsts = place(every), [place(c) for c in cuts]
-        r = [np.searchsorted(edges, f[runs(np.diff(f), min_words, min_sentences)]) for f in firsts]
-        both = np.concatenate(r)
-        code = np.unique(both[:, 0] * len(edges) + both[:, 1])
-        r = np.stack([code // len(edges), code % len(edges)], 1)
+        same = len(edges) == len(firsts[0]) and len(firsts[-1]) == len(edges)
+        size, codes = len(edges), []
+        for f in firsts[:1] if same else firsts:
+            a, b = runs(np.diff(f), min_words, min_sentences)
+            place_of = np.searchsorted(edges, f)
+            codes.append(place_of[a] * size + place_of[b])
+        code = np.unique(np.concatenate(codes))
+        r = np.stack([code // size, code % size], 1)
         lo, hi = edges[r[:, 0]], edges[r[:, 1]]
         h = mix((sums[hi] - sums[lo]) * inverse[lo] ^ mix((hi - lo).astype(np.uint64)))
         out.append((len(firsts[0]) - 1, np.append(starts[edges[:-1]] - offset, len(text)), r, h.view(np.int64)))
