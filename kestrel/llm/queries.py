@@ -182,3 +182,12 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every benchmark item."""
     from . import ranked_search
     return ranked_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query("op11_suffix_dedup")
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 50-byte strings that begin in an earlier one."""
+    from . import suffix_dedup
+    out = suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
