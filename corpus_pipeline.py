@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from kestrel.llm import line_dedup, near_dup, packing, quality, secret_scan
 from kestrel.llm.queries import table
 from kestrel.llm.text import WORD
-from kestrel.session import ensure_checkpoint_dir, prepare
+from kestrel.session import cut_lineage, ensure_checkpoint_dir, prepare
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -29,12 +29,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated runs of lines go; documents with no word left go too.
-
-    A line is no run by itself here, however long (see README, Open).
-    """
+    """Later copies of repeated runs of lines go; documents with no word left go too."""
     prepare(spark)
-    out = line_dedup.dedup_lines(docs, keep=("lang", "source", "n_chars"), long_words=0)
+    out = line_dedup.dedup_lines(docs, keep=("lang", "source", "n_chars"))
     changed = F.col("n_removed") > 0
     out = out.where(~changed | F.col("clean").rlike(WORD))
     size = F.when(changed, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
@@ -42,13 +39,32 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    Rows equal in id and text are one document. Rows that share an id, or have none,
+    but differ in text are documents of their own: the one with the smallest digest
+    keeps the id, and the others are linked under numbers above all ids.
+    """
     prepare(spark)
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     rows = docs.select(*COLUMNS)
-    # Rows that share an id are one document, and one of them stays.
-    known = rows.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(rows.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
+    shared = cut_lineage(shared.select(F.col("doc_id").alias("id")))
+    if shared.isEmpty():
+        kept = near_dup.near_duplicates(rows).where("kept").select("doc_id")
+        return rows.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    texts = rows.join(shared, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").select("doc_id", "digest").distinct()
+    own = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("digest").alias("digest"))
+    more = texts.join(own, ["doc_id", "digest"], "left_anti")
+    last = rows.agg(F.max("doc_id")).first()[0] or 0
+    more = more.repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    more = cut_lineage(more.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"),
+                                   (F.monotonically_increasing_id() + (last + 1)).alias("number")))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d"))
+    rows = rows.join(more, same, "left").select(*COLUMNS, F.coalesce("number", "doc_id").alias("key"))
+    kept = near_dup.near_duplicates(rows, "key").where("kept").select(F.col("doc_id").alias("key"))
+    one = rows.join(kept.distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return one.select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

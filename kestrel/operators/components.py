@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     grow, and O(log^2 n) rounds suffice. A node's smallest neighbour comes from an
     aggregation with map-side combine and its edges are joined back, so a hub's
     edges are never gathered in one task. Rounds run until nothing changes. The
-    number of edges is known, and tasks are as many as it needs.
+    number of edges is known, and tasks are as many as it needs. Joins merge, so that
+    no round sends a table through the driver.
     """
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
@@ -32,10 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
         e = e.coalesce(tasks)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
-        e = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        e = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = e.coalesce(tasks)
         low = e.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
-        near = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = e.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = near.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct()
         e = cut_lineage(e.coalesce(tasks))
         now = _marks(e)
