@@ -72,10 +72,11 @@ def _counts(docs: DataFrame, good: DataFrame) -> tuple[list[int], list[list[int]
         F.col("p.b").isNull().alias("last"))
     grams = grams.where(~(F.col("last") & (F.col("bucket") >= BUCKETS)))
     raw, target = [0] * (2 * BUCKETS), [[0] * (2 * BUCKETS) for _ in range(FOLDS)]
-    for r in grams.groupBy("bucket", "t").count().collect():  # at most 2 * BUCKETS * (FOLDS + 1) rows
-        raw[r["bucket"]] += r["count"]
-        if r["t"] >= 0:
-            target[r["t"]][r["bucket"]] = r["count"]
+    found = grams.groupBy("bucket", "t").count().toArrow()  # at most 2 * BUCKETS * (FOLDS + 1) rows
+    for bucket, t, n in zip(*(found.column(c).to_pylist() for c in ("bucket", "t", "count"))):
+        raw[bucket] += n
+        if t >= 0:
+            target[t][bucket] = n
     return raw, target
 
 
@@ -102,10 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weights = log_ratios(raw, total)
     if sum(any(x) for x in target) < 2:
         return weights, THRESHOLD
-    held_out = [w for x in target for w in log_ratios(raw, [a - b for a, b in zip(total, x)])]
+    held_out = [(k, log_ratios(raw, [a - b for a, b in zip(total, x)])) for k, x in enumerate(target)]
+    # One row a fold, joined by the fold: as rows the tables stay out of the plan's text.
+    tables = docs.sparkSession.createDataFrame(held_out, "fold int, weights array<double>")
     seen = _hashed(d.join(F.broadcast(good), "doc_id", "left_semi")).where(F.size("w") >= MIN_WORDS)
-    score = _score(double_table(held_out), _fold(F.col("doc_id")) * (2 * BUCKETS))
-    low = seen.select(score.alias("score")).agg(F.percentile("score", LOSS)).first()[0]
+    seen = seen.withColumn("fold", _fold(F.col("doc_id"))).join(F.broadcast(tables), "fold")
+    low = seen.select(_score(F.col("weights")).alias("score")).agg(F.percentile("score", LOSS)).first()[0]
     return weights, THRESHOLD if low is None else low
 
 
@@ -124,10 +127,10 @@ def log_ratios(raw: list[int], target: list[int]) -> list[float]:
     return out
 
 
-def _score(table: Column, at: Column | int = 0) -> Column:
-    """Mean weight of a document's n-grams; its weights begin at place ``at`` of the table."""
+def _score(table: Column) -> Column:
+    """Mean weight of a document's n-grams."""
     n = F.size("w")
-    weight = lambda bucket: F.get(table, bucket.cast("int") + at)
+    weight = lambda bucket: F.get(table, bucket.cast("int"))
     uni = F.aggregate("h", F.lit(0.0), lambda a, x: a + weight(F.pmod(x, F.lit(BUCKETS))))
     bi = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + weight(
         _bucket(F.get("h", i - 1), F.get("h", i))))
