@@ -22,7 +22,7 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 1 << 20      # tuples that a queue holds in memory
+MEMORY = 1 << 21      # tuples that a queue holds in memory
 BUCKET = 1 << 12      # tuples of several symbols that are ordered at once
 CHUNK = 1 << 16       # tuples read or handled at once
 
@@ -39,6 +39,19 @@ def store(n: int, dtype, memory: int) -> np.ndarray:
     return np.zeros(n, dtype) if n <= 4 * memory else np.memmap(spill_file(), dtype, shape=n)
 
 
+def tuples(kind, *cols) -> np.ndarray:
+    """Rows of (key, position, common prefix)."""
+    out = np.empty((len(cols[0]), 3), kind)
+    for k, c in enumerate(cols):
+        out[:, k] = c
+    return out
+
+
+def kind_for(text: np.ndarray):
+    """Integers that hold any position and symbol of a text."""
+    return np.int32 if len(text) < 1 << 31 else np.int64
+
+
 class DiskQueue:
     """Tuples by ascending key and, within a key, in the order they came; on disk beyond ``memory`` tuples.
 
@@ -46,8 +59,8 @@ class DiskQueue:
     order, and what is pushed belongs to the bucket being emptied or to a later one.
     """
 
-    def __init__(self, bounds: np.ndarray, memory: int):
-        self.bounds, self.memory, self.held, self.file = bounds, memory, 0, None
+    def __init__(self, bounds: np.ndarray, kind, memory: int):
+        self.bounds, self.kind, self.memory, self.held, self.file = bounds, kind, memory, 0, None
         self.pieces: list[list] = [[] for _ in bounds]
 
     def push(self, rows: np.ndarray) -> None:
@@ -89,16 +102,17 @@ class DiskQueue:
                 yield rows
                 continue
             at, n = pieces.pop(0)
+            width = 3 * np.dtype(self.kind).itemsize
             for lo in range(0, n, CHUNK):
-                self.file.seek(at + 24 * lo)
-                yield np.frombuffer(self.file.read(24 * min(CHUNK, n - lo)), np.int64).reshape(-1, 3)
+                self.file.seek(at + width * lo)
+                yield np.frombuffer(self.file.read(width * min(CHUNK, n - lo)), self.kind).reshape(-1, 3)
 
 
 class Log:
     """Tuples in the order they came, read backwards; on disk beyond ``memory`` tuples."""
 
-    def __init__(self, memory: int):
-        self.memory, self.held, self.file, self.pieces = memory, 0, None, []
+    def __init__(self, kind, memory: int):
+        self.kind, self.memory, self.held, self.file, self.pieces = kind, memory, 0, None, []
 
     def append(self, rows: np.ndarray) -> None:
         self.pieces.append(rows)
@@ -115,7 +129,7 @@ class Log:
         for p in reversed(self.pieces):
             if isinstance(p, tuple):
                 self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(24 * p[1]), np.int64).reshape(-1, 3)
+                p = np.frombuffer(self.file.read(3 * np.dtype(self.kind).itemsize * p[1]), self.kind).reshape(-1, 3)
             yield p[::-1]
 
 
@@ -205,7 +219,8 @@ class Scan:
     def __init__(self, text: np.ndarray, top: int, down: bool, counts: np.ndarray, prefix, sink, memory: int):
         self.text, self.top, self.down, self.prefix, self.sink = text, top, down, prefix, sink
         self.bounds = _bounds(counts[::-1] if down else counts)
-        self.queue, self.given = DiskQueue(self.bounds, memory), DiskQueue(self.bounds, memory)
+        self.kind = kind_for(text)
+        self.queue, self.given = DiskQueue(self.bounds, self.kind, memory), DiskQueue(self.bounds, self.kind, memory)
         self.before = (-1, -1)      # the tuple scanned last: twice its key (and one more if it was given), position
 
     def keys(self, at: np.ndarray) -> np.ndarray:
@@ -226,8 +241,8 @@ class Scan:
 
     def _several(self, b: int, hi: int) -> None:
         queued, given = ([*q.drain(b)] for q in (self.queue, self.given))
-        rows = np.concatenate([*queued, *given, np.zeros((0, 3), np.int64)])
-        twice = 2 * rows[:, 0]
+        rows = np.concatenate([*queued, *given, np.zeros((0, 3), self.kind)])
+        twice = 2 * rows[:, 0].astype(np.int64)
         twice[len(twice) - sum(map(len, given)):] += 1
         order = np.argsort(twice, kind="stable")
         rows, twice = rows[order], twice[order]
@@ -241,12 +256,13 @@ class Scan:
             if here.any():
                 new = new[here]
                 new = new[np.argsort(new[:, 0], kind="stable")]
-                at = np.searchsorted(twice, 2 * new[:, 0], side="right")
-                rows, twice = np.insert(rows, at, new, 0), np.insert(twice, at, 2 * new[:, 0])
+                keys = 2 * new[:, 0].astype(np.int64)
+                at = np.searchsorted(twice, keys, side="right")
+                rows, twice = np.insert(rows, at, new, 0), np.insert(twice, at, keys)
 
     def _scan(self, twice: np.ndarray, rows: np.ndarray, several: bool = False) -> np.ndarray:
         """Tuples induced by the first tuples; with several keys only by those that nothing induced comes before."""
-        pos = rows[:, 1]
+        pos = rows[:, 1].astype(np.int64)
         left = self.keys(np.maximum(pos - 1, 0))
         key, given = twice >> 1, twice & 1
         hit = (pos > 0) & ((left > key) | ((left == key) & (given == 0)))
@@ -257,7 +273,7 @@ class Scan:
             if len(late):
                 self.done = int(late[0]) + 1
         n = self.done
-        twice, pos, value, hit = twice[:n], pos[:n], rows[:n, 2].copy(), hit[:n]
+        twice, pos, value, hit = twice[:n], pos[:n], rows[:n, 2].astype(np.int64), hit[:n]
         if n:
             for k in np.flatnonzero((given[:n] == 1) & (np.append(self.before[0], twice[:-1]) == twice - 1)).tolist():
                 value[k] = self.prefix.seam(int(pos[k - 1]) if k else self.before[1], int(pos[k]))
@@ -265,7 +281,7 @@ class Scan:
             self.sink(twice, pos, value)
         at = np.flatnonzero(hit)
         key = left[:n][at]
-        return np.stack([key, pos[at] - 1, self.prefix.step(value, at, key)], 1)
+        return tuples(self.kind, key, pos[at] - 1, self.prefix.step(value, at, key))
 
 
 def stars(text: np.ndarray, memory: int) -> np.ndarray:
@@ -300,11 +316,12 @@ def _counts(text: np.ndarray, top: int) -> np.ndarray:
 
 def _induce(text, top, counts, seeds, prefixes, sink, memory) -> None:
     """Scan upward from the stars, then downward from the L suffixes; ``seeds`` fills the first scan's queue of given tuples."""
-    log = Log(memory)
+    kind = kind_for(text)
+    log = Log(kind, memory)
 
     def keep(twice, pos, value):
         mine = twice & 1 == 0
-        log.append(np.stack([twice[mine] >> 1, pos[mine], value[mine]], 1))
+        log.append(tuples(kind, twice[mine] >> 1, pos[mine], value[mine]))
 
     up = Scan(text, top, False, counts, prefixes[0], keep, memory)
     seeds(up.given)
@@ -314,7 +331,7 @@ def _induce(text, top, counts, seeds, prefixes, sink, memory) -> None:
     for rows in log.backwards():
         if len(rows):
             # In this direction a tuple follows the one that it preceded.
-            down.given.push(np.stack([top - rows[:, 0], rows[:, 1], np.append(carried, rows[:-1, 2])], 1))
+            down.given.push(tuples(kind, top - rows[:, 0], rows[:, 1], np.append(carried, rows[:-1, 2])))
             carried = int(rows[-1, 2])
     down.run()
 
@@ -332,7 +349,7 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
             pos = np.asarray(at[lo:lo + CHUNK])
             key = text[pos].astype(np.int64)
             order = np.argsort(key, kind="stable")
-            queue.push(np.stack([key[order], pos[order], np.ones(len(pos), np.int64)], 1))
+            queue.push(tuples(kind_for(text), key[order], pos[order], np.ones(len(pos))))
 
     names = store(n, np.int32, memory)
     state = {"names": 0, "equal": True}
@@ -386,7 +403,7 @@ def _suffixes(text, top, prefix, sink, memory) -> None:
             if isinstance(up, Common):
                 value = shared_prefixes(text, np.append(last, pos), up.most)
             last = int(pos[-1])
-            queue.push(np.stack([text[pos].astype(np.int64), pos, value], 1))
+            queue.push(tuples(kind_for(text), text[pos], pos, value))
 
     up, down = prefix(text, top + 1), prefix(text, top + 1)
     _induce(text, top, counts, seeds, (up, down), sink, memory)

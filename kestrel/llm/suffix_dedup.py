@@ -33,7 +33,7 @@ from .text import take
 LENGTH = 50
 GRAM = 16                 # bytes of an anchor
 GROUP_BYTES = 2 << 20     # of texts in a group; a longer text is a group by itself
-PART_BYTES = 32 << 20     # of texts for each part that counts, and each shard
+PART_BYTES = 16 << 20     # of texts for each part that counts, and each shard
 SLICE = 1 << 20           # positions whose anchors are found at once
 HOT = 10_000              # stretches of one anchor beyond which its strings go by themselves
 SEEN = 1 << 19            # stretches that a shard remembers, to take equal ones once
@@ -42,13 +42,17 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
+    """Bytes of an array, compressed where that saves some; the first four or eight say how many they are."""
     raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
+    return len(raw).to_bytes(8, "little") + small if len(small) + 4 < len(raw) else b"\xff\xff\xff\xff" + raw
 
 
 def _unpack(x: bytes, dtype=np.uint8) -> np.ndarray:
+    if x[:4] == b"\xff\xff\xff\xff":
+        return np.frombuffer(x[4:], dtype)
     size = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", dtype)
+    return np.frombuffer(pa.decompress(x[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype)
 
 
 def _rows(schema: pa.Schema, rows: list) -> pa.RecordBatch:
@@ -63,7 +67,10 @@ GROUP = "g long, size long, ids binary, limits binary, texts binary"
 
 
 def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Groups of documents: number, bytes, ids, where texts end and all texts; kept in the shared folder, so that numbers last."""
+    """Groups of documents: number, bytes, ids, where texts end and all texts.
+
+    They are kept in the shared folder, so that numbers last.
+    """
     def run(batches):
         first = TaskContext.get().partitionId() << 32
         ids, texts, size = [], [], 0
@@ -243,28 +250,25 @@ def _singles(start: np.ndarray, count: np.ndarray, doc: np.ndarray, pick: np.nda
 
 # --- stretches to shards ---------------------------------------------------------
 
-#: part is -1 for a group's own note of its stretches: part, number in what went there, start, number of starts.
 _SENT = pa.schema([("part", pa.int32()), ("g", pa.int64()), ("sizes", pa.binary()), ("owners", pa.binary()),
                    ("latest", pa.binary()), ("bytes", pa.binary())])
 SENT = "part int, g long, sizes binary, owners binary, latest binary, bytes binary"
 
 
-def send(groups: DataFrame, marks: DataFrame, single: DataFrame | None, length: int, parts: int) -> DataFrame:
-    """Distinct stretches of every group, by shard, with the smallest and largest id that holds them."""
-    d = groups.join(marks, "g", "left")
-    if single is not None:
-        d = d.join(single.withColumnRenamed("replies", "single"), "g", "left")
-    has_single = single is not None
+class Kept:
+    """The stretches of a group that others may hold too, by shard: which, where, and the distinct ones of each shard."""
 
-    def run(batch, k):
-        g, ids, limits, raw = _open(batch, k)
-        col = lambda name: batch.column(batch.schema.get_field_index(name))[k].as_py()
+    def __init__(self, batch: pa.RecordBatch, k: int, length: int, parts: int):
+        self.g, ids, limits, raw = _open(batch, k)
+        self.ids, self.limits, self.raw, self.length = ids, limits, raw, length
+        names = batch.schema.names
+        col = lambda name: batch.column(names.index(name))[k].as_py()
         h, start, count, doc = stretches(raw, limits, length)
         code, known, _ = _distinct(h, ids[doc], parts)
         mark = _marks(col("replies"), len(known))[np.searchsorted(known, code)]
         pick = mark == 1
         lists = [(code[pick], start[pick], count[pick], doc[pick])]
-        if has_single:
+        if "single" in names:
             at, own = _singles(start, count, doc, mark == 2)
             code, known, _ = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[own], parts)
             hit = _marks(col("single"), len(known))[np.searchsorted(known, code)] > 0
@@ -272,15 +276,20 @@ def send(groups: DataFrame, marks: DataFrame, single: DataFrame | None, length:
         code, start, count, doc = (np.concatenate(c) for c in zip(*lists))
         shard = (code >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        shard, start, count, doc = shard[order], start[order], count[order], doc[order]
-        data, number = raw.tobytes(), np.zeros(len(order), np.int64)
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else []
+        self.shard, self.start, self.count, self.owner = shard[order], start[order], count[order], ids[doc[order]]
+        self.number = np.zeros(len(order), np.int64)      # among the distinct stretches of its shard
+
+    def distinct(self):
+        """(shard, stretches, smallest and largest id that hold each) for every shard."""
+        data, shard = self.raw.tobytes(), self.shard
+        ends = (self.start + self.count + self.length - 1).tolist()
+        starts, keys = self.start.tolist(), self.owner.tolist()
+        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() if len(shard) else []
         for lo, hi in zip(cut, [*cut[1:], len(shard)]):
             seen, owners, latest = {}, [], []
-            keys = ids[doc[lo:hi]].tolist()
-            for j, s, e, key in zip(range(lo, hi), start[lo:hi].tolist(), (start + count)[lo:hi].tolist(), keys):
-                m = seen.setdefault(data[s:e + length - 1], len(seen))
-                number[j] = m
+            for j in range(lo, hi):
+                key = keys[j]
+                m = self.number[j] = seen.setdefault(data[starts[j]:ends[j]], len(seen))
                 if m == len(owners):
                     owners.append(key)
                     latest.append(key)
@@ -288,12 +297,18 @@ def send(groups: DataFrame, marks: DataFrame, single: DataFrame | None, length:
                     owners[m] = key
                 elif key > latest[m]:
                     latest[m] = key
-            yield (int(shard[lo]), g, _pack(np.array([len(x) for x in seen], np.uint32)), _pack(np.array(owners, np.int64)),
+            yield int(shard[lo]), seen, owners, latest
+
+
+def send(informed: DataFrame, length: int, parts: int) -> DataFrame:
+    """Distinct stretches of every group, by shard, with the smallest and largest id that holds them."""
+    def run(batch, k):
+        kept = Kept(batch, k, length, parts)
+        for shard, seen, owners, latest in kept.distinct():
+            yield (shard, kept.g, _pack(np.array([len(x) for x in seen], np.uint32)), _pack(np.array(owners, np.int64)),
                    _pack(np.array(latest, np.int64)), _pack(b"".join(seen)))
-        if len(shard):
-            yield (-1, g, _pack(shard.astype(np.int32)), _pack(number), _pack(start), _pack(count.astype(np.int32)))
 
-    return cut_lineage(d.mapInArrow(_per_group(run, _SENT), SENT))
+    return informed.mapInArrow(_per_group(run, _SENT), SENT)
 
 
 # --- shards ------------------------------------------------------------------------
@@ -390,7 +405,7 @@ def _sort_shards(sent: DataFrame, length: int, parts: int, memory: int) -> DataF
         if shard:
             yield from done()
 
-    d = sent.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part")
+    d = sent.repartition(parts, "part").sortWithinPartitions("part")
     return d.mapInArrow(run, FOUND)
 
 
@@ -400,16 +415,15 @@ _CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
                   ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def _covered(note: dict | None, answers: list, ids: np.ndarray, limits: np.ndarray, size: int, length: int) -> np.ndarray:
+def _covered(kept: Kept, answers: list) -> np.ndarray:
     """Whether each byte of a group's texts goes."""
-    turn = np.zeros(size + 1, np.int32)
-    if note:
-        shard, number = _unpack(note["sizes"], np.int32).astype(np.int64), _unpack(note["owners"], np.int64)
-        start = _unpack(note["latest"], np.int64)
-        code = shard << 32 | number
+    turn = np.zeros(len(kept.raw) + 1, np.int32)
+    if answers:
+        for _ in kept.distinct():     # numbers the stretches as they were sent
+            pass
+        code = kept.shard << 32 | kept.number
         order = np.argsort(code, kind="stable")
-        code, start = code[order], start[order]
-        own = ids[np.searchsorted(limits, start, side="right") - 1]
+        code, start, own = code[order], kept.start[order], kept.owner[order]
         for a in answers:
             want = a["part"] << 32 | _unpack(a["number"], np.int32).astype(np.int64)
             lo, hi = np.searchsorted(code, want, "left"), np.searchsorted(code, want, "right")
@@ -420,7 +434,7 @@ def _covered(note: dict | None, answers: list, ids: np.ndarray, limits: np.ndarr
             which, at = which[hit], at[hit]
             first = start[at] + _unpack(a["first"], np.int32)[which]
             np.add.at(turn, first, 1)
-            np.add.at(turn, first + _unpack(a["n"], np.int32)[which] + length - 1, -1)
+            np.add.at(turn, first + _unpack(a["n"], np.int32)[which] + kept.length - 1, -1)
     return np.cumsum(turn[:-1]) > 0
 
 
@@ -441,25 +455,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = groups.agg(F.sum("size")).first()[0] or 0
     parts = int(total) // part_bytes + 1
     marks, single = repeated(groups, length, parts, hot)
-    sent = send(groups, marks, single, length, parts)
-    found = _sort_shards(sent, length, parts, memory)
+    informed = groups.join(marks, "g", "left")
+    if single is not None:
+        informed = informed.join(single.withColumnRenamed("replies", "single"), "g", "left")
+    found = _sort_shards(send(informed, length, parts), length, parts, memory)
     answers = found.groupBy("g").agg(F.collect_list(F.struct("part", "number", "first", "n", "owner")).alias("answers"))
-    notes = sent.where("part < 0").select("g", F.struct("sizes", "owners", "latest").alias("note"))
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                _, ids, limits, raw = _open(batch, k)
-                note, answer = (batch.column(batch.schema.get_field_index(c))[k].as_py() for c in ("note", "answers"))
-                gone = _covered(note, answer or [], ids, limits, len(raw), length)
+                kept = Kept(batch, k, length, parts)
+                gone = _covered(kept, batch.column(batch.schema.get_field_index("answers"))[k].as_py())
                 rows = []
-                for i, lo, hi in zip(ids.tolist(), limits[:-1].tolist(), limits[1:].tolist()):
-                    text, out = raw[lo:hi], gone[lo:hi]
+                for i, lo, hi in zip(kept.ids.tolist(), kept.limits[:-1].tolist(), kept.limits[1:].tolist()):
+                    text, out = kept.raw[lo:hi], gone[lo:hi]
                     turns = np.flatnonzero(np.diff(out, prepend=False, append=False)) if out.any() else np.zeros(0, np.int64)
                     spans = [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]
                     rows.append((None if i == _LAST else i, hi - lo, int(out.sum()), spans,
                                  text[~out].tobytes() if spans else text.tobytes()))
                 yield _rows(_CUT, rows)
 
-    d = groups.join(notes, "g", "left").join(answers, "g", "left")
-    return d.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
+    return informed.join(answers, "g", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
