@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_LONG = 1024             # bytes
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -22,26 +23,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = max(n + 1, 2 * len(_powers))
-        for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            globals()[name] = np.multiply.accumulate(p)
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of raw[start:end] for every span; equal bytes have equal hashes wherever they stand."""
-    _grow(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * _powers[:len(raw)], out=sums[1:])
-    poly = (sums[ends] - sums[starts]) * _inverses[starts]
-    return mix(poly ^ mix((ends - starts).astype(np.uint64)))
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of raw[start:end] for every span; equal bytes have equal hashes wherever they stand.
+
+    Eight bytes at a time go through the finaliser, so no structure of a text makes
+    two spans meet. Spans beyond ``_LONG`` bytes are digested one by one.
+    """
+    size = np.asarray(ends, np.int64) - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(seed))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(raw[starts[k]:ends[k]].tobytes(), digest_size=8, key=b"%d" % seed).digest()
+        out[k] = int.from_bytes(digest, "little")
+    pick = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = np.asarray(starts, np.int64)[pick], size[pick]
+    while len(pick):
+        out[pick] = mix(out[pick] * np.uint64(_BASE) + (eight[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        pick, at, left = pick[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
