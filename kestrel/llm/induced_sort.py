@@ -22,7 +22,7 @@ import tempfile
 
 import numpy as np
 
-MEMORY = 1 << 21      # tuples that a queue holds in memory
+MEMORY = 1 << 22      # tuples that a queue holds in memory
 BUCKET = 1 << 12      # tuples of several symbols that are ordered at once
 CHUNK = 1 << 16       # tuples read or handled at once
 
@@ -36,7 +36,7 @@ def spill_file():
 
 def store(n: int, dtype, memory: int) -> np.ndarray:
     """An array of n values, on disk where it is long."""
-    return np.zeros(n, dtype) if n <= 4 * memory else np.memmap(spill_file(), dtype, shape=n)
+    return np.zeros(n, dtype) if n <= 2 * memory else np.memmap(spill_file(), dtype, shape=n)
 
 
 def tuples(kind, *cols) -> np.ndarray:
@@ -47,6 +47,11 @@ def tuples(kind, *cols) -> np.ndarray:
     return out
 
 
+def by_key(keys: np.ndarray) -> np.ndarray:
+    """Stable order by key; small keys take the fast way."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+
+
 def kind_for(text: np.ndarray):
     """Integers that hold any position and symbol of a text."""
     return np.int32 if len(text) < 1 << 31 else np.int64
@@ -59,16 +64,17 @@ class DiskQueue:
     order, and what is pushed belongs to the bucket being emptied or to a later one.
     """
 
-    def __init__(self, bounds: np.ndarray, kind, memory: int):
+    def __init__(self, bounds: np.ndarray, n_keys: int, kind, memory: int):
         self.bounds, self.kind, self.memory, self.held, self.file = bounds, kind, memory, 0, None
         self.pieces: list[list] = [[] for _ in bounds]
+        self.single = len(bounds) == n_keys     # a bucket for every key
 
     def push(self, rows: np.ndarray) -> None:
         if not len(rows):
             return
-        b = np.searchsorted(self.bounds, rows[:, 0], side="right") - 1
+        b = rows[:, 0] if self.single else np.searchsorted(self.bounds, rows[:, 0], side="right") - 1
         if (b[1:] < b[:-1]).any():
-            order = np.argsort(b, kind="stable")
+            order = by_key(b)
             b, rows = b[order], rows[order]
         cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
@@ -134,7 +140,11 @@ class Log:
 
 
 class Nothing:
-    """No common prefixes are carried."""
+    """No common prefixes are carried.
+
+    ``step`` gets the values of the tuples scanned, and the places among them of those that
+    induce one, with its key: by key and, within one, in the order scanned.
+    """
 
     def seam(self, a: int, b: int) -> int:
         return 0
@@ -152,14 +162,12 @@ class Equal(Nothing):
     def step(self, values, at, keys):
         number = self.count + np.arange(len(values))
         zero = np.maximum.accumulate(np.maximum(np.where(values == 0, number, -1), self.zero))
-        order = np.argsort(keys, kind="stable")
-        k, mine = keys[order], number[at[order]]
-        same = k[1:] == k[:-1]
-        before = self.last[k]
+        mine = number[at]
+        same = keys[1:] == keys[:-1]
+        before = self.last[keys]
         before[1:][same] = mine[:-1][same]
-        out = np.empty(len(at), np.int64)
-        out[order] = (before >= 0) & (zero[at[order]] <= before)
-        self.last[k] = mine     # of repeated keys the last one stays
+        out = (before >= 0) & (zero[at] <= before)
+        self.last[keys] = mine     # of repeated keys the last one stays
         self.count += len(values)
         if len(zero):
             self.zero = zero[-1]
@@ -184,8 +192,7 @@ class Common:
             return np.zeros(0, np.int64)
         upto = np.minimum.accumulate(values)
         after = np.append(np.minimum.accumulate(values[::-1])[::-1], self.most)
-        order = np.argsort(keys, kind="stable")
-        k, a = keys[order], at[order]
+        k, a = keys, at
         least = np.full(len(k), -1, np.int64)
         if len(k):
             first = np.append(True, k[1:] != k[:-1])
@@ -197,9 +204,7 @@ class Common:
                 least[later] = np.minimum.reduceat(np.append(values, 0), edges)[::2]
         self.least = np.where(self.least < 0, -1, np.minimum(self.least, upto[-1]))
         self.least[k] = after[a + 1]                     # of repeated keys the last one stays
-        out = np.empty(len(k), np.int64)
-        out[order] = np.where(least < 0, 0, np.minimum(least + 1, self.most))
-        return out
+        return np.where(least < 0, 0, np.minimum(least + 1, self.most))
 
 
 def _bounds(counts: np.ndarray) -> np.ndarray:
@@ -220,7 +225,7 @@ class Scan:
         self.text, self.top, self.down, self.prefix, self.sink = text, top, down, prefix, sink
         self.bounds = _bounds(counts[::-1] if down else counts)
         self.kind = kind_for(text)
-        self.queue, self.given = DiskQueue(self.bounds, self.kind, memory), DiskQueue(self.bounds, self.kind, memory)
+        self.queue, self.given = (DiskQueue(self.bounds, top + 1, self.kind, memory) for _ in range(2))
         self.before = (-1, -1)      # the tuple scanned last: twice its key (and one more if it was given), position
 
     def keys(self, at: np.ndarray) -> np.ndarray:
@@ -255,7 +260,6 @@ class Scan:
             self.queue.push(new[~here])
             if here.any():
                 new = new[here]
-                new = new[np.argsort(new[:, 0], kind="stable")]
                 keys = 2 * new[:, 0].astype(np.int64)
                 at = np.searchsorted(twice, keys, side="right")
                 rows, twice = np.insert(rows, at, new, 0), np.insert(twice, at, keys)
@@ -280,7 +284,8 @@ class Scan:
             self.before = (int(twice[-1]), int(pos[-1]))
             self.sink(twice, pos, value)
         at = np.flatnonzero(hit)
-        key = left[:n][at]
+        at = at[by_key(left[at])]
+        key = left[at]
         return tuples(self.kind, key, pos[at] - 1, self.prefix.step(value, at, key))
 
 
@@ -379,6 +384,8 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
         for lo in range(0, n, CHUNK):
             order[names[lo:lo + CHUNK]] = at[lo:lo + CHUNK]
         return order, counts
+    if n <= memory:
+        return at[doubled(names)], counts
     order = store(n, np.int64, memory)
     left = [n]
 
@@ -391,6 +398,21 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
     return order, counts
 
 
+def doubled(names: np.ndarray) -> np.ndarray:
+    """Suffix order of a text that fits in memory, by ranks of prefixes of twice the length each round: ends the recursion."""
+    rank, size, n = names.astype(np.int64), 1, len(names)
+    while True:
+        pair = rank * (n + 1)
+        pair[:-size] += rank[size:] + 1
+        order = np.argsort(pair)
+        new = np.append(0, np.cumsum(pair[order][1:] != pair[order][:-1]))
+        if new[-1] == n - 1:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        size *= 2
+
+
 def _suffixes(text, top, prefix, sink, memory) -> None:
     """All suffixes but the last symbol's, descending, as (twice, position, value) to ``sink``."""
     order, counts = star_order(text, top, memory)

@@ -20,83 +20,25 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kestrel.session import cut_lineage
 
 from . import induced_sort
+from .groups import GROUP_BYTES, LAST, batch_of, by_group, grouped, opened, pack, per_group, unpack
 from .hashing import mix
 from .text import take
 
 LENGTH = 50
 GRAM = 16                 # bytes of an anchor
-GROUP_BYTES = 2 << 20     # of texts in a group; a longer text is a group by itself
-PART_BYTES = 16 << 20     # of texts for each part that counts, and each shard
+PART_BYTES = 8 << 20      # of texts for each part that counts, and each shard
 SLICE = 1 << 20           # positions whose anchors are found at once
-HOT = 10_000              # stretches of one anchor beyond which its strings go by themselves
+HOT = 200_000             # stretches of one anchor, 13 MB, beyond which its strings go by themselves
 SEEN = 1 << 19            # stretches that a shard remembers, to take equal ones once
-_LAST = (1 << 63) - 1
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pack(x: np.ndarray | bytes) -> bytes:
-    """Bytes of an array, compressed where that saves some; the first four or eight say how many they are."""
-    raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
-    small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 64 else raw
-    return len(raw).to_bytes(8, "little") + small if len(small) + 4 < len(raw) else b"\xff\xff\xff\xff" + raw
-
-
-def _unpack(x: bytes, dtype=np.uint8) -> np.ndarray:
-    if x[:4] == b"\xff\xff\xff\xff":
-        return np.frombuffer(x[4:], dtype)
-    size = int.from_bytes(x[:8], "little")
-    return np.frombuffer(pa.decompress(x[8:], decompressed_size=size, codec="zstd", asbytes=True), dtype)
-
-
-def _rows(schema: pa.Schema, rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for f, c in zip(schema, zip(*rows) if rows else [[]] * len(schema))],
-                                      schema=schema)
-
-
-# --- groups --------------------------------------------------------------------
-
-_GROUP = pa.schema([("g", pa.int64()), ("size", pa.int64()), ("ids", pa.binary()), ("limits", pa.binary()), ("texts", pa.binary())])
-GROUP = "g long, size long, ids binary, limits binary, texts binary"
-
-
-def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """Groups of documents: number, bytes, ids, where texts end and all texts.
-
-    They are kept in the shared folder, so that numbers last.
-    """
-    def run(batches):
-        first = TaskContext.get().partitionId() << 32
-        ids, texts, size = [], [], 0
-
-        def row():
-            nonlocal first
-            limits = np.cumsum([0, *map(len, texts)])
-            first += 1
-            return _rows(_GROUP, [(first - 1, int(limits[-1]), _pack(np.array(ids, np.int64)), _pack(limits.astype(np.int64)),
-                                   _pack(b"".join(texts)))])
-
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = (t or "").encode()
-                if ids and size + len(t) > group_bytes:
-                    yield row()
-                    ids, texts, size = [], [], 0
-                ids.append(_LAST if i is None else i)
-                texts.append(t)
-                size += len(t)
-        if ids:
-            yield row()
-
-    return cut_lineage(docs.select("doc_id", "text").mapInArrow(run, GROUP))
-
-
 # --- anchors -------------------------------------------------------------------
 
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
@@ -161,14 +103,14 @@ def _held(g: int, code: np.ndarray, count: np.ndarray):
     part = (code >> np.uint64(32)).astype(np.int64)
     cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
     for lo, hi in zip(cut, [*cut[1:], len(part)]):
-        yield int(part[lo]), g, _pack(code[lo:hi].astype(np.uint32)), _pack(count[lo:hi])
+        yield int(part[lo]), g, pack(code[lo:hi].astype(np.uint32)), pack(count[lo:hi])
 
 
 def _count(held: DataFrame, hot: int) -> DataFrame:
     """What each group learns of a part: 0 for a hash in one document only, 1 in several, 2 in very many stretches."""
     def run(table: pa.Table) -> pa.Table:
-        lows = [_unpack(x.as_py(), np.uint32) for x in table.column("low")]
-        counts = [_unpack(x.as_py()) for x in table.column("n")]
+        lows = [unpack(x.as_py(), np.uint32) for x in table.column("low")]
+        counts = [unpack(x.as_py()) for x in table.column("n")]
         low = np.concatenate(lows)
         order = np.argsort(low, kind="stable")
         first = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
@@ -178,8 +120,8 @@ def _count(held: DataFrame, hot: int) -> DataFrame:
         marks[order] = np.repeat(mark, np.diff(np.append(first, len(low))))
         cut = np.cumsum([0, *map(len, lows)])
         out = [marks[a:b] for a, b in zip(cut[:-1], cut[1:])]
-        return pa.Table.from_batches([_rows(_REPLY, [
-            (g, p, _pack(m), bool((m == 2).any())) for g, p, m in
+        return pa.Table.from_batches([batch_of(_REPLY, [
+            (g, p, pack(m), bool((m == 2).any())) for g, p, m in
             zip(table.column("g").to_pylist(), table.column("part").to_pylist(), out)])])
 
     return held.groupBy("part").applyInArrow(run, "g long, part int, marks binary, hot boolean")
@@ -187,48 +129,28 @@ def _count(held: DataFrame, hot: int) -> DataFrame:
 
 def _marks(replies: list, n: int) -> np.ndarray:
     """A group's marks in the order of its distinct hashes."""
-    out = [_unpack(m) for _, m in sorted((r["part"], r["marks"]) for r in replies or [])]
+    out = [unpack(m) for _, m in sorted((r["part"], r["marks"]) for r in replies or [])]
     marks = np.concatenate([*out, np.zeros(0, np.uint8)])
     if len(marks) != n:
         raise RuntimeError("a group got another number of marks than it sent hashes")
     return marks
 
 
-def _by_group(replies: DataFrame, *cols: str) -> DataFrame:
-    return replies.groupBy("g").agg(F.collect_list(F.struct(*cols)).alias("replies"))
-
-
-def _open(batch: pa.RecordBatch, k: int) -> tuple:
-    col = lambda name: batch.column(batch.schema.get_field_index(name))[k].as_py()
-    return col("g"), _unpack(col("ids"), np.int64), _unpack(col("limits"), np.int64), _unpack(col("texts"))
-
-
-def _per_group(fn, schema: pa.Schema):
-    """A function of (one group's row) that yields rows, as one for mapInArrow."""
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                rows = list(fn(batch, k))
-                if rows:
-                    yield _rows(schema, rows)
-    return run
-
-
 def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """Marks of each group's anchors; and of the single strings of anchors marked 2, where there are any."""
     def anchors(batch, k):
-        g, ids, limits, raw = _open(batch, k)
+        g, ids, limits, raw = opened(batch, k)
         h, _, _, doc = stretches(raw, limits, length)
         _, code, count = _distinct(h, ids[doc], parts)
         yield from _held(g, code, count)
 
     held_type = "part int, g long, low binary, n binary"
-    marks = cut_lineage(_count(groups.mapInArrow(_per_group(anchors, _HELD), held_type), hot))
+    marks = cut_lineage(_count(groups.mapInArrow(per_group(anchors, _HELD), held_type), hot))
     if not marks.where("hot").head(1):
-        return _by_group(marks, "part", "marks"), None
+        return by_group(marks, "part", "marks"), None
 
     def strings(batch, k):
-        g, ids, limits, raw = _open(batch, k)
+        g, ids, limits, raw = opened(batch, k)
         h, start, count, doc = stretches(raw, limits, length)
         code, known, _ = _distinct(h, ids[doc], parts)
         mark = _marks(batch.column(batch.schema.get_field_index("replies"))[k].as_py(), len(known))[np.searchsorted(known, code)]
@@ -236,9 +158,9 @@ def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[Data
         _, code, count = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[doc], parts)
         yield from _held(g, code, count)
 
-    mine = groups.join(_by_group(marks, "part", "marks"), "g", "left")
-    single = cut_lineage(_count(mine.mapInArrow(_per_group(strings, _HELD), held_type), _LAST))
-    return _by_group(marks, "part", "marks"), _by_group(single, "part", "marks")
+    mine = groups.join(by_group(marks, "part", "marks"), "g", "left")
+    single = cut_lineage(_count(mine.mapInArrow(per_group(strings, _HELD), held_type), LAST))
+    return by_group(marks, "part", "marks"), by_group(single, "part", "marks")
 
 
 def _singles(start: np.ndarray, count: np.ndarray, doc: np.ndarray, pick: np.ndarray):
@@ -259,7 +181,7 @@ class Kept:
     """The stretches of a group that others may hold too, by shard: which, where, and the distinct ones of each shard."""
 
     def __init__(self, batch: pa.RecordBatch, k: int, length: int, parts: int):
-        self.g, ids, limits, raw = _open(batch, k)
+        self.g, ids, limits, raw = opened(batch, k)
         self.ids, self.limits, self.raw, self.length = ids, limits, raw, length
         names = batch.schema.names
         col = lambda name: batch.column(names.index(name))[k].as_py()
@@ -305,10 +227,10 @@ def send(informed: DataFrame, length: int, parts: int) -> DataFrame:
     def run(batch, k):
         kept = Kept(batch, k, length, parts)
         for shard, seen, owners, latest in kept.distinct():
-            yield (shard, kept.g, _pack(np.array([len(x) for x in seen], np.uint32)), _pack(np.array(owners, np.int64)),
-                   _pack(np.array(latest, np.int64)), _pack(b"".join(seen)))
+            yield (shard, kept.g, pack(np.array([len(x) for x in seen], np.uint32)), pack(np.array(owners, np.int64)),
+                   pack(np.array(latest, np.int64)), pack(b"".join(seen)))
 
-    return informed.mapInArrow(_per_group(run, _SENT), SENT)
+    return informed.mapInArrow(per_group(run, _SENT), SENT)
 
 
 # --- shards ------------------------------------------------------------------------
@@ -344,7 +266,7 @@ class Shard:
         """For every group: its stretch, where strings begin in it, how many, and the smallest document that holds them."""
         sizes = np.concatenate(self.sizes)
         starts = np.cumsum(sizes + 1) - sizes - 1
-        owner = np.full(self.count, _LAST, np.int64)
+        owner = np.full(self.count, LAST, np.int64)
         for _, numbers, owners, _ in self.asked:
             np.minimum.at(owner, numbers, owners)
         n = int(sizes.sum()) + self.count
@@ -355,14 +277,18 @@ class Shard:
             text[lo:min(n, lo + SLICE)] = raw[lo:lo + SLICE].astype(np.int32) + 2
         text[starts + sizes] = 1            # ends a stretch
         text[n] = 0
-        least, group = induced_sort.store(n, np.int64, self.memory), induced_sort.store(n, np.int64, self.memory)
+        least, group = induced_sort.store(n, np.int64, self.memory), induced_sort.store(n, induced_sort.kind_for(text), self.memory)
+        stretch = induced_sort.store(n, np.int32, self.memory)
+        for lo in range(0, self.count, SLICE):
+            hi = min(self.count, lo + SLICE)
+            stretch[starts[lo]:starts[hi - 1] + sizes[hi - 1] + 1] = np.repeat(np.arange(lo, hi), sizes[lo:hi] + 1)
         last = -1
 
         def take_run(pos, shared):
             nonlocal last
             number = last + np.cumsum(shared < self.length)
             group[pos] = number
-            own = owner[np.searchsorted(starts, pos, side="right") - 1]
+            own = owner[stretch[pos]]
             first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
             low = np.minimum.reduceat(own, first)
             if number[0] == last:
@@ -382,8 +308,8 @@ class Shard:
             hit = low[at] < latest[which[at]]       # some document of the group holds it later
             at, n_of = at[hit], n_of[hit]
             if len(at):
-                yield (g, _pack(which[at].astype(np.int32)), _pack(offset[at].astype(np.int32)), _pack(n_of.astype(np.int32)),
-                       _pack(low[at]))
+                yield (g, pack(which[at].astype(np.int32)), pack(offset[at].astype(np.int32)), pack(n_of.astype(np.int32)),
+                       pack(low[at]))
 
 
 def _sort_shards(sent: DataFrame, length: int, parts: int, memory: int) -> DataFrame:
@@ -392,7 +318,7 @@ def _sort_shards(sent: DataFrame, length: int, parts: int, memory: int) -> DataF
 
         def done():
             for g, *x in shard.answers():
-                yield _rows(_FOUND, [(g, part, *x)])
+                yield batch_of(_FOUND, [(g, part, *x)])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -400,8 +326,8 @@ def _sort_shards(sent: DataFrame, length: int, parts: int, memory: int) -> DataF
                     if shard:
                         yield from done()
                     shard, part = Shard(length, memory), r["part"]
-                shard.add(r["g"], _unpack(r["sizes"], np.uint32), _unpack(r["owners"], np.int64),
-                          _unpack(r["latest"], np.int64), _unpack(r["bytes"]).tobytes())
+                shard.add(r["g"], unpack(r["sizes"], np.uint32), unpack(r["owners"], np.int64),
+                          unpack(r["latest"], np.int64), unpack(r["bytes"]).tobytes())
         if shard:
             yield from done()
 
@@ -425,16 +351,16 @@ def _covered(kept: Kept, answers: list) -> np.ndarray:
         order = np.argsort(code, kind="stable")
         code, start, own = code[order], kept.start[order], kept.owner[order]
         for a in answers:
-            want = a["part"] << 32 | _unpack(a["number"], np.int32).astype(np.int64)
+            want = a["part"] << 32 | unpack(a["number"], np.int32).astype(np.int64)
             lo, hi = np.searchsorted(code, want, "left"), np.searchsorted(code, want, "right")
             each = hi - lo
             which = np.repeat(np.arange(len(want)), each)
             at = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each) + lo[which]
-            hit = _unpack(a["owner"], np.int64)[which] < own[at]
+            hit = unpack(a["owner"], np.int64)[which] < own[at]
             which, at = which[hit], at[hit]
-            first = start[at] + _unpack(a["first"], np.int32)[which]
+            first = start[at] + unpack(a["first"], np.int32)[which]
             np.add.at(turn, first, 1)
-            np.add.at(turn, first + _unpack(a["n"], np.int32)[which] + kept.length - 1, -1)
+            np.add.at(turn, first + unpack(a["n"], np.int32)[which] + kept.length - 1, -1)
     return np.cumsum(turn[:-1]) > 0
 
 
@@ -471,8 +397,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     text, out = kept.raw[lo:hi], gone[lo:hi]
                     turns = np.flatnonzero(np.diff(out, prepend=False, append=False)) if out.any() else np.zeros(0, np.int64)
                     spans = [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]
-                    rows.append((None if i == _LAST else i, hi - lo, int(out.sum()), spans,
+                    rows.append((None if i == LAST else i, hi - lo, int(out.sum()), spans,
                                  text[~out].tobytes() if spans else text.tobytes()))
-                yield _rows(_CUT, rows)
+                yield batch_of(_CUT, rows)
 
     return informed.join(answers, "g", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")
