@@ -6,8 +6,11 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
+from kestrel.llm.hashing import mix, span_hashes
+
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -121,27 +124,40 @@ def dedup_lines(docs, window=2):
 
 # --- sentence spans ----------------------------------------------------------
 
-def sentence_units(text, unit_words):
-    """[(start, words)] of a text; the first word's place starts a unit."""
+def sentence_units(text, long_words, anchor_words):
+    """[(start, words)] of a text's sentences, long ones cut before pairs of words with the only smallest hash of
+    ``anchor_words`` neighbouring pairs; hashes are those of the library, the choice is made window by window."""
     out = []
     spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    size = 0
     for k, (lo, hi) in enumerate(spans):
         new = k == 0 or "\n" in text[spans[k - 1][1]:lo]
         if k:
             last = text[spans[k - 1][0]:spans[k - 1][1]]
             new |= last[-1] in ".!?" or (last[-1] in "\"')]" and len(last) > 1 and last[-2] in ".!?")
-        size = 0 if new else size + 1
-        if size % unit_words == 0:
-            out.append((lo, []))
-        out[-1][1].append(text[lo:hi].translate(LOWER))
-    return out
-
-
-def dedup_sentences(docs, min_words, min_sentences, unit_words):
+        if new:
+            out.append([])
+        out[-1].append((lo, text[lo:hi].translate(LOWER)))
+    units = []
+    for sentence in out:
+        cuts = {0}
+        if len(sentence) > long_words:
+            raw = [w.encode() for _, w in sentence]
+            ends = np.cumsum([len(x) for x in raw])
+            h = span_hashes(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
+            pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]).tolist()
+            for k in range(len(pair) - anchor_words + 1):
+                win = pair[k:k + anchor_words]
+                if win.count(min(win)) == 1:
+                    cuts.add(k + win.index(min(win)))
+        edges = sorted(cuts) + [len(sentence)]
+        units += [(sentence[a][0], [w for _, w in sentence[a:b]]) for a, b in zip(edges, edges[1:])]
+    return units
+
+
+def dedup_sentences(docs, min_words, min_sentences, long_words, anchor_words):
     first, cut = {}, {}
     for i, t in docs:
-        u = sentence_units(t or "", unit_words)
+        u = sentence_units(t or "", long_words, anchor_words)
         runs = set()
         for a in range(len(u)):
             for b in range(a + 1, len(u) + 1):

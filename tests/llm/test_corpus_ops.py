@@ -313,9 +313,10 @@ def test_sentence_spans_match_brute_force(spark, texts):
     passage = " ".join(f"Passage{k} holds five words here." for k in range(14))
     odd = [f"Clean start here. {passage} Unique end one.", f"Other words first! {passage} Unique end two.", f"{passage} {passage}",
            "A clean text that nobody repeats. It stays as it is.", "x" * 100_000, "no marks " * 60, "no marks " * 60,
-           'He said "stop." Then (he went.) ' * 9]
+           'He said "stop." Then (he went.) ' * 9, " ".join(f"w{k % 97}" for k in range(300)), " ".join(f"w{k % 97}" for k in range(50, 200))]
     df, rows = awkward(spark, texts + odd)
-    opts = (substring_dedup.MIN_WORDS, substring_dedup.MIN_SENTENCES, substring_dedup.UNIT_WORDS)
+    opts = (substring_dedup.MIN_WORDS, substring_dedup.MIN_SENTENCES, substring_dedup.LONG_SENTENCE,
+            substring_dedup.ANCHOR_WORDS)
     known = [(i, t) for i, t in dict((r for r in rows if r[0] is not None and r[0] != 5)).items()]
     got = {r.doc_id: r for r in substring_dedup.dedup_spans(df.where("doc_id <> 5")).collect()}
     want = brute.dedup_sentences(known, *opts)
@@ -327,6 +328,39 @@ def test_sentence_spans_match_brute_force(spark, texts):
     assert passage in got[base].text and "Passage7" not in got[base + 1].text and got[base + 3].text == odd[3]
     assert substring_dedup.dedup_spans(empty(spark)).count() == 0
     assert substring_dedup.dedup_spans(df).count() == len(rows)
+    small = substring_dedup.dedup_spans(df.where("doc_id <> 5").repartition(5), group_bytes=4_000, part_bytes=30_000)
+    assert {r.doc_id: r.text for r in small.collect() if r.doc_id in want} == want
+
+
+def test_removed_spans_are_whole_sentences(spark):
+    """As registered: no span begins or ends inside a sentence of up to LONG_SENTENCE words."""
+    for r, i, text in spans_of(spark):
+        edges = {u[0] for u in brute.sentence_units(text, substring_dedup.LONG_SENTENCE, substring_dedup.ANCHOR_WORDS)} | {len(text)}
+        assert {r.start, r.end} <= edges, i
+
+
+def spans_of(spark):
+    docs = {r.doc_id: r.text for r in table(spark, SF001, "documents").collect()}
+    from kestrel.llm import queries
+    got = queries.QUERIES["op6_sentence_span_dedup"](spark, SF001).collect()
+    out = [(s, r.doc_id, docs[r.doc_id]) for r in got for s in r.removed]
+    assert len(out) > 50
+    return out
+
+
+def test_texts_that_collide_in_simple_hashes_stay_apart(spark):
+    """The two complementary Thue-Morse strings over a and b, as one word, as a line and as sentences."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert all(r.kept for r in near_dup.near_duplicates(df).collect())
+    words_ = [" ".join(x) for x in (a, b)]
+    lines = [f"{x}\n{x}q" for x in words_]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert [r.n_removed for r in line_dedup.dedup_lines(df).collect()] == [0, 0]
+    df = spark.createDataFrame([(k, f"{x}. {x}z.") for k, x in enumerate(words_)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.dedup_spans(df).collect()] == [0, 0]
 
 
 def test_long_passage_is_found_at_every_offset(spark):
