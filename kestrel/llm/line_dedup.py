@@ -7,12 +7,13 @@ of ``window`` or more lines that two places share has a fingerprint at the same
 line in both: nothing of that length can be missed. A line of ``long_words`` words
 or more is a run by itself, and a fingerprint of its own.
 
-Fingerprints are joined globally; most occur once and go no further. Around
-every other one the match is extended both ways: each run of ``window`` lines
-that holds it is compared with the equal runs elsewhere, and where a run was
-seen before (in an earlier document or further up in the same one) its lines go.
-Neighbouring runs overlap, so a long match is followed line by line to both of
-its ends. The first occurrence stays.
+Only fingerprints are sent, each with its position and the windows on both sides
+that selected it. They are joined globally; most occur once and go no further. At
+every other position the match is extended both ways, window by window: a window
+whose lines (two 64-bit hashes of each) stood together at an earlier position, in
+an earlier document or further up in the same one, goes. The next fingerprint takes
+the match up where the windows of the last one end, so a long match is followed
+line by line to both of its ends. The first occurrence stays.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ from .text import SPACES, sealed
 WINDOW = 2
 LONG_WORDS = 20           # a shorter line goes only together with a neighbour
 BATCH_TEXTS = 512
-_MARKS = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("mark", pa.int64()), ("run", pa.int64()),
-                    ("first", pa.int32()), ("last", pa.int32())])
+_WINDOW = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
 def line_hashes(text: str, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, line number, whether it has ``long_words`` words) of the lines that hold a word."""
+    """(two rows of hashes, line number, whether it has ``long_words`` words) of the lines that hold a word."""
     raw = text.encode()
     starts, ends, numbers, long, at = [], [], [], [], 0
     space = SPACES.encode()
@@ -49,9 +49,9 @@ def line_hashes(text: str, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np
             long.append(0 < long_words <= (len(body) + 1) // 2 and len(body.split()) >= long_words)
         at += len(line) + 1
     if not starts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
-    h = span_hashes(np.frombuffer(raw, np.uint8), np.array(starts), np.array(ends))
-    return h, np.array(numbers, np.int32), np.array(long)
+        return np.zeros((2, 0), np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
+    spans = np.frombuffer(raw, np.uint8), np.array(starts), np.array(ends)
+    return np.stack([span_hashes(*spans), span_hashes(*spans, 1)]), np.array(numbers, np.int32), np.array(long)
 
 
 def winnowed(h: np.ndarray, window: int) -> np.ndarray:
@@ -65,38 +65,65 @@ def winnowed(h: np.ndarray, window: int) -> np.ndarray:
 
 
 def _runs(h: np.ndarray, window: int) -> np.ndarray:
-    out = np.full(len(h) - window + 1, window, np.uint64)
+    """Two rows of hashes of all windows."""
+    out = np.full((2, h.shape[1] - window + 1), window, np.uint64)
     for k in range(window):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + len(out)])
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[:, k:k + out.shape[1]])
     return out
 
 
+def fingerprints(text: str, window: int, long_words: int):
+    """(mark, position, windows: first of them, number, their two hashes, first and last line) of a text's fingerprints."""
+    h, numbers, long = line_hashes(text, long_words)
+    mark, place, count, runs, first, last = [], [], [], [], [], []
+    if window > 1 and long.any():
+        own = _runs(h[:, long], 1)
+        mark.append(own[0])
+        place.append(np.flatnonzero(long))
+        count.append(np.ones(own.shape[1], np.int64))
+        runs.append(own)
+        first.append(numbers[long])
+        last.append(numbers[long])
+    if h.shape[1] >= window:
+        best = winnowed(h[0], window)       # ascending
+        at = np.flatnonzero(np.append(True, best[1:] != best[:-1]))
+        mark.append(h[0][best[at]])
+        place.append(best[at])
+        count.append(np.diff(np.append(at, len(best))))
+        runs.append(_runs(h, window))
+        first.append(numbers[:len(best)])
+        last.append(numbers[window - 1:])
+    if not mark:
+        return None
+    return (*(np.concatenate(x) for x in (mark, place, count)), np.concatenate(runs, 1), np.concatenate(first), np.concatenate(last))
+
+
 def _marks(docs: DataFrame, window: int, long_words: int) -> DataFrame:
-    """For every window and every long line of every document (k1, k2, text): its fingerprint, its hash and its lines."""
+    """Fingerprints of every document (k1, k2, text), with their positions and windows."""
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(lo, BATCH_TEXTS)
-                cols: list[list] = [[] for _ in _MARKS]
+                keys, found = [], []
                 for k1, k2, text in zip(*(c.to_pylist() for c in part.columns)):
-                    h, numbers, long = line_hashes(text, long_words)
-                    if window > 1 and long.any():
-                        one, own = _runs(h[long], 1).view(np.int64), numbers[long]
-                        for c, v in zip(cols, (np.full(len(own), k1, np.int64), np.full(len(own), k2, np.int64),
-                                               one, one, own, own)):
-                            c.append(v)
-                    if len(h) < window:
-                        continue
-                    n = len(h) - window + 1
-                    for c, v in zip(cols, (np.full(n, k1, np.int64), np.full(n, k2, np.int64),
-                                           h[winnowed(h, window)].view(np.int64), _runs(h, window).view(np.int64),
-                                           numbers[:n], numbers[window - 1:])):
-                        c.append(v)
+                    f = fingerprints(text, window, long_words)
+                    if f:
+                        keys.append((k1, k2, len(f[0])))
+                        found.append(f)
+                if not found:
+                    continue
+                mark, place, count, runs, first, last = (np.concatenate(x, -1) for x in zip(*found))
+                k1, k2, n = (np.array(x, np.int64) for x in zip(*keys))
+                windows = pa.StructArray.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip((*runs.view(np.int64), first, last), _WINDOW)], fields=list(_WINDOW))
+                ends = np.append(0, np.cumsum(count)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), f.type) for c, f in zip(cols, _MARKS)],
-                    schema=_MARKS)
+                    [pa.array(np.repeat(k1, n)), pa.array(np.repeat(k2, n)), pa.array(mark.view(np.int64)),
+                     pa.array(place.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), windows)],
+                    names=["k1", "k2", "mark", "place", "windows"])
 
-    return docs.mapInArrow(run, "k1 long, k2 long, mark long, run long, first int, last int")
+    return docs.mapInArrow(run, "k1 long, k2 long, mark long, place int, "
+                                "windows array<struct<a:long,b:long,first:int,last:int>>")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -120,13 +147,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         some = some | (F.length("text") >= 2 * long_words - 1)
     texts = d.where(some).select("k1", "k2", "text")
     marks = _marks(texts, window, long_words)
-    # Fingerprints that occur more than once, then the runs around them.
+    # Fingerprints that occur more than once, their positions, and then the windows around them.
     # Each step is materialised, which leaves both sides of the next join to exchanges of their
     # own: a line that a third of all documents share can then be split over tasks.
     again = cut_lineage(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    around = cut_lineage(marks.join(again, "mark"))
-    first = around.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("o"))
-    later = around.join(cut_lineage(first.where("n > 1")), "run").where(
+    places = marks.join(again, "mark").select("k1", "k2", F.explode("windows").alias("w"))
+    around = cut_lineage(places.select("k1", "k2", "w.a", "w.b", "w.first", "w.last"))
+    first = around.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first")).alias("o"))
+    later = around.join(cut_lineage(first.where("n > 1")), ["a", "b"]).where(
         F.struct("k1", "k2", "first") > F.col("o")).select("k1", "k2", "first", "last")
     gone = later.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     d = d.join(gone, ["k1", "k2"], "left")

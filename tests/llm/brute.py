@@ -72,6 +72,16 @@ def quality_scores(docs, good, buckets, smoothing):
     return out
 
 
+def quality_threshold(docs, good, buckets, smoothing, folds, loss, min_words):
+    """The ``loss`` quantile of the trusted documents' scores, each under the weights of the other folds."""
+    fold = {i: _signed(xxhash.xxh64_intdigest((1).to_bytes(4, "little"), _hash_long(i, 42))) % folds for i in good}
+    held = []
+    for f in range(folds):
+        scores = quality_scores(docs, {i for i in good if fold[i] != f}, buckets, smoothing)
+        held += [s for (i, t), s in zip(docs, scores) if i in good and fold[i] == f and len(words(t)) >= min_words]
+    return float(np.quantile(held, loss))
+
+
 # --- near-duplicates ---------------------------------------------------------
 
 def shingles(text):
@@ -102,8 +112,8 @@ def near_components(docs, percent=85):
 
 # --- line dedup --------------------------------------------------------------
 
-def dedup_lines(docs, window=2):
-    """[text or None] for [(id, text)] with distinct ids, in the order of ids."""
+def dedup_lines(docs, window=2, long_words=20):
+    """[text or None] for [(id, text)] with distinct ids, in the order of ids; a line of ``long_words`` words is a run too."""
     seen, out = set(), {}
     for i, t in sorted((d for d in docs), key=lambda d: d[0]):
         if t is None:
@@ -113,11 +123,14 @@ def dedup_lines(docs, window=2):
         at = [k for k, x in enumerate(lines) if WORD.search(x)]
         body = [lines[k].strip(" \t\n\x0b\f\r") for k in at]
         gone = set()
-        for k in range(len(at) - window + 1):
-            run = tuple(body[k:k + window])
-            if run in seen:
-                gone.update(range(at[k], at[k + window - 1] + 1))
-            seen.add(run)
+        for k in range(len(at)):
+            for size in {1, window} if len(words(body[k])) >= long_words else {window}:
+                run = tuple(body[k:k + size])
+                if len(run) < size:
+                    continue
+                if run in seen:
+                    gone.update(range(at[k], at[k + size - 1] + 1))
+                seen.add(run)
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import brute
 import corpus_pipeline
 from conftest import SF0001, SF001
-from kestrel.llm import quality, queries, secret_scan
+from kestrel.llm import line_dedup, quality, queries, secret_scan
 from kestrel.llm.queries import table
 from oracle import compare
 
@@ -21,12 +21,15 @@ def test_pipeline_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SF0001, "documents").orderBy("doc_id").collect()]
     good = {r.doc_id for r in table(spark, SF0001, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0").collect()}
     scores = brute.quality_scores(docs, good, quality.BUCKETS, quality.SMOOTHING)
+    threshold = brute.quality_threshold(docs, good, quality.BUCKETS, quality.SMOOTHING, quality.FOLDS, quality.LOSS, quality.MIN_WORDS)
+    fitted = quality.fit(table(spark, SF0001, "documents"), table(spark, SF0001, "labels"))[1]
+    assert abs(fitted - threshold) < 1e-9 and threshold > quality.THRESHOLD
     kept = []
     for (i, t), s in zip(docs, scores):
         n = brute.base_counts(t)
-        if n[0] >= 10 and 100 * n[4] <= 20 * n[0] and s >= quality.THRESHOLD:
+        if n[0] >= 10 and 100 * n[4] <= 20 * n[0] and s >= threshold:
             kept.append((i, t))
-    lines = brute.dedup_lines(kept)
+    lines = brute.dedup_lines(kept, line_dedup.WINDOW, line_dedup.LONG_WORDS)
     kept = [(i, lines[i]) for i, t in kept if lines[i] == t or brute.words(lines[i])]
     root = brute.near_components(kept)
     kept = [(i, secret_scan._masked(t)) for i, t in kept if root[i] == i]
@@ -54,6 +57,15 @@ def test_stages_keep_the_columns_and_handle_awkward_rows(spark, tmp_path):
         assert corpus_pipeline.STAGES[-1][1](spark, df, SF0001).where("start = 0").count() == df.count()
 
 
+def test_texts_that_share_an_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (1, a), (3, c + " more"), (None, c), (None, b + " more"), (4, "short"), (4, "other")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], table(spark, SF0001, "documents").schema)
+    got = corpus_pipeline.near_dup_stage(spark, docs, SF0001).select("doc_id", "text").collect()
+    assert sorted(t.replace(" more", "") for _, t in got) == sorted([a, b, c, "short", "other"])
+    assert (3, c + " more") in [tuple(r) for r in got] and {i for i, t in got if t == a} == {1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_oracle(spark, duck001, name):
     ok, msg = compare(queries.QUERIES[name](spark, SF001), duck001, queries.ORACLE[name])
