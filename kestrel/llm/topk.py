@@ -29,7 +29,10 @@ SCALE = 1024          # fixed value
 BLOCK_ROWS = 16_384   # rows of an index block: 4 MB of integers at 64 attributes
 QUERY_BLOCK = 4_096   # queries that meet the index at once: 2 MB at 64 attributes
 KEPT_BITS = 6         # slices per attribute
-LARGEST = 1 << 26     # of a quantised component, so that a score fits 64 bits
+LARGEST = 1 << 26     # from here on a quantised component is wide: scored in whole numbers of any size
+MOST = (1 << 63) - 1  # scores beyond 64 bits count as this, or as its negative
+
+WIDE = -1             # in place of a shift: a block of rows with wide components, without slices
 
 INDEX = "dims int, n int, shift int, ids binary, mins binary, widths binary, slices binary, rows binary"
 _INDEX = pa.schema([("dims", pa.int32()), ("n", pa.int32()), ("shift", pa.int32()), *[
@@ -38,7 +41,10 @@ _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score",
 
 
 def _quantised(ids: pa.Array, vectors: pa.Array):
-    """(ids, integer matrix) per number of attributes; rows that take no part are left out."""
+    """(ids, integer matrix) per number of attributes; rows that take no part are left out.
+
+    Rows with a wide component come apart from the others, as whole numbers of any size.
+    """
     ok = pc.and_(pc.is_valid(ids), pc.is_valid(vectors))
     ids, vectors = ids.filter(ok), vectors.filter(ok)
     size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
@@ -47,12 +53,16 @@ def _quantised(ids: pa.Array, vectors: pa.Array):
         m = vectors.filter(pick).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
         fit = np.isfinite(m).all(1)
         q = np.floor(SCALE * m[fit])
-        if q.size and np.abs(q).max() >= LARGEST:
-            raise ValueError("a quantised component is beyond 2^26")
-        yield int(d), ids.filter(pick).to_numpy(zero_copy_only=False)[fit].astype(np.int64), q.astype(np.int64)
+        own = ids.filter(pick).to_numpy(zero_copy_only=False)[fit].astype(np.int64)
+        wide = (np.abs(q) >= LARGEST).any(1)
+        yield int(d), own[~wide], q[~wide].astype(np.int64)
+        if wide.any():
+            yield int(d), own[wide], np.array([[int(x) for x in row] for row in q[wide].tolist()], object)
 
 
 def _block(d: int, ids: np.ndarray, m: np.ndarray) -> tuple:
+    if m.dtype == object:
+        return d, len(ids), WIDE, ids.tobytes(), b"", b"", b"", ",".join(map(str, m.ravel())).encode()
     mins = m.min(0)
     a = m - mins
     shift = max(0, int(a.max()).bit_length() - KEPT_BITS)
@@ -75,25 +85,27 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     """Bit-sliced index of every row, one row per block.
 
     Rows with a NULL id, a NULL vector, or a NULL or non-finite component take no
-    part. Vectors of different lengths go to different blocks.
+    part. Vectors of different lengths go to different blocks, and so do those with
+    a component of 2^26 or more, which are scored exactly without slices.
     """
     def run(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def full(d: int, least: int):
+        def full(d: tuple, least: int):
             ids, m = (np.concatenate(x) for x in zip(*held[d]))
             at = 0
             while len(ids) - at >= least and len(ids) > at:
-                row = _block(d, ids[at:at + block_rows], m[at:at + block_rows])
+                row = _block(d[0], ids[at:at + block_rows], m[at:at + block_rows])
                 at += block_rows
                 yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _INDEX)], schema=_INDEX)
             held[d] = [(ids[at:], m[at:])]
 
         for batch in batches:
             for d, ids, m in _quantised(batch.column(0), batch.column(1)):
-                held.setdefault(d, []).append((ids, m))
-                if sum(len(x) for x, _ in held[d]) >= block_rows:
-                    yield from full(d, block_rows)
+                kind = d, m.dtype == object
+                held.setdefault(kind, []).append((ids, m))
+                if sum(len(x) for x, _ in held[kind]) >= block_rows:
+                    yield from full(kind, block_rows)
         for d in held:
             yield from full(d, 1)
 
@@ -106,6 +118,9 @@ class Block:
     def __init__(self, row: dict):
         self.n, self.shift, d = row["n"], row["shift"], row["dims"]
         self.ids = np.frombuffer(row["ids"], np.int64)
+        if self.shift == WIDE:
+            self.rows = np.array(list(map(int, row["rows"].split(b","))), object).reshape(self.n, d)
+            return
         self.mins = np.frombuffer(row["mins"], np.int64)
         self.widths = np.frombuffer(row["widths"], np.int32)
         self.rows = np.frombuffer(row["rows"], np.int32).reshape(self.n, d)
@@ -154,6 +169,12 @@ class Block:
 
     def search(self, query_id: int, q: np.ndarray, k: int):
         """(ids, scores) of the block's best k rows, ties to smaller ids."""
+        if self.shift == WIDE or q.dtype == object:
+            rows = np.flatnonzero(self.ids != query_id)
+            score = self.rows[rows].astype(object) @ q.astype(object)
+            score = np.array([max(-MOST, min(MOST, x)) for x in score], np.int64)
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            return self.ids[rows][best], score[best]
         alive = self.every.copy()
         for own in np.flatnonzero(self.ids == query_id):
             alive[own >> 6] &= ~(np.uint64(1) << np.uint64(own & 63))
@@ -187,7 +208,8 @@ def _search(index: DataFrame, queries: list, k: int) -> DataFrame:
     """Best k of every index block for one bounded block of queries [(id, components)]."""
     by_dims: dict[int, list] = {}
     for qid, v in queries:
-        by_dims.setdefault(len(v), []).append((qid, np.array(v, np.int64)))
+        wide = max(map(abs, v)) >= LARGEST
+        by_dims.setdefault(len(v), []).append((qid, np.array(list(map(int, v)), object if wide else np.int64)))
     shared = index.sparkSession.sparkContext.broadcast(by_dims)
 
     def run(batches):
@@ -208,7 +230,9 @@ def quantised_queries(vectors: DataFrame, id_col: str = "vec_id", vector_col: st
     d = take(vectors, query_id=id_col, v=vector_col)
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     d = d.where(F.col("query_id").isNotNull() & (F.size("v") > 0) & F.forall("v", ok))
-    q = F.transform("v", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("bigint"))
+    scaled = lambda x: F.lit(float(SCALE)) * x.cast("double")
+    whole = lambda x: F.when(F.abs(scaled(x)) < float(1 << 52), F.floor(scaled(x)).cast("double")).otherwise(scaled(x))
+    q = F.transform("v", whole)     # whole numbers; from 2^52 on all doubles are
     return d.groupBy("query_id").agg(F.min(q).alias("q"))
 
 
@@ -216,7 +240,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, query_block: int =
     """The ``k`` best rows of the index for every query (query_id, q): query_id, rank, vec_id, score.
 
     Rows with the query's own id are no candidates; only vectors of the query's
-    length are. Ties go to the smaller id. Queries meet the index in blocks of at
+    length are. Ties go to the smaller id; scores beyond 64 bits count as the largest
+    (or smallest) one. Queries meet the index in blocks of at
     most ``query_block`` rows, so what a task gets at once has a fixed bound.
     """
     spark = index.sparkSession
