@@ -28,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")   # as runs are maximal, the same as [0-9a-f]+ of 16 or more
 
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
-TOKEN = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{2,}+\.[A-Za-z0-9_-]*")
 BLOB = re.compile(r"[0-9A-Fa-f]{64,}(?![A-Za-z0-9+/_-])|[A-Za-z0-9+/_-]{40,}={0,2}")
 PARTS = (re.compile(r"[0-9A-Fa-f]{64,}"), re.compile(r"[A-Za-z0-9+/]{40,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{40,}={0,2}"))
 #: What every key encoding begins with in base64: a SEQUENCE, a four-byte length below 2^16, the OpenSSH magic.
@@ -180,6 +180,16 @@ def _blobs(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
     return out
 
 
+def claimed(head: bytes) -> int | None:
+    """Bytes that an encoding says to have by its first bytes, 0 where it doesn't say, None where it is none."""
+    if head[:1] == b"\x30" and len(head) >= 6:
+        n = head[1]
+        if n < 128:
+            return 2 + n
+        return 2 + (n & 127) + int.from_bytes(head[2:2 + (n & 127)], "big") if 1 <= n & 127 <= 4 else None
+    return 0 if head.startswith(b"openssh-key-v1") or re.match(rb"\0\0\0.(ssh-|ecdsa|sk-)", head, re.DOTALL) else None
+
+
 def _line_keys(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
     """Keys over several lines of one width, the last of which may be shorter."""
     rows, at = [], lo
@@ -187,14 +197,19 @@ def _line_keys(text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
         rows.append((at, lo + m.start()))
         at = lo + m.end()
     rows.append((at, hi))
+    until = list(range(1, len(rows) + 1))      # past the last line of each one's width
+    for k in range(len(rows) - 2, -1, -1):
+        if rows[k][1] - rows[k][0] == rows[k + 1][1] - rows[k + 1][0]:
+            until[k] = until[k + 1]
     out, k = [], 0
     while k < len(rows):
         j, width = k + 1, rows[k][1] - rows[k][0]
-        if HEAD.match(text, rows[k][0]):
-            while j < len(rows) and rows[j][1] - rows[j][0] == width:
-                j += 1
+        size = claimed(unbase64(text[rows[k][0]:rows[k][0] + 24]) or b"") if HEAD.match(text, rows[k][0]) else None
+        if size is not None:
+            j = until[k]
             for n in (j + 1, j, j - 1):    # with the shorter line after them, or a last full one that is something else
-                if k + 1 < n <= len(rows) and rows[n - 1][0] < rows[n - 1][1] and (n <= j or rows[j][1] - rows[j][0] < width):
+                if k + 1 < n <= len(rows) and rows[n - 1][0] < rows[n - 1][1] and (n <= j or rows[j][1] - rows[j][0] < width) \
+                        and (not size or -3 <= ((n - 1 - k) * width + rows[n - 1][1] - rows[n - 1][0]) * 3 // 4 - size <= 3):
                     kind = encoding(unbase64("".join(text[a:b] for a, b in rows[k:n])) or b"")
                     if kind:
                         out.append((kind, rows[k][0], rows[n - 1][1]))
