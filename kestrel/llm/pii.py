@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 SPAN = 73_000          # dates are permuted within blocks of so many days from 1900-01-01: 200 * 365
+#: The blocks at both ends, which stop at 1000-01-01 and 2999-12-31: their days (first and past the last), as a product.
+END_BLOCKS = ((-328_718, -292_000, 22, 1669), (292_000, 401_767, 21, 5227))
 
 # One pattern a kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,32}[A-Za-z]{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![A-Za-z0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
             r"|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![A-Za-z0-9])",
@@ -142,10 +144,12 @@ def _date(m: Column, key: str) -> Column:
     month_first = day_first.isNull()
     value = F.when(iso, m.try_cast("date")).otherwise(F.coalesce(day_first, made(f[2], f[0], f[1])))
     at = F.datediff(value, F.lit("1900-01-01").cast("date"))
-    block = F.floor(at / SPAN)
-    inside = at - block * SPAN
-    p = _permuted(F.floor(inside / 365), F.pmod(inside, F.lit(365)), F.lit(200), F.lit(365), key, "date")
-    fresh = F.date_add(F.lit("1900-01-01").cast("date"), (block * SPAN + p["a"] * 365 + p["b"]).cast("int"))
+    start, m, n = F.floor(at / SPAN) * SPAN, F.lit(200), F.lit(365)
+    for first, end, rows, width in END_BLOCKS:
+        here = (at >= first) & (at < end)
+        start, m, n = (F.when(here, F.lit(x)).otherwise(y) for x, y in ((first, start), (rows, m), (width, n)))
+    p = _permuted(F.floor((at - start) / n), F.pmod(at - start, n), m, n, key, "date")
+    fresh = F.date_add(F.lit("1900-01-01").cast("date"), (start + p["a"] * n + p["b"]).cast("int"))
     wide = lambda n, c: F.lpad(n.cast("string"), F.greatest(F.length(c), F.length(n.cast("string"))), "0")
     day, month, year = F.day(fresh), F.month(fresh), F.lpad(F.year(fresh).cast("string"), 4, "0")
     out = F.when(iso, F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))) \
@@ -207,7 +211,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """doc_id, text with pseudonyms, ``found`` (kind, pseudonym of every replaced value) and a count per kind.
 
     NULL texts stay NULL and hold nothing; empty texts, NULL ids and repeated rows
-    are ordinary. Texts are read whole. No other input column is kept.
+    are ordinary. Texts are read whole. No other input column is kept. Dates of the
+    years 1000 to 2999 stay in them. A mail domain has 33 labels at most.
     """
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     some = F.col("text").rlike("[0-9@]") & F.col("text").rlike(ANY)
