@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import lower_ascii
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -70,7 +72,7 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import url_filter as U
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    host = F.lower(F.regexp_extract("url", U.URL, 1))
+    host = lower_ascii(F.regexp_extract("url", U.URL, 1))
     listed = pages.select(host.alias("key")).where(F.col("key").rlike("(^|[.])spam")).distinct()
     return U.judge_urls(pages, rules, listed)
 

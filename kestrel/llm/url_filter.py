@@ -131,14 +131,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, blocked_hosts: DataFrame, id_
     labels = F.split("host", "\\.", -1)
     # The distinct (labels, path length) of the rules: bounded by the longest host and path of a rule.
     shapes = rules.select(F.size(F.split("host", "\\.", -1)).alias("n"), F.length("path").alias("m")).distinct().collect()
-    deepest = blocked_hosts.agg(F.max(F.size(F.split("key", "\\.", -1)))).first()[0] or 0
+    # The distinct numbers of labels of listed hosts: bounded by the deepest one.
+    depths = sorted(r[0] for r in blocked_hosts.select(F.size(F.split("key", "\\.", -1)).alias("n")).distinct().collect() if r[0] > 0)
     tail = lambda n: F.array_join(F.slice(labels, -n, n), ".")
     cands = [F.when((F.size(labels) >= n) & (F.length("path") >= m) & (F.col("host") != ""),
                     F.concat(F.lit(tag), tail(n), F.substring("path", 1, m)))
              for n, m in sorted(map(tuple, shapes)) for tag in ("a:", "b:")]
-    cands += [F.when((F.size(labels) >= n) & (F.col("host") != ""), F.concat(F.lit("h:"), tail(n)))
-              for n in range(1, deepest + 1)]
-    d = d.withColumn("keys", F.array_compact(F.array(*cands)) if cands else F.array().cast("array<string>"))
+    keys = F.array_compact(F.array(*cands)) if cands else F.array().cast("array<string>")
+    if depths:
+        fits = F.filter(F.lit(depths), lambda n: (n <= F.size(labels)) & (F.col("host") != ""))
+        keys = F.concat(keys, F.transform(fits, lambda n: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -n, n), "."))))
+    d = d.withColumn("keys", keys)
     tag = F.when(F.col("verdict") == "allow", "a:").otherwise("b:")
     listed = rules.select(F.concat(tag, "host", "path").alias("key")).unionByName(
         blocked_hosts.select(F.concat(F.lit("h:"), "key").alias("key"))).distinct()

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -136,6 +137,16 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert url_filter.build(keys.where("not listed")) == []
 
 
+def test_url_filter_on_odd_and_deep_hosts(spark):
+    deep = ".".join(["d"] * 5000)
+    urls = ["http://spam.Äx.net/a", "http://SPAM.äX.net/a", f"http://{deep}.net/", f"http://{deep}.spam.net/x", "http://A.spam.Äx.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([("spam.Äx.net",), (f"{deep}.net",), ("spam.net",)], "key string")
+    got = [r.verdict for r in url_filter.judge_urls(pages, rules, listed).orderBy("page_id").collect()]
+    assert got == ["block", "allow", "block", "block", "block"]
+
+
 # --- 3 near-duplicates --------------------------------------------------------
 
 def _edited(rng, words, n):
@@ -283,6 +294,14 @@ def test_secret_base_spans_and_edges(spark, texts):
             assert red[i].text == t or _base_spans(t) or secret_scan.find(t)
 
 
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "password" * 120_000, "a.b" * 300_000, "_-" * 500_000, "ab" * 500_000 + ".",
+                                  "\n".join(["AAAA" + "B" * 60] * 20_000), "\n".join(["MIIB" + "A" * 60] * 20_000)])
+def test_long_runs_take_linear_time(text):
+    began = time.process_time()
+    secret_scan.find(text)
+    assert time.process_time() - began < 10
+
+
 # --- 5 top-k ------------------------------------------------------------------
 
 def test_topk_matches_brute_force(spark):
@@ -307,6 +326,20 @@ def test_topk_matches_brute_force(spark):
     assert topk.top_k(index, queries.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rows = [(k, [float(k), 1.0, -0.5]) for k in range(40)] + [(100, [70000.0, 1.0, 2.0]), (101, [1e30, -3.0, 0.0]),
+            (102, [-1e30, 5.0, 1.0]), (103, [3e38, 3e38, 3e38]), (104, [65536.0, 65536.0, -65536.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    q = {i: [int(np.floor(1024 * x)) if abs(x) < 1e12 else int(1024 * x) for x in v] for i, v in rows}
+    most = (1 << 63) - 1
+    want = []
+    for i in q:
+        scores = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q[i], v)))), j) for j, v in q.items() if j != i)[:10]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores)]
+    got = topk.top_k(topk.build_index(df, block_rows=16), topk.quantised_queries(df))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # --- 6 sentence spans ---------------------------------------------------------
 
 def test_sentence_spans_match_brute_force(spark, texts):
@@ -427,6 +460,17 @@ def test_pseudonyms_are_a_permutation_and_leave_the_rest(spark):
     assert pii.pseudonymise(empty(spark), "k").count() == 0
 
 
+def test_pseudonyms_of_long_domains_and_of_dates_at_both_ends(spark):
+    rows = [(1, "x@" + "abc." * 10_000 + "com"), (2, "x@" + "a." * 20 + "com"), (3, "x@" + "a" * 100_000)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[2].n_email == 1 and got[3].text == rows[2][1] and len(got[1].text) == len(rows[0][1])
+    days = spark.range(730_485).select(F.col("id").alias("doc_id"),
+                                       F.date_add(F.lit("1000-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    out = pii.pseudonymise(days, "k").select("n_date", "text").agg(
+        F.sum("n_date"), F.count_distinct("text"), F.min("text"), F.max("text"), F.max(F.length("text"))).first()
+    assert tuple(out) == (730_485, 730_485, "1000-01-01", "2999-12-31", 10)
+
+
 # --- 8 SentencePiece ----------------------------------------------------------
 
 def test_sentencepiece_matches_the_library(spark, texts):
