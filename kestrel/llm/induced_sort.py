@@ -399,17 +399,29 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
 
 
 def doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix order of a text that fits in memory, by ranks of prefixes of twice the length each round: ends the recursion."""
-    rank, size, n = names.astype(np.int64), 1, len(names)
+    """Suffix order of a text that fits in memory: ends the recursion.
+
+    Ranks of prefixes of twice the length each round, of the suffixes that aren't told apart yet.
+    """
+    n, size = len(names), 1
+    order = np.argsort(names, kind="stable")
+    sorted_names = names[order]
+    first = np.append(True, sorted_names[1:] != sorted_names[:-1])
+    rank = np.empty(n + 1, np.int64)          # a group's rank is the place of its first suffix; 0 for the end, so 1 and up
+    rank[n] = 0
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0)) + 1
     while True:
-        pair = rank * (n + 1)
-        pair[:-size] += rank[size:] + 1
-        order = np.argsort(pair)
-        new = np.append(0, np.cumsum(pair[order][1:] != pair[order][:-1]))
-        if new[-1] == n - 1:
+        open_ = np.flatnonzero(~(first & np.append(first[1:], True)))    # places in groups of several
+        if not len(open_):
             return order
-        rank = np.empty(n, np.int64)
-        rank[order] = new
+        own = order[open_]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + size, n)]
+        by = np.argsort(key)
+        key, own = key[by], own[by]
+        order[open_] = own
+        new = np.append(True, key[1:] != key[:-1])
+        first[open_] = new
+        rank[own] = np.maximum.accumulate(np.where(new, open_, 0)) + 1
         size *= 2
 
 
@@ -434,16 +446,24 @@ def _suffixes(text, top, prefix, sink, memory) -> None:
 def shared_prefixes(text: np.ndarray, pos: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of each position's suffix and the one's before it in ``pos``; a position below 0 shares nothing."""
     out = np.zeros(len(pos) - 1, np.int64)
-    live = np.flatnonzero((pos[:-1] >= 0) & (pos[1:] >= 0))
-    n = len(text)
-    for k in range(most):
-        a, b = pos[live] + k, pos[live + 1] + k
-        ok = (a < n) & (b < n)
+    both, n, k = (pos[:-1] >= 0) & (pos[1:] >= 0), len(text), 0
+    live = np.flatnonzero(both)
+    if text.dtype == np.uint16 and n >= 4:       # four symbols at a time
+        four = np.ndarray((n - 3,), "<u8", text, 0, (2,))
+        while k + 4 <= most and len(live):
+            a, b = pos[live] + k, pos[live + 1] + k
+            ok = (a < n - 3) & (b < n - 3)
+            ok[ok] = four[a[ok]] == four[b[ok]]
+            out[live[ok]] = k + 4
+            live = live[ok]
+            k += 4
+        live = np.flatnonzero(both)
+    while len(live):
+        a, b = pos[live] + out[live], pos[live + 1] + out[live]
+        ok = (a < n) & (b < n) & (out[live] < most)
+        ok[ok] = text[a[ok]] == text[b[ok]]
         live = live[ok]
-        live = live[text[a[ok]] == text[b[ok]]]
-        if not len(live):
-            break
-        out[live] = k + 1
+        out[live] += 1
     return out
 
 

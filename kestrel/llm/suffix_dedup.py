@@ -2,8 +2,9 @@
 
 Documents are packed into groups of a few megabytes. Every string of ``length``
 bytes has an anchor, its 16 bytes of smallest hash, so equal strings have equal
-anchors wherever they stand. Groups send what they hold of anchors, as 32-bit
-numbers, to the part that counts them, and learn which stand in several documents.
+anchors wherever they stand. Groups send what they hold of anchors, with the bytes
+before or after them, as 32-bit numbers to the part that counts them, and learn which
+stand in several documents.
 Only the stretches around those go on, each distinct one once a group, to the shard
 that their anchor names: all strings with that anchor meet there. A shard puts its
 stretches into one text on disk, sorts its suffixes by external induced sorting
@@ -33,7 +34,7 @@ from .text import take
 LENGTH = 50
 GRAM = 16                 # bytes of an anchor
 PART_BYTES = 8 << 20      # of texts for each part that counts, and each shard
-SLICE = 1 << 20           # positions whose anchors are found at once
+SLICE = 1 << 16           # positions whose anchors are found at once
 HOT = 200_000             # stretches of one anchor, 13 MB, beyond which its strings go by themselves
 SEEN = 1 << 19            # stretches that a shard remembers, to take equal ones once
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -53,13 +54,26 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def hashes_at(raw: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hash of the ``size`` bytes from the given positions on."""
+    out = np.full(len(at), size + (seed << 32), np.uint64)
+    if len(at):
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+        for k in [*range(0, size - 8, 8), size - 8]:
+            out = mix(out * _GOLD + eight[at + k])
+    return out
+
+
 def stretches(raw: np.ndarray, limits: np.ndarray, length: int):
-    """(anchor's hash, first start, number of starts, document) of maximal runs of strings with one anchor.
+    """Runs of strings with one anchor: (anchor's hash, wider hash, run, first start, number of starts, document) of their parts.
 
-    A string's anchor is the leftmost of its grams with the smallest hash, so it depends on the string alone.
+    A string's anchor is the leftmost of its grams with the smallest hash, so it depends on
+    the string alone. The strings that begin well before their anchor hold as many bytes before
+    it, the others as many after it: a wider gram each, which tells apart more than the anchor.
     """
-    width = length - GRAM + 1
-    out = []
+    width, half = length - GRAM + 1, (length - GRAM) // 2
+    owner = np.repeat(np.arange(len(limits) - 1, dtype=np.int32), np.diff(limits))
+    out, runs = [], 0
     for lo in range(0, len(raw), SLICE):
         hashes = gram_hashes(raw[lo:lo + SLICE + length - 1], GRAM)
         n = len(hashes) - width + 1
@@ -71,21 +85,35 @@ def stretches(raw: np.ndarray, limits: np.ndarray, length: int):
             key = np.minimum(key[:-size], key[size:])
             size *= 2
         anchor = (np.minimum(key[:n], key[width - size:width - size + n]) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        start = np.arange(lo, lo + n)
-        doc = np.searchsorted(limits, start, side="right") - 1 if len(limits) > 2 else np.zeros(n, np.int64)
-        inside = start + length <= limits[doc + 1]
-        anchor, start, doc = anchor[inside], start[inside], doc[inside]
-        turn = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])) if len(anchor) else np.zeros(0, bool)
-        at = np.flatnonzero(turn)
-        out.append((hashes[anchor[at]], start[at], np.diff(np.append(at, len(anchor))), doc[at]))
+        start = np.flatnonzero(owner[lo:lo + n] == owner[lo + length - 1:lo + length - 1 + n])
+        anchor = anchor[start]
+        if not len(start):
+            continue
+        doc = owner[lo + start]
+        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
+        count = np.diff(np.append(at, len(anchor)))
+        anchor, start, doc, run = anchor[at], start[at], doc[at], runs + np.arange(len(at))
+        runs += len(at)
+        before = np.clip(anchor - start - half + 1, 0, count)      # starts that are ``half`` bytes and more before the anchor
+        for side, first, n_of in ((0, start, before), (1, start + before, count - before)):
+            pick = np.flatnonzero(n_of > 0)
+            wide = hashes_at(raw, lo + anchor[pick] - (half if side == 0 else 0), GRAM + half, side)
+            out.append((hashes[anchor[pick]], wide, run[pick], lo + first[pick], n_of[pick], doc[pick].astype(np.int64)))
     if not out:
-        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
-    return tuple(np.concatenate(c) for c in zip(*out))
+        return *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 4
+    parts = tuple(np.concatenate(c) for c in zip(*out))
+    order = np.argsort(parts[3], kind="stable")
+    return tuple(c[order] for c in parts)
+
+
+def _code(h: np.ndarray, parts: int) -> np.ndarray:
+    """Part and low half of hashes."""
+    return (h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray, parts: int):
     """Distinct hashes by part and low half, and for each how many stretches hold it (1 if only one document does)."""
-    code = (h >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | h & np.uint64(0xFFFFFFFF)
+    code = _code(h, parts)
     order = np.lexsort((doc, code))
     c, d = code[order], doc[order]
     first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
@@ -140,8 +168,8 @@ def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[Data
     """Marks of each group's anchors; and of the single strings of anchors marked 2, where there are any."""
     def anchors(batch, k):
         g, ids, limits, raw = opened(batch, k)
-        h, _, _, doc = stretches(raw, limits, length)
-        _, code, count = _distinct(h, ids[doc], parts)
+        _, wide, _, _, _, doc = stretches(raw, limits, length)
+        _, code, count = _distinct(wide, ids[doc], parts)
         yield from _held(g, code, count)
 
     held_type = "part int, g long, low binary, n binary"
@@ -151,8 +179,8 @@ def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[Data
 
     def strings(batch, k):
         g, ids, limits, raw = opened(batch, k)
-        h, start, count, doc = stretches(raw, limits, length)
-        code, known, _ = _distinct(h, ids[doc], parts)
+        _, wide, _, start, count, doc = stretches(raw, limits, length)
+        code, known, _ = _distinct(wide, ids[doc], parts)
         mark = _marks(batch.column(batch.schema.get_field_index("replies"))[k].as_py(), len(known))[np.searchsorted(known, code)]
         at, doc = _singles(start, count, doc, mark == 2)
         _, code, count = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[doc], parts)
@@ -185,11 +213,15 @@ class Kept:
         self.ids, self.limits, self.raw, self.length = ids, limits, raw, length
         names = batch.schema.names
         col = lambda name: batch.column(names.index(name))[k].as_py()
-        h, start, count, doc = stretches(raw, limits, length)
-        code, known, _ = _distinct(h, ids[doc], parts)
+        h, wide, run, start, count, doc = stretches(raw, limits, length)
+        code, known, _ = _distinct(wide, ids[doc], parts)
         mark = _marks(col("replies"), len(known))[np.searchsorted(known, code)]
-        pick = mark == 1
-        lists = [(code[pick], start[pick], count[pick], doc[pick])]
+        pick = np.flatnonzero(mark == 1)
+        # Both parts of a run go as one stretch.
+        first = np.append(True, run[pick][1:] != run[pick][:-1]) if len(pick) else np.zeros(0, bool)
+        total = np.add.reduceat(count[pick], np.flatnonzero(first)) if len(pick) else pick
+        pick = pick[first]
+        lists = [(_code(h[pick], parts), start[pick], total, doc[pick])]
         if "single" in names:
             at, own = _singles(start, count, doc, mark == 2)
             code, known, _ = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[own], parts)
@@ -272,9 +304,9 @@ class Shard:
         n = int(sizes.sum()) + self.count
         self.file.flush()
         raw = np.memmap(self.file, np.uint8, "r", shape=n)
-        text = induced_sort.store(n + 1, np.int32, self.memory)
+        text = induced_sort.store(n + 1, np.uint16, self.memory)
         for lo in range(0, n, SLICE):
-            text[lo:min(n, lo + SLICE)] = raw[lo:lo + SLICE].astype(np.int32) + 2
+            text[lo:min(n, lo + SLICE)] = raw[lo:lo + SLICE].astype(np.uint16) + 2
         text[starts + sizes] = 1            # ends a stretch
         text[n] = 0
         least, group = induced_sort.store(n, np.int64, self.memory), induced_sort.store(n, induced_sort.kind_for(text), self.memory)
