@@ -8,9 +8,8 @@ doubled width. The starting width is shrunk until no cell holds more than
 ``MAX_CELL`` distinct points, which bounds the candidate pairs of a query by
 3^d * MAX_CELL in dense regions (exact duplicates of one point excepted).
 
-The grid serves d <= 4 (the block has 3^d cells). Wider inputs go to
-``knn_hashed``: signs of random projections, several tables, and exact distances
-to all candidates. It is approximate; its parameters set the recall.
+The grid serves d <= 4 (the block has 3^d cells). Wider inputs go to ``knn_wide``,
+which is exact too: cells around pivots and the triangle inequality (``pivots``).
 """
 
 from __future__ import annotations
@@ -18,17 +17,14 @@ from __future__ import annotations
 import itertools
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import pivots
 
 MAX_CELL = 4096
 MAX_DIM = 4
-TABLES = 24           # hash tables of the approximate search: more give more recall and more work
-BUCKET_ROWS = 512     # rows that a bucket is meant to hold; larger ones give more recall and more work
 
 
 def _cells(cols, width):
@@ -48,7 +44,7 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
     cols = list(cols)
     d = len(cols)
     if d > MAX_DIM:
-        return knn_hashed(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by)
+        return knn_wide(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by)
     r_id = r_id or q_id
     st = ref.agg(F.count(F.lit(1)).alias("n"), *[e for c in cols for e in (
         F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
@@ -102,58 +98,21 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
                        *[x for x in ref_keep if x not in by], *by, "_dist", "_rank")
 
 
-def knn_hashed(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
-               r_id: str | None = None, by=(), tables: int = TABLES, bucket_rows: int = BUCKET_ROWS,
-               seed: int = 42) -> DataFrame:
-    """Like ``knn`` for many features, approximately.
+def knn_wide(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
+             r_id: str | None = None, by=(), cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
+    """Like ``knn`` for any number of features, exact too (``pivots``). Ids are distinct.
 
-    In each of ``tables`` tables a row's bucket is the signs of its centred features'
-    random projections, as many as leave about ``bucket_rows`` rows in a bucket;
-    all rows that share a bucket with a query are candidates, and distances to them
-    are exact. Queries with fewer than k candidates go on with half as many
-    projections, down to none, where all rows are candidates.
+    Rows with a NULL or NaN feature take no part.
     """
     by, cols, r_id = list(by), list(cols), r_id or q_id
-    st = ref.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
-    mean = np.array([st[f"m{i}"] or 0.0 for i in range(len(cols))])
-    bits = min(60, max(0, math.ceil(math.log2(max(1, st["n"]) / bucket_rows))))
-    vec = F.array(*[F.col(c).cast("double") for c in cols])
     kept = [x for x in ref_keep if x not in by]
-    R = cut_lineage(ref.select(F.col(r_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols], *kept, *by,
-                               vec.alias("_v")))
-    pending = cut_lineage(query.select(F.col(q_id).alias("_qid"), vec.alias("_q"), *by))
-    done = None
-    while True:
-        planes = np.random.default_rng(seed + bits).normal(size=(len(cols), tables * bits))
-
-        @F.pandas_udf("array<long>")
-        def buckets(x: pd.Series) -> pd.Series:
-            m = (np.stack(x.to_numpy()) - mean) @ planes > 0 if len(x) else np.zeros((0, tables * bits), bool)
-            return pd.Series(list((m.reshape(len(x), tables, bits) * (1 << np.arange(bits, dtype=np.int64))).sum(2)))
-
-        def hashed(df, v):
-            codes = buckets(v) if bits else F.array(F.lit(0).cast("long"))
-            return df.withColumn("_c", codes)
-        qc = hashed(pending, "_q").select("_qid", *by, F.posexplode("_c").alias("_t", "_c"))
-        rc = hashed(R, "_v").select("_rid", *by, F.posexplode("_c").alias("_t", "_c"))
-        pairs = qc.join(rc, ["_t", "_c", *by])
-        if exclude_self:
-            pairs = pairs.where(F.col("_qid") != F.col("_rid"))
-        pairs = pairs.select("_qid", "_rid").distinct().join(pending.drop(*by), "_qid").join(R, "_rid")
-        dist = F.sqrt(F.aggregate(F.zip_with("_q", "_v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
-        w = Window.partitionBy("_qid").orderBy("_dist", "_rid")
-        ranked = pairs.withColumn("_dist", dist).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-        ranked = cut_lineage(ranked.drop("_q", "_v"))
-        full = ranked.groupBy("_qid").count().where(F.col("count") >= k).select("_qid")
-        ok = ranked if not bits else ranked.join(full, "_qid", "left_semi")
-        done = ok if done is None else done.unionByName(ok)
-        if not bits:
-            break
-        pending = cut_lineage(pending.join(full, "_qid", "left_anti"))
-        if pending.isEmpty():
-            break
-        bits //= 2
-    return done.select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols, *kept, *by, "_dist", "_rank")
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    whole = lambda df, c: df.withColumn("_v", vec).where(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x))) \
+        .select(F.col(c[0]).alias(c[1]), "_v", *by)
+    found = pivots.nearest(whole(query, (q_id, "_qid")), whole(ref, (r_id, "_rid")), k, by, exclude_self, cell_rows)
+    rows = ref.select(F.col(r_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols], *kept, *by)
+    return found.join(rows, "_rid").select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols, *kept, *by,
+                                           "_dist", "_rank")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols, label: str, k: int = 5,

@@ -142,9 +142,18 @@ def q_knn(spark, sf_dir):
     return out.select("c_custkey", "pred")
 
 
-@query("knn_classifier_wide")
+_WIDE_DISTANCE = "sqrt(list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+
+
+@query("knn_classifier_wide", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CAST(label AS VARCHAR) AS label FROM embeddings),
+d AS (SELECT q.vec_id, q.label AS own, r.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_WIDE_DISTANCE}, r.vec_id) AS rk
+      FROM e q JOIN e r ON q.vec_id <> r.vec_id),
+v AS (SELECT vec_id, own, label, count(*) AS votes FROM d WHERE rk <= 5 GROUP BY ALL),
+b AS (SELECT vec_id, own, label, row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, label) AS rk FROM v)
+SELECT vec_id, own AS label, label AS pred FROM b WHERE rk = 1""")
 def q_knn_wide(spark, sf_dir):
-    """Leave-one-out 5-NN vote of the label from all 64 embedding coordinates (hashed search)."""
+    """Leave-one-out 5-NN vote of the label from all 64 embedding coordinates, exact (cells around pivots)."""
     e = _emb(spark, sf_dir)
     return knn_classify(e, e, "vec_id", _EMB_COLS, "label", 5, exclude_self=True).select("vec_id", "label", "pred")
 

@@ -127,26 +127,6 @@ def test_datetimes_with_a_zone_and_real_times(spark):
     assert got[0].r.isoformat() == "2024-01-01T05:06:07.123456"
 
 
-def test_wide_neighbours_have_high_recall_and_answer_every_query(spark):
-    import numpy as np
-    from kestrel.ml.neighbors import knn_hashed
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(12, 16))
-    x = np.concatenate([c + 0.4 * rng.normal(size=(90, 16)) for c in centres] + [50 + rng.normal(size=(2, 16))])
-    cols = [f"f{i}" for i in range(16)]
-    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "id int, " + ", ".join(f"{c} double" for c in cols))
-    out = knn_hashed(df, df, "id", cols, 5, exclude_self=True, bucket_rows=128).select("id", "nn_id", "_dist", "_rank").collect()
-    got = {}
-    for r in out:
-        got.setdefault(r.id, {})[r.nn_id] = r._dist
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    assert len(got) == len(x) and all(len(v) == 5 for v in got.values())
-    assert all(abs(d[i, j] - v) < 1e-6 for i, n in got.items() for j, v in n.items())
-    hits = sum(len(set(np.argsort(d[i])[:5].tolist()) & set(n)) for i, n in got.items())
-    assert hits / (5 * len(x)) >= 0.9
-
-
 def test_column_json_of_several_files_with_text_labels(spark, tmp_path):
     from kestrel.sources.files import read_json
     (tmp_path / "a.json").write_text('{"x": {"0": 1, "1": 2, "10": 3}, "n": {"0": "p", "1": "q"}}')
