@@ -17,13 +17,13 @@ from kestrel.session import cut_lineage
 
 GROUP_BYTES = 2 << 20     # of texts in a group; a longer text is a group by itself
 LAST = (1 << 63) - 1      # stands for a NULL id
-LEVEL = 9                 # of compression: texts are written and read by several steps
+LEVEL = 9                 # of the texts' compression: they are written and read by several steps
 
 
-def pack(x: np.ndarray | bytes) -> bytes:
+def pack(x: np.ndarray | bytes, level: int = 1) -> bytes:
     """Bytes of an array, compressed where that saves some; the first four or eight say how many they are."""
     raw = x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes()
-    small = pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True) if len(raw) > 64 else raw
+    small = pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True) if len(raw) > 64 else raw
     return len(raw).to_bytes(8, "little") + small if len(small) + 4 < len(raw) else b"\xff\xff\xff\xff" + raw
 
 
@@ -59,7 +59,7 @@ def grouped(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
             limits = np.cumsum([0, *map(len, texts)])
             first += 1
             return batch_of(_GROUP, [(first - 1, int(limits[-1]), pack(np.array(ids, np.int64)), pack(limits.astype(np.int64)),
-                                       pack(np.array(known, np.uint8)), pack(b"".join(texts)))])
+                                       pack(np.array(known, np.uint8)), pack(b"".join(texts), LEVEL))])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
