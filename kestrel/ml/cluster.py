@@ -1,5 +1,5 @@
-"""Clustering: k-means (MLlib), DBSCAN on an epsilon grid, Ward agglomeration
-on k-means micro-clusters.
+"""Clustering: k-means (MLlib), DBSCAN on an epsilon grid or on cells around pivots,
+exact Ward agglomeration by rounds of mutual nearest clusters.
 """
 
 from __future__ import annotations
@@ -8,17 +8,21 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..session import cut_lineage
+from . import pivots
 from .models import features_vector, split_complete
 
 DEFAULT_K = 3            # reference default number of clusters
 DEFAULT_EPS = 0.5        # reference DBSCAN defaults (library defaults)
 DEFAULT_MIN_SAMPLES = 5
+WARD_TAIL = 2_048        # clusters that are left to one task
+GRID_COLUMNS = 3         # a grid's neighbourhood grows with the power of the columns
 
 
 def kmeans(df: DataFrame, cols, k: int = DEFAULT_K, seed: int = 42, out: str = "cluster"):
@@ -52,10 +56,12 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_sampl
     large-star and small-star steps until nothing changes; border points take the
     smallest cluster label of a core point within eps. Cluster ids are the
     smallest point id of the cluster. Points with a NULL or NaN coordinate are
-    within eps of nothing: noise.
+    within eps of nothing: noise. More than ``GRID_COLUMNS`` columns go to ``dbscan_wide``.
     """
     cols = list(cols)
     d = len(cols)
+    if d > GRID_COLUMNS:
+        return dbscan_wide(df, id_col, cols, eps, min_samples, out)
     everything = df
     df = df.where(F.forall(F.array(*[F.col(c).cast("double") for c in cols]), lambda x: x.isNotNull() & ~F.isnan(x)))
     side = eps / math.sqrt(d)
@@ -150,8 +156,33 @@ def dbscan(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_sampl
     border = (b_whole.join(b_ring, "_qid", "full")
               .select(F.col("_qid").alias("_id"), F.least("_l1", "_l2").alias("label")))
     lab = core_lab.select("_id", "label").unionByName(border)
-    return (everything.join(lab.withColumnRenamed("_id", id_col), id_col, "left")
-            .withColumn(out, F.coalesce(F.col("label"), F.lit(-1)).cast("long")).drop("label"))
+    return (everything.join(lab.select(F.col("_id").alias(id_col), F.col("label").alias("_label")), id_col, "left")
+            .withColumn(out, F.coalesce(F.col("_label"), F.lit(-1)).cast("long")).drop("_label"))
+
+
+def dbscan_wide(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_samples: int = DEFAULT_MIN_SAMPLES,
+                out: str = "cluster", cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
+    """``dbscan`` for any number of columns: an eps-join over cells around pivots, occupied cells only.
+
+    Equal points are one point with a weight. A point meets the cells that can hold a
+    point within eps of it (triangle inequality); blocks of them give counts, forests
+    of links and smallest labels, never pairs. Ids are distinct numbers.
+    """
+    cols = list(cols)
+    rows = pivots.nulls_out(df.select(F.col(id_col).alias("_id"), *cols), cols)
+    points = cut_lineage(rows.groupBy("_v").agg(F.min("_id").cast("long").alias("_id"), F.count("*").alias("weight")))
+    if points.isEmpty():
+        return df.withColumn(out, F.lit(-1).cast("long"))
+    near = pivots.WithinEps(points, eps, cell_rows)
+    core_ids = cut_lineage(near.weights().where(F.col("n") >= min_samples).select("_id"))
+    core = cut_lineage(near.points.join(core_ids, "_id"))
+    found = components(near.links(core)).select(F.col("node").alias("_id"), F.col("component").alias("label"))
+    core = cut_lineage(core.join(found, "_id", "left").withColumn("label", F.coalesce("label", "_id")))
+    rest = near.points.join(core_ids, "_id", "left_anti")
+    labels = core.select("_id", "label").unionByName(near.least_label(rest, core))
+    labels = rows.select(F.col("_id").alias(id_col), "_v").join(
+        points.select("_id", "_v").join(labels, "_id").select("_v", F.col("label").alias("_label")), "_v").select(id_col, "_label")
+    return df.join(labels, id_col, "left").withColumn(out, F.coalesce("_label", F.lit(-1)).cast("long")).drop("_label")
 
 
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -166,52 +197,107 @@ def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return cut_lineage(nodes.join(found, "label", "left").select("node", F.coalesce("component", "label").alias("label")))
 
 
-def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, n_micro: int = 200, seed: int = 42,
-                  out: str = "cluster") -> DataFrame:
-    """Ward clustering, re-aimed for scale: k-means makes at most ``n_micro``
-    weighted micro-clusters (one distributed fit; the caller's choice of detail),
-    Ward merging of their centroids (weights = sizes; Lance-Williams update) runs
-    on those few points, and every row takes the final label of its micro-cluster.
-    Equal to exact Ward only when every micro-cluster holds identical points
-    (documented stand-in); column ``n_micro`` of the result says how many were
-    used. Rows with a missing feature keep a NULL label.
+def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, out: str = "cluster", tail: int = WARD_TAIL,
+                  cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
+    """Exact Ward clustering into ``n_clusters``.
+
+    Every round finds each cluster's nearest one (by what the merge adds to the sum
+    of squares) on cells around pivots, and merges all pairs that are nearest to
+    each other. Ward's cost is reducible, so this builds the same tree as merging the
+    cheapest pair each time. The last ``tail`` clusters merge in one task. The tree
+    is cut at its ``n_clusters`` - 1 dearest merges. Equal points start as one
+    cluster. Clusters are numbered by their smallest point, coordinate by coordinate;
+    rows with a missing feature keep a NULL label. Ties go to the smaller point.
     """
     cols = list(cols)
-    df, missing = split_complete(df, cols)
-    d = features_vector(df, cols, "_features")
-    km = KMeans(k=n_micro, seed=seed, featuresCol="_features", predictionCol="_micro", maxIter=50).fit(d)
-    assigned = km.transform(d)
-    sizes = {r["_micro"]: r["n"] for r in assigned.groupBy("_micro").agg(F.count(F.lit(1)).alias("n")).collect()}
-    cents = km.clusterCenters()
-    ids = sorted(sizes)
-    m = len(ids)
-    w = np.array([float(sizes[i]) for i in ids])
-    C = np.array([np.asarray(cents[i], dtype=float) for i in ids])
-    # Ward merge cost between clusters a, b: w_a w_b / (w_a + w_b) |c_a - c_b|^2,
-    # updated after each merge with the Lance-Williams formula
-    sq = ((C[:, None, :] - C[None, :, :]) ** 2).sum(-1)
-    D = (w[:, None] * w[None, :] / (w[:, None] + w[None, :])) * sq
-    np.fill_diagonal(D, np.inf)
-    alive = np.ones(m, dtype=bool)
-    members = {a: [ids[a]] for a in range(m)}
-    for _ in range(m - n_clusters):
-        a, b = np.unravel_index(np.argmin(D), D.shape)
-        a, b = min(a, b), max(a, b)
-        wa, wb = w[a], w[b]
-        new = ((w + wa) * D[a] + (w + wb) * D[b] - w * D[a, b]) / (w + wa + wb)
-        D[a, :] = new
-        D[:, a] = new
-        D[a, a] = np.inf
-        D[b, :] = np.inf
-        D[:, b] = np.inf
-        D[~alive, :] = np.inf
-        D[:, ~alive] = np.inf
-        w[a] = wa + wb
-        alive[b] = False
-        members[a] += members.pop(b)
-    groups = {a: members[a] for a in members}
-    order = sorted(groups, key=lambda g: min(groups[g]))
-    mapping = {m: lab for lab, g in enumerate(order) for m in groups[g]}
-    table = df.sparkSession.createDataFrame(list(mapping.items()), f"_micro int, {out} int")
-    found = assigned.join(F.broadcast(table), "_micro", "left").drop("_features", "_micro")   # n_micro rows at most
-    return found.unionByName(missing.withColumn(out, F.lit(None).cast("int"))).withColumn("n_micro", F.lit(m))
+    rows = pivots.nulls_out(df, cols)
+    start = rows.groupBy("_v").agg(F.count("*").cast("double").alias("w"))
+    start = cut_lineage(start.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_id", F.monotonically_increasing_id()))
+    state, merges, left = start.select("_id", "_v", "w"), None, start.count()
+    while left > max(tail, 1):
+        pairs = cut_lineage(_mutual(state, cell_rows))
+        a, b = (state.select(F.col("_id").alias(i), F.col("_v").alias(f"v{i}"), F.col("w").alias(f"w{i}")) for i in "ab")
+        both = pairs.join(a, "a").join(b, "b")
+        v = F.zip_with("va", "vb", lambda x, y: (x * F.col("wa") + y * F.col("wb")) / (F.col("wa") + F.col("wb")))
+        merged = both.select(F.col("a").alias("_id"), v.alias("_v"), (F.col("wa") + F.col("wb")).alias("w"))
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
+        state = cut_lineage(state.join(gone, "_id", "left_anti").unionByName(merged))
+        merges = pairs if merges is None else cut_lineage(merges.unionByName(pairs))
+        left = state.count()
+    last = state.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_ward_tail, "a long, b long, cost double")     # tail rows at most
+    merges = cut_lineage(last if merges is None else merges.unionByName(last))
+    cut = merges.orderBy(F.desc("cost"), F.desc("a"), F.desc("b")).limit(max(0, n_clusters - 1))
+    kept = merges.join(cut.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    found = components(kept).select(F.col("node").alias("_id"), "component")
+    labels = cut_lineage(start.join(found, "_id", "left").select("_v", F.coalesce("component", "_id").alias("_c")))
+    # n_clusters rows at most
+    order = Window.orderBy("_c")
+    number = labels.select("_c").distinct().withColumn(out, (F.row_number().over(order) - 1).cast("int"))
+    labels = labels.join(number, "_c").select("_v", out)
+    vec = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.withColumn("_v", vec).join(labels, "_v", "left").drop("_v")
+
+
+def _mutual(state: DataFrame, cell_rows: int) -> DataFrame:
+    """(a, b, cost) with a < b of the clusters (_id, _v, w) that are each other's nearest."""
+    cells = pivots.choose(state, cell_rows=cell_rows)
+    placed = cut_lineage(pivots.with_cells(state, cells))
+    stats = cut_lineage(pivots.spread(placed, []))
+    least = placed.agg(F.min("w")).first()[0]
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if a.num_rows and b.num_rows:
+            x, y = pivots.matrix(a.column("_v")), pivots.matrix(b.column("_v"))
+            i, j = a.column("_id").to_numpy(), b.column("_id").to_numpy()
+            wi, wj = a.column("w").to_numpy()[:, None], b.column("w").to_numpy()[None, :]
+            cost = wi * wj / (wi + wj) * pivots.squares(x, y)
+            cost[i[:, None] == j[None, :]] = np.inf
+            low = cost.min(1)
+            lo, hi = np.minimum(i[:, None], j[None, :]), np.maximum(i[:, None], j[None, :])
+            for k in np.flatnonzero(np.isfinite(low)):
+                at = np.flatnonzero(cost[k] == low[k])
+                at = at[np.lexsort((hi[k, at], lo[k, at]))[0]]
+                out.append((int(i[k]), int(j[at]), float(low[k])))
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(
+            (("_id", pa.int64()), ("o", pa.int64()), ("cost", pa.float64())))})
+
+    search = lambda met: pivots.met_in_blocks(met, placed, stats, [], ["_id", "_v", "w"], ["_id", "_v", "w"], best,
+                                              "_id long, o long, cost double")
+    nearest = lambda d: d.groupBy("_id").agg(F.min(F.struct(
+        "cost", F.least("_id", "o").alias("a"), F.greatest("_id", "o").alias("b"))).alias("n"))
+    home = cut_lineage(pivots.meetings(state, cells, stats, [], np.inf, enough=2))
+    first = cut_lineage(search(home))
+    # A cluster of weight w at distance d costs at least least * w / (least + w) * d * d.
+    reach = nearest(first).select("_id", F.col("n.cost").alias("c"))
+    wider = state.join(reach, "_id", "left").withColumn("_reach", F.sqrt(
+        F.coalesce("c", F.lit(float("inf"))) * (F.lit(least) + F.col("w")) / (F.lit(least) * F.col("w"))) * (1 + pivots.SLACK)).drop("c")
+    rest = pivots.meetings(wider, cells, stats, [], np.inf).join(home.select("_id", "_cell"), ["_id", "_cell"], "left_anti")
+    found = nearest(first.unionByName(search(cut_lineage(rest.drop("_reach"))))).select("n.a", "n.b", "n.cost")
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("cost").alias("cost")).where("n = 2").select("a", "b", "cost")
+
+
+def _ward_tail(table: pa.Table) -> pa.Table:
+    """All merges (a, b, cost) of a bounded number of clusters, along chains of nearest ones."""
+    ids, v = table.column("_id").to_numpy().copy(), pivots.matrix(table.column("_v")).copy()
+    w, alive, out, chain = table.column("w").to_numpy().copy(), np.ones(table.num_rows, bool), [], []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[np.argmin(ids[alive])]))
+        k = chain[-1]
+        cost = w[k] * w / (w[k] + w) * pivots.squares(v[k:k + 1], v)[0]
+        cost[~alive] = np.inf
+        cost[k] = np.inf
+        at = np.flatnonzero(cost == cost.min())
+        j = int(at[np.lexsort((np.maximum(ids[at], ids[k]), np.minimum(ids[at], ids[k])))[0]])
+        if len(chain) > 1 and cost[chain[-2]] == cost[j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        out.append((int(min(ids[j], ids[k])), int(max(ids[j], ids[k])), float(cost[j])))
+        v[j] = (w[j] * v[j] + w[k] * v[k]) / (w[j] + w[k])
+        w[j], ids[j], alive[k] = w[j] + w[k], min(ids[j], ids[k]), False
+        chain = chain[:-2]
+    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(
+        (("a", pa.int64()), ("b", pa.int64()), ("cost", pa.float64())))})

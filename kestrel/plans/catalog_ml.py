@@ -196,9 +196,28 @@ def q_dbscan(spark, sf_dir):
              .select("c_custkey", "x", "y", "cluster")
 
 
+_WIDE_COLS = [f"e{i}" for i in range(16)]
+
+
+@query("dbscan_wide", """
+WITH RECURSIVE p AS (SELECT vec_id AS i, CAST(embedding[1:16] AS DOUBLE[]) AS v FROM embeddings),
+e AS (SELECT q.i, r.i AS j FROM p q JOIN p r
+      ON list_sum(list_transform(list_zip(q.v, r.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) <= 0.47 * 0.47),
+core AS (SELECT i FROM e GROUP BY i HAVING count(*) >= 5),
+ce AS (SELECT e.i, e.j FROM e JOIN core a ON e.i = a.i JOIN core b ON e.j = b.i),
+r(i, root) AS (SELECT i, i FROM core UNION SELECT ce.j, r.root FROM r JOIN ce ON ce.i = r.i),
+lab AS (SELECT i, min(root) AS label FROM r GROUP BY i),
+b AS (SELECT e.i, min(lab.label) AS label FROM e JOIN lab ON e.j = lab.i GROUP BY e.i)
+SELECT p.i AS vec_id, CAST(coalesce(lab.label, b.label, -1) AS BIGINT) AS cluster
+FROM p LEFT JOIN lab ON lab.i = p.i LEFT JOIN b ON b.i = p.i""")
+def q_dbscan_wide(spark, sf_dir):
+    """DBSCAN (eps 0.47, 5 points) on 16 embedding coordinates."""
+    return cl.dbscan(_emb(spark, sf_dir, 16), "vec_id", _WIDE_COLS, 0.47, 5).select("vec_id", "cluster")
+
+
 @query("agglomerative")
 def q_agglomerative(spark, sf_dir):
-    """Ward clustering (3 clusters) of the customer points via micro-clusters."""
+    """Exact Ward clustering (3 clusters) of the customer points."""
     return cl.agglomerative(fx.points_2d(tables(spark, sf_dir)).drop("cluster"), ["x", "y"], 3)
 
 

@@ -43,7 +43,7 @@ def test_scoring_keeps_rows_with_missing_features(spark):
         assert hits > 70
     found, _ = cl.kmeans(df, ["a", "b"], 2)
     assert found.count() == 83 and found.where("cluster IS NULL").count() == 2
-    assert cl.agglomerative(df, ["a", "b"], 2, n_micro=10).where("cluster IS NULL").count() == 2
+    assert cl.agglomerative(df, ["a", "b"], 2).where("cluster IS NULL").count() == 2
 
 
 def test_anova_counts_each_feature_by_itself(spark):

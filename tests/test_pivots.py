@@ -57,3 +57,48 @@ def test_far_cells_are_not_met(spark):
     stats = pivots.spread(placed, [])
     met = pivots.meetings(ref.select(F.col("_rid").alias("_qid"), "_v", F.lit(1.0).alias("_reach")), cells, stats, [], 1.0)
     assert met.count() < 0.6 * 2000 * stats.count()
+
+
+def ward(x, k):
+    """Labels of exact Ward clustering, the cheapest pair merged each time; clusters by their smallest point."""
+    own = [[i] for i in range(len(x))]
+    c, w = [v.copy() for v in x], [1.0] * len(x)
+    while len(own) > k:
+        best = min((w[i] * w[j] / (w[i] + w[j]) * float(((c[i] - c[j]) ** 2).sum()), i, j)
+                   for i in range(len(own)) for j in range(i))
+        _, i, j = best
+        c[j] = (w[i] * c[i] + w[j] * c[j]) / (w[i] + w[j])
+        w[j] += w[i]
+        own[j] += own[i]
+        del own[i], c[i], w[i]
+    order = sorted(own, key=lambda m: min(tuple(x[i]) for i in m))
+    return {i: n for n, m in enumerate(order) for i in m}
+
+
+@pytest.mark.parametrize("tail, cell_rows, ks", [(2048, 512, (1, 3, 6)), (30, 16, (4,))])
+def test_ward_equals_brute_force(spark, tail, cell_rows, ks):
+    from kestrel.ml.cluster import agglomerative
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(90, 3)) + rng.integers(0, 4, 90)[:, None] * 2.0
+    x[70:] = x[0]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(500, None, 1.0, 1.0)], "id int, a double, b double, c double")
+    for k in ks:
+        got = {r.id: r.cluster for r in agglomerative(df, ["a", "b", "c"], k, tail=tail, cell_rows=cell_rows).collect()}
+        assert got.pop(500) is None and got == ward(x, k)
+
+
+def test_wide_dbscan_equals_brute_force(spark):
+    from kestrel.ml.cluster import dbscan_wide
+    df, x, cols = points(spark, 300, 6, 11)
+    got = {r.id: r.cluster for r in dbscan_wide(df, "id", cols, 2.0, 5, cell_rows=20).collect()}
+    near = [np.flatnonzero(((x - v) ** 2).sum(1) <= 4.0) for v in x]
+    core = {i for i, n in enumerate(near) if len(n) >= 5}
+    label = {i: i for i in core}
+    changed = True
+    while changed:
+        changed = False
+        for i in core:
+            low = min(label[j] for j in near[i] if j in core)
+            changed, label[i] = changed or low < label[i], min(low, label[i])
+    want = {i: label[i] if i in core else min((label[j] for j in near[i] if j in core), default=-1) for i in range(len(x))}
+    assert got == want and len(set(want.values())) > 3

@@ -211,7 +211,7 @@ def test_kmeans_beats_single_cluster(spark, t):
 def test_agglomerative_three_clusters(spark, t):
     from kestrel.ml.cluster import agglomerative
     from kestrel.plans.fixtures import points_2d
-    out = agglomerative(points_2d(t).drop("cluster"), ["x", "y"], 3, n_micro=50).toPandas()
+    out = agglomerative(points_2d(t).drop("cluster"), ["x", "y"], 3).toPandas()
     assert sorted(out.cluster.unique()) == [0, 1, 2]
 
 
