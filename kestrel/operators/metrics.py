@@ -3,16 +3,20 @@ columns of a DataFrame.
 
 Classification metrics come from one grouped count by (y, pred); AUC is the
 exact rank-sum statistic with tie handling, computed from a score histogram
-with distributed running counts; clustering metrics use per-cluster sums
-(k rows), never pairs of points.
+with distributed running counts; clustering metrics keep their per-cluster sums as a
+table that is joined, and sum distances block against block where they need them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import MAX_LEVELS, stats_row
+from ..ml import pivots
+from ..session import cut_lineage
 from .position import running_totals
 
 
@@ -117,95 +121,127 @@ def mape(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 # ----------------------------------------------------------- clustering
 
-def _cluster_sums(df, cols, cluster):
-    """Per cluster: n, sum of each coordinate, sum of squared norms (k rows)."""
-    rows = (df.groupBy(F.col(cluster).cast("string").alias("c"))
-            .agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"s_{i}")
-                                                 for i, c in enumerate(cols)],
-                 F.sum(sum(F.col(c).cast("double") ** 2 for c in cols)).alias("q"))
-            .orderBy("c").limit(MAX_LEVELS + 1).collect())
-    if len(rows) > MAX_LEVELS:
-        raise ValueError("too many clusters")
-    return rows
+def _points(df: DataFrame, cols, cluster: str) -> DataFrame:
+    """(_id, _c, _v, weight): the distinct points of every cluster. Rows with a missing feature or no cluster take no part."""
+    rows = pivots.nulls_out(df.select(F.col(cluster).cast("string").alias("_c"), *cols).where("_c IS NOT NULL"), cols)
+    found = rows.groupBy("_c", "_v").agg(F.count("*").alias("weight"))
+    return cut_lineage(found.withColumn("_id", F.monotonically_increasing_id()))
+
+
+def _clusters(points: DataFrame, d: int) -> DataFrame:
+    """Per cluster: n, centroid and mean distance to it. A table, however many clusters there are."""
+    sums = [F.sum(F.get("_v", F.lit(k)) * F.col("weight")) / F.sum("weight") for k in range(d)]
+    mean = points.groupBy("_c").agg(F.sum("weight").alias("n"), F.array(*sums).alias("_mu"))
+    far = F.sqrt(_square("_v", "_mu"))
+    return cut_lineage(points.join(mean, "_c").groupBy("_c").agg(
+        F.first("n").alias("n"), F.first("_mu").alias("_mu"), (F.sum(far * F.col("weight")) / F.first("n")).alias("s")))
+
+
+def _square(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def _against_clusters(asking: DataFrame, clusters: DataFrame, fn, cols: list[str], schema: str) -> DataFrame:
+    """``fn(asking, clusters, distances)`` for blocks of asking rows (_id, _c, _v, ...) and blocks of clusters."""
+    members = clusters.select(F.lit(0).alias("_cell"), "_c", "n", "s", F.col("_mu").alias("_v"))
+    stats = members.groupBy("_cell").agg(F.ceil(F.count("*") / F.lit(pivots.BLOCK)).cast("int").alias("blocks"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        rows = []
+        if a.num_rows and b.num_rows:
+            rows = fn(a, b, np.sqrt(pivots.squares(pivots.matrix(a.column("_v")), pivots.matrix(b.column("_v")))))
+        return pa.table(dict(zip(names, ([r[k] for r in rows] for k in range(len(names)))))).cast(kind)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    kind = asking.sparkSession.createDataFrame([], schema).limit(0).toArrow().schema
+    return pivots.met_in_blocks(asking.withColumn("_cell", F.lit(0)), members, stats, [], cols, ["_c", "n", "s", "_v"], run, schema)
 
 
 def silhouette(df: DataFrame, cols, cluster: str) -> DataFrame:
-    """Mean silhouette with squared Euclidean distance (the definition of
-    Spark's ClusteringEvaluator), exact and without pairs of points.
+    """Mean silhouette with Euclidean distances, exact.
 
-    Mean squared distance of x to cluster C = |x|^2 - 2 x.S_C / n_C + Q_C / n_C
-    from per-cluster sums S_C, Q_C; own cluster divides by n_C - 1; points of
-    a one-point cluster score 0. (The reference's library default is the
-    plain Euclidean distance, which needs all pairs; see README.)
+    The mean distance of x to a cluster is at least its distance to the centroid,
+    and at most that plus the cluster's mean distance to its centroid. These bounds
+    leave a point few clusters that can be its nearest other one; only for those
+    and its own are distances summed, block against block. Points of a one-point
+    cluster score 0; with one cluster only there is no score.
     """
     cols = list(cols)
-    st = _cluster_sums(df, cols, cluster)
-    x = [F.col(c).cast("double") for c in cols]
-    xx = sum(v * v for v in x)
-    own = F.col(cluster).cast("string")
-    dists = {}
-    for r in st:
-        dot = sum(v * F.lit(r[f"s_{i}"]) for i, v in enumerate(x))
-        dists[r["c"]] = (r["n"], F.lit(r["n"]) * xx - 2 * dot + F.lit(r["q"]))  # sum of sq distances
-    a = F.lit(None).cast("double")
-    for c, (n, tot) in dists.items():
-        a = F.when(own == F.lit(c), tot / F.lit(max(n - 1, 1)) if n > 1 else F.lit(None)).otherwise(a)
-    others = [F.when(own != F.lit(c), tot / F.lit(n)) for c, (n, tot) in dists.items()]
-    b = F.least(*others) if len(others) > 1 else others[0]
-    s = F.when(a.isNull(), F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    return df.agg(F.avg(s).alias("silhouette"))
-
-
-def _centroids(st, d):
-    return {r["c"]: [r[f"s_{i}"] / r["n"] for i in range(d)] for r in st}
+    points = _points(df, cols, cluster)
+    clusters = _clusters(points, len(cols))
+
+    def open_clusters(a, b, d):
+        own, other, s = np.array(a.column("_c").to_pylist()), np.array(b.column("_c").to_pylist()), b.column("s").to_numpy()
+        d = np.where(own[:, None] == other[None, :], np.inf, d)
+        high = d + s
+        i, j = np.nonzero((d <= high.min(1, keepdims=True) * (1 + 1e-9)) & np.isfinite(d))
+        ids = a.column("_id").to_numpy()
+        return list(zip(ids[i].tolist(), other[j].tolist(), d[i, j].tolist(), high[i, j].tolist()))
+
+    bounds = _against_clusters(points, clusters, open_clusters, ["_id", "_c", "_v"], "_id bigint, o string, low double, high double")
+    bounds = cut_lineage(bounds)
+    least = bounds.groupBy("_id").agg((F.min("high") * (1 + 1e-9)).alias("least"))
+    asked = bounds.join(least, "_id").where("low <= least").select("_id", F.col("o").alias("_cell"))
+    asked = asked.unionByName(points.select("_id", F.col("_c").alias("_cell")))
+    met = cut_lineage(asked.join(points.select("_id", "_v"), "_id"))
+    members = points.select(F.col("_c").alias("_cell"), "_id", "_v", "weight")
+    stats = members.groupBy("_cell").agg(F.ceil(F.count("*") / F.lit(pivots.BLOCK)).cast("int").alias("blocks"))
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids, total = [], []
+        if a.num_rows and b.num_rows:
+            d = np.sqrt(pivots.squares(pivots.matrix(a.column("_v")), pivots.matrix(b.column("_v"))))
+            ids, total = a.column("_id").to_numpy(), d @ b.column("weight").to_numpy().astype(float)
+        c = a.column("_cell")[0].as_py() if a.num_rows else None
+        return pa.table({"_id": pa.array(ids, pa.int64()), "o": pa.array([c] * len(ids), pa.string()),
+                         "total": pa.array(total, pa.float64())})
+
+    found = pivots.met_in_blocks(met, members, stats, [], ["_id", "_v", "_cell"], ["_id", "_v", "weight"], sums,
+                                 "_id long, o string, total double")
+    found = found.groupBy("_id", "o").agg(F.sum("total").alias("total"))
+    found = found.join(clusters.select(F.col("_c").alias("o"), "n"), "o").join(points.select("_id", "_c", "weight"), "_id")
+    own = F.col("o") == F.col("_c")
+    score = found.groupBy("_id").agg(
+        F.first("weight").alias("weight"), F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
+        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    s = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("a").isNull(), 0.0).when(F.greatest("a", "b") == 0, 0.0) \
+        .otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return score.agg((F.sum(s * F.col("weight")) / F.sum(F.when(s.isNotNull(), F.col("weight")))).alias("silhouette"))
 
 
 def davies_bouldin(df: DataFrame, cols, cluster: str) -> DataFrame:
     """Mean over clusters of max_{j != i} (s_i + s_j) / d(mu_i, mu_j), with s
     the mean Euclidean distance of a cluster's points to its centroid."""
     cols = list(cols)
-    st = _cluster_sums(df, cols, cluster)
-    mu = _centroids(st, len(cols))
-    own = F.col(cluster).cast("string")
-    dist = F.lit(None).cast("double")
-    for c, m in mu.items():
-        dc = F.sqrt(sum((F.col(col).cast("double") - F.lit(m[i])) ** 2 for i, col in enumerate(cols)))
-        dist = F.when(own == F.lit(c), dc).otherwise(dist)
-    sc = {r["c"]: r["s"] for r in df.groupBy(own.alias("c")).agg(F.avg(dist).alias("s")).collect()}
-    import math
-    ks = sorted(mu)
-    vals = []
-    for i in ks:
-        best = 0.0
-        for j in ks:
-            if i == j:
-                continue
-            dd = math.sqrt(sum((a - b) ** 2 for a, b in zip(mu[i], mu[j])))
-            best = max(best, (sc[i] + sc[j]) / dd if dd > 0 else float("inf"))
-        vals.append(best)
-    v = sum(vals) / len(vals) if vals else None
-    return df.sparkSession.createDataFrame([(v,)], "davies_bouldin double")
+    clusters = _clusters(_points(df, cols, cluster), len(cols))
+    asking = clusters.select("_c", F.col("_mu").alias("_v"), F.col("s").alias("_s"))
+
+    def worst(a, b, d):
+        own, other = np.array(a.column("_c").to_pylist()), np.array(b.column("_c").to_pylist())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (a.column("_s").to_numpy()[:, None] + b.column("s").to_numpy()[None, :]) / d
+        r = np.where(d == 0, np.inf, r)
+        r = np.where(own[:, None] == other[None, :], 0.0, r)
+        return list(zip(own.tolist(), r.max(1).tolist()))
+
+    found = _against_clusters(asking, clusters, worst, ["_c", "_v", "_s"], "_c string, r double")
+    return found.groupBy("_c").agg(F.max("r").alias("r")).agg(F.avg("r").alias("davies_bouldin"))
 
 
 def calinski_harabasz(df: DataFrame, cols, cluster: str) -> DataFrame:
     """[tr(B) / (k - 1)] / [tr(W) / (n - k)] from per-cluster sums."""
     cols = list(cols)
-    st = _cluster_sums(df, cols, cluster)
-    d = len(cols)
-    n = sum(r["n"] for r in st)
-    k = len(st)
-    tot = [sum(r[f"s_{i}"] for r in st) / n for i in range(d)]
-    mu = _centroids(st, d)
-    own = F.col(cluster).cast("string")
-    sq = F.lit(None).cast("double")
-    for c, m in mu.items():
-        sq = F.when(own == F.lit(c), sum((F.col(col).cast("double") - F.lit(m[i])) ** 2
-                                         for i, col in enumerate(cols))).otherwise(sq)
-    w = df.agg(F.sum(sq)).first()[0]  # within-cluster dispersion, one pass
-    # between: sum over clusters of n_C |mu_C - mu|^2
-    b = sum(r["n"] * sum((r[f"s_{i}"] / r["n"] - tot[i]) ** 2 for i in range(d)) for r in st)
-    v = (b / (k - 1)) / (w / (n - k)) if k > 1 and w > 0 and n > k else None
-    return df.sparkSession.createDataFrame([(v,)], "calinski_harabasz double")
+    points = _points(df, cols, cluster)
+    clusters = _clusters(points, len(cols))
+    within = points.join(clusters.select("_c", "_mu"), "_c").agg(F.sum(_square("_v", "_mu") * F.col("weight")).alias("w"))
+    whole = clusters.agg(*[(F.sum(F.get("_mu", F.lit(k)) * F.col("n")) / F.sum("n")).alias(f"m{k}") for k in range(len(cols))],
+                         F.count("*").alias("k"), F.sum("n").alias("n")).first()     # one row
+    mean = F.array(*[F.lit(whole[f"m{k}"]) for k in range(len(cols))])
+    between = clusters.agg(F.sum(_square("_mu", mean) * F.col("n"))).first()[0]
+    k, n = whole["k"], whole["n"] or 0
+    ok = (F.col("w") > 0) & F.lit(k > 1 and n > k)
+    return within.select(F.when(ok, F.lit((between or 0.0) / max(k - 1, 1)) / (F.col("w") / F.lit(max(n - k, 1))))
+                         .alias("calinski_harabasz"))
 
 
 def actual_vs_predicted(df: DataFrame, y: str = "y", pred: str = "pred", keep=()) -> DataFrame:

@@ -112,17 +112,14 @@ def q_mape(spark, sf_dir):
 
 @query("silhouette", _P + """, d AS (
   SELECT a.c_custkey, a.cluster AS ca, b.cluster AS cb,
-         (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+         sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d2
   FROM points_2d a JOIN points_2d b ON a.c_custkey <> b.c_custkey),
 m AS (SELECT c_custkey, ca, cb, sum(d2) AS s, count(*) AS k FROM d GROUP BY 1, 2, 3),
 ab AS (SELECT c_custkey,
   max(CASE WHEN ca = cb THEN s / k END) AS a, min(CASE WHEN ca <> cb THEN s / (k) END) AS b FROM m GROUP BY 1)
 SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab""")
 def q_silhouette(spark, sf_dir):
-    """Silhouette (squared Euclidean) of customers clustered by market segment.
-
-    The oracle is brute force over all pairs of the small fixture; the Spark
-    side uses per-cluster sums only."""
+    """Silhouette (Euclidean) of customers clustered by market segment; the oracle is brute force over all pairs."""
     return rounded(mt.silhouette(fx.points_2d(_t(spark, sf_dir)), ["x", "y"], "cluster"))
 
 
