@@ -34,24 +34,28 @@ BATCH_TEXTS = 512
 _WINDOW = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
 
 
-def line_hashes(text: str, long_words: int = LONG_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(two rows of hashes, line number, whether it has ``long_words`` words) of the lines that hold a word."""
-    raw = text.encode()
-    starts, ends, numbers, long, at = [], [], [], [], 0
-    space = SPACES.encode()
-    for k, line in enumerate(raw.split(b"\n")):
-        body = line.strip(space)
-        if body:
-            lo = at + line.index(body[:1])
-            starts.append(lo)
-            ends.append(lo + len(body))
-            numbers.append(k)
-            long.append(0 < long_words <= (len(body) + 1) // 2 and len(body.split()) >= long_words)
-        at += len(line) + 1
-    if not starts:
-        return np.zeros((2, 0), np.uint64), np.zeros(0, np.int32), np.zeros(0, bool)
-    spans = np.frombuffer(raw, np.uint8), np.array(starts), np.array(ends)
-    return np.stack([span_hashes(*spans), span_hashes(*spans, 1)]), np.array(numbers, np.int32), np.array(long)
+def line_hashes(texts: list[str], long_words: int = LONG_WORDS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every text (two rows of hashes, line number, whether it has ``long_words`` words) of the lines that hold a word.
+
+    All texts are hashed at once.
+    """
+    starts, ends, numbers, long, cut, at = [], [], [], [], [0], 0
+    space, encoded = SPACES.encode(), [t.encode() for t in texts]
+    for raw in encoded:
+        for k, line in enumerate(raw.split(b"\n")):
+            body = line.strip(space)
+            if body:
+                lo = at + line.index(body[:1])
+                starts.append(lo)
+                ends.append(lo + len(body))
+                numbers.append(k)
+                long.append(0 < long_words <= (len(body) + 1) // 2 and len(body.split()) >= long_words)
+            at += len(line) + 1
+        cut.append(len(starts))
+    spans = np.frombuffer(b"".join(x + b"\n" for x in encoded), np.uint8), np.array(starts, np.int64), np.array(ends, np.int64)
+    h = np.stack([span_hashes(*spans), span_hashes(*spans, 1)])
+    numbers, long = np.array(numbers, np.int32), np.array(long, bool)
+    return [(h[:, lo:hi], numbers[lo:hi], long[lo:hi]) for lo, hi in zip(cut[:-1], cut[1:])]
 
 
 def winnowed(h: np.ndarray, window: int) -> np.ndarray:
@@ -72,9 +76,8 @@ def _runs(h: np.ndarray, window: int) -> np.ndarray:
     return out
 
 
-def fingerprints(text: str, window: int, long_words: int):
-    """(mark, position, windows: first of them, number, their two hashes, first and last line) of a text's fingerprints."""
-    h, numbers, long = line_hashes(text, long_words)
+def fingerprints(h: np.ndarray, numbers: np.ndarray, long: np.ndarray, window: int):
+    """(mark, position, number of windows, and all windows' two hashes, first and last line) of a text's fingerprints."""
     mark, place, count, runs, first, last = [], [], [], [], [], []
     if window > 1 and long.any():
         own = _runs(h[:, long], 1)
@@ -105,8 +108,9 @@ def _marks(docs: DataFrame, window: int, long_words: int) -> DataFrame:
             for lo in range(0, batch.num_rows, BATCH_TEXTS):
                 part = batch.slice(lo, BATCH_TEXTS)
                 keys, found = [], []
-                for k1, k2, text in zip(*(c.to_pylist() for c in part.columns)):
-                    f = fingerprints(text, window, long_words)
+                k1, k2, texts = (c.to_pylist() for c in part.columns)
+                for k1, k2, lines in zip(k1, k2, line_hashes(texts, long_words)):
+                    f = fingerprints(*lines, window)
                     if f:
                         keys.append((k1, k2, len(f[0])))
                         found.append(f)

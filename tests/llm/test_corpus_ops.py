@@ -596,7 +596,7 @@ def test_line_query_matches_brute_force_with_fewer_marks_than_windows(spark):
     assert sum(got[i] != t for i, t in docs) > 50
     marks = windows = 0
     for _, t in docs:
-        f = line_dedup.fingerprints(t, line_dedup.WINDOW, 0)
+        f = line_dedup.fingerprints(*line_dedup.line_hashes([t], 0)[0], line_dedup.WINDOW)
         marks, windows = marks + (len(f[0]) if f else 0), windows + (len(f[4]) if f else 0)
     assert 0 < marks < 0.8 * windows
 
