@@ -136,40 +136,66 @@ def mark_k_smallest(df: DataFrame, group: str | None, u: str, k_of: dict, tie_co
     ``u`` is uniform on [0, 1), so the k-th smallest of n values lies within
     a few sqrt(k) / n of k / n. Band [lo, hi] per group is verified by counts
     (widened and retried if ever needed); only rows inside the band are ranked,
-    rows below and above it are decided by a comparison. ``counts`` has the rows
-    of every group (a NULL group included). Ties go by ``tie_cols``, then by all
-    columns, so rows that differ are decided alike on every evaluation.
+    which gives each group's k-th value. Every row is then decided by a comparison
+    with it, where it stands: the table of groups is sent to the rows. Only rows
+    equal to a k-th value that they share go by ``tie_cols``, then by all columns,
+    so rows that differ are decided alike on every evaluation.
     """
     spark = df.sparkSession
     width = 8.0
-    key = F.struct(F.col(group)) if group else F.struct(F.lit(0))
     gtype = df.schema[group].dataType.simpleString() if group else "int"
+
+    groups = list(counts)       # a group goes by its place here, as NULL and NaN do too
+
+    def beside(rows: list, cols: list[str]) -> DataFrame:
+        """The rows with their group's place ``_i`` and values: literals of the one group, or a small table."""
+        if not group:
+            return df.select("*", F.lit(0).alias("_i"), *[F.lit(v).alias(c) for c, v in zip(cols, rows[0])])
+        kinds = ", ".join(f"{c} {'long' if c == '_need' else 'double'}" for c in cols)
+        table = spark.createDataFrame([((g,), i, *rows[i]) for i, g in enumerate(groups)], f"_gk struct<g:{gtype}>, _i int, {kinds}")
+        return df.withColumn("_gk", F.struct(F.col(group).alias("g"))).join(F.broadcast(table), "_gk").drop("_gk")
+
+    size = [(n, min(n, max(0, k_of.get(g, 0)))) for g, n in counts.items()]
+    part = [i for i, (n, k) in enumerate(size) if 0 < k < n]       # the others are in or out as a whole
     for _ in range(MAX_TRIES):
-        rows = []
-        for g, n in counts.items():
-            k = min(n, max(0, k_of.get(g, 0)))
-            s = width * math.sqrt(k) + 10
-            lo, hi = (2.0, 2.0) if k >= n else (-1.0, -1.0) if k <= 0 else (max(0.0, (k - s) / n), min(1.0, (k + s) / n))
-            rows.append(((g if group else 0,), lo, hi, k))
-        bands = spark.createDataFrame(rows, f"_gk struct<g:{gtype}>, _lo double, _hi double, _k long")
-        d = df.withColumn("_gk", key).join(bands, "_gk")
-        st = {r["_gk"][0]: r for r in d.groupBy("_gk").agg(
-            F.first("_k").alias("k"), F.first("_lo").alias("lo"), F.count_if(F.col(u) < F.col("_lo")).alias("below"),
-            F.count_if((F.col(u) >= F.col("_lo")) & (F.col(u) <= F.col("_hi"))).alias("inband")).collect()}
-        if all(r.lo in (2.0, -1.0) or r.below <= r.k <= r.below + r.inband for r in st.values()):
+        bands = [_band(n, k, width) if 0 < k < n else (2.0, 2.0) for n, k in size]
+        d = beside(bands, ["_lo", "_hi"])
+        inside = (F.col(u) >= F.col("_lo")) & (F.col(u) <= F.col("_hi"))
+        st = {r["_i"]: r for r in d.groupBy("_i").agg(
+            F.count_if(F.col(u) < F.col("_lo")).alias("below"), F.count_if(inside).alias("inband")).collect()} if part else {}
+        if all(st[i].below <= size[i][1] <= st[i].below + st[i].inband for i in part):
             break
         width *= 4
     else:
         raise RuntimeError("no band holds the k-th smallest value")
-    need = spark.createDataFrame([((g,), r.k - r.below if r.lo not in (2.0, -1.0) else 0) for g, r in st.items()],
-                                 f"_gk struct<g:{gtype}>, _need long")
-    inside = (F.col(u) >= F.col("_lo")) & (F.col(u) <= F.col("_hi"))
-    w = Window.partitionBy("_gk").orderBy(F.col(u), *[F.col(c) for c in tie_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
-    ranked = (d.where(inside).join(need, "_gk").withColumn(out, F.row_number().over(w) <= F.col("_need")))
-    rest = d.where(~inside).withColumn(out, F.col(u) < F.col("_lo"))
+    # per group: the k-th value, and how many of the rows that have it are among the k; -1: all of them
+    cuts = [(2.0 if k >= n else -1.0, -1) for n, k in size]
+    if part:
+        left = {i: size[i][1] - st[i].below for i in part}
+        for i in part:
+            cuts[i] = (bands[i][0], 0)      # stands if all k are below the band
+        before = Window.partitionBy("_i").orderBy(u).rowsBetween(Window.unboundedPreceding, -1)
+        per = d.where(inside).groupBy("_i", u).agg(F.count(F.lit(1)).alias("_n"))
+        per = per.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        need = spark.createDataFrame(list(left.items()), "_i int, _left long")
+        kth = per.join(F.broadcast(need), "_i").where((F.col("_b") < F.col("_left")) & (F.col("_left") <= F.col("_b") + F.col("_n")))
+        for r in kth.collect():             # one row a group
+            cuts[r["_i"]] = (r[u], -1 if r["_left"] == r["_b"] + r["_n"] else r["_left"] - r["_b"])
+    d = beside(cuts, ["_cut", "_need"])
+    if all(n < 0 for _, n in cuts):
+        return d.select(*df.columns, (F.col(u) <= F.col("_cut")).alias(out))
+    tied = (F.col(u) == F.col("_cut")) & (F.col("_need") >= 0)
+    w = Window.partitionBy("_i").orderBy(*[F.col(c) for c in tie_cols], F.xxhash64(*[F.col(c) for c in df.columns]))
+    ranked = d.where(tied).withColumn(out, F.row_number().over(w) <= F.col("_need"))
+    rest = d.where(~tied).withColumn(out, F.col(u) <= F.col("_cut"))
     return ranked.select(*df.columns, out).unionByName(rest.select(*df.columns, out))
 
 
+def _band(n: int, k: int, width: float) -> tuple[float, float]:
+    s = width * math.sqrt(k) + 10
+    return max(0.0, (k - s) / n), min(1.0, (k + s) / n)
+
+
 def class_counts(df: DataFrame, col: str) -> dict:
     """{class: rows}, NULL included: one row per class; at most MAX_CLASSES classes."""
     rows = df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
