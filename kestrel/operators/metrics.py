@@ -63,7 +63,7 @@ def prf_binary(df: DataFrame, y: str = "y", pred: str = "pred", positive=1) -> D
 
 
 def _auc_by(df: DataFrame, keys, is_pos, score) -> DataFrame:
-    """Exact AUC per key: P(score_pos > score_neg) + 0.5 P(equal)."""
+    """Exact AUC per key: P(score_pos > score_neg) + 0.5 P(equal); NULL where one side has no row."""
     keys = list(keys)
     hist = (df.select(*keys, is_pos.cast("int").alias("_pos"), score.cast("double").alias("_s"))
             .where(F.col("_s").isNotNull())
@@ -71,8 +71,8 @@ def _auc_by(df: DataFrame, keys, is_pos, score) -> DataFrame:
                                       F.sum(1 - F.col("_pos")).alias("_nn")))
     rt = running_totals(hist, keys, "_s", ["_nn"])
     return rt.groupBy(*keys).agg(
-        (F.sum(F.col("_np") * (F.col("_nn_before") + 0.5 * F.col("_nn")))
-         / (F.sum("_np") * F.sum("_nn"))).alias("roc_auc"))
+        F.try_divide(F.sum(F.col("_np") * (F.col("_nn_before") + 0.5 * F.col("_nn"))),
+                     F.sum("_np") * F.sum("_nn")).alias("roc_auc"))
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", positive=1) -> DataFrame:

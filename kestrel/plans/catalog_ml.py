@@ -242,9 +242,12 @@ def q_sequence_classifier(spark, sf_dir):
     c = p.agg(F.avg((F.col("y") == F.col("pred")).cast("double")).alias("accuracy"), F.count_if(yes & hit).alias("tp"),
               F.count_if(~yes & hit).alias("fp"), F.count_if(yes & ~hit).alias("fn"))
     auc = mt.roc_auc(p.select(yes.cast("int").alias("y"), "score")).first()[0]
-    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / (F.col("tp") + F.col("fn"))
-    return c.select("accuracy", precision.alias("precision"), recall.alias("recall"),
-                    (2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).alias("f1"), F.lit(auc).alias("auc"))
+    # 0 when undefined, as in metrics.prf_binary; an AUC of one class only is NULL
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return c.select("accuracy", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+                    share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+                    share(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"),
+                    F.lit(auc).cast("double").alias("auc"))
 
 
 # ------------------------------------------------------------- forecasting
