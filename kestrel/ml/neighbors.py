@@ -1,34 +1,20 @@
-"""Exact k-nearest neighbours for low-dimensional numeric features, on a grid.
+"""Exact k-nearest neighbours in any number of numeric features.
 
-Points are hashed to square cells. A query looks at the 3^d cells around its
-own; every reference point within one cell width of the query lies in that
-block, so the neighbours found at distance <= width are the true nearest
-ones. Queries with fewer than k such neighbours go to the next round with
-doubled width. The starting width is shrunk until no cell holds more than
-``MAX_CELL`` distinct points, which bounds the candidate pairs of a query by
-3^d * MAX_CELL in dense regions (exact duplicates of one point excepted).
-
-The grid serves d <= 4 (the block has 3^d cells). Wider inputs go to ``knn_wide``,
-which is exact too: cells around pivots and the triangle inequality (``pivots``).
+Points lie in cells around pivots; a query looks only at cells that can hold an
+answer by the triangle inequality (``pivots``). Equal points ask once, and of equal
+reference points only as many are looked at as an answer can hold, so neither dense
+regions nor repeated points make more pairs than a few cells hold.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import pivots
 
-MAX_CELL = 4096
-MAX_DIM = 4
-
-
-def _cells(cols, width):
-    return [F.floor(F.col(c) / F.lit(width)).cast("long").alias(f"_k{i}") for i, c in enumerate(cols)]
+MAX_DIM = 4     # up to here small cells are best; above, a query meets most cells and few large ones are
 
 
 def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
@@ -39,80 +25,25 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
     Ties at the k-th distance are broken by the reference key.
     With ``exclude_self`` a reference row with the same id as the query is skipped.
     ``by`` columns restrict neighbours to rows with equal values (e.g. a class).
+    Rows with a NULL or NaN feature take no part.
     """
-    by = list(by)
-    cols = list(cols)
-    d = len(cols)
-    if d > MAX_DIM:
-        return knn_wide(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by)
-    r_id = r_id or q_id
-    st = ref.agg(F.count(F.lit(1)).alias("n"), *[e for c in cols for e in (
-        F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}"))]).first()
-    n = st["n"]
-    vol = 1.0
-    for c in cols:
-        vol *= max(st[f"hi_{c}"] - st[f"lo_{c}"], 1e-9)
-    width = (vol * 2.0 * k / max(n, 1)) ** (1.0 / d)
-    R = ref.select(F.col(r_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols],
-                   *[x for x in ref_keep if x not in by], *by)
-    for _ in range(40):  # shrink until no cell is too crowded
-        mx = R.groupBy(*by, *_cells(cols, width)).agg(F.count_distinct(*cols).alias("m")).agg(F.max("m")).first()[0]
-        if mx is None or mx <= MAX_CELL:
-            break
-        width /= 2.0
-    diam = math.sqrt(sum((st[f"hi_{c}"] - st[f"lo_{c}"]) ** 2 for c in cols)) + 1e-9
-    Q = query.select(F.col(q_id).alias("_qid"), *[F.col(c).cast("double").alias(f"_q_{c}") for c in cols], *by)
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=d)]
-    done = None
-    pending = Q
-    while True:   # until every query is answered; the width at least doubles, so it passes the diameter
-        Rc = R.select("*", *_cells(cols, width))
-        qc = pending.select("*", F.explode(F.array(*[
-            F.struct(*[(F.floor(F.col(f"_q_{c}") / F.lit(width)).cast("long") + F.lit(o[i])).alias(f"_k{i}")
-                       for i, c in enumerate(cols)]) for o in offsets])).alias("_cell")).select("*", "_cell.*").drop("_cell")
-        pairs = qc.join(Rc, [f"_k{i}" for i in range(d)] + by)
-        if exclude_self:
-            pairs = pairs.where(F.col("_qid") != F.col("_rid"))
-        dist = F.sqrt(sum((F.col(c) - F.col(f"_q_{c}")) ** 2 for c in cols))
-        pairs = pairs.withColumn("_dist", dist).where(F.col("_dist") <= F.lit(width))
-        w = Window.partitionBy("_qid").orderBy("_dist", "_rid")
-        ranked = (pairs.withColumn("_rank", F.row_number().over(w))
-                  .withColumn("_found", F.count(F.lit(1)).over(Window.partitionBy("_qid")))
-                  .where(F.col("_rank") <= k))
-        # once the width exceeds the diameter every reference point is in reach:
-        # queries with fewer than k candidates then simply have fewer refs
-        last = width > diam
-        ok = cut_lineage((ranked if last else ranked.where(F.col("_found") >= k))
-                         .drop("_found", *[f"_k{i}" for i in range(d)]))
-        done = ok if done is None else done.unionByName(ok)
-        if last:
-            break
-        n_pending = pending.count()
-        pending = cut_lineage(pending.join(ok.select("_qid").distinct(), "_qid", "left_anti"))
-        left = pending.count()
-        if left == 0:
-            break
-        # grow fast while most queries are unresolved, gently near the end
-        width *= 4.0 if left > 0.5 * n_pending else 2.0
-    return done.select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols,
-                       *[x for x in ref_keep if x not in by], *by, "_dist", "_rank")
+    cell_rows = pivots.CELL_ROWS
+    if len(list(cols)) > MAX_DIM:
+        cell_rows = max(cell_rows, -(-ref.count() // pivots.WIDE_CELLS))
+    return knn_wide(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by, cell_rows)
 
 
 def knn_wide(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
              r_id: str | None = None, by=(), cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
-    """Like ``knn`` for any number of features, exact too (``pivots``). Ids are distinct.
-
-    Rows with a NULL or NaN feature take no part.
-    """
+    """``knn`` on cells that hold about ``cell_rows`` points."""
     by, cols, r_id = list(by), list(cols), r_id or q_id
     kept = [x for x in ref_keep if x not in by]
-    vec = F.array(*[F.col(c).cast("double") for c in cols])
-    whole = lambda df, c: df.withColumn("_v", vec).where(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x))) \
-        .select(F.col(c[0]).alias(c[1]), "_v", *by)
-    found = pivots.nearest(whole(query, (q_id, "_qid")), whole(ref, (r_id, "_rid")), k, by, exclude_self, cell_rows)
-    rows = ref.select(F.col(r_id).alias("_rid"), *[F.col(c).cast("double").alias(c) for c in cols], *kept, *by)
-    return found.join(rows, "_rid").select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"), *cols, *kept, *by,
-                                           "_dist", "_rank")
+    asked = pivots.nulls_out(query, cols).select(F.col(q_id).alias("_qid"), "_v", *by)
+    rows = pivots.nulls_out(ref, cols).select(F.col(r_id).alias("_rid"), "_v", *kept, *by)
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    found = pivots.nearest(asked, rows.select("_row", "_rid", "_v", *by), k, by, exclude_self, cell_rows)
+    return found.join(rows, "_row").select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"),
+                                           *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)], *kept, *by, "_dist", "_rank")
 
 
 def knn_classify(train: DataFrame, test: DataFrame, id_col: str, cols, label: str, k: int = 5,

@@ -46,3 +46,32 @@ def test_sequence_classifier_scores_a_test_part_without_positives(spark, tmp_pat
     rows.write.parquet(str(tmp_path / "events.parquet"))
     r = q_sequence_classifier(spark, str(tmp_path)).first()
     assert (r.accuracy, r.precision, r.recall, r.f1, r.auc) == (1.0, 0.0, 0.0, 0.0, None)
+
+
+@pytest.mark.parametrize("d", [2, 6])
+def test_neighbours_of_repeated_points_and_ids(spark, d):
+    from kestrel.ml.neighbors import knn
+    rng = np.random.default_rng(d)
+    x = np.round(rng.normal(size=(40, d)), 1)
+    x[:15] = x[0]
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(i, *map(float, x[i])) for i in range(0, 40, 3)]
+    cols = [f"c{k}" for k in range(d)]
+    df = spark.createDataFrame(rows, ["id", *cols]).repartition(3)
+    got = {}
+    for r in knn(df, df, "id", cols, 5, exclude_self=True).collect():
+        got.setdefault(r.id, []).append((r._rank, r._dist, r.nn_id))
+    for q in range(40):
+        near = [(float(np.sqrt(np.cumsum((np.array(r[1:]) - x[q]) ** 2)[-1])), r[0]) for r in rows if r[0] != q]
+        near = sorted(near * sum(r[0] == q for r in rows))[:5]
+        assert [(a, b) for _, a, b in sorted(got[q])] == near
+
+
+def test_smallest_distances_hold_all_ties():
+    from kestrel.ml.pivots import _smallest, squares
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 3, (50, 4)).astype(float) + 1e6, rng.integers(0, 3, (300, 4)).astype(float) + 1e6
+    d = np.sqrt(squares(x, y))
+    got = {(i, j): v for i, j, v in zip(*(np.concatenate(c) for c in zip(*_smallest(x, y, 4, np.full(50, np.inf)))))}
+    for i in range(50):
+        for j in np.flatnonzero(d[i] <= np.sort(d[i])[3]):
+            assert got[i, j] == d[i, j]
