@@ -4,6 +4,7 @@ exact Ward agglomeration by rounds of mutual nearest clusters.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -22,6 +23,8 @@ DEFAULT_K = 3            # reference default number of clusters
 DEFAULT_EPS = 0.5        # reference DBSCAN defaults (library defaults)
 DEFAULT_MIN_SAMPLES = 5
 WARD_TAIL = 2_048        # clusters that are left to one task
+WARD_CELLS = 4           # cells in which clusters merge by themselves hold so many times the rows of other cells
+WARD_STALL = 0.9         # where more than this share of the clusters is left, mutual pairs of all cells follow
 GRID_COLUMNS = 3         # a grid's neighbourhood grows with the power of the columns
 
 
@@ -201,10 +204,12 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, out: str = "
                   cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
     """Exact Ward clustering into ``n_clusters``.
 
-    Every round finds each cluster's nearest one (by what the merge adds to the sum
-    of squares) on cells around pivots, and merges all pairs that are nearest to
-    each other. Ward's cost is reducible, so this builds the same tree as merging the
-    cheapest pair each time. The last ``tail`` clusters merge in one task. The tree
+    Ward's cost is reducible, so merging clusters that are nearest to each other (by what
+    the merge adds to the sum of squares), in any order, builds the same tree as merging
+    the cheapest pair each time. Every round deals the clusters to cells around new pivots;
+    a cell merges its pairs as long as no cluster of another cell can be as near to either
+    (``_merge_in_cells``). Where that merges few, the mutual pairs of all cells are merged
+    once (``_mutual``). The last ``tail`` clusters merge in one task. The tree
     is cut at its ``n_clusters`` - 1 dearest merges. Equal points start as one
     cluster. Clusters are numbered by their smallest point, coordinate by coordinate;
     rows with a missing feature keep a NULL label. Ties go to the smaller point.
@@ -213,8 +218,15 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, out: str = "
     rows = pivots.nulls_out(df, cols)
     start = rows.groupBy("_v").agg(F.count("*").cast("double").alias("w"))
     start = cut_lineage(start.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_id", F.monotonically_increasing_id()))
-    state, merges, left = start.select("_id", "_v", "w"), None, start.count()
+    state, merges, left, turn = start.select("_id", "_v", "w"), [], start.count(), 0
     while left > max(tail, 1):
+        turn += 1
+        done = _merge_in_cells(state, WARD_CELLS * cell_rows, turn)
+        state, before = done.where("b IS NULL").select("_id", "_v", "w"), left
+        merges.append(done.where("b IS NOT NULL").select(F.col("_id").alias("a"), "b", "cost"))
+        left = state.count()
+        if left <= max(tail, WARD_STALL * before):
+            continue
         pairs = cut_lineage(_mutual(state, cell_rows))
         a, b = (state.select(F.col("_id").alias(i), F.col("_v").alias(f"v{i}"), F.col("w").alias(f"w{i}")) for i in "ab")
         both = pairs.join(a, "a").join(b, "b")
@@ -222,10 +234,10 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, out: str = "
         merged = both.select(F.col("a").alias("_id"), v.alias("_v"), (F.col("wa") + F.col("wb")).alias("w"))
         gone = pairs.select(F.explode(F.array("a", "b")).alias("_id"))
         state = cut_lineage(state.join(gone, "_id", "left_anti").unionByName(merged))
-        merges = pairs if merges is None else cut_lineage(merges.unionByName(pairs))
+        merges.append(pairs)
         left = state.count()
     last = state.withColumn("_one", F.lit(0)).groupBy("_one").applyInArrow(_ward_tail, "a long, b long, cost double")     # tail rows at most
-    merges = cut_lineage(last if merges is None else merges.unionByName(last))
+    merges = cut_lineage(functools.reduce(DataFrame.unionByName, merges, last))
     cut = merges.orderBy(F.desc("cost"), F.desc("a"), F.desc("b")).limit(max(0, n_clusters - 1))
     kept = merges.join(cut.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = components(kept).select(F.col("node").alias("_id"), "component")
@@ -238,6 +250,84 @@ def agglomerative(df: DataFrame, cols, n_clusters: int = DEFAULT_K, out: str = "
     return df.withColumn("_v", vec).join(labels, "_v", "left").drop("_v")
 
 
+def _merge_in_cells(state: DataFrame, cell_rows: int, turn: int) -> DataFrame:
+    """(_id, _v, w, b, cost): the merges (_id, b, cost) that cells can make by themselves, and the clusters left (b NULL).
+
+    Cells are convex, so a merged cluster stays in its cell, and weights only grow: what a
+    cell knows of the others at first (``pivots.Outside``, their least weights) bounds the
+    cost of merging with any of their clusters from below whatever they merge meanwhile.
+    """
+    cells = pivots.choose(state, cell_rows=cell_rows, seed=turn)
+    placed = cut_lineage(pivots.with_cells(state, cells))
+    stats = placed.groupBy("_cell").agg(F.max("_far").alias("far"), F.min("w").alias("least")).orderBy("_cell").toArrow()   # PIVOTS squared rows at most
+    occupied, far, least = (stats.column(c).to_numpy() for c in ("_cell", "far", "least"))
+    shared = state.sparkSession.sparkContext.broadcast((cells, occupied, far, least))
+
+    def run(table: pa.Table) -> pa.Table:
+        cells, occupied, far, least = shared.value
+        cell = table.column("_cell")[0].as_py()
+        outside = pivots.Outside(cells, cell, occupied, far)
+        return _ward_cell(table, outside, least[outside.at])
+
+    return cut_lineage(placed.groupBy("_cell").applyInArrow(run, "_id long, _v array<double>, w double, b long, cost double"))
+
+
+def _ward_cell(table: pa.Table, outside: pivots.Outside, least: np.ndarray) -> pa.Table:
+    """Merges along chains of nearest clusters, each cheaper than any merge of the two with the cells ``outside``.
+
+    Where a cluster may be nearer to another cell, it waits, and so do those it is nearest to.
+    """
+    ids, v, w = table.column("_id").to_numpy().copy(), pivots.matrix(table.column("_v")).copy(), table.column("w").to_numpy().copy()
+
+    def bound(v, w):
+        d = outside.distances(v)
+        return (least * w[:, None] / (least + w[:, None]) * d * d).min(1, initial=np.inf) * (1 - pivots.SLACK)
+
+    step = max(1, pivots.MEETING // max(1, len(least)))
+    out = np.concatenate([bound(v[lo:lo + step], w[lo:lo + step]) for lo in range(0, len(v), step)])
+    alive, waits, merges = np.ones(len(v), bool), np.zeros(len(v), bool), []
+    todo, chain = np.argsort(-ids).tolist(), []
+    while todo or chain:
+        if not chain:
+            k = todo.pop()
+            if not alive[k] or waits[k]:
+                continue
+            chain.append(k)
+        if 2 * alive.sum() < len(alive) and len(alive) > 64:     # the merged ones leave
+            new = np.cumsum(alive) - 1
+            todo, chain = [int(new[k]) for k in todo if alive[k]], [int(new[k]) for k in chain]
+            ids, v, w, out, waits = ids[alive], v[alive], w[alive], out[alive], waits[alive]
+            alive = np.ones(len(v), bool)
+        k = chain[-1]
+        cost = w[k] * w / (w[k] + w) * pivots.squares(v[k:k + 1], v)[0]
+        cost[~alive] = np.inf
+        cost[k] = np.inf
+        low = cost.min()
+        if waits[k] or not low < out[k]:
+            waits[chain] = True
+            chain = []
+            continue
+        at = np.flatnonzero(cost == low)
+        j = int(at[0]) if len(at) == 1 else int(at[np.lexsort((np.maximum(ids[at], ids[k]), np.minimum(ids[at], ids[k])))[0]])
+        if len(chain) > 1 and cost[chain[-2]] == low:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        merges.append((int(min(ids[j], ids[k])), int(max(ids[j], ids[k])), float(low)))
+        v[j] = (w[j] * v[j] + w[k] * v[k]) / (w[j] + w[k])
+        w[j], ids[j], alive[k] = w[j] + w[k], min(ids[j], ids[k]), False
+        out[j] = bound(v[j:j + 1], w[j:j + 1])[0]
+        chain = chain[:-2]
+        todo.append(j)
+    none = [None] * len(merges)
+    a, b, costs = ([r[k] for r in merges] for k in range(3))
+    lost = [None] * int(alive.sum())
+    return pa.table({"_id": pa.array(ids[alive].tolist() + a, pa.int64()), "_v": pa.array(v[alive].tolist() + none, pa.list_(pa.float64())),
+                     "w": pa.array(w[alive].tolist() + none, pa.float64()), "b": pa.array(lost + b, pa.int64()),
+                     "cost": pa.array(lost + costs, pa.float64())})
+
+
 def _mutual(state: DataFrame, cell_rows: int) -> DataFrame:
     """(a, b, cost) with a < b of the clusters (_id, _v, w) that are each other's nearest."""
     cells = pivots.choose(state, cell_rows=cell_rows)

@@ -102,3 +102,33 @@ def test_wide_dbscan_equals_brute_force(spark):
             changed, label[i] = changed or low < label[i], min(low, label[i])
     want = {i: label[i] if i in core else min((label[j] for j in near[i] if j in core), default=-1) for i in range(len(x))}
     assert got == want and len(set(want.values())) > 3
+
+
+def test_ward_cells_merge_by_themselves(spark, monkeypatch):
+    """Cells make most merges without a round over all of them, and the tree is that of brute force."""
+    from kestrel.ml import cluster
+    rounds = []
+    mutual = cluster._mutual
+    monkeypatch.setattr(cluster, "_mutual", lambda *a: rounds.append(1) or mutual(*a))
+    rng = np.random.default_rng(4)
+    x = np.c_[rng.uniform(0, 10, 220), rng.integers(0, 5, 220)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id int, a double, b double")
+    got = {r.id: r.cluster for r in cluster.agglomerative(df, ["a", "b"], 5, tail=25, cell_rows=10).collect()}
+    assert got == ward(x, 5) and len(rounds) <= 1
+
+
+def test_outside_cells_are_no_nearer_than_their_bound(spark):
+    df, x, cols = points(spark, 1500, 3, 9)
+    from pyspark.sql import functions as F
+    ref = df.select(F.array(*cols).alias("_v"))
+    cells = pivots.choose(ref, cell_rows=2, seed=1)
+    cell, far = cells.assign(x)
+    occupied = np.unique(cell)
+    assert len(cells.first) < len(occupied)
+    reach = np.array([far[cell == c].max() for c in occupied])
+    for c in occupied[::40]:
+        outside = pivots.Outside(cells, int(c), occupied, reach)
+        own, low = x[cell == c], outside.distances(x[cell == c])
+        for k, o in enumerate(occupied[outside.at]):
+            assert (low[:, k] <= np.sqrt(pivots.squares(own, x[cell == o])).min(1)).all()
+        assert low.max() > 0
