@@ -25,6 +25,7 @@ DEFAULT_MIN_SAMPLES = 5
 WARD_TAIL = 2_048        # clusters that are left to one task
 WARD_CELLS = 4           # cells in which clusters merge by themselves hold so many times the rows of other cells
 WARD_STALL = 0.9         # where more than this share of the clusters is left, mutual pairs of all cells follow
+DELEGATES = 16           # points of a cluster that ask all cells for other clusters first
 GRID_COLUMNS = 3         # a grid's neighbourhood grows with the power of the columns
 
 
@@ -167,20 +168,33 @@ def dbscan_wide(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_
                 out: str = "cluster", cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
     """``dbscan`` for any number of columns: an eps-join over cells around pivots, occupied cells only.
 
-    Equal points are one point with a weight. A point meets the cells that can hold a
-    point within eps of it (triangle inequality); blocks of them give counts, forests
-    of links and smallest labels, never pairs. Ids are distinct numbers.
+    Equal points are one point with a weight. A point asks its nearest cell first. Where
+    that shows too few neighbours, it meets all cells that can hold a point within eps of
+    it (triangle inequality); blocks of them give counts, forests of links and smallest
+    labels, never pairs. Links between clusters found so far need one side to ask: first
+    a few points of each, then all points outside the largest one that did not ask yet.
+    Ids are distinct numbers.
     """
     cols = list(cols)
     rows = pivots.nulls_out(df.select(F.col(id_col).alias("_id"), *cols), cols)
     points = cut_lineage(rows.groupBy("_v").agg(F.min("_id").cast("long").alias("_id"), F.count("*").alias("weight")))
-    if points.isEmpty():
+    n = points.count()
+    if not n:
         return df.withColumn(out, F.lit(-1).cast("long"))
-    near = pivots.WithinEps(points, eps, cell_rows)
-    core_ids = cut_lineage(near.weights().where(F.col("n") >= min_samples).select("_id"))
-    core = cut_lineage(near.points.join(core_ids, "_id"))
-    found = components(near.links(core)).select(F.col("node").alias("_id"), F.col("component").alias("label"))
-    core = cut_lineage(core.join(found, "_id", "left").withColumn("label", F.coalesce("label", "_id")))
+    near = pivots.WithinEps(points, eps, max(cell_rows, n // pivots.WIDE_CELLS))
+    is_core = F.col("n") >= min_samples
+    sure = cut_lineage(near.weights(near.points, max(1, min_samples)).where(is_core).select("_id"))
+    unsure = near.points.join(sure, "_id", "left_anti")
+    core_ids = cut_lineage(sure.unionByName(near.weights(unsure).where(is_core).select("_id")))
+    core = cut_lineage(near.points.join(core_ids, "_id").withColumn("label", F.col("_id")))
+    core = _relabel(core, near.links(core, core, 1))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id")
+    early = cut_lineage(core.withColumn("k", F.row_number().over(order)).where(F.col("k") <= DELEGATES).select("_id"))
+    core = _relabel(core, near.links(core.join(early, "_id"), core))
+    largest = core.groupBy("label").count().orderBy(F.desc("count"), "label").select("label").first()    # one row
+    if largest:
+        late = core.where(F.col("label") != largest[0]).join(early, "_id", "left_anti")
+        core = _relabel(core, near.links(late, core))
     rest = near.points.join(core_ids, "_id", "left_anti")
     labels = core.select("_id", "label").unionByName(near.least_label(rest, core))
     labels = rows.select(F.col("_id").alias(id_col), "_v").join(
@@ -188,6 +202,12 @@ def dbscan_wide(df: DataFrame, id_col: str, cols, eps: float = DEFAULT_EPS, min_
     return df.join(labels, id_col, "left").withColumn(out, F.coalesce("_label", F.lit(-1)).cast("long")).drop("_label")
 
 
+def _relabel(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """The points with the smallest label that edges (u, v) of labels link to theirs."""
+    found = components(edges).select(F.col("node").alias("label"), "component")
+    return cut_lineage(points.join(found, "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component"))
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest label of the node's component.
 

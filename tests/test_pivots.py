@@ -132,3 +132,28 @@ def test_outside_cells_are_no_nearer_than_their_bound(spark):
         for k, o in enumerate(occupied[outside.at]):
             assert (low[:, k] <= np.sqrt(pivots.squares(own, x[cell == o])).min(1)).all()
         assert low.max() > 0
+
+
+def test_wide_dbscan_asks_whole_input_seldom(spark, monkeypatch):
+    """Close points don't ask all cells, and chains between cells, lone points and close calls come out as by brute force."""
+    from kestrel.ml.cluster import dbscan_wide
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(500, 5)) * 0.4, rng.normal(size=(300, 5)) * 0.4 + 6.0, rng.normal(size=(40, 5)) * 6])
+    x = np.concatenate([x, np.linspace(0, 6, 60)[:, None] * np.ones(5), [[20.0] * 5, [21.0] + [20.0] * 4, [22.0] + [20.0] * 4]])
+    cols = [f"c{k}" for k in range(5)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], ["id", *cols]).repartition(3)
+    asked, meet = [], pivots.meetings
+    monkeypatch.setattr(pivots, "meetings", lambda q, *a: (asked.append(0 if len(a) > 4 and a[4] else q.count()), meet(q, *a))[1])
+    got = {r.id: r.cluster for r in dbscan_wide(df, "id", cols, 1.0, 3, cell_rows=60).collect()}
+    d2 = pivots.squares(x, x)
+    near = d2 <= 1.0
+    core = near.sum(1) >= 3
+    label = np.arange(len(x))
+    while True:
+        low = np.where(near & core[None, :], label[None, :], len(x)).min(1)
+        new = np.where(core, np.minimum(label, low), label)
+        if (new == label).all():
+            break
+        label = new
+    want = {i: int(label[i]) if core[i] else int(low[i]) if low[i] < len(x) else -1 for i in range(len(x))}
+    assert got == want and -1 in want.values() and sum(asked) < 1.5 * len(x)
