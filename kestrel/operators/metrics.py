@@ -4,11 +4,13 @@ columns of a DataFrame.
 Classification metrics come from one grouped count by (y, pred); AUC is the
 exact rank-sum statistic with tie handling, computed from a score histogram
 with distributed running counts; clustering metrics keep their per-cluster sums as a
-table that is joined, and sum distances block against block where they need them.
+table that is joined, and sum distances between cells where they need them.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,11 @@ from ..ml import pivots
 from ..session import cut_lineage
 from .position import running_totals
 
+NODES = 18              # Chebyshev nodes on each axis of a cell
+APART = 2.0             # cells so many half widths apart meet by their nodes
+FEW_COLUMNS = 3         # nodes grow with the power of the columns
+CELLS_MET = 64          # cells, a side, that meet by their nodes in one group
+TILE = 131_072          # distances that are summed at once
 
 def accuracy(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     return df.agg(F.avg((F.col(y) == F.col(pred)).cast("double")).alias("accuracy"))
@@ -157,13 +164,143 @@ def _against_clusters(asking: DataFrame, clusters: DataFrame, fn, cols: list[str
     return pivots.met_in_blocks(asking.withColumn("_cell", F.lit(0)), members, stats, [], cols, ["_c", "n", "s", "_v"], run, schema)
 
 
-def silhouette(df: DataFrame, cols, cluster: str) -> DataFrame:
-    """Mean silhouette with Euclidean distances, exact.
+def _nodes(lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Chebyshev nodes of a box on every axis; one where it has no width."""
+    t = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+    return [(a + b) / 2 + (b - a) / 2 * t if b > a else np.array([a]) for a, b in zip(lo, hi)]
+
+
+def _grid(axes: list[np.ndarray]) -> np.ndarray:
+    return np.stack([x.ravel() for x in np.meshgrid(*axes, indexing="ij")], 1)
+
+
+def _shares(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The interpolation weights of a box's nodes at every row."""
+    out = np.ones((len(x), 1))
+    order = np.arange(NODES)
+    at = np.cos(order[:, None] * (2 * order + 1) * np.pi / (2 * NODES)) * np.where(order == 0, 1.0, 2.0)[:, None] / NODES
+    for k, (a, b) in enumerate(zip(lo, hi)):
+        if b > a:
+            angle = np.arccos(np.clip((2 * x[:, k] - a - b) / (b - a), -1.0, 1.0))
+            out = (out[:, :, None] * (np.cos(angle[:, None] * order) @ at)[:, None, :]).reshape(len(x), -1)
+    return out
+
+
+def _slices(n: int, width: int, held: int):
+    step = max(1, held // max(1, width))
+    return (slice(lo, lo + step) for lo in range(0, n, step))
+
+
+def _distance_sums(asked: DataFrame, points: DataFrame, d: int, n: int, cell_rows: int | None = None) -> DataFrame:
+    """(_id, o, total): the weighted distances of each asking point (_id, o) to all points of cluster o, in parts to be added.
+
+    Points lie in cells around pivots. Where two cells are ``APART`` times their larger half
+    width from each other, the distance is so smooth that its values between ``NODES``
+    Chebyshev nodes on each axis give all others to within about 1e-13 of it: the members'
+    weights go to their cell's nodes, sums are taken between nodes and read at the asking
+    points. All other pairs, and groups with fewer points than nodes, are summed one by one.
+    """
+    if not n:
+        return asked.sparkSession.createDataFrame([], "_id long, o string, total double")
+    nodes = float(NODES) ** d
+    if cell_rows is None:       # as much work between nodes as between points
+        cell_rows = max(pivots.CELL_ROWS, math.ceil(n / max(1.0, (7.5 * n * n / nodes / nodes) ** (1 / 3)))) if d <= FEW_COLUMNS else max(n, 1)
+    placed = cut_lineage(pivots.with_cells(points, pivots.choose(points, cell_rows=cell_rows)))
+    asking = cut_lineage(asked.join(placed.select("_id", "_v", "_cell"), "_id"))
+    ends = [f(F.get("_v", F.lit(k))) for f in (F.min, F.max) for k in range(d)]
+    box = cut_lineage(placed.groupBy("_cell").agg(F.array(*ends[:d]).alias("lo"), F.array(*ends[d:]).alias("hi")))
+    wide = F.aggregate(F.zip_with("lo", "hi", lambda x, y: F.when(y > x, float(NODES)).otherwise(1.0)), F.lit(1.0), lambda t, x: t * x)
+    half = F.array_max(F.zip_with("lo", "hi", lambda x, y: (y - x) / 2))
+    box = box.withColumn("nodes", wide).withColumn("half", half)
+    side = lambda groups, i: groups.join(box, "_cell").select("o", *[F.col(c).alias(f"{i}_{c}") for c in ("_cell", "n", "lo", "hi", "nodes", "half")])
+    t = side(asking.groupBy("o", "_cell").agg(F.count("*").alias("n")), "t")
+    s = side(placed.groupBy(F.col("_c").alias("o"), "_cell").agg(F.count("*").alias("n")), "s")
+    apart = lambda x, y: F.zip_with(x, y, lambda a, b: F.greatest(a - b, F.lit(0.0)))
+    gap = F.sqrt(F.aggregate(F.zip_with(apart("t_lo", "s_hi"), apart("s_lo", "t_hi"), lambda a, b: a * a + b * b), F.lit(0.0), lambda x, y: x + y))
+    far = ~F.isnan(gap) & (gap > APART * F.greatest("t_half", "s_half")) & (F.col("t_n") > F.col("t_nodes")) & (F.col("s_n") > F.col("s_nodes"))
+    pairs = cut_lineage(t.join(s, "o").select("o", "t__cell", "s__cell", far.alias("far")))
+
+    near = pairs.where("NOT far").select("o", F.col("t__cell").alias("_cell"), F.col("s__cell").alias("s"))
+    members = placed.select(F.col("_c").alias("o"), F.col("_cell").alias("s"), "_v", "weight").join(near, ["o", "s"]).drop("s")
+    stats = members.groupBy("o", "_cell").agg(F.ceil(F.count("*") / F.lit(pivots.WIDE_BLOCK)).cast("int").alias("blocks"))
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        total = np.zeros(a.num_rows if b.num_rows else 0)
+        if len(total):
+            x, y, w = pivots.matrix(a.column("_v")), pivots.matrix(b.column("_v")), b.column("weight").to_numpy().astype(float)
+            for k in _slices(len(x), len(y), TILE):
+                total[k] = np.sqrt(pivots.squares(x[k], y)) @ w
+        kept = a.slice(0, len(total))
+        return pa.table({"_id": kept.column("_id"), "o": kept.column("o"), "total": total})
+
+    found = pivots.met_in_blocks(asking, members, stats, ["o"], ["_id", "_v"], ["_v", "weight"], sums,
+                                 "_id long, o string, total double", pivots.WIDE_BLOCK)
+    return found.unionByName(_far_sums(asking, placed, box, pairs.where("far")))
+
+
+def _far_sums(asking: DataFrame, placed: DataFrame, box: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_id, o, total) over pairs (o, t__cell, s__cell) of a cell's asking points and a far cell's members."""
+    ends = box.select("_cell", "lo", "hi")
+    row = lambda table, c: np.array(table.column(c)[0].as_py(), float)
+
+    def gather(table: pa.Table) -> pa.Table:
+        x, w, lo, hi = pivots.matrix(table.column("_v")), table.column("weight").to_numpy().astype(float), row(table, "lo"), row(table, "hi")
+        at = sum(w[k] @ _shares(x[k], lo, hi) for k in _slices(len(x), len(_grid(_nodes(lo, hi))), pivots.MEETING))
+        return table.slice(0, 1).select(["o", "_cell", "lo", "hi"]).append_column("sums", pa.array([at.tolist()], pa.list_(pa.float64())))
+
+    kind = "o string, _cell long, lo array<double>, hi array<double>, sums array<double>"
+    members = placed.select(F.col("_c").alias("o"), "_cell", "_v", "weight").join(
+        pairs.select("o", F.col("s__cell").alias("_cell")).distinct(), ["o", "_cell"]).join(ends, "_cell")
+    members = cut_lineage(members.groupBy("o", "_cell").applyInArrow(gather, kind))
+    targets = pairs.groupBy("o", F.col("t__cell").alias("_cell")).agg(F.collect_list("s__cell").alias("others")).join(ends, "_cell")
+    blocks = lambda d, c, n: d.withColumn(c, F.pmod(F.xxhash64("_cell"), F.col(n)).cast("int"))
+    size = targets.groupBy("o").agg(F.ceil(F.count("*") / F.lit(CELLS_MET)).alias("ts")).join(
+        members.groupBy("o").agg(F.ceil(F.count("*") / F.lit(CELLS_MET)).alias("ss")), "o")
+    size = cut_lineage(size)
+    left = blocks(targets.join(size, "o"), "_t", "ts").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("ss").cast("int") - 1)))
+    right = blocks(members.join(size, "o"), "_s", "ss").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("ts").cast("int") - 1)))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides = {r["_cell"]: (_grid(_nodes(r["lo"], r["hi"])), np.array(r["sums"])) for r in b.to_pylist()}
+        out = []
+        for r in a.to_pylist():
+            own, values, hit = _grid(_nodes(r["lo"], r["hi"])), 0.0, False
+            for o in sorted(r["others"]):
+                if o in sides:
+                    there, weights = sides[o]
+                    values = values + np.concatenate([np.sqrt(pivots.squares(own[k], there)) @ weights for k in _slices(len(own), len(there), TILE)])
+                    hit = True
+            if hit:
+                out.append((r["o"], r["_cell"], values.tolist()))
+        return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate(
+            (("o", pa.string()), ("_cell", pa.int64()), ("part", pa.list_(pa.float64()))))})
+
+    parts = left.select("o", "_t", "_s", "_cell", "lo", "hi", "others").groupBy("o", "_t", "_s").cogroup(
+        right.select("o", "_t", "_s", "_cell", "lo", "hi", "sums").groupBy("o", "_t", "_s")).applyInArrow(meet, "o string, _cell long, part array<double>")
+    values = parts.groupBy("o", "_cell").agg(F.collect_list("part").alias("parts"))      # a row for each CELLS_MET far cells
+    values = cut_lineage(values.join(ends, "_cell"))
+
+    def read(a: pa.Table, b: pa.Table) -> pa.Table:
+        total = np.zeros(a.num_rows if b.num_rows else 0)
+        if len(total):
+            x, lo, hi = pivots.matrix(a.column("_v")), row(b, "lo"), row(b, "hi")
+            values = np.array(b.column("parts")[0].as_py()).sum(0)
+            for k in _slices(len(x), len(values), pivots.MEETING):
+                total[k] = _shares(x[k], lo, hi) @ values
+        kept = a.slice(0, len(total))
+        return pa.table({"_id": kept.column("_id"), "o": kept.column("o"), "total": total})
+
+    return asking.select("o", "_cell", "_id", "_v").groupBy("o", "_cell").cogroup(
+        values.select("o", "_cell", "lo", "hi", "parts").groupBy("o", "_cell")).applyInArrow(read, "_id long, o string, total double")
+
+
+def silhouette(df: DataFrame, cols, cluster: str, cell_rows: int | None = None) -> DataFrame:
+    """Mean silhouette with Euclidean distances, over all points, to within rounding.
 
     The mean distance of x to a cluster is at least its distance to the centroid,
     and at most that plus the cluster's mean distance to its centroid. These bounds
     leave a point few clusters that can be its nearest other one; only for those
-    and its own are distances summed, block against block. Points of a one-point
+    and its own are distances summed (``_distance_sums``). Points of a one-point
     cluster score 0; with one cluster only there is no score.
     """
     cols = list(cols)
@@ -181,23 +318,9 @@ def silhouette(df: DataFrame, cols, cluster: str) -> DataFrame:
     bounds = _against_clusters(points, clusters, open_clusters, ["_id", "_c", "_v"], "_id bigint, o string, low double, high double")
     bounds = cut_lineage(bounds)
     least = bounds.groupBy("_id").agg((F.min("high") * (1 + 1e-9)).alias("least"))
-    asked = bounds.join(least, "_id").where("low <= least").select("_id", F.col("o").alias("_cell"))
-    asked = asked.unionByName(points.select("_id", F.col("_c").alias("_cell")))
-    met = cut_lineage(asked.join(points.select("_id", "_v"), "_id"))
-    members = points.select(F.col("_c").alias("_cell"), "_id", "_v", "weight")
-    stats = members.groupBy("_cell").agg(F.ceil(F.count("*") / F.lit(pivots.BLOCK)).cast("int").alias("blocks"))
-
-    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
-        ids, total = [], []
-        if a.num_rows and b.num_rows:
-            d = np.sqrt(pivots.squares(pivots.matrix(a.column("_v")), pivots.matrix(b.column("_v"))))
-            ids, total = a.column("_id").to_numpy(), d @ b.column("weight").to_numpy().astype(float)
-        c = a.column("_cell")[0].as_py() if a.num_rows else None
-        return pa.table({"_id": pa.array(ids, pa.int64()), "o": pa.array([c] * len(ids), pa.string()),
-                         "total": pa.array(total, pa.float64())})
-
-    found = pivots.met_in_blocks(met, members, stats, [], ["_id", "_v", "_cell"], ["_id", "_v", "weight"], sums,
-                                 "_id long, o string, total double")
+    asked = bounds.join(least, "_id").where("low <= least").select("_id", "o")
+    asked = asked.unionByName(points.select("_id", F.col("_c").alias("o")))
+    found = _distance_sums(asked, points, len(cols), points.count(), cell_rows)
     found = found.groupBy("_id", "o").agg(F.sum("total").alias("total"))
     found = found.join(clusters.select(F.col("_c").alias("o"), "n"), "o").join(points.select("_id", "_c", "weight"), "_id")
     own = F.col("o") == F.col("_c")

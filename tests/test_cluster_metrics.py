@@ -43,3 +43,24 @@ def test_cluster_metrics_edges(spark):
     for f in (metrics.silhouette, metrics.calinski_harabasz):
         assert f(df, ["x"], "cl").first()[0] is None and f(df.limit(0), ["x"], "cl").first()[0] is None
     assert metrics.davies_bouldin(df.limit(0), ["x"], "cl").first()[0] is None
+
+
+@pytest.mark.parametrize("d, cell_rows", [(1, 150), (2, 450), (4, None)])
+def test_silhouette_of_far_cells_equals_brute_force(spark, d, cell_rows, monkeypatch):
+    """Far cells meet by their nodes, also where an axis has no width, and no distance is left out."""
+    rng = np.random.default_rng(d)
+    x = rng.uniform(-3, 30, size=(4000, d))
+    x[:, 1:] = np.where(rng.random((4000, d - 1)) < 0.7, np.floor(x[:, 1:] / 10), x[:, 1:] / 10)
+    x[3990:] = x[0]
+    c = [f"c{k}" for k in (rng.random(4000) < 0.05).astype(int)]
+    df = spark.createDataFrame([(*map(float, v), k) for v, k in zip(x, c)], [*[f"a{k}" for k in range(d)], "cl"]).repartition(3)
+    far, sums = [], metrics._far_sums
+    monkeypatch.setattr(metrics, "_far_sums", lambda *a: (far.append(a[3].count()), sums(*a))[1])
+    got = metrics.silhouette(df, [f"a{k}" for k in range(d)], "cl", cell_rows).first()[0]
+    t = [np.zeros((4000, 2)), np.array([[k == "c0", k == "c1"] for k in c], float)]
+    for lo in range(0, 4000, 500):
+        t[0][lo:lo + 500] = np.sqrt(((x[lo:lo + 500, None] - x[None]) ** 2).sum(-1)) @ t[1]
+    own, n = t[1] == 1, t[1].sum(0)
+    a, b = t[0][own] / (n[np.nonzero(own)[1]] - 1), t[0][~own] / n[np.nonzero(~own)[1]]
+    assert got == pytest.approx(((b - a) / np.maximum(a, b)).mean(), rel=1e-9)
+    assert (far[0] > 0) == (d < 3)
