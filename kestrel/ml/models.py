@@ -27,7 +27,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import stats_row
+from ..core import is_numeric, stats_row
+from . import forest
 
 # Fixed defaults of the reference (its model menu).
 DEFAULTS = {
@@ -106,6 +107,21 @@ def _estimator(kind: str, n_rows: int, n_classes: int, seed: int, params: dict):
     raise ValueError(f"unknown model {kind!r}")
 
 
+def _forest_on_sums(d: DataFrame, feature_cols, n_rows: int, seed: int, params: dict) -> PipelineModel | None:
+    """Regression forest on sums per cell, where MLlib's would hold more than ``forest.SUMS_FROM``
+    bootstrap counts and the features have at most ``forest.MAX_CELLS`` cells; else None."""
+    p = {**DEFAULTS["random_forest_reg"], **params}
+    cols = [feature_cols] if isinstance(feature_cols, str) else list(feature_cols)
+    if n_rows * p["n_estimators"] <= forest.SUMS_FROM or not all(is_numeric(d, c) for c in cols):
+        return None
+    if 2 ** len(cols) > forest.MAX_CELLS:      # each column has two bins or more
+        return None
+    edges = forest.bin_edges(d, cols)
+    if forest.n_cells(edges) > forest.MAX_CELLS:
+        return None
+    return forest.fit_forest(d, cols, edges, p["n_estimators"], p["max_depth"], seed)
+
+
 class Model:
     """A fitted pipeline plus what is needed to read its output."""
 
@@ -141,8 +157,8 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         d = cut_lineage(rff_features(train, feature_cols, params=extra["rff"]))
     else:
         d = features_vector(train, feature_cols)
-    # only two solvers state their penalty per row
-    n = d.count() if kind in ("logistic_regression", "svc") else 0
+    # two solvers state their penalty per row, the forest holds counts per row
+    n = d.count() if kind in ("logistic_regression", "svc", "random_forest_reg") else 0
     if kind in CLASSIFIERS:
         # labels are indexed for training only (sorted, strict); the pipeline
         # keeps estimator + decoder, so scoring needs no label column
@@ -153,9 +169,10 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         dec = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=idx.labels)
         pm = Pipeline(stages=[est, dec]).fit(idx.transform(d))
     elif kind in REGRESSORS:
-        est = _estimator(kind, n, 0, seed, params)
         d = d.withColumn("_label", F.col(label_col).cast("double"))
-        pm = Pipeline(stages=[est]).fit(d)
+        pm = _forest_on_sums(d, feature_cols, n, seed, params) if kind == "random_forest_reg" else None
+        if pm is None:
+            pm = Pipeline(stages=[_estimator(kind, n, 0, seed, params)]).fit(d)
     else:
         raise ValueError(f"unknown model {kind!r}")
     return Model(kind, pm, feature_cols, label_col, extra)
@@ -187,10 +204,13 @@ def predict(model: Model, df: DataFrame, keep=()) -> DataFrame:
 
 def feature_importance(model: Model) -> DataFrame:
     """(feature, importance) for tree models (original feature names)."""
-    m = model.estimator_model
-    if not hasattr(m, "featureImportances"):
+    forests = [m for m in model.pipeline.stages if hasattr(m, "featureImportances")]
+    if not forests:
         raise ValueError(f"{model.kind} has no feature importances")
-    imp = m.featureImportances.toArray().tolist()
+    imp = sum(m.featureImportances.toArray() for m in forests)
+    if len(forests) > 1:       # one stage per tree: their mean, as MLlib's own forest has it
+        imp = imp / (imp.sum() or 1.0)
+    imp = imp.tolist()
     names = model.feature_cols if len(model.feature_cols) == len(imp) else [f"f{i}" for i in range(len(imp))]
     from pyspark.sql import SparkSession
     return SparkSession.getActiveSession().createDataFrame(list(zip(names, [float(v) for v in imp])),
