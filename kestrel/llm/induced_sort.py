@@ -49,7 +49,9 @@ def tuples(kind, *cols) -> np.ndarray:
 
 def by_key(keys: np.ndarray) -> np.ndarray:
     """Stable order by key; small keys take the fast way."""
-    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 1 << 16 else keys, kind="stable")
+    if keys.dtype.itemsize > 2 and len(keys) and keys.max() < 1 << 16:
+        keys = keys.astype(np.uint16)
+    return np.argsort(keys, kind="stable")
 
 
 def kind_for(text: np.ndarray):
@@ -73,12 +75,14 @@ class DiskQueue:
         if not len(rows):
             return
         b = rows[:, 0] if self.single else np.searchsorted(self.bounds, rows[:, 0], side="right") - 1
-        if (b[1:] < b[:-1]).any():
+        turn = np.flatnonzero(b[1:] != b[:-1]) + 1
+        if (b[turn] < b[turn - 1]).any():
             order = by_key(b)
             b, rows = b[order], rows[order]
-        cuts = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)]
-        for lo, hi in zip(cuts[:-1], cuts[1:]):
-            self.pieces[b[lo]].append(rows[lo:hi])
+            turn = np.flatnonzero(b[1:] != b[:-1]) + 1
+        cuts = [0, *turn.tolist(), len(b)]
+        for x, lo, hi in zip(b[cuts[:-1]].tolist(), cuts[:-1], cuts[1:]):
+            self.pieces[x].append(rows[lo:hi])
         self.held += len(rows)
         if self.held > self.memory:
             self._spill()
@@ -157,20 +161,20 @@ class Equal(Nothing):
     """Whether a tuple's piece equals that of the tuple before it in its queue."""
 
     def __init__(self, n_keys: int):
-        self.count, self.zero, self.last = 0, -1, np.full(n_keys, -1, np.int64)
+        self.zeros, self.last = 0, np.full(n_keys, -1, np.int64)      # zeros scanned: all, and up to the key's last tuple
 
     def step(self, values, at, keys):
-        number = self.count + np.arange(len(values))
-        zero = np.maximum.accumulate(np.maximum(np.where(values == 0, number, -1), self.zero))
-        mine = number[at]
-        same = keys[1:] == keys[:-1]
-        before = self.last[keys]
-        before[1:][same] = mine[:-1][same]
-        out = (before >= 0) & (zero[at] <= before)
-        self.last[keys] = mine     # of repeated keys the last one stays
-        self.count += len(values)
-        if len(zero):
-            self.zero = zero[-1]
+        zeros = self.zeros + np.cumsum(values == 0)
+        mine = zeros[at]
+        out = np.empty(len(at), bool)
+        if len(at):
+            out[1:] = mine[1:] == mine[:-1]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            out[first] = self.last[keys[first]] == mine[first]
+            end = np.append(first[1:], len(at)) - 1
+            self.last[keys[end]] = mine[end]
+        if len(zeros):
+            self.zeros = int(zeros[-1])
         return out
 
 
@@ -193,18 +197,23 @@ class Common:
         upto = np.minimum.accumulate(values)
         after = np.append(np.minimum.accumulate(values[::-1])[::-1], self.most)
         k, a = keys, at
-        least = np.full(len(k), -1, np.int64)
+        least = np.empty(len(k), np.int64)
+        known = self.least
+        self.least = np.where(known < 0, -1, np.minimum(known, upto[-1]))
         if len(k):
             first = np.append(True, k[1:] != k[:-1])
-            known = self.least[k[first]]
+            later, first = np.flatnonzero(~first), np.flatnonzero(first)
+            known = known[k[first]]
             least[first] = np.where(known < 0, -1, np.minimum(known, upto[a[first]]))
-            later = np.flatnonzero(~first)
             if len(later):
-                edges = np.stack([a[later - 1] + 1, a[later] + 1], 1).ravel()
-                least[later] = np.minimum.reduceat(np.append(values, 0), edges)[::2]
-        self.least = np.where(self.least < 0, -1, np.minimum(self.least, upto[-1]))
-        self.least[k] = after[a + 1]                     # of repeated keys the last one stays
-        return np.where(least < 0, 0, np.minimum(least + 1, self.most))
+                edges = np.empty((len(later), 2), np.int64)
+                edges[:, 0], edges[:, 1] = a[later - 1], a[later]
+                edges += 1
+                least[later] = np.minimum.reduceat(np.append(values, 0), edges.ravel())[::2]
+            end = np.append(first[1:], len(k)) - 1
+            self.least[k[end]] = after[a[end] + 1]
+        least += 1                                       # 0 for a key's first tuple
+        return np.minimum(least, self.most, out=least)
 
 
 def _bounds(counts: np.ndarray) -> np.ndarray:
@@ -219,10 +228,14 @@ def _bounds(counts: np.ndarray) -> np.ndarray:
 
 
 class Scan:
-    """One scan in key order over the tuples given and those that it induces."""
+    """One scan in key order over the tuples given and those that it induces.
 
-    def __init__(self, text: np.ndarray, top: int, down: bool, counts: np.ndarray, prefix, sink, memory: int):
-        self.text, self.top, self.down, self.prefix, self.sink = text, top, down, prefix, sink
+    ``log`` gets the induced tuples in the order scanned. ``sink`` gets twice a tuple's key (and one
+    more if it was given; one number where a chunk has one key), position, prefix and whether it induces one.
+    """
+
+    def __init__(self, text: np.ndarray, top: int, down: bool, counts: np.ndarray, prefix, memory: int, sink=None, log=None):
+        self.text, self.top, self.down, self.prefix, self.sink, self.log = text, top, down, prefix, sink, log
         self.bounds = _bounds(counts[::-1] if down else counts)
         self.kind = kind_for(text)
         self.queue, self.given = (DiskQueue(self.bounds, top + 1, self.kind, memory) for _ in range(2))
@@ -239,11 +252,36 @@ class Scan:
                 for twice, source in ((2 * lo, self.queue), (2 * lo + 1, self.given)):
                     for rows in source.drain(b):
                         for x in range(0, len(rows), CHUNK):
-                            part = rows[x:x + CHUNK]
-                            self.queue.push(self._scan(np.full(len(part), twice), part))
+                            self.queue.push(self._scan_key(twice, rows[x:x + CHUNK]))
             else:
                 self._several(b, hi)
 
+    def _scan_key(self, twice: int, rows: np.ndarray) -> np.ndarray:
+        """Tuples induced by tuples of one key."""
+        pos, value, given = rows[:, 1].astype(np.int64), np.ascontiguousarray(rows[:, 2]), twice & 1
+        if given and self.before[0] == twice - 1:
+            value = value.copy()
+            value[0] = self.prefix.seam(self.before[1], int(pos[0]))
+        self.before = (twice, int(pos[-1]))
+        before = pos - 1
+        left = self.text[before]        # the last symbol, 0, for the first position: it induces nothing
+        if self.down:
+            symbol = self.top - (twice >> 1)
+            hit = left < symbol if given else left <= symbol
+            hit &= left > 0
+        else:
+            symbol = twice >> 1
+            hit = left > symbol if given else left >= symbol
+        if self.log and not given:
+            self.log.append(rows)
+        if self.sink:
+            self.sink(twice, pos, value, hit)
+        at = np.flatnonzero(hit)
+        key = self.top - left[at] if self.down else left[at]
+        order = by_key(key)
+        at, key = at[order], key[order]
+        return tuples(self.kind, key, before[at], self.prefix.step(value, at, key))
+
     def _several(self, b: int, hi: int) -> None:
         queued, given = ([*q.drain(b)] for q in (self.queue, self.given))
         rows = np.concatenate([*queued, *given, np.zeros((0, 3), self.kind)])
@@ -253,7 +291,7 @@ class Scan:
         rows, twice = rows[order], twice[order]
         ahead = 256
         while len(rows):
-            new = self._scan(twice[:ahead], rows[:ahead], True)
+            new = self._scan_keys(twice[:ahead], rows[:ahead])
             ahead = 2 * self.done + 64
             rows, twice = rows[self.done:], twice[self.done:]
             here = new[:, 0] < hi
@@ -264,25 +302,23 @@ class Scan:
                 at = np.searchsorted(twice, keys, side="right")
                 rows, twice = np.insert(rows, at, new, 0), np.insert(twice, at, keys)
 
-    def _scan(self, twice: np.ndarray, rows: np.ndarray, several: bool = False) -> np.ndarray:
-        """Tuples induced by the first tuples; with several keys only by those that nothing induced comes before."""
+    def _scan_keys(self, twice: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Tuples induced by the first tuples of several keys: those that nothing induced comes before."""
         pos = rows[:, 1].astype(np.int64)
         left = self.keys(np.maximum(pos - 1, 0))
         key, given = twice >> 1, twice & 1
         hit = (pos > 0) & ((left > key) | ((left == key) & (given == 0)))
-        self.done = len(rows)
-        if several:
-            soonest = np.minimum.accumulate(np.where(hit, 2 * left, np.iinfo(np.int64).max))
-            late = np.flatnonzero(twice[1:] > soonest[:-1])
-            if len(late):
-                self.done = int(late[0]) + 1
-        n = self.done
-        twice, pos, value, hit = twice[:n], pos[:n], rows[:n, 2].astype(np.int64), hit[:n]
-        if n:
-            for k in np.flatnonzero((given[:n] == 1) & (np.append(self.before[0], twice[:-1]) == twice - 1)).tolist():
-                value[k] = self.prefix.seam(int(pos[k - 1]) if k else self.before[1], int(pos[k]))
-            self.before = (int(twice[-1]), int(pos[-1]))
-            self.sink(twice, pos, value)
+        soonest = np.minimum.accumulate(np.where(hit, 2 * left, np.iinfo(np.int64).max))
+        late = np.flatnonzero(twice[1:] > soonest[:-1])
+        n = self.done = int(late[0]) + 1 if len(late) else len(rows)
+        twice, given, pos, value, hit = twice[:n], given[:n], pos[:n], rows[:n, 2].astype(np.int64), hit[:n]
+        for k in np.flatnonzero((given == 1) & (np.append(self.before[0], twice[:-1]) == twice - 1)).tolist():
+            value[k] = self.prefix.seam(int(pos[k - 1]) if k else self.before[1], int(pos[k]))
+        self.before = (int(twice[-1]), int(pos[-1]))
+        if self.log:
+            self.log.append(rows[:n][given == 0])
+        if self.sink:
+            self.sink(twice, pos, value, hit)
         at = np.flatnonzero(hit)
         at = at[by_key(left[at])]
         key = left[at]
@@ -323,15 +359,10 @@ def _induce(text, top, counts, seeds, prefixes, sink, memory) -> None:
     """Scan upward from the stars, then downward from the L suffixes; ``seeds`` fills the first scan's queue of given tuples."""
     kind = kind_for(text)
     log = Log(kind, memory)
-
-    def keep(twice, pos, value):
-        mine = twice & 1 == 0
-        log.append(tuples(kind, twice[mine] >> 1, pos[mine], value[mine]))
-
-    up = Scan(text, top, False, counts, prefixes[0], keep, memory)
+    up = Scan(text, top, False, counts, prefixes[0], memory, log=log)
     seeds(up.given)
     up.run()
-    down = Scan(text, top, True, counts, prefixes[1], sink, memory)
+    down = Scan(text, top, True, counts, prefixes[1], memory, sink=sink)
     carried = 0
     for rows in log.backwards():
         if len(rows):
@@ -352,32 +383,35 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
         # In any order within a symbol: those with the same symbol count as equal.
         for lo in range(0, n, CHUNK):
             pos = np.asarray(at[lo:lo + CHUNK])
-            key = text[pos].astype(np.int64)
-            order = np.argsort(key, kind="stable")
+            key = text[pos]
+            order = by_key(key)
             queue.push(tuples(kind_for(text), key[order], pos[order], np.ones(len(pos))))
 
-    names = store(n, np.int32, memory)
+    named = store(len(text) // 2 + 1, np.int32, memory)      # by half the position: stars are never neighbours
     state = {"names": 0, "equal": True}
 
-    def name(twice, pos, value):
-        """Stars come out in descending order; one gets a new name where anything between it and the last one differs."""
-        star = (twice & 1 == 0) & (pos > 0) & (text[np.maximum(pos - 1, 0)] > text[pos])
+    def name(twice, pos, value, hit):
+        """Stars come out in descending order; one gets a new name where anything between it and the last one differs.
+
+        Those are the induced tuples that induce none, but for the first position.
+        """
         turn = np.cumsum(value == 0)
-        here = np.flatnonzero(star)
+        here = np.flatnonzero(~hit & (twice & 1 == 0) & (pos > 0))
         if not len(here):
             state["equal"] &= not turn[-1]
             return
         t = turn[here]
         new = np.append(t[0] > 0 or not state["equal"] or not state["names"], t[1:] > t[:-1])
         number = state["names"] + np.cumsum(new)
-        names[np.searchsorted(at, pos[here])] = number
+        named[pos[here] >> 1] = number
         state["names"], state["equal"] = int(number[-1]), bool(turn[-1] == t[-1])
 
     _induce(text, top, counts, seeds, (Equal(top + 1), Equal(top + 1)), name, memory)
-    total = state["names"]
+    total, names = state["names"], store(n, np.int32, memory)
     for lo in range(0, n - 1, CHUNK):
         hi = min(n - 1, lo + CHUNK)
-        names[lo:hi] = total + 1 - names[lo:hi]
+        names[lo:hi] = total + 1 - named[at[lo:hi] >> 1]
+    del named
     names[n - 1] = 0            # the end of the text
     if total == n - 1:
         order = store(n, np.int64, memory)
@@ -389,7 +423,7 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
     order = store(n, np.int64, memory)
     left = [n]
 
-    def place(twice, pos, value):
+    def place(twice, pos, value, hit):
         order[left[0] - len(pos):left[0]] = at[pos[::-1]]
         left[0] -= len(pos)
 
@@ -398,13 +432,25 @@ def star_order(text: np.ndarray, top: int, memory: int) -> tuple[np.ndarray, np.
     return order, counts
 
 
+def order_of(keys: np.ndarray, most: int) -> np.ndarray:
+    """Order of keys up to ``most``, equal ones in any order; sorted with their places where both fit in a number."""
+    bits = max(1, len(keys) - 1).bit_length()
+    if bits + most.bit_length() > 63:
+        return np.argsort(keys)
+    code = keys.astype(np.int64) << bits
+    code |= np.arange(len(keys))
+    code.sort()
+    code &= (1 << bits) - 1
+    return code
+
+
 def doubled(names: np.ndarray) -> np.ndarray:
     """Suffix order of a text that fits in memory: ends the recursion.
 
     Ranks of prefixes of twice the length each round, of the suffixes that aren't told apart yet.
     """
     n, size = len(names), 1
-    order = np.argsort(names, kind="stable")
+    order = order_of(names, n)
     sorted_names = names[order]
     first = np.append(True, sorted_names[1:] != sorted_names[:-1])
     rank = np.empty(n + 1, np.int64)          # a group's rank is the place of its first suffix; 0 for the end, so 1 and up
@@ -416,7 +462,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
             return order
         own = order[open_]
         key = rank[own] * (n + 1) + rank[np.minimum(own + size, n)]
-        by = np.argsort(key)
+        by = order_of(key, (n + 1) ** 2)
         key, own = key[by], own[by]
         order[open_] = own
         new = np.append(True, key[1:] != key[:-1])
@@ -445,26 +491,32 @@ def _suffixes(text, top, prefix, sink, memory) -> None:
 
 def shared_prefixes(text: np.ndarray, pos: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of each position's suffix and the one's before it in ``pos``; a position below 0 shares nothing."""
-    out = np.zeros(len(pos) - 1, np.int64)
-    both, n, k = (pos[:-1] >= 0) & (pos[1:] >= 0), len(text), 0
-    live = np.flatnonzero(both)
-    if text.dtype == np.uint16 and n >= 4:       # four symbols at a time
-        four = np.ndarray((n - 3,), "<u8", text, 0, (2,))
-        while k + 4 <= most and len(live):
+    out, n = np.zeros(len(pos) - 1, np.int64), len(text)
+    live = np.flatnonzero((pos[:-1] >= 0) & (pos[1:] >= 0))
+    if text.dtype.itemsize <= 2 and n * text.dtype.itemsize >= 8:       # eight bytes at a time
+        each = 8 // text.dtype.itemsize
+        eight = np.ndarray((n - each + 1,), "<u8", text, 0, (text.dtype.itemsize,))
+        ends = []
+        for k in range(0, most, each):
             a, b = pos[live] + k, pos[live + 1] + k
-            ok = (a < n - 3) & (b < n - 3)
-            ok[ok] = four[a[ok]] == four[b[ok]]
-            out[live[ok]] = k + 4
-            live = live[ok]
-            k += 4
-        live = np.flatnonzero(both)
+            near = np.maximum(a, b) > n - each
+            if near.any():
+                ends.append(live[near])
+                live, a, b = live[~near], a[~near], b[~near]
+            differ = eight[a] ^ eight[b]
+            # The zero bytes before the first that differs; of 0 all are.
+            out[live] += (np.bitwise_count(~differ & differ - np.uint64(1)) // (8 * text.dtype.itemsize)).astype(np.int64)
+            live = live[differ == 0]
+            if not len(live):
+                break
+        live = np.concatenate([live[:0], *ends])
     while len(live):
         a, b = pos[live] + out[live], pos[live + 1] + out[live]
         ok = (a < n) & (b < n) & (out[live] < most)
         ok[ok] = text[a[ok]] == text[b[ok]]
         live = live[ok]
         out[live] += 1
-    return out
+    return np.minimum(out, most, out=out)
 
 
 def suffixes_with_prefixes(text: np.ndarray, top: int, most: int, sink, memory: int = MEMORY) -> None:
@@ -473,4 +525,4 @@ def suffixes_with_prefixes(text: np.ndarray, top: int, most: int, sink, memory:
     Symbols are 0 to ``top``; the last one is 0 and no other. ``sink`` gets chunks of positions
     and of the length shared with the suffix reported before.
     """
-    _suffixes(text, top, lambda t, n: Common(t, n, most), lambda twice, pos, value: sink(pos, value), memory)
+    _suffixes(text, top, lambda t, n: Common(t, n, most), lambda twice, pos, value, hit: sink(pos, value), memory)

@@ -42,21 +42,10 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 # --- anchors -------------------------------------------------------------------
 
-def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the ``size`` (8 at least) bytes from every position on."""
-    n = len(raw) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
-    out = np.full(n, size, np.uint64)
-    for at in [*range(0, size - 8, 8), size - 8]:
-        out = mix(out * _GOLD + eight[at:at + n])
-    return out
-
-
-def hashes_at(raw: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of the ``size`` bytes from the given positions on."""
-    out = np.full(len(at), size + (seed << 32), np.uint64)
+def hashes_at(raw: np.ndarray, at: np.ndarray, size: int, seed: np.ndarray | int = 0) -> np.ndarray:
+    """Hash of the ``size`` (8 at least) bytes from the given positions on."""
+    out = np.zeros(len(at), np.uint64)
+    out += (size + (np.asarray(seed) << 32)).astype(np.uint64)
     if len(at):
         eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
         for k in [*range(0, size - 8, 8), size - 8]:
@@ -64,6 +53,16 @@ def hashes_at(raw: np.ndarray, at: np.ndarray, size: int, seed: int = 0) -> np.n
     return out
 
 
+def anchor_hashes(raw: np.ndarray) -> np.ndarray:
+    """Hash of the ``GRAM`` bytes from every position on."""
+    if len(raw) < GRAM:
+        return np.zeros(0, np.uint64)
+    x = mix(np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)) * _GOLD)
+    out = x[:-8] * _GOLD
+    out += x[8:]
+    return out
+
+
 def stretches(raw: np.ndarray, limits: np.ndarray, length: int):
     """Runs of strings with one anchor: (anchor's hash, wider hash, run, first start, number of starts, document) of their parts.
 
@@ -73,37 +72,39 @@ def stretches(raw: np.ndarray, limits: np.ndarray, length: int):
     """
     width, half = length - GRAM + 1, (length - GRAM) // 2
     owner = np.repeat(np.arange(len(limits) - 1, dtype=np.int32), np.diff(limits))
-    out, runs = [], 0
+    out, low = [], np.uint64((1 << 22) - 1)
     for lo in range(0, len(raw), SLICE):
-        hashes = gram_hashes(raw[lo:lo + SLICE + length - 1], GRAM)
+        hashes = anchor_hashes(raw[lo:lo + SLICE + length - 1])
         n = len(hashes) - width + 1
         if n <= 0:
             break
-        key = (hashes >> np.uint64(22) << np.uint64(22)) | np.arange(len(hashes), dtype=np.uint64)
+        key = hashes & ~low
+        key |= np.arange(len(hashes), dtype=np.uint64)
         size = 1
         while 2 * size <= width:
             key = np.minimum(key[:-size], key[size:])
             size *= 2
-        anchor = (np.minimum(key[:n], key[width - size:width - size + n]) & np.uint64((1 << 22) - 1)).astype(np.int64)
-        start = np.flatnonzero(owner[lo:lo + n] == owner[lo + length - 1:lo + length - 1 + n])
-        anchor = anchor[start]
-        if not len(start):
-            continue
-        doc = owner[lo + start]
-        at = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])))
-        count = np.diff(np.append(at, len(anchor)))
-        anchor, start, doc, run = anchor[at], start[at], doc[at], runs + np.arange(len(at))
-        runs += len(at)
-        before = np.clip(anchor - start - half + 1, 0, count)      # starts that are ``half`` bytes and more before the anchor
-        for side, first, n_of in ((0, start, before), (1, start + before, count - before)):
-            pick = np.flatnonzero(n_of > 0)
-            wide = hashes_at(raw, lo + anchor[pick] - (half if side == 0 else 0), GRAM + half, side)
-            out.append((hashes[anchor[pick]], wide, run[pick], lo + first[pick], n_of[pick], doc[pick].astype(np.int64)))
+        key = np.minimum(key[:n], key[width - size:width - size + n])
+        whole = owner[lo:lo + n] == owner[lo + length - 1:lo + length - 1 + n]
+        # Between whole strings of two documents there are others, so neighbours are of one.
+        goes_on = key[1:] == key[:-1]
+        goes_on &= whole[1:]
+        goes_on &= whole[:-1]
+        first = np.flatnonzero(whole & ~np.append(False, goes_on))
+        end = np.flatnonzero(whole & ~np.append(goes_on, False))
+        anchor = (key[first] & low).astype(np.int64)
+        out.append((hashes[anchor], lo + anchor, lo + first, end - first + 1))
     if not out:
         return *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 4
-    parts = tuple(np.concatenate(c) for c in zip(*out))
-    order = np.argsort(parts[3], kind="stable")
-    return tuple(c[order] for c in parts)
+    h, anchor, start, count = (np.concatenate(c) for c in zip(*out))
+    before = np.clip(anchor - start - half + 1, 0, count)      # starts that are ``half`` bytes and more before the anchor
+    n_of = np.stack([before, count - before], 1).ravel()
+    first = np.stack([start, start + before], 1).ravel()
+    pick = np.flatnonzero(n_of > 0)
+    run, side = pick >> 1, pick & 1
+    first = first[pick]
+    wide = hashes_at(raw, anchor[run] - np.where(side == 0, half, 0), GRAM + half, side)
+    return h[run], wide, run, first, n_of[pick], owner[first].astype(np.int64)
 
 
 def _code(h: np.ndarray, parts: int) -> np.ndarray:
@@ -112,14 +113,19 @@ def _code(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _distinct(h: np.ndarray, doc: np.ndarray, parts: int):
-    """Distinct hashes by part and low half, and for each how many stretches hold it (1 if only one document does)."""
+    """Distinct hashes by part and low half, for each how many stretches hold it (1 if only one document does), and each stretch's among them."""
     code = _code(h, parts)
-    order = np.lexsort((doc, code))
+    order = np.argsort(code)
     c, d = code[order], doc[order]
-    first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+    new = np.append(True, c[1:] != c[:-1])[:len(c)]
+    first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(c)))
-    last = np.append(first[1:], len(c)) - 1 if len(c) else first
-    return code, c[first], np.where(d[first] == d[last], 1, np.minimum(count, 255)).astype(np.uint8)
+    number = np.cumsum(new) - 1
+    several = np.zeros(len(first), bool)
+    several[number[1:][~new[1:] & (d[1:] != d[:-1])]] = True
+    which = np.empty(len(c), np.int64)
+    which[order] = number
+    return c[first], np.where(several, np.minimum(count, 255), 1).astype(np.uint8), which
 
 
 _HELD = pa.schema([("part", pa.int32()), ("g", pa.int64()), ("low", pa.binary()), ("n", pa.binary())])
@@ -140,7 +146,7 @@ def _count(held: DataFrame, hot: int) -> DataFrame:
         lows = [unpack(x.as_py(), np.uint32) for x in table.column("low")]
         counts = [unpack(x.as_py()) for x in table.column("n")]
         low = np.concatenate(lows)
-        order = np.argsort(low, kind="stable")
+        order = induced_sort.order_of(low, 0xFFFFFFFF)
         first = np.flatnonzero(np.append(True, low[order][1:] != low[order][:-1]))
         total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), first)
         mark = np.where(total > hot, 2, total > 1).astype(np.uint8)
@@ -169,7 +175,7 @@ def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[Data
     def anchors(batch, k):
         g, ids, limits, raw = opened(batch, k)
         _, wide, _, _, _, doc = stretches(raw, limits, length)
-        _, code, count = _distinct(wide, ids[doc], parts)
+        code, count, _ = _distinct(wide, ids[doc], parts)
         yield from _held(g, code, count)
 
     held_type = "part int, g long, low binary, n binary"
@@ -180,10 +186,10 @@ def repeated(groups: DataFrame, length: int, parts: int, hot: int) -> tuple[Data
     def strings(batch, k):
         g, ids, limits, raw = opened(batch, k)
         _, wide, _, start, count, doc = stretches(raw, limits, length)
-        code, known, _ = _distinct(wide, ids[doc], parts)
-        mark = _marks(batch.column(batch.schema.get_field_index("replies"))[k].as_py(), len(known))[np.searchsorted(known, code)]
+        known, _, number = _distinct(wide, ids[doc], parts)
+        mark = _marks(batch.column(batch.schema.get_field_index("replies"))[k].as_py(), len(known))[number]
         at, doc = _singles(start, count, doc, mark == 2)
-        _, code, count = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[doc], parts)
+        code, count, _ = _distinct(hashes_at(raw, at, length), ids[doc], parts)
         yield from _held(g, code, count)
 
     mine = groups.join(by_group(marks, "part", "marks"), "g", "left")
@@ -214,8 +220,8 @@ class Kept:
         names = batch.schema.names
         col = lambda name: batch.column(names.index(name))[k].as_py()
         h, wide, run, start, count, doc = stretches(raw, limits, length)
-        code, known, _ = _distinct(wide, ids[doc], parts)
-        mark = _marks(col("replies"), len(known))[np.searchsorted(known, code)]
+        known, _, number = _distinct(wide, ids[doc], parts)
+        mark = _marks(col("replies"), len(known))[number]
         pick = np.flatnonzero(mark == 1)
         # Both parts of a run go as one stretch.
         first = np.append(True, run[pick][1:] != run[pick][:-1]) if len(pick) else np.zeros(0, bool)
@@ -224,43 +230,44 @@ class Kept:
         lists = [(_code(h[pick], parts), start[pick], total, doc[pick])]
         if "single" in names:
             at, own = _singles(start, count, doc, mark == 2)
-            code, known, _ = _distinct(gram_hashes(raw, length)[at] if len(at) else np.zeros(0, np.uint64), ids[own], parts)
-            hit = _marks(col("single"), len(known))[np.searchsorted(known, code)] > 0
-            lists.append((code[hit], at[hit], np.ones(hit.sum(), np.int64), own[hit]))
+            known, _, number = _distinct(hashes_at(raw, at, length), ids[own], parts)
+            hit = _marks(col("single"), len(known))[number] > 0
+            lists.append((known[number[hit]], at[hit], np.ones(hit.sum(), np.int64), own[hit]))
         code, start, count, doc = (np.concatenate(c) for c in zip(*lists))
         shard = (code >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         self.shard, self.start, self.count, self.owner = shard[order], start[order], count[order], ids[doc[order]]
-        self.number = np.zeros(len(order), np.int64)      # among the distinct stretches of its shard
+        self.number = np.zeros(len(order), np.int64)      # among the distinct stretches of its shard, once these are found
 
     def distinct(self):
-        """(shard, stretches, smallest and largest id that hold each) for every shard."""
-        data, shard = self.raw.tobytes(), self.shard
-        ends = (self.start + self.count + self.length - 1).tolist()
-        starts, keys = self.start.tolist(), self.owner.tolist()
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])).tolist() if len(shard) else []
-        for lo, hi in zip(cut, [*cut[1:], len(shard)]):
-            seen, owners, latest = {}, [], []
-            for j in range(lo, hi):
-                key = keys[j]
-                m = self.number[j] = seen.setdefault(data[starts[j]:ends[j]], len(seen))
-                if m == len(owners):
-                    owners.append(key)
-                    latest.append(key)
-                elif key < owners[m]:
-                    owners[m] = key
-                elif key > latest[m]:
-                    latest[m] = key
-            yield int(shard[lo]), seen, owners, latest
+        """For blocks of shards: these, where the distinct stretches of each begin and end, the stretches, smallest and largest id that hold each.
+
+        A stretch's bytes name its anchor and so its shard.
+        """
+        data, lo = self.raw.tobytes(), 0
+        while lo < len(self.shard):
+            hi = int(np.searchsorted(self.shard, self.shard[min(lo + SLICE, len(self.shard)) - 1], "right"))
+            shard, start, owner, seen = self.shard[lo:hi], self.start[lo:hi], self.owner[lo:hi], {}
+            end = start + self.count[lo:hi] + self.length - 1
+            number = np.array([seen.setdefault(data[a:b], len(seen)) for a, b in zip(start.tolist(), end.tolist())])
+            owners, latest = np.full(len(seen), LAST), np.full(len(seen), np.iinfo(np.int64).min)
+            np.minimum.at(owners, number, owner)
+            np.maximum.at(latest, number, owner)
+            first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+            begin = number[first]               # new in their shard
+            self.number[lo:hi] = number - np.repeat(begin, np.diff(np.append(first, len(number))))
+            yield shard[first].tolist(), [*begin.tolist(), len(seen)], list(seen), owners, latest
+            lo = hi
 
 
 def send(informed: DataFrame, length: int, parts: int) -> DataFrame:
     """Distinct stretches of every group, by shard, with the smallest and largest id that holds them."""
     def run(batch, k):
         kept = Kept(batch, k, length, parts)
-        for shard, seen, owners, latest in kept.distinct():
-            yield (shard, kept.g, pack(np.array([len(x) for x in seen], np.uint32)), pack(np.array(owners, np.int64)),
-                   pack(np.array(latest, np.int64)), pack(b"".join(seen)))
+        for shards, begin, found, owners, latest in kept.distinct():
+            sizes = np.array([*map(len, found)], np.uint32)
+            for shard, lo, hi in zip(shards, begin[:-1], begin[1:]):
+                yield shard, kept.g, pack(sizes[lo:hi]), pack(owners[lo:hi]), pack(latest[lo:hi]), pack(b"".join(found[lo:hi]))
 
     return informed.mapInArrow(per_group(run, _SENT), SENT)
 
@@ -280,18 +287,16 @@ class Shard:
         self.sizes, self.owners, self.asked, self.seen, self.count = [], [], [], {}, 0
 
     def add(self, g: int, sizes: np.ndarray, owners: np.ndarray, latest: np.ndarray, data: bytes) -> None:
-        numbers, fresh, at = np.empty(len(sizes), np.int64), [], 0
         if len(self.seen) > SEEN:
             self.seen.clear()
-        for k, size in enumerate(sizes.tolist()):
-            x = data[at:at + size]
-            at += size
-            m = numbers[k] = self.seen.setdefault(x, self.count)
-            if m == self.count:
-                fresh.append(x)
-                self.count += 1
+        seen, known = self.seen, self.count - len(self.seen)
+        ends = np.cumsum(sizes, dtype=np.int64).tolist()
+        found = [data[a:b] for a, b in zip([0, *ends], ends)]
+        numbers = np.array([seen.setdefault(x, known + len(seen)) for x in found], np.int64)
+        fresh = [found[k] for k in np.flatnonzero(numbers >= self.count).tolist()]      # a row holds a stretch once
+        self.count += len(fresh)
         self.file.write(b"".join(x + b"\0" for x in fresh))
-        self.sizes.append(np.array([len(x) for x in fresh], np.int64))
+        self.sizes.append(np.array([*map(len, fresh)], np.int64))
         self.asked.append((g, numbers, owners, latest))
 
     def answers(self):
@@ -304,44 +309,74 @@ class Shard:
         n = int(sizes.sum()) + self.count
         self.file.flush()
         raw = np.memmap(self.file, np.uint8, "r", shape=n)
-        text = induced_sort.store(n + 1, np.uint16, self.memory)
+        text = induced_sort.store(n + 1, np.uint8, self.memory)
         for lo in range(0, n, SLICE):
-            text[lo:min(n, lo + SLICE)] = raw[lo:lo + SLICE].astype(np.uint16) + 2
+            text[lo:min(n, lo + SLICE)] = raw[lo:lo + SLICE] + np.uint8(2)      # no byte of UTF-8 is above 244
         text[starts + sizes] = 1            # ends a stretch
         text[n] = 0
-        least, group = induced_sort.store(n, np.int64, self.memory), induced_sort.store(n, induced_sort.kind_for(text), self.memory)
+        n_starts = sizes - self.length + 1
+        begin = np.cumsum(n_starts) - n_starts              # of a stretch's strings among all
+        total = int(n_starts.sum())
+        # By position: the stretch of the string that begins there, -1 where none does.
         stretch = induced_sort.store(n, np.int32, self.memory)
         for lo in range(0, self.count, SLICE):
             hi = min(self.count, lo + SLICE)
-            stretch[starts[lo]:starts[hi - 1] + sizes[hi - 1] + 1] = np.repeat(np.arange(lo, hi), sizes[lo:hi] + 1)
-        last = -1
+            kinds = np.stack([np.arange(lo, hi), np.full(hi - lo, -1)], 1).ravel()
+            stretch[starts[lo]:starts[hi - 1] + sizes[hi - 1] + 1] = np.repeat(
+                kinds, np.stack([n_starts[lo:hi], np.full(hi - lo, self.length)], 1).ravel())
+        least = induced_sort.store(total, np.int64, self.memory)
+        group = induced_sort.store(total, induced_sort.kind_for(text), self.memory)
+        shift = begin - starts
+        run, open_run, groups = 0, -1, 0        # runs of suffixes so far, the last one with a string, and how many had one
 
         def take_run(pos, shared):
-            nonlocal last
-            number = last + np.cumsum(shared < self.length)
-            group[pos] = number
-            own = owner[stretch[pos]]
-            first = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
-            low = np.minimum.reduceat(own, first)
-            if number[0] == last:
-                low[0] = min(low[0], least[last])
+            nonlocal run, groups, open_run
+            number = run + np.cumsum(shared < self.length)
+            run = int(number[-1])
+            own = stretch[pos]
+            here = np.flatnonzero(own >= 0)
+            if not len(here):
+                return
+            own, number = own[here], number[here]
+            new = np.append(number[0] != open_run, number[1:] != number[:-1])
+            open_run = int(number[-1])
+            number = groups - 1 + np.cumsum(new)
+            group[pos[here] + shift[own]] = number
+            first = np.flatnonzero(new) if new[0] else np.append(0, np.flatnonzero(new))
+            low = np.minimum.reduceat(owner[own], first)
+            if not new[0]:
+                low[0] = min(low[0], least[groups - 1])
             least[number[first]] = low
-            last = int(number[-1])
-
-        induced_sort.suffixes_with_prefixes(text, 257, self.length, take_run, self.memory)
+            groups = int(number[-1]) + 1
+
+        induced_sort.suffixes_with_prefixes(text, 247, self.length, take_run, self.memory)
+        del text, stretch
+        # Runs of strings of a stretch whose smallest document is the same.
+        low, turn = induced_sort.store(total + 1, np.int64, self.memory), induced_sort.store(total + 1, bool, self.memory)
+        for lo in range(0, total, SLICE):
+            low[lo:min(total, lo + SLICE)] = least[group[lo:lo + SLICE]]
+        del least, group
+        for lo in range(0, total, SLICE):
+            turn[lo + 1:lo + SLICE + 1] = low[lo + 1:lo + SLICE + 1] != low[lo:min(total, lo + SLICE)]
+        turn[begin] = turn[total] = True
+        at = induced_sort.store(int(np.count_nonzero(turn)), np.int64, self.memory)
+        end = 0
+        for lo in range(0, total + 1, SLICE):
+            here = lo + np.flatnonzero(turn[lo:lo + SLICE])
+            at[end:end + len(here)] = here
+            end += len(here)
+        runs = np.searchsorted(at, np.append(begin, total))         # where each stretch's runs begin
         for g, numbers, _, latest in self.asked:
-            n_starts = sizes[numbers] - self.length + 1
-            which = np.repeat(np.arange(len(numbers)), n_starts)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts)
-            low = least[group[starts[numbers][which] + offset]]
-            turn = np.append(True, (which[1:] != which[:-1]) | (low[1:] != low[:-1]))
-            at = np.flatnonzero(turn)
-            n_of = np.diff(np.append(at, len(which)))
-            hit = low[at] < latest[which[at]]       # some document of the group holds it later
-            at, n_of = at[hit], n_of[hit]
-            if len(at):
-                yield (g, pack(which[at].astype(np.int32)), pack(offset[at].astype(np.int32)), pack(n_of.astype(np.int32)),
-                       pack(low[at]))
+            each = runs[numbers + 1] - runs[numbers]
+            which = np.repeat(np.arange(len(numbers)), each)
+            k = np.arange(len(which)) + np.repeat(runs[numbers] - np.cumsum(each) + each, each)
+            first = at[k]
+            owned = low[first]
+            hit = np.flatnonzero(owned < latest[which])            # some document of the group holds it later
+            which, k, first, owned = which[hit], k[hit], first[hit], owned[hit]
+            if len(k):
+                yield (g, pack(which.astype(np.int32)), pack((first - begin[numbers[which]]).astype(np.int32)),
+                       pack((at[k + 1] - first).astype(np.int32)), pack(owned))
 
 
 def _sort_shards(sent: DataFrame, length: int, parts: int, memory: int) -> DataFrame:
@@ -380,19 +415,24 @@ def _covered(kept: Kept, answers: list) -> np.ndarray:
         for _ in kept.distinct():     # numbers the stretches as they were sent
             pass
         code = kept.shard << 32 | kept.number
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         code, start, own = code[order], kept.start[order], kept.owner[order]
-        for a in answers:
-            want = a["part"] << 32 | unpack(a["number"], np.int32).astype(np.int64)
+        numbers = [unpack(a["number"], np.int32) for a in answers]
+        block = np.cumsum([*map(len, numbers)]) // SLICE
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(answers)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            some = answers[x:y]
+            col = lambda name, kind: np.concatenate([unpack(a[name], kind) for a in some])  # noqa: B023, E731
+            want = np.concatenate([a["part"] << 32 | n.astype(np.int64) for a, n in zip(some, numbers[x:y])])
             lo, hi = np.searchsorted(code, want, "left"), np.searchsorted(code, want, "right")
             each = hi - lo
             which = np.repeat(np.arange(len(want)), each)
             at = np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each) + lo[which]
-            hit = unpack(a["owner"], np.int64)[which] < own[at]
+            hit = col("owner", np.int64)[which] < own[at]
             which, at = which[hit], at[hit]
-            first = start[at] + unpack(a["first"], np.int32)[which]
+            first = start[at] + col("first", np.int32)[which]
             np.add.at(turn, first, 1)
-            np.add.at(turn, first + unpack(a["n"], np.int32)[which] + kept.length - 1, -1)
+            np.add.at(turn, first + col("n", np.int32)[which] + kept.length - 1, -1)
     return np.cumsum(turn[:-1]) > 0
 
 
@@ -424,13 +464,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for k in range(batch.num_rows):
                 kept = Kept(batch, k, length, parts)
                 gone = _covered(kept, batch.column(batch.schema.get_field_index("answers"))[k].as_py())
-                rows = []
-                for i, lo, hi in zip(kept.ids.tolist(), kept.limits[:-1].tolist(), kept.limits[1:].tolist()):
-                    text, out = kept.raw[lo:hi], gone[lo:hi]
-                    turns = np.flatnonzero(np.diff(out, prepend=False, append=False)) if out.any() else np.zeros(0, np.int64)
-                    spans = [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]
-                    rows.append((None if i == LAST else i, hi - lo, int(out.sum()), spans,
-                                 text[~out].tobytes() if spans else text.tobytes()))
+                limits, edge = kept.limits, np.zeros(len(gone) + 1, bool)
+                edge[limits] = True                                     # spans end with their document
+                first = np.flatnonzero(gone & (edge[:-1] | ~np.append(False, gone)[:-1]))
+                end = np.flatnonzero(gone & (edge[1:] | ~np.append(gone, False)[1:])) + 1
+                before = np.append(0, np.cumsum(gone))[limits]          # bytes that go before each document
+                rest, cut = kept.raw[~gone].tobytes(), (limits - before).tolist()
+                turns, rows = np.searchsorted(first, limits).tolist(), []
+                n_removed, limits = np.diff(before).tolist(), limits.tolist()
+                for j, i in enumerate(kept.ids.tolist()):
+                    lo, hi = limits[j:j + 2]
+                    spans = [{"start": a - lo, "end": b - lo} for a, b in
+                             zip(first[turns[j]:turns[j + 1]].tolist(), end[turns[j]:turns[j + 1]].tolist())] if n_removed[j] else []
+                    rows.append((None if i == LAST else i, hi - lo, n_removed[j], spans, rest[cut[j]:cut[j + 1]]))
                 yield batch_of(_CUT, rows)
 
     return informed.join(answers, "g", "left").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary")

@@ -114,3 +114,49 @@ def test_query_matches_brute_force(spark):
     want = [(i, n, sum(b - a for a, b in s), len(s), hashlib.sha256(k).hexdigest()) for i, n, s, k in brute_cut(rows)]
     assert sorted((repr(r.doc_id), *r[1:]) for r in got) == want
     assert sum(r.n_removed > 0 for r in got) > 10
+
+
+def test_bytes_are_mixed_once_and_sorted_as_bytes(monkeypatch):
+    rnd, mixed, sorted_ = random.Random(5), [], []
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(500)]
+    data = [" ".join(rnd.choices(words, k=400)).encode() for _ in range(40)]
+    raw, limits = np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)])
+    mix, sort = suffix_dedup.mix, induced_sort.suffixes_with_prefixes
+    monkeypatch.setattr(suffix_dedup, "mix", lambda x: mixed.append(len(x)) or mix(x))
+    _, _, _, start, count, doc = suffix_dedup.stretches(raw, limits, 50)
+    assert sum(mixed) < 2 * len(raw)        # once each, and the wider grams of one position in ten
+    each = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    assert each.tolist() == [s for lo, hi in zip(limits[:-1].tolist(), limits[1:].tolist()) for s in range(lo, hi - 49)]
+    assert (np.searchsorted(limits, start, "right") - 1 == doc).all()
+
+    monkeypatch.setattr(induced_sort, "suffixes_with_prefixes",
+                        lambda text, *x: sorted_.append(text.dtype.itemsize) or sort(text, *x))
+    shard = suffix_dedup.Shard(50, induced_sort.MEMORY)
+    one, two = data[0][:90], data[0][20:80]
+    for g, x in ((1, one), (2, two)):
+        shard.add(g, np.array([len(x)]), np.array([g]), np.array([g]), x)
+    got = [(g, *(suffix_dedup.unpack(x, kind).tolist() for x, kind in zip(a, (*[np.int32] * 3, np.int64)))) for g, *a in shard.answers()]
+    assert got == [(2, [0], [0], [11], [1])] and sorted_ == [1]
+
+
+@pytest.mark.parametrize("kind", [np.uint8, np.uint16, np.int32])
+def test_shared_prefixes_of_every_width(kind):
+    rnd = np.random.default_rng(1)
+    for n in (1, 3, 7, 8, 9, 40, 300):
+        text = np.append(rnd.integers(1, 3, n), 0).astype(kind)
+        text[:n] = np.tile(text[:min(n, 13)], n)[:n]
+        pos = np.append(-1, rnd.permutation(n + 1))
+        for most in (1, 5, 50):
+            got = induced_sort.shared_prefixes(text, pos, most).tolist()
+            assert got[0] == 0
+            for a, b, k in zip(pos[1:].tolist(), pos[2:].tolist(), got[1:]):
+                x, y = text[a:a + most].tolist(), text[b:b + most].tolist()
+                assert k == next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+
+
+def test_order_of_keys_of_any_size():
+    rnd = np.random.default_rng(2)
+    for n, most in ((0, 5), (1, 1), (1000, 30), (1000, 1 << 40), (1000, 1 << 62)):
+        keys = rnd.integers(0, most, n, endpoint=True)
+        order = induced_sort.order_of(keys, most)
+        assert sorted(order.tolist()) == list(range(n)) and (np.diff(keys[order]) >= 0).all()
