@@ -36,16 +36,16 @@ def knn(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(),
 def knn_wide(query: DataFrame, ref: DataFrame, q_id: str, cols, k: int, ref_keep=(), exclude_self: bool = False,
              r_id: str | None = None, by=(), cell_rows: int = pivots.CELL_ROWS) -> DataFrame:
     """``knn`` on cells that hold about ``cell_rows`` points. A neighbour found brings all reference rows of its id."""
-    return _search(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by, cell_rows, "_rid")
+    return _search(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by, cell_rows, "_rid", rounds=True)
 
 
-def _search(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by, cell_rows, brings):
+def _search(query, ref, q_id, cols, k, ref_keep, exclude_self, r_id, by, cell_rows, brings, rounds=False):
     by, cols, r_id = list(by), list(cols), r_id or q_id
     kept = [x for x in ref_keep if x not in by]
     asked = pivots.nulls_out(query, cols).select(F.col(q_id).alias("_qid"), "_v", *by)
     rows = pivots.nulls_out(ref, cols).select(F.col(r_id).alias("_rid"), "_v", *kept, *by)
     rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    found = pivots.nearest(asked, rows.select("_row", "_rid", "_v", *by), k, by, exclude_self, cell_rows)
+    found = pivots.nearest(asked, rows.select("_row", "_rid", "_v", *by), k, by, exclude_self, cell_rows, rounds=rounds)
     found = found.drop(*{"_row", "_rid"} - {brings})
     return found.join(rows, brings).select(F.col("_qid").alias(q_id), F.col("_rid").alias(f"nn_{r_id}"),
                                            *[F.col("_v")[i].alias(c) for i, c in enumerate(cols)], *kept, *by, "_dist", "_rank")

@@ -157,3 +157,29 @@ def test_wide_dbscan_asks_whole_input_seldom(spark, monkeypatch):
         label = new
     want = {i: int(label[i]) if core[i] else int(low[i]) if low[i] < len(x) else -1 for i in range(len(x))}
     assert got == want and -1 in want.values() and sum(asked) < 1.5 * len(x)
+
+
+@pytest.mark.parametrize("by", [(), ("cls",)])
+def test_wide_queries_are_not_sent_to_every_cell(spark, monkeypatch, by):
+    """Rounds of few members find the neighbours of brute force, and only a query's nearest cells get a copy of it."""
+    sent, meet = [], pivots.meetings
+
+    def counted(q, *a, **b):
+        met = meet(q, *a, **b)
+        sent.append(met.count() / max(1, q.count()))
+        return met
+
+    monkeypatch.setattr(pivots, "meetings", counted)
+    monkeypatch.setattr(pivots, "HELD", 12 * 100, raising=False)
+    monkeypatch.setattr(pivots, "TILE", (64, 16), raising=False)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 12))                  # no structure: a query meets nearly all cells
+    x[400:] = np.round(x[400:])                     # many equal distances
+    x[560:] = x[400]
+    cols = [f"c{k}" for k in range(12)]
+    df = spark.createDataFrame([(i, *map(float, v), "ab"[i % 2]) for i, v in enumerate(x)], ["id", *cols, "cls"]).repartition(3)
+    got = {}
+    for r in knn_wide(df, df, "id", cols, 5, exclude_self=True, by=by, cell_rows=30).collect():
+        got.setdefault(r.id, []).append((r._dist, r.nn_id))
+    assert {i: sorted(v) for i, v in got.items()} == brute(x, 5, by or None)
+    assert sum(sent) < 3
