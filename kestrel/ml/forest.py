@@ -1,4 +1,4 @@
-"""Random forest regression over sums per cell of binned features, for many rows.
+"""Random forest and boosted regression over sums per cell of binned features, for many rows.
 
 MLlib's forest keeps each row with one bootstrap count per tree and reads all rows
 for every level. Its trees only ever see binned features, so a tree needs no more of
@@ -8,6 +8,10 @@ trees; each tree is then MLlib's own, fitted to its cells as two weighted points
 mean - deviation and mean + deviation, which have the cell's three sums. The work
 after the one pass over the rows grows with the cells, at most 32 per feature
 multiplied, and not with the rows.
+
+Boosted trees draw no rows, and what earlier trees predict is one number for a cell, so
+the residuals of its two points keep the sums of its rows' residuals: MLlib's boosting on
+the points builds the trees that it builds on the binned rows.
 """
 
 from __future__ import annotations
@@ -21,16 +25,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 MAX_BINS = 32              # MLlib's default
 MAX_CELLS = 1 << 20        # four features of 32 bins
 SUMS_FROM = 1 << 27        # bootstrap counts (rows * trees) up to which MLlib holds them itself
+TASK_POINTS = 1 << 16      # points of cells that a task of the boosting reads
 _SUMS = "_cell long, _w double, _wy double, _wyy double"
 
 
@@ -67,6 +72,23 @@ def _strides(edges) -> list[int]:
     return [math.prod(len(e) + 1 for e in edges[:i]) for i in range(len(edges))]
 
 
+def _binned(cols, edges) -> tuple[list[str], Bucketizer, VectorAssembler]:
+    """The names of the columns' bins, and the stages that make them and their vector ``_bins``."""
+    buckets = [f"_b{i}" for i in range(len(cols))]
+    bucketizer = Bucketizer(splitsArray=[[-math.inf, *e, math.inf] for e in edges],
+                            inputCols=list(cols), outputCols=buckets)
+    return buckets, bucketizer, VectorAssembler(inputCols=buckets, outputCol="_bins")
+
+
+def _checked_label() -> Column:
+    return F.when(F.isnan("_label"), F.raise_error(F.lit("a label is NaN"))).otherwise(F.col("_label"))
+
+
+def _all_points(edges) -> int:
+    """``maxBins`` with which MLlib looks for split points in every point: its sample is of max_bins^2 rows."""
+    return max(MAX_BINS, math.isqrt(2 * n_cells(edges)) + 1)
+
+
 def cell_sums(df: DataFrame, buckets, edges, n_trees: int, seed: int) -> DataFrame:
     """(_tree, _cell, _w, _wy, _wyy): each tree's bootstrap sums of ``_label`` over the rows of a cell.
 
@@ -117,11 +139,7 @@ def cell_sums(df: DataFrame, buckets, edges, n_trees: int, seed: int) -> DataFra
 def fit_forest(df: DataFrame, cols, edges, n_trees: int, max_depth: int, seed: int) -> PipelineModel:
     """Forest on the numeric columns ``cols`` and ``_label`` as a pipeline: bins, trees, mean of the trees."""
     spark = df.sparkSession
-    buckets = [f"_b{i}" for i in range(len(cols))]
-    bucketizer = Bucketizer(splitsArray=[[-math.inf, *e, math.inf] for e in edges],
-                            inputCols=list(cols), outputCols=buckets)
-    bins = VectorAssembler(inputCols=buckets, outputCol="_bins")
-    y = F.when(F.isnan("_label"), F.raise_error(F.lit("a label is NaN"))).otherwise(F.col("_label"))
+    buckets, bucketizer, bins = _binned(cols, edges)
     path = f"{ensure_checkpoint_dir(spark)}/forest-{uuid.uuid4().hex}"
     seeds = np.random.default_rng(seed).integers(2 ** 31, size=n_trees)
 
@@ -132,15 +150,14 @@ def fit_forest(df: DataFrame, cols, edges, n_trees: int, max_depth: int, seed: i
         d = d.select(*[((F.col("_cell") / F.lit(k)).cast("long") % (len(e) + 1)).cast("double").alias(b)
                        for b, k, e in zip(buckets, _strides(edges), edges)],
                      F.explode(F.array(m - s, m + s)).alias("_label"), (F.col("_w") / 2).alias("_weight"))
-        # MLlib looks for split points in a sample of max_bins^2 rows: here that is every row
         return RandomForestRegressor(
             featuresCol="_bins", labelCol="_label", weightCol="_weight", predictionCol=f"_p{t}", numTrees=1,
             bootstrap=False, maxDepth=max_depth, seed=int(seeds[t]),
             featureSubsetStrategy="onethird" if n_trees > 1 else "all",
-            maxBins=max(MAX_BINS, math.isqrt(2 * n_cells(edges)) + 1)).fit(bins.transform(d))
+            maxBins=_all_points(edges)).fit(bins.transform(d))
 
     try:
-        sums = cell_sums(bucketizer.transform(df.withColumn("_label", y)), buckets, edges, n_trees, seed)
+        sums = cell_sums(bucketizer.transform(df.withColumn("_label", _checked_label())), buckets, edges, n_trees, seed)
         sums.write.partitionBy("_tree").parquet(path)
         with ThreadPool(8) as pool:
             trees = pool.map(inheritable_thread_target(spark)(fit_tree), range(n_trees))
@@ -150,3 +167,21 @@ def fit_forest(df: DataFrame, cols, edges, n_trees: int, max_depth: int, seed: i
     mean = SQLTransformer(statement="SELECT *, ({}) / {} AS prediction FROM __THIS__".format(
         " + ".join(f"_p{t}" for t in range(n_trees)), n_trees))
     return PipelineModel([bucketizer, bins, *trees, mean])
+
+
+def cell_points(df: DataFrame, buckets) -> DataFrame:
+    """(bins..., _label, _weight): two points for every filled cell, with its rows' number, mean and deviation of ``_label``."""
+    m, s = F.col("_m"), F.col("_s")
+    # as int, as the bucketizer marks its columns as categories, which MLlib would split in any order
+    cells = df.groupBy(*[F.col(b).cast("int").alias(b) for b in buckets]).agg(F.count(F.lit(1)).alias("_n"), F.avg("_label").alias("_m"), F.stddev_pop("_label").alias("_s"))
+    return cells.select(*buckets, F.explode(F.array(m - s, m + s)).alias("_label"), (F.col("_n") / 2).alias("_weight"))
+
+
+def fit_boosted(df: DataFrame, cols, edges, n_trees: int, step: float, max_depth: int, seed: int) -> PipelineModel:
+    """Boosted trees on the numeric columns ``cols`` and ``_label`` as a pipeline: bins, trees."""
+    buckets, bucketizer, bins = _binned(cols, edges)
+    points = cut_lineage(cell_points(bucketizer.transform(df.withColumn("_label", _checked_label())), buckets))
+    points = bins.transform(points.repartition(-(-points.count() // TASK_POINTS) or 1))
+    trees = GBTRegressor(featuresCol="_bins", labelCol="_label", weightCol="_weight", maxIter=n_trees, stepSize=step,
+                         maxDepth=max_depth, seed=seed, maxBins=_all_points(edges)).fit(points)
+    return PipelineModel([bucketizer, bins, trees])

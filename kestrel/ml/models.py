@@ -46,6 +46,7 @@ DEFAULTS = {
     "lgbm_reg": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
     "svr": {"C": 1.0, "epsilon": 0.1},
 }
+ON_SUMS = ("random_forest_reg", "lgbm_reg")     # may be fitted to sums per cell of binned features
 CLASSIFIERS = ("logistic_regression", "random_forest_clf", "gradient_boosting_clf", "xgb_clf", "lgbm_clf", "svc")
 REGRESSORS = ("linear_regression", "random_forest_reg", "gradient_boosting_reg", "xgb_reg", "lgbm_reg")
 
@@ -107,10 +108,10 @@ def _estimator(kind: str, n_rows: int, n_classes: int, seed: int, params: dict):
     raise ValueError(f"unknown model {kind!r}")
 
 
-def _forest_on_sums(d: DataFrame, feature_cols, n_rows: int, seed: int, params: dict) -> PipelineModel | None:
-    """Regression forest on sums per cell, where MLlib's would hold more than ``forest.SUMS_FROM``
-    bootstrap counts and the features have at most ``forest.MAX_CELLS`` cells; else None."""
-    p = {**DEFAULTS["random_forest_reg"], **params}
+def _on_sums(kind: str, d: DataFrame, feature_cols, n_rows: int, seed: int, params: dict) -> PipelineModel | None:
+    """Regression forest or boosted trees on sums per cell, where rows times trees are more than
+    ``forest.SUMS_FROM`` and the features have at most ``forest.MAX_CELLS`` cells; else None."""
+    p = {**DEFAULTS[kind], **params}
     cols = [feature_cols] if isinstance(feature_cols, str) else list(feature_cols)
     if n_rows * p["n_estimators"] <= forest.SUMS_FROM or not all(is_numeric(d, c) for c in cols):
         return None
@@ -119,7 +120,9 @@ def _forest_on_sums(d: DataFrame, feature_cols, n_rows: int, seed: int, params:
     edges = forest.bin_edges(d, cols)
     if forest.n_cells(edges) > forest.MAX_CELLS:
         return None
-    return forest.fit_forest(d, cols, edges, p["n_estimators"], p["max_depth"], seed)
+    if kind == "random_forest_reg":
+        return forest.fit_forest(d, cols, edges, p["n_estimators"], p["max_depth"], seed)
+    return forest.fit_boosted(d, cols, edges, p["n_estimators"], p["learning_rate"], p["max_depth"], seed)
 
 
 class Model:
@@ -157,8 +160,8 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         d = cut_lineage(rff_features(train, feature_cols, params=extra["rff"]))
     else:
         d = features_vector(train, feature_cols)
-    # two solvers state their penalty per row, the forest holds counts per row
-    n = d.count() if kind in ("logistic_regression", "svc", "random_forest_reg") else 0
+    # two solvers state their penalty per row, trees go by rows or by cells
+    n = d.count() if kind in ("logistic_regression", "svc", *ON_SUMS) else 0
     if kind in CLASSIFIERS:
         # labels are indexed for training only (sorted, strict); the pipeline
         # keeps estimator + decoder, so scoring needs no label column
@@ -170,7 +173,7 @@ def fit(kind: str, train: DataFrame, feature_cols, label_col: str, seed: int = 4
         pm = Pipeline(stages=[est, dec]).fit(idx.transform(d))
     elif kind in REGRESSORS:
         d = d.withColumn("_label", F.col(label_col).cast("double"))
-        pm = _forest_on_sums(d, feature_cols, n, seed, params) if kind == "random_forest_reg" else None
+        pm = _on_sums(kind, d, feature_cols, n, seed, params) if kind in ON_SUMS else None
         if pm is None:
             pm = Pipeline(stages=[_estimator(kind, n, 0, seed, params)]).fit(d)
     else:
