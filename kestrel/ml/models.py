@@ -46,7 +46,7 @@ DEFAULTS = {
     "lgbm_reg": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 5},
     "svr": {"C": 1.0, "epsilon": 0.1},
 }
-ON_SUMS = ("random_forest_reg", "lgbm_reg", "xgb_reg")     # may be fitted to sums per cell of binned features
+ON_SUMS = ("random_forest_reg", "gradient_boosting_reg", "xgb_reg", "lgbm_reg")     # may be fitted to sums per cell of binned features
 CLASSIFIERS = ("logistic_regression", "random_forest_clf", "gradient_boosting_clf", "xgb_clf", "lgbm_clf", "svc")
 REGRESSORS = ("linear_regression", "random_forest_reg", "gradient_boosting_reg", "xgb_reg", "lgbm_reg")
 

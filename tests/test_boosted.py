@@ -15,7 +15,7 @@ def _rows(spark, n):
                                  (10 * a + 3 * b * b + a * b + noise).alias("y"))
 
 
-@pytest.mark.parametrize("kind", ["lgbm_reg", "xgb_reg"])
+@pytest.mark.parametrize("kind", ["lgbm_reg", "xgb_reg", "gradient_boosting_reg"])
 def test_boosting_on_cells_is_boosting_on_rows(spark, monkeypatch, tmp_path, kind):
     """The trees read cells, not rows, and predict what trees on the rows predict."""
     from kestrel.ml import forest as fo, models as M
